@@ -1,7 +1,7 @@
 """The queries of this subpackage."""
 
-from . import exact_dedup, warc
+from . import exact_dedup, url_filter, warc
 
-MODULES = (exact_dedup, warc)
+MODULES = (url_filter, exact_dedup, warc)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
