@@ -190,7 +190,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # bytes of every entry whose digest lies in several runs against those of the first run
     texts = runs.where("lead").select(*entry, "norm", "best_points", "best_id", "best_seq", "members")
-    hits = texts.join(index.where("runs > 1").select(*entry, "anchor_run", "anchor_variant"), entry)
+    hits = written(texts.join(index.where("runs > 1").select(*entry, "anchor_run", "anchor_variant"), entry), "hits")
     first = hits.where("run_id = anchor_run and variant = anchor_variant").select("digest", F.col("norm").alias("first_norm"))
     wrong = written(hits.join(first, "digest").where("norm <> first_norm").drop("first_norm"), "collisions")
     outcome = index.select(*entry, "keep_id", "keep_run", "keep_seq", "group_size")
