@@ -1,7 +1,7 @@
 """The queries of this subpackage."""
 
-from . import bpe, exact_dedup, url_filter, warc
+from . import bpe, exact_dedup, quality, toxicity, url_filter, warc
 
-MODULES = (url_filter, exact_dedup, bpe, warc)
+MODULES = (url_filter, exact_dedup, toxicity, bpe, quality, warc)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
