@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare
+from .common import partitions, prepare, written
 
 PACKED = "block long, bucket int, words binary, notes binary"
 
@@ -37,43 +37,56 @@ def blocked(docs: DataFrame, text_col: str, block_chars: int) -> tuple[DataFrame
     return docs.withColumn("block", F.pmod(F.xxhash64(*docs.columns), F.lit(n))).repartition(n, "block"), n
 
 
-def resolved(
-    docs: DataFrame,
-    text_col: str,
-    words_of: Callable[[pd.DataFrame], dict[bytes, int]],
-    answer: Callable[[list[list[bytes]], list[bytes]], list[bytes]],
-    apply: Callable[[pd.DataFrame, list[tuple[bytes, bytes, bytes]]], pd.DataFrame],
-    schema: str,
-    block_chars: int = 12 << 20,
-    notes_of: Callable[[list[int]], bytes] = lambda values: b"",
-) -> DataFrame:
-    """Rows of ``apply(documents of a block, its packets)``.
-
-    ``words_of`` gives a block's distinct words (UTF-8, no line feeds) with a number each;
-    ``answer`` gets, for one bucket, the word lists and notes of all blocks and gives a reply for
-    each list; a packet is (words, notes, reply), its words joined by line feeds.
+class Exchange:
+    """The distinct words of blocks, and what their buckets answer.
+
+    ``words_of`` gives a block's distinct words (UTF-8, no line feeds) with a number each, which
+    ``notes_of`` packs. ``answer`` gets, for one bucket, the word lists and notes of all blocks; it
+    gives a reply for each list and statistics of the bucket. Answers are written once.
     """
-    prepare(docs.sparkSession)
-    dealt, n = blocked(docs, text_col, block_chars)
-    buckets = max(partitions(docs.sparkSession), n // 2)
-
-    def distinct(key, frame: pd.DataFrame) -> pd.DataFrame:
-        lists: dict[int, list[tuple[bytes, int]]] = {}
-        for word, value in words_of(frame).items():
-            lists.setdefault(xxhash.xxh32_intdigest(word) % buckets, []).append((word, value))
-        out = []
-        for bucket, pairs in lists.items():
-            pairs.sort()
-            out.append((key[0], bucket, pack(b"\n".join(w for w, _ in pairs)), pack(notes_of([v for _, v in pairs]))))
-        return pd.DataFrame(out, columns=["block", "bucket", "words", "notes"])
-
-    def reply(key, frame: pd.DataFrame) -> pd.DataFrame:
-        lists = [unpack(w).split(b"\n") for w in frame["words"]]
-        frame = frame.assign(reply=[pack(r) for r in answer(lists, [unpack(x) for x in frame["notes"]])])
-        return frame[["block", "words", "notes", "reply"]]
-
-    def finish(key, rows: pd.DataFrame, packets: pd.DataFrame) -> pd.DataFrame:
-        return apply(rows, [(unpack(w), unpack(m), unpack(r)) for w, m, r in zip(packets["words"], packets["notes"], packets["reply"])])
-
-    packets = dealt.groupBy("block").applyInPandas(distinct, PACKED).groupBy("bucket").applyInPandas(reply, "block long, words binary, notes binary, reply binary")
-    return dealt.groupBy("block").cogroup(packets.groupBy("block")).applyInPandas(finish, schema)
+
+    def __init__(
+        self,
+        docs: DataFrame,
+        text_col: str,
+        words_of: Callable[[pd.DataFrame], dict[bytes, int]],
+        answer: Callable[[list[list[bytes]], list[bytes]], tuple[list[bytes], bytes]],
+        notes_of: Callable[[list[int]], bytes] = lambda values: b"",
+        block_chars: int = 12 << 20,
+        keep: bool = True,
+    ):
+        prepare(docs.sparkSession)
+        self.dealt, n = blocked(docs, text_col, block_chars)
+        buckets = max(partitions(docs.sparkSession), n // 2)
+
+        def distinct(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            lists: dict[int, list[tuple[bytes, int]]] = {}
+            for word, value in words_of(frame).items():
+                lists.setdefault(xxhash.xxh32_intdigest(word) % buckets, []).append((word, value))
+            out = []
+            for bucket, pairs in lists.items():
+                pairs.sort()
+                out.append((key[0], bucket, pack(b"\n".join(w for w, _ in pairs)), pack(notes_of([v for _, v in pairs]))))
+            return pd.DataFrame(out, columns=["block", "bucket", "words", "notes"])
+
+        def reply(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            replies, statistics = answer([unpack(w).split(b"\n") for w in frame["words"]], [unpack(x) for x in frame["notes"]])
+            own = pd.DataFrame({"block": frame["block"], "words": frame["words"], "notes": frame["notes"], "reply": [pack(r) for r in replies]})
+            return pd.concat([own, pd.DataFrame({"block": [-1], "words": [b""], "notes": [b""], "reply": [statistics]})], ignore_index=True)
+
+        packets = self.dealt.groupBy("block").applyInPandas(distinct, PACKED)
+        answers = packets.groupBy("bucket").applyInPandas(reply, "block long, words binary, notes binary, reply binary")
+        self.answers = written(answers, "answers") if keep else answers
+
+    def statistics(self) -> list[bytes]:
+        """One of each bucket."""
+        return [bytes(r["reply"]) for r in self.answers.where("block < 0").select("reply").collect()]
+
+    def applied(self, apply: Callable[[pd.DataFrame, list[tuple[bytes, bytes, bytes]]], pd.DataFrame], schema: str) -> DataFrame:
+        """Rows of ``apply(documents of a block, its packets)``; a packet is (words, notes, reply)."""
+
+        def finish(key: tuple, rows: pd.DataFrame, packets: pd.DataFrame) -> pd.DataFrame:
+            return apply(rows, [(unpack(w), unpack(m), unpack(r)) for w, m, r in zip(packets["words"], packets["notes"], packets["reply"])])
+
+        packets = self.answers.where("block >= 0")
+        return self.dealt.groupBy("block").cogroup(packets.groupBy("block")).applyInPandas(finish, schema)

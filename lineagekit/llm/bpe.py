@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import resolved
+from .blocks import Exchange
 from .common import table
 
 ENCODED = "doc_id long, ids binary, decoded string"
@@ -90,7 +90,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found.update(tokenizer(path).words(text))
         return {w.encode(): 0 for w in found}
 
-    def answer(lists: list[list[bytes]], notes: list[bytes]) -> list[bytes]:
+    def answer(lists: list[list[bytes]], notes: list[bytes]) -> tuple[list[bytes], bytes]:
         distinct = list({w for words in lists for w in words})
         ids = {}
         for at in range(0, len(distinct), 20_000):
@@ -100,7 +100,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for words in lists:
             flat = [i for w in words for i in ids[w]]
             out.append(np.array([len(ids[w]) for w in words], dtype="<u4").tobytes() + np.array(flat, dtype="<u4").tobytes())
-        return out
+        return out, b""
 
     def apply(frame: pd.DataFrame, packets) -> pd.DataFrame:
         t, ids, text = tokenizer(path), {}, {}
@@ -120,7 +120,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             decoded.append(" ".join(map(text.__getitem__, words)))
         return pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "ids": all_ids, "decoded": decoded})
 
-    return resolved(rows, "text", words_of, answer, apply, ENCODED)
+    return Exchange(rows, "text", words_of, answer, keep=False).applied(apply, ENCODED)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,8 @@ class ByteTokenizer:
         self.whole.no_padding()
         spec = json.loads(self.whole.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.size = max(self.whole.get_vocab(True).values()) + 1
+        self.opens = np.array([(self.whole.id_to_token(i) or "").startswith("\u0120") for i in range(self.size)])
         letters = self._letters()
         ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # a fixed value: the byte-level pre-tokenizer's pattern
@@ -179,7 +181,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
     groups = max(1, -(-rest // (capacity * group_windows)))
     shift = 40  # windows of one group
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return place(frame.drop(columns="group"), capacity, int(key[0]) << shift)
 
     dealt = made.withColumn("group", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)).cast("long"))

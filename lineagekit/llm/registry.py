@@ -1,7 +1,7 @@
 """The queries of this subpackage."""
 
-from . import bpe, embedding_dedup, exact_dedup, jaccard_join, packing, quality, toxicity, url_filter, warc
+from . import bpe, embedding_dedup, exact_dedup, jaccard_join, lm_scoring, packing, quality, toxicity, url_filter, warc
 
-MODULES = (url_filter, exact_dedup, toxicity, embedding_dedup, jaccard_join, packing, bpe, quality, warc)
+MODULES = (url_filter, exact_dedup, toxicity, embedding_dedup, lm_scoring, jaccard_join, packing, bpe, quality, warc)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
