@@ -1,8 +1,88 @@
-"""The corpus pipeline: STAGES applied to ``documents``."""
+"""The corpus pipeline: documents that are not toxic, of good quality, each text once, packed.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame; all but
+the last return the columns of ``docs``. :func:`run` writes each stage's rows as Parquet and rereads
+them as the next one's ``docs``. Labels of ``sf_dir`` train the two classifiers, outside their held-out
+folds. Nulls: a null text counts as empty (kept by the first two stages' scores of empty texts if
+these say so); rows with a null id pass like others. An empty table passes through.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lineagekit.llm import quality as quality_op
+from lineagekit.llm import toxicity as toxicity_op
+from lineagekit.llm.common import prepare, table, written
+from lineagekit.llm.exact_dedup import exact_dedup
+from lineagekit.llm.jaccard_join import jaccard_join
+from lineagekit.llm.packing import pack
+
+#: Near-duplicates share this many words a shingle and at least this share of shingles, in percent.
+WORDS, PERCENT = 5, 80
+
+
+def _kept(docs: DataFrame, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """Rows whose text passes; all columns go through unchanged."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield batch.filter(pa.array(keep(texts), type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold."""
+    prepare(spark)
+    model = spark.sparkContext.broadcast(toxicity_op.model_of(docs, table(spark, sf_dir, "labels")))
+    return _kept(docs, lambda texts: [model.value.document(t)[0] < toxicity_op.THRESHOLD for t in texts])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold."""
+    prepare(spark)
+    model = spark.sparkContext.broadcast(quality_op.model_of(docs, table(spark, sf_dir, "labels")))
+    return _kept(docs, lambda texts: (model.value.scores(texts) >= quality_op.THRESHOLD).tolist())
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts; of repeated rows (same id and text) one."""
+    prepare(spark)
+    keepers = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    white = " \t\n\x0b\x0c\r"
+    digest = F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), white, ""), "UTF-8"), 256)
+    rows = docs.withColumn("_sha", digest)
+    same = rows["doc_id"].eqNullSafe(keepers["_id"]) & (rows["_sha"] == keepers["_sha"])
+    return rows.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents that with the smallest id."""
+    prepare(spark)
+    joined = jaccard_join(docs, words=WORDS, percent=PERCENT)
+    others = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    return docs.join(others, docs["doc_id"] == others["_id"], "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of near-equal windows."""
+    prepare(spark)
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("quality", quality), ("exact_dedup", exact), ("jaccard_join", near), ("packing", packing)]
+#: The classifiers and the packing can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
