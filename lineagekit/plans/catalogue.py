@@ -1,4 +1,9 @@
-"""The query catalogue."""
+"""The query catalogue: every query by name, and its SQL for an independent engine."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from . import quantity
+
+MODULES = (quantity,)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
