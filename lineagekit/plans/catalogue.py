@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quantity
+from . import linking, quantity
 
-MODULES = (quantity,)
+MODULES = (quantity, linking)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
