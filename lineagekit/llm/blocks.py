@@ -30,6 +30,16 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def bucketed(words: dict[bytes, int], buckets: int) -> dict[int, list[tuple[bytes, int]]]:
+    """Sorted (word, number) lists by bucket."""
+    lists: dict[int, list[tuple[bytes, int]]] = {}
+    for pair in words.items():
+        lists.setdefault(xxhash.xxh32_intdigest(pair[0]) % buckets, []).append(pair)
+    for pairs in lists.values():
+        pairs.sort()
+    return lists
+
+
 def blocked(docs: DataFrame, text_col: str, block_chars: int) -> tuple[DataFrame, int]:
     """``docs`` with a column ``block``, dealt by it; and the number of blocks."""
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
@@ -52,41 +62,42 @@ class Exchange:
         words_of: Callable[[pd.DataFrame], dict[bytes, int]],
         answer: Callable[[list[list[bytes]], list[bytes]], tuple[list[bytes], bytes]],
         notes_of: Callable[[list[int]], bytes] = lambda values: b"",
-        block_chars: int = 12 << 20,
+        block_chars: int = 8 << 20,
         keep: bool = True,
     ):
         prepare(docs.sparkSession)
         self.dealt, n = blocked(docs, text_col, block_chars)
         buckets = max(partitions(docs.sparkSession), n // 2)
 
+        self.words_of, self.buckets = words_of, buckets
+
         def distinct(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            lists: dict[int, list[tuple[bytes, int]]] = {}
-            for word, value in words_of(frame).items():
-                lists.setdefault(xxhash.xxh32_intdigest(word) % buckets, []).append((word, value))
-            out = []
-            for bucket, pairs in lists.items():
-                pairs.sort()
-                out.append((key[0], bucket, pack(b"\n".join(w for w, _ in pairs)), pack(notes_of([v for _, v in pairs]))))
+            lists = bucketed(words_of(frame), buckets)
+            out = [(key[0], bucket, pack(b"\n".join(w for w, _ in pairs)), pack(notes_of([v for _, v in pairs]))) for bucket, pairs in lists.items()]
             return pd.DataFrame(out, columns=["block", "bucket", "words", "notes"])
 
         def reply(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             replies, statistics = answer([unpack(w).split(b"\n") for w in frame["words"]], [unpack(x) for x in frame["notes"]])
-            own = pd.DataFrame({"block": frame["block"], "words": frame["words"], "notes": frame["notes"], "reply": [pack(r) for r in replies]})
-            return pd.concat([own, pd.DataFrame({"block": [-1], "words": [b""], "notes": [b""], "reply": [statistics]})], ignore_index=True)
+            return pd.DataFrame({"block": [*frame["block"], -1], "bucket": [key[0]] * (len(frame) + 1), "reply": [*map(pack, replies), statistics]})
 
         packets = self.dealt.groupBy("block").applyInPandas(distinct, PACKED)
-        answers = packets.groupBy("bucket").applyInPandas(reply, "block long, words binary, notes binary, reply binary")
+        answers = packets.groupBy("bucket").applyInPandas(reply, "block long, bucket int, reply binary")
         self.answers = written(answers, "answers") if keep else answers
 
     def statistics(self) -> list[bytes]:
         """One of each bucket."""
         return [bytes(r["reply"]) for r in self.answers.where("block < 0").select("reply").collect()]
 
-    def applied(self, apply: Callable[[pd.DataFrame, list[tuple[bytes, bytes, bytes]]], pd.DataFrame], schema: str) -> DataFrame:
-        """Rows of ``apply(documents of a block, its packets)``; a packet is (words, notes, reply)."""
+    def applied(self, apply: Callable[[pd.DataFrame, list[tuple[list[bytes], bytes]]], pd.DataFrame], schema: str) -> DataFrame:
+        """Rows of ``apply(documents of a block, answers)``; an answer is (words, reply).
+
+        A block's words are listed again, in the same order, rather than sent back and forth.
+        """
+        words_of, buckets = self.words_of, self.buckets
 
         def finish(key: tuple, rows: pd.DataFrame, packets: pd.DataFrame) -> pd.DataFrame:
-            return apply(rows, [(unpack(w), unpack(m), unpack(r)) for w, m, r in zip(packets["words"], packets["notes"], packets["reply"])])
+            lists = bucketed(words_of(rows), buckets)
+            return apply(rows, [([w for w, _ in lists.pop(bucket)], unpack(r)) for bucket, r in zip(packets["bucket"], packets["reply"])])
 
         packets = self.answers.where("block >= 0")
         return self.dealt.groupBy("block").cogroup(packets.groupBy("block")).applyInPandas(finish, schema)

@@ -58,6 +58,7 @@ class WordTokenizer:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         size = max(self.whole.get_vocab(True).values()) + 1
+        self.width = "<u2" if size <= 65536 else "<u4"
         self.pieces = [self.whole.id_to_token(i) for i in range(size)]
 
     def words(self, text: str) -> list[str]:
@@ -96,19 +97,18 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for at in range(0, len(distinct), 20_000):
             part = distinct[at : at + 20_000]
             ids.update(zip(part, tokenizer(path).ids([w.decode() for w in part])))
-        out = []
+        out, width = [], tokenizer(path).width
         for words in lists:
             flat = [i for w in words for i in ids[w]]
-            out.append(np.array([len(ids[w]) for w in words], dtype="<u4").tobytes() + np.array(flat, dtype="<u4").tobytes())
+            out.append(np.array([len(ids[w]) for w in words], dtype="<u4").tobytes() + np.array(flat, dtype=width).tobytes())
         return out, b""
 
-    def apply(frame: pd.DataFrame, packets) -> pd.DataFrame:
+    def apply(frame: pd.DataFrame, answers) -> pd.DataFrame:
         t, ids, text = tokenizer(path), {}, {}
-        for words, _, reply in packets:
-            names = words.decode().split("\n")
-            values = np.frombuffer(reply, dtype="<u4")
-            ends = np.cumsum(values[: len(names)], dtype=np.int64)
-            flat = values[len(names) :]
+        for words, reply in answers:
+            names = [w.decode() for w in words]
+            ends = np.cumsum(np.frombuffer(reply, dtype="<u4", count=len(names)), dtype=np.int64)
+            flat = np.frombuffer(reply, dtype=t.width, offset=4 * len(names)).astype("<u4")
             pieces = [t.pieces[i] for i in flat.tolist()]
             start = 0
             for w, end in zip(names, ends.tolist()):
