@@ -60,17 +60,25 @@ def boilerplate(rows: DataFrame, ratio: float = 0.8, least_rows: int = 3) -> Dat
     return out.select("segment", "n", (F.col("n") / F.col("rows")).alias("share"), ((F.col("rows") >= least_rows) & (F.col("n") / F.col("rows") >= ratio)).alias("is_boilerplate"), ((F.col("rows") >= 2) & (F.col("n") > 1)).alias("low_discrimination"))
 
 
-def contained(phrases: DataFrame, rows: DataFrame, words: Column, least: int = 2) -> DataFrame:
+def contained(phrases: DataFrame, rows: DataFrame, separator: str = r"[^A-Za-z0-9À-ɏ]+", least: int = 2, most_short: int = 10_000) -> DataFrame:
     """(a_id, b_id): phrases (id, value) that a row (id, value) contains.
 
-    Each phrase is looked for where its longest word occurs (one key a phrase), then verified.
+    A phrase is looked for where its longest inner word occurs (its first and last word may be parts
+    of a row's words), then verified. Phrases without an inner word are few, which is checked, and are
+    compared with every row.
     """
-    ranked = F.array_sort(F.transform(F.filter(F.split("value", r"[^A-Za-z0-9À-ɏ]+"), lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))))
-    keyed = phrases.where(F.length("value") >= least).withColumn("_k", F.element_at(ranked, 1)["w"])
-    inner = keyed.where(F.col("_k").isNotNull()).select(F.col("id").alias("a_id"), F.col("value").alias("a_value"), "_k")
-    # the phrase's ends may cut a word of the row, so only words inside it are whole: keys at its ends are looked for as parts
-    posting = rows.select(F.col("id").alias("b_id"), F.col("value").alias("b_value"), F.explode(F.array_distinct(words)).alias("_k"))
-    return inner.join(posting, "_k").where(F.expr("contains(b_value, a_value)")).select("a_id", "b_id").distinct()
+    words = F.filter(F.slice(F.split("value", separator), 2, F.greatest(F.size(F.split("value", separator)) - 2, F.lit(0))), lambda w: w != "")
+    ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))))
+    keyed = phrases.where(F.length("value") >= least).select(F.col("id").alias("a_id"), F.col("value").alias("a_value"), F.try_element_at(ranked, F.lit(1))["w"].alias("_k"))
+    posting = rows.select(F.col("id").alias("b_id"), F.col("value").alias("b_value"), F.explode(F.array_distinct(F.split("value", separator))).alias("_k"))
+    found = keyed.where("_k is not null").join(posting, "_k").where(F.expr("contains(b_value, a_value)")).select("a_id", "b_id")
+    short = keyed.where("_k is null").drop("_k")
+    if (n := short.limit(most_short + 1).count()) > most_short:
+        raise ValueError(f"over {most_short} phrases without an inner word")
+    if n:
+        every = rows.select(F.col("id").alias("b_id"), F.col("value").alias("b_value"))
+        found = found.union(every.join(F.broadcast(short), F.expr("contains(b_value, a_value)")).select("a_id", "b_id"))
+    return found.distinct()
 
 
 def codes(df: DataFrame, pattern: str) -> DataFrame:

@@ -42,7 +42,7 @@ def boilerplate_segments(spark, sf_dir):
 def partial_match(spark, sf_dir):
     bench = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("value"))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("value"))
-    return L.links(L.contained(bench, docs, F.split("value", r"[^A-Za-z0-9À-ɏ]+")), "partial", L.MatchConfig().partial)
+    return L.links(L.contained(bench, docs), "partial", L.MatchConfig().partial)
 
 
 def containment_counts(spark, sf_dir):
@@ -162,7 +162,7 @@ def embedding_cosine_topk(spark, sf_dir):
     e = e.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).where("norm > 0")
     blocks = 8
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a_id"), F.col("v").alias("a_v"), F.col("norm").alias("a_norm"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    rows = e.select(F.col("vec_id").alias("b_id"), F.col("v").alias("b_v"), F.col("norm").alias("b_norm"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+    rows = e.select(F.col("vec_id").alias("b_id"), F.col("v").alias("b_v"), F.col("norm").alias("b_norm"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     pairs = q.join(rows, "block").where("a_id <> b_id").select("a_id", "b_id", rounded(dot(F.col("a_v"), F.col("b_v")) / (F.col("a_norm") * F.col("b_norm"))).alias("score"))
     return L.top_candidates(pairs, pairs.limit(0).select("a_id", "b_id"))
 
