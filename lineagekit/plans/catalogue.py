@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import linking, quantity
+from . import knowledge, linking, quantity
 
-MODULES = (quantity, linking)
+MODULES = (quantity, linking, knowledge)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
