@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,18 +59,58 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Forest:
+    """Union-find over the edges that one task reads."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        p = self.parent
+        p.setdefault(x, x)
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    def add(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+
+    def edges(self) -> pd.DataFrame:
+        out = [(v, r) for v in list(self.parent) if (r := self.root(v)) != v]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def contracted(edges: DataFrame, most_vertices: int = 1_000_000) -> DataFrame:
+    """Edges with the same components, at most one a vertex of each task: each task joins what it
+    reads to its smallest vertex, and begins anew beyond ``most_vertices``. No shuffle."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = Forest()
+        for frame in frames:
+            for a, b in zip(frame["a"].tolist(), frame["b"].tolist()):
+                forest.add(a, b)
+            if len(forest.parent) > most_vertices:
+                yield forest.edges()
+                forest = Forest()
+        yield forest.edges()
+
+    return edges.select("a", "b").mapInPandas(run, "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest id reachable from each vertex of ``edges`` (a, b); rows (id, component).
 
-    Alternates large-star and small-star steps until no edge changes. Each step links every
+    Alternates large-star and small-star steps until no edge changes, each after the edges that a
+    task reads are contracted in it. Each step links every
     neighbour to the smallest one, so a vertex with many links is handled by a grouped minimum
     and a join, never by one list in a task. Every step is written to the shared folder.
     Vertices without an edge have no row. Empty input: no rows. Null ends and loops are left out.
     """
-    work = written(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
-    )
-    last = None
+    given = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "edges")
+    work, last = written(contracted(given), "edges"), None
     for _ in range(rounds):
         # large-star: for each vertex, its larger neighbours point at the smallest of all
         both = work.union(work.select("b", "a")).toDF("u", "v")
@@ -77,11 +119,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small-star: smaller neighbours and the vertex itself point at the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-        work = written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        now = work.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        stars = written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
+            work = stars
             break
-        last = now
+        last, work = now, contracted(stars)
     else:
         raise RuntimeError("components did not settle")
     low = work.groupBy("a").agg(F.min("b").alias("component")).toDF("id", "component")
