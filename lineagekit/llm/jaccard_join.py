@@ -9,7 +9,8 @@ sequence; none: empty). Two documents link when ``percent`` x union <= 100 x int
    (and small ones that a larger set could link with) give their rarest shingles, of which linked
    sets share at least one. The boundary is the cheapest by the counted sizes.
 3. Equal sets are one vertex. Of each list of keys, members pair with the list's smallest and
-   largest vertex first. These pairs are verified on whole texts and give components.
+   largest vertex first. Pairs whose bitmaps show too many elements of one set alone are no links
+   (an exact bound); the others are verified on whole texts and give components.
 4. Lists whose members are still in several components pair those members across components,
    which verification decides. Pairs inside a component are not needed for it, so a large group of
    near copies costs as many pairs as it has members, and no link between components is lost.
@@ -38,7 +39,7 @@ from .common import components, prepare, table, written
 
 SKETCH, CHUNKS, SMALLEST_LARGE, MOST_SUBSETS = 1 << 20, 32, 24, 5000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-ROWS = "doc_id long, vertex long, n int, keys array<long>, subsets array<int>"
+ROWS = "doc_id long, vertex long, n int, keys array<long>, subsets array<int>, bits array<long>"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -49,31 +50,60 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Hashes(dict):
+    """Hashes of words; hits cost a dictionary lookup."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sets of hashed shingles."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def _hash(self, word: bytes) -> int:
-        if (h := self.known.get(word)) is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            h = self.known[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes."""
-        words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-        if not words:
-            return np.empty(0, dtype=np.uint64)
-        h = np.fromiter(map(self._hash, words), dtype=np.uint64, count=len(words))
-        n = min(self.n, len(h))
+        self.n, self.known = n, Hashes()
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Sorted distinct hashes of each text's shingles."""
+        words = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER).split() for t in texts]
+        counts = np.array([len(w) for w in words], dtype=np.int64)
+        h = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), dtype=np.uint64, count=int(counts.sum()))
+        ends = np.cumsum(counts)
+        many = self._rolled(h, self.n) if len(h) >= self.n else h[:0]
+        out = []
+        for count, end in zip(counts.tolist(), ends.tolist()):
+            if count >= self.n:
+                out.append(np.unique(many[end - count : end - self.n + 1]))
+            else:  # the whole sequence, as one; none of no words
+                out.append(self._rolled(h[end - count : end], count) if count else h[:0])
+        return out
+
+    @staticmethod
+    def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+        """A hash of each n successive words."""
         with np.errstate(over="ignore"):
             out = np.full(len(h) - n + 1, n, dtype=np.uint64)
             for i in range(n):
-                out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-        return np.unique(out)
+                out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i]
+        return mixed(out)
+
+    def of(self, text: str | None) -> np.ndarray:
+        return self.sets([text])[0]
+
+
+def bitmap(values: np.ndarray) -> list[int]:
+    """Hashed elements of a set as bits of 64-bit numbers: at least two bits an element, a power of two in all.
+
+    A bit that only one of two sets has stands for an element that only that set has, which bounds
+    their intersection from above.
+    """
+    size = max(64, 1 << max(1, 2 * len(values) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(values & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -126,7 +156,7 @@ def counted(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]]:
     def count(frames):
         shingler, sketch, sizes = Shingler(n), np.zeros(SKETCH, dtype=np.int64), np.zeros(SMALLEST_LARGE, dtype=np.int64)
         for frame in frames:
-            sets = [shingler.of(t) for t in frame["text"]]
+            sets = shingler.sets(frame["text"].tolist())
             if sets:
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
                 sizes += np.bincount([min(len(s), SMALLEST_LARGE) for s in sets], minlength=SMALLEST_LARGE + 1)[:SMALLEST_LARGE]
@@ -161,8 +191,7 @@ def signed(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, small: int
         shingler, seen = Shingler(n), set()
         for frame in frames:
             out = []
-            for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"]):
-                values = shingler.of(text)
+            for doc_id, values in zip(frame["doc_id"].astype("Int64"), shingler.sets(frame["text"].tolist())):
                 vertex = signature(values)
                 keys: list[tuple[int, int]] = []
                 if vertex not in seen and len(values):
@@ -172,8 +201,8 @@ def signed(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, small: int
                     if len(values) > small or len(values) >= both:
                         order = np.lexsort((values, shared.value[(values >> np.uint64(44)).astype(np.int64)]))[: prefix(len(values), percent)]
                         keys += [(k, 0) for k in (values[order] >> np.uint64(1)).tolist()]
-                out.append((doc_id, vertex, len(values), [k for k, _ in keys], [c for _, c in keys]))
-            yield pd.DataFrame(out, columns=["doc_id", "vertex", "n", "keys", "subsets"]).astype({"doc_id": "Int64"})
+                out.append((doc_id, vertex, len(values), [k for k, _ in keys], [c for _, c in keys], bitmap(values) if keys else None))
+            yield pd.DataFrame(out, columns=["doc_id", "vertex", "n", "keys", "subsets", "bits"]).astype({"doc_id": "Int64"})
 
     return docs.mapInPandas(run, ROWS)
 
@@ -213,37 +242,53 @@ def _fits(a: str, b: str, percent: int):
     return size & ((F.col("subset") == 0) | (F.col("subset") * (100 + percent) >= percent * (x + y)))
 
 
+def _possible(percent: int):
+    """Whether sets a and b can link by what their bitmaps say (a_n, a_bits, b_n, b_bits)."""
+    # of two sizes the longer bitmap is folded to the shorter one's length
+    fold = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, cast(size({x}) / 2 as int)), slice({x}, cast(size({x}) / 2 as int) + 1, cast(size({x}) / 2 as int)), (p, q) -> p | q), {x})"
+    alone = lambda x, y: f"aggregate(zip_with({fold(x, y)}, {fold(y, x)}, (p, q) -> bit_count(p & ~q)), 0, (s, v) -> s + v)"
+    need = f"({percent} * (cast(a_n as long) + b_n))"
+    return F.expr(f"({100 + percent} * (a_n - {alone('a_bits', 'b_bits')}) >= {need}) and ({100 + percent} * (b_n - {alone('b_bits', 'a_bits')}) >= {need})")
+
+
+def _owned(signs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, name: str) -> DataFrame:
+    """vertex, text of the vertices in pairs, of one document each."""
+    ends = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
+    owners = signs.join(ends, "vertex", "left_semi").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    return written(_texts(rows, owners, words), name)
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sketch, histogram = counted(rows, words)
     signs = written(signed(rows, words, percent, sketch, boundary(histogram, percent)), "signatures")
+    marks = signs.where("bits is not null").select("vertex", "n", "bits").dropDuplicates(["vertex"])
+    marked = lambda p: marks.toDF(p, f"{p}_n", f"{p}_bits")
 
     keyed = signs.where("size(keys) > 0").select("vertex", "n", F.explode(F.arrays_zip("keys", "subsets")).alias("k")).select("vertex", "n", F.col("k.keys").alias("key"), F.col("k.subsets").alias("subset"))
     ends = keyed.groupBy("key", "subset").agg(F.min(F.struct("vertex", "n")).alias("lo"), F.max(F.struct("vertex", "n")).alias("hi")).where("lo.vertex <> hi.vertex")
     lists = written(keyed.join(ends, ["key", "subset"]).select("key", "subset", "vertex", "n", F.col("lo.vertex").alias("lo"), F.col("lo.n").alias("lo_n"), F.col("hi.vertex").alias("hi"), F.col("hi.n").alias("hi_n")), "lists")
 
+    # each member with the smallest and the largest of its list
     v = lists.select("subset", "vertex", F.col("n").alias("v_n"), F.explode(F.array(F.struct(F.col("lo").alias("w"), F.col("lo_n").alias("w_n")), F.struct(F.col("hi").alias("w"), F.col("hi_n").alias("w_n")))).alias("e"))
     v = v.select("subset", "vertex", "v_n", F.col("e.w").alias("w"), F.col("e.w_n").alias("w_n")).where(F.col("vertex") != F.col("w")).where(_fits("v", "w", percent))
-    first = written(v.select(F.least("vertex", "w").alias("a"), F.greatest("vertex", "w").alias("b")).distinct(), "pairs")
-
-    # texts of the vertices on lists, one document each
-    owners = signs.join(lists.select("vertex").distinct(), "vertex", "left_semi").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    texts = written(_texts(rows, owners, words), "texts")
-    links = written(verified(first, texts, words, percent), "links")
+    star = v.select(F.least("vertex", "w").alias("a"), F.greatest("vertex", "w").alias("b")).distinct()
+    first = written(star.join(marked("a"), "a").join(marked("b"), "b").where(_possible(percent)).select("a", "b"), "pairs")
+    links = written(verified(first, _owned(signs, rows, first, words, "texts"), words, percent), "links")
     label = components(links)
 
     # what lists still hold in several components
     here = lists.select("key", "subset", "vertex", "n").distinct().join(label.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     open_keys = here.groupBy("key", "subset").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("key", "subset")
-    left = here.join(open_keys, ["key", "subset"])
-    open_lists = written(left, "open")
-    x = open_lists.select("key", "subset", F.col("vertex").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-    y = open_lists.select("key", "subset", F.col("vertex").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
-    more = x.join(y, ["key", "subset"]).where("a < b and a_c <> b_c").where(_fits("a", "b", percent)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    again = written(verified(more, texts, words, percent), "links")
-    label = components(links.union(again))
+    still = written(here.join(open_keys, ["key", "subset"]).join(marks.select("vertex", "bits"), "vertex"), "open")
+    side = lambda p: still.select("key", "subset", F.col("vertex").alias(p), F.col("n").alias(f"{p}_n"), F.col("component").alias(f"{p}_c"), F.col("bits").alias(f"{p}_bits"))
+    across = F.expr("a < b and a_c <> b_c") & _fits("a", "b", percent) & _possible(percent)
+    more = written(side("a").join(side("b"), ["key", "subset"]).where(across).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        again = written(verified(more, _owned(signs, rows, more, words, "texts"), words, percent), "links")
+        label = components(links.union(again))
 
     vertices = signs.where("n > 0").groupBy("vertex").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     least = vertices.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -258,7 +303,7 @@ def _texts(rows: DataFrame, owners: DataFrame, words: int) -> DataFrame:
     def run(frames):
         shingler = Shingler(words)
         for frame in frames:
-            same = [signature(shingler.of(t)) == v for t, v in zip(frame["text"], frame["vertex"])]
+            same = [signature(x) == v for x, v in zip(shingler.sets(frame["text"].tolist()), frame["vertex"])]
             yield frame.loc[same, ["vertex", "text"]]
 
     return rows.join(owners, "doc_id").select("vertex", "text").mapInPandas(run, "vertex long, text string").dropDuplicates(["vertex"])
