@@ -88,7 +88,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 def fit(rows: pd.DataFrame) -> QualityModel:
     """``rows``: text, label, weight."""
-    rows = rows[rows["text"].fillna("").str.len() > 0].reset_index(drop=True)
+    rows = rows[rows["text"].fillna("").astype(str).str.len() > 0].reset_index(drop=True)
     if rows["label"].nunique() < 2:
         return QualityModel(b"", b"", [], float(rows["label"].mean()) if len(rows) else 0.5)
     prior = float(np.average(rows["label"], weights=rows["weight"]))

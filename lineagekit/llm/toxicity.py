@@ -100,7 +100,7 @@ def _candidates(texts: list[str], labels: np.ndarray) -> list[str]:
 
 def fit(rows: pd.DataFrame, steps: int = 250, ridge: float = 2e-4) -> ToxicityModel:
     """``rows``: text, label, weight."""
-    rows = rows[rows["text"].fillna("").str.len() > 0].reset_index(drop=True)
+    rows = rows[rows["text"].fillna("").astype(str).str.len() > 0].reset_index(drop=True)
     y = rows["label"].to_numpy(float)
     if rows["label"].nunique() < 2:
         return ToxicityModel({}, -800.0)
