@@ -103,14 +103,17 @@ def synonym_match(a: DataFrame, b: DataFrame, synonyms: DataFrame, config: Match
 def similar_sets(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(x, y, similarity), x < y, of rows (id, grams) with set Dice of at least ``threshold``.
 
-    Partners share an element among the rarest of each side (prefix filter by document frequency),
-    so frequent elements make no candidates; sizes must fit, and Dice decides.
+    Partners of two elements or more share two, and so share a pair among the rarest elements of each
+    side (prefix filter by document frequency). Pairs are far rarer than elements, so frequent
+    elements make few candidates; sizes must fit, and Dice decides.
     """
     each = rows.select("id", F.explode(F.array_distinct("grams")).alias("g"))
     frequency = each.groupBy("g").agg(F.count("*").alias("df"))
     ordered = each.join(frequency, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
     least = F.ceil(F.size("o") * (threshold / (2 - threshold)) - 1e-9)
-    prefix = ordered.select("id", F.transform("o", lambda s: s["g"]).alias("s"), least.cast("int").alias("need")).withColumn("p", F.slice("s", 1, F.size("s") - F.col("need") + 1))
+    prefix = ordered.select("id", F.transform("o", lambda s: s["g"]).alias("s"), least.cast("int").alias("need")).withColumn("p", F.slice("s", 1, F.size("s") - F.col("need") + 2))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.transform(F.slice("p", i + 1, F.size("p")), lambda y: F.concat(F.element_at("p", i), F.lit(T.NUL), y))))
+    prefix = prefix.withColumn("p", F.when(F.size("s") == 1, F.col("s")).otherwise(two))
     keys = prefix.select("id", F.size("s").alias("n"), F.explode("p").alias("g"))
     x, y = keys.toDF("x", "x_n", "g"), keys.toDF("y", "y_n", "g")
     fits = F.least("x_n", "y_n") * (2 - threshold) >= F.greatest("x_n", "y_n") * threshold - 1e-9
