@@ -11,9 +11,12 @@ sequence; none: empty). Two documents link when ``percent`` x union <= 100 x int
 3. Equal sets are one vertex. Of each list of keys, members pair with the list's smallest and
    largest vertex first. Pairs whose bitmaps show too many elements of one set alone are no links
    (an exact bound); the others are verified on whole texts and give components.
-4. Lists whose members are still in several components pair those members across components,
-   which verification decides. Pairs inside a component are not needed for it, so a large group of
-   near copies costs as many pairs as it has members, and no link between components is lost.
+4. Lists of up to three members are complete then. Longer ones whose members are in several
+   components pair these members with pivots outside their component, which a hash chooses for each
+   key and round: a near copy meets other pivots on each of its lists, in pairs linear in the lists.
+5. Lists that are still in several components pair their members across components, where bitmaps
+   let a link seem possible, and verification decides. Pairs inside a component are not needed for
+   it, and no link between components is lost, however many rounds came before.
 
 Result: one row per input row, its component is the smallest id reachable by links. Null and empty
 texts have 0 shingles and link with nothing. A null id never is the smallest; a row with a null id
@@ -38,6 +41,10 @@ from pyspark.sql import functions as F
 from .common import components, prepare, table, written
 
 SKETCH, CHUNKS, SMALLEST_LARGE, MOST_SUBSETS = 1 << 20, 32, 24, 5000
+#: Rounds of pivots, and pivots of each list in a round. They only spare pairs of the last step.
+ROUNDS, PIVOTS = 2, 2
+#: Bitmaps have 8 bits an element up to this size, beyond it at least two.
+FINE_BITS = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ROWS = "doc_id long, vertex long, n int, keys array<long>, subsets array<int>, bits array<long>"
 
@@ -95,12 +102,14 @@ class Shingler:
 
 
 def bitmap(values: np.ndarray) -> list[int]:
-    """Hashed elements of a set as bits of 64-bit numbers: at least two bits an element, a power of two in all.
+    """Hashed elements of a set as bits of 64-bit numbers: 8 bits an element for sets of up to FINE_BITS / 8,
+    at least two for others; a power of two in all, so sizes of sets that can link differ by one step at most.
 
     A bit that only one of two sets has stands for an element that only that set has, which bounds
     their intersection from above.
     """
-    size = max(64, 1 << max(1, 2 * len(values) - 1).bit_length())
+    power = lambda bits: max(64, 1 << max(1, bits - 1).bit_length())
+    size = max(min(power(8 * len(values)), FINE_BITS), power(2 * len(values)))
     bits = np.zeros(size, dtype=np.uint8)
     bits[(values & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view("<i8").tolist()
@@ -258,6 +267,19 @@ def _owned(signs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, name
     return written(_texts(rows, owners, words), name)
 
 
+def _open(lists: DataFrame, label: DataFrame, r: int) -> tuple[DataFrame, DataFrame]:
+    """Members of lists with their components; of lists that hold several components key, subset and pivots."""
+    here = lists.join(label.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    chosen = [F.min(F.struct(F.xxhash64("vertex", "key", F.lit(PIVOTS * r + i)).alias("h"), "vertex", "n", "component")) for i in range(PIVOTS)]
+    heads = here.groupBy("key", "subset").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.array(*chosen).alias("pivots"))
+    return here, heads.where("l <> h").select("key", "subset", "pivots")
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what ``label`` has joined and of more links."""
+    return components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row."""
     prepare(docs.sparkSession)
@@ -268,8 +290,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = lambda p: marks.toDF(p, f"{p}_n", f"{p}_bits")
 
     keyed = signs.where("size(keys) > 0").select("vertex", "n", F.explode(F.arrays_zip("keys", "subsets")).alias("k")).select("vertex", "n", F.col("k.keys").alias("key"), F.col("k.subsets").alias("subset"))
-    ends = keyed.groupBy("key", "subset").agg(F.min(F.struct("vertex", "n")).alias("lo"), F.max(F.struct("vertex", "n")).alias("hi")).where("lo.vertex <> hi.vertex")
-    lists = written(keyed.join(ends, ["key", "subset"]).select("key", "subset", "vertex", "n", F.col("lo.vertex").alias("lo"), F.col("lo.n").alias("lo_n"), F.col("hi.vertex").alias("hi"), F.col("hi.n").alias("hi_n")), "lists")
+    ends = keyed.groupBy("key", "subset").agg(F.min(F.struct("vertex", "n")).alias("lo"), F.max(F.struct("vertex", "n")).alias("hi"), F.count("*").alias("members")).where("lo.vertex <> hi.vertex")
+    lists = written(keyed.join(ends, ["key", "subset"]).select("key", "subset", "vertex", "n", "members", F.col("lo.vertex").alias("lo"), F.col("lo.n").alias("lo_n"), F.col("hi.vertex").alias("hi"), F.col("hi.n").alias("hi_n")), "lists")
 
     # each member with the smallest and the largest of its list
     v = lists.select("subset", "vertex", F.col("n").alias("v_n"), F.explode(F.array(F.struct(F.col("lo").alias("w"), F.col("lo_n").alias("w_n")), F.struct(F.col("hi").alias("w"), F.col("hi_n").alias("w_n")))).alias("e"))
@@ -279,16 +301,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = written(verified(first, _owned(signs, rows, first, words, "texts"), words, percent), "links")
     label = components(links)
 
+    # pivots for what longer lists hold in several components
+    longer = written(lists.where("members > 3").select("key", "subset", "vertex", "n").distinct(), "longer")
+    fine = written(marks.join(longer.select("vertex").distinct(), "vertex", "left_semi"), "bitmaps")
+    marked = lambda p: fine.toDF(p, f"{p}_n", f"{p}_bits")
+    done = first
+    for r in range(ROUNDS):
+        here, heads = _open(longer, label, r)
+        e = here.join(heads, ["key", "subset"]).select("subset", "vertex", F.col("n").alias("v_n"), "component", F.explode("pivots").alias("p"))
+        e = e.where("component <> p.component").select("subset", "vertex", "v_n", F.col("p.vertex").alias("w"), F.col("p.n").alias("w_n")).where(_fits("v", "w", percent))
+        e = e.select(F.least("vertex", "w").alias("a"), F.greatest("vertex", "w").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        pairs = written(e.join(marked("a"), "a").join(marked("b"), "b").where(_possible(percent)).select("a", "b"), "pairs")
+        if pairs.isEmpty():
+            break
+        label, done = _merged(label, verified(pairs, _owned(signs, rows, pairs, words, "texts"), words, percent)), done.union(pairs)
+
     # what lists still hold in several components
-    here = lists.select("key", "subset", "vertex", "n").distinct().join(label.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    open_keys = here.groupBy("key", "subset").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("key", "subset")
-    still = written(here.join(open_keys, ["key", "subset"]).join(marks.select("vertex", "bits"), "vertex"), "open")
+    here, heads = _open(longer, label, ROUNDS)
+    still = written(here.join(heads.select("key", "subset"), ["key", "subset"]).join(fine.select("vertex", "bits"), "vertex"), "open")
     side = lambda p: still.select("key", "subset", F.col("vertex").alias(p), F.col("n").alias(f"{p}_n"), F.col("component").alias(f"{p}_c"), F.col("bits").alias(f"{p}_bits"))
     across = F.expr("a < b and a_c <> b_c") & _fits("a", "b", percent) & _possible(percent)
-    more = written(side("a").join(side("b"), ["key", "subset"]).where(across).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    more = written(side("a").join(side("b"), ["key", "subset"]).where(across).select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        again = written(verified(more, _owned(signs, rows, more, words, "texts"), words, percent), "links")
-        label = components(links.union(again))
+        label = _merged(label, verified(more, _owned(signs, rows, more, words, "texts"), words, percent))
 
     vertices = signs.where("n > 0").groupBy("vertex").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     least = vertices.groupBy("component").agg(F.min("least").alias("component_id"))
