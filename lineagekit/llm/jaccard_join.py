@@ -29,6 +29,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,8 @@ SKETCH, CHUNKS, SMALLEST_LARGE, MOST_SUBSETS = 1 << 20, 32, 24, 5000
 ROUNDS, PIVOTS = 2, 2
 #: Bitmaps have 8 bits an element up to this size, beyond it at least two.
 FINE_BITS = 4096
+#: Characters of texts whose words a task holds at once; a longer text comes alone.
+CHARS = 1 << 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ROWS = "doc_id long, vertex long, n int, keys array<long>, subsets array<int>, bits array<long>"
 
@@ -57,6 +60,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of about CHARS characters of text."""
+    for frame in frames:
+        upto = np.cumsum([len(t) for t in frame["text"]], dtype=np.int64) // CHARS
+        for _, part in frame.groupby(upto, sort=False):
+            yield part
+
+
 class Hashes(dict):
     """Hashes of words; hits cost a dictionary lookup."""
 
@@ -164,7 +175,7 @@ def counted(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]]:
 
     def count(frames):
         shingler, sketch, sizes = Shingler(n), np.zeros(SKETCH, dtype=np.int64), np.zeros(SMALLEST_LARGE, dtype=np.int64)
-        for frame in frames:
+        for frame in bounded(frames):
             sets = shingler.sets(frame["text"].tolist())
             if sets:
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
@@ -198,7 +209,7 @@ def signed(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, small: int
 
     def run(frames):
         shingler, seen = Shingler(n), set()
-        for frame in frames:
+        for frame in bounded(frames):
             out = []
             for doc_id, values in zip(frame["doc_id"].astype("Int64"), shingler.sets(frame["text"].tolist())):
                 vertex = signature(values)
@@ -337,7 +348,7 @@ def _texts(rows: DataFrame, owners: DataFrame, words: int) -> DataFrame:
 
     def run(frames):
         shingler = Shingler(words)
-        for frame in frames:
+        for frame in bounded(frames):
             same = [signature(x) == v for x, v in zip(shingler.sets(frame["text"].tolist()), frame["vertex"])]
             yield frame.loc[same, ["vertex", "text"]]
 

@@ -313,6 +313,33 @@ def test_jaccard_join_small_sets(spark):
         assert got == expected_components(rows, words, percent)
 
 
+def test_jaccard_join_loose_group(spark):
+    """Near copies of one text at similarities around the threshold, chains among them, on long lists."""
+    r, words, percent = random.Random(5), 2, 70
+    base, rows = prose(r, 60).split(), []
+    for i in range(70):
+        text = list(base)
+        for at in r.sample(range(60), r.randrange(1, 7)):
+            text[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(text)))
+    long = prose(r, 140).split()
+    rows += [(100 + i, " ".join(long[2 * i : 2 * i + 60])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_join(df, words=words, percent=percent).collect()}
+    sets = {}
+    for i, text in rows:
+        w = text.lower().split()
+        sets[i] = {tuple(w[j : j + words]) for j in range(len(w) - words + 1)}
+    want = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and want[a] != want[b]:
+                old, new = max(want[a], want[b]), min(want[a], want[b])
+                want = {i: new if c == old else c for i, c in want.items()}
+    assert got == want
+    assert 2 < len(set(want.values())) < 70
+
+
 def test_jaccard_join_empty(empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
