@@ -241,6 +241,27 @@ def test_lm_scoring(docs, corpus, empty):
     assert lm_scoring.lm_scoring(empty).count() == 0
 
 
+def test_lm_scoring_learns_from_every_training_row(spark):
+    """What only texts beyond the first sample's rows and lengths hold is learned; the order of words tells."""
+    r, pair = random.Random(3), ["kite", "lamp"]
+    mixed = lambda n: " ".join(r.choice(pair) for _ in range(n))
+    # the ids of other texts fill the sample, and what has the pair is over CHARS besides
+    rows = [(i, prose(r, 20)) for i in range(1500)] + [(i, " ".join(pair * 2000)) for i in range(2000, 2040)]
+    held = [i for i in range(3000, 3200) if crc(i) % 5 == 1][:2]
+    rows += [(held[0], " ".join(pair * 150)), (held[1], mixed(300))]
+    got = {x.doc_id: x.score for x in lm_scoring.lm_scoring(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[held[0]] > got[held[1]] + 60
+
+
+def test_ids_in_no_context_have_their_class_mean():
+    m = lm_scoring.Attention.new(np.arange(400.0), np.arange(400) % 2 == 0, end=399)
+    seen = np.where(np.arange(400) % 3 == 0, 0, 1)
+    lm_scoring.fill(m, seen)
+    k = int(np.flatnonzero((seen == 0) & (m.class_of >= lm_scoring.SINGLE))[0])
+    same = (seen > 0) & (m.class_of == m.class_of[k])
+    assert np.allclose(m.p["e"][k], m.p["e"][same].mean(axis=0) if same.any() else 0, atol=1e-5)
+
+
 def test_attention_is_causal_and_normalised():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 50, 40).astype(float)
