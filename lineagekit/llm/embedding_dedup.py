@@ -11,8 +11,9 @@
 4. What is found is verified by cosine in double precision. A pair counts in the first shard that both
    of its ends share, so links are counted in shards; only one edge a vertex leaves a shard for the
    components.
-5. Recall is audited against brute force on sampled vertices; below ``target`` the shards overlap
-   more and the search starts anew.
+5. The mean recall a vertex is audited against brute force at every size, on vertices sampled from all
+   and from those with few links; below ``target`` the shards overlap more and the search starts anew.
+   If it stays below, every pair of blocks is compared, which is exact and quadratic.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id,
 link with nothing: n_links 0, component_id is their own id (null for a null id), which they keep.
@@ -225,10 +226,24 @@ def _sharded(vertices: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
 
 
 def audit(vertices: DataFrame, links: DataFrame, threshold: float, queries: int = 200) -> float:
-    """Share of the links of sampled vertices, found by brute force in blocks, that ``links`` has."""
-    sample = vertices.orderBy(F.xxhash64("vertex")).limit(queries).toPandas()
+    """Mean recall of sampled vertices: of each that has links by brute force, the share that ``links`` has.
+
+    Half are drawn from all vertices, half from those that ``links`` gives no more links than the median.
+    """
+    known = vertices.join(links, "vertex", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    drawn = known.orderBy(F.xxhash64("vertex")).limit(queries // 2)
+    median = known.agg(F.percentile_approx("links", 0.5)).first()[0]
+    few = known.where(F.col("links") <= F.lit(median or 0)).orderBy(F.xxhash64("vertex", F.lit(1))).limit(queries // 2)
+    sample = drawn.union(few).dropDuplicates(["vertex"]).toPandas()
     if not len(sample):
         return 1.0
+    true = sample[["vertex", "links"]].merge(_exact(vertices, sample, threshold), on="vertex")
+    true = true[true["true"] > 0]
+    return float(np.minimum(1, true["links"] / true["true"]).mean()) if len(true) else 1.0
+
+
+def _exact(vertices: DataFrame, sample: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """vertex, true: links of a bounded number of vertices by brute force in blocks."""
     ids, q = sample["vertex"].to_numpy(), np.stack(sample["vector"].to_numpy())
     shared = vertices.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
 
@@ -243,9 +258,31 @@ def audit(vertices: DataFrame, links: DataFrame, threshold: float, queries: int
                 total += hit @ frame["rows"].to_numpy()
         yield pd.DataFrame({"vertex": names, "true": total})
 
-    true = vertices.mapInPandas(count, "vertex long, true long").groupBy("vertex").agg(F.sum("true").alias("true"))
-    got = F.broadcast(true).join(links, "vertex", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return got["f"] / got["t"] if got["t"] else 1.0
+    return vertices.mapInPandas(count, "vertex long, true long").groupBy("vertex").agg(F.sum("true").alias("true")).toPandas()
+
+
+def _every_pair(vertices: DataFrame, threshold: float) -> DataFrame:
+    """vertex, links, root by an exact search: every pair of blocks of at most about ``CAP`` vertices is compared."""
+    blocks = -(-vertices.count() // CAP)
+    each = vertices.withColumn("part", F.pmod(F.xxhash64("vertex"), F.lit(blocks)).cast("int"))
+    each = each.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = each.select("vertex", "rows", "vector", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("vertex", ignore_index=True)
+        x, part, n = np.stack(frame["vector"].to_numpy()), frame["part"].to_numpy(), len(frame)
+        norm = np.linalg.norm(x, axis=1)
+        unit, within = x / norm[:, None], frame["i"].iloc[0] == frame["j"].iloc[0]
+        near = np.triu(unit @ unit.T >= threshold - 1e-9, 1)
+        i, j = np.nonzero(near if within else near & (part[:, None] != part[None, :]))
+        exact = np.concatenate([cosines(x[a], x[b], norm[a], norm[b]) >= threshold for a, b in zip(*(np.array_split(v, -(-max(1, len(i)) // 100_000)) for v in (i, j)))])
+        i, j = i[exact], j[exact]
+        rows, links = frame["rows"].to_numpy(), np.zeros(n, dtype=np.int64)
+        np.add.at(links, i, rows[j])
+        np.add.at(links, j, rows[i])
+        return pd.DataFrame({"vertex": frame["vertex"], "links": links, "root": frame["vertex"].to_numpy()[roots(n, i, j)]})
+
+    return written(pairs.groupBy("i", "j").applyInPandas(compare, "vertex long, links long, root long"), "found")
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = 0.9, target: float = 0.97) -> DataFrame:
@@ -287,9 +324,11 @@ def _linked(vertices: DataFrame, threshold: float, target: float) -> DataFrame:
         united = lists.groupBy("vertex").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
         joined = nodes.join(united, "vertex")
         found = written(joined.groupBy(*key).applyInPandas(_search_shard(threshold), "vertex long, links long, root long"), "found")
-        if overlap >= len(c) or audit(vertices, found.groupBy("vertex").agg(F.sum("links").alias("links")), threshold) >= target:
-            break
-    return found
+        if audit(vertices, found.groupBy("vertex").agg(F.sum("links").alias("links")), threshold) >= target:
+            return found
+        if overlap >= len(c):
+            break  # every vertex is in every shard
+    return _every_pair(vertices, threshold)
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

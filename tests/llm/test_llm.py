@@ -495,3 +495,23 @@ def test_pipeline_stages(spark, docs, corpus, graded, tmp_path):
             assert sorted(i for i in after.doc_id if not pd.isna(i)) == sorted(i for i, (_, c) in want.items() if i == c)
         both = out
     assert corpus_pipeline.toxicity(spark, texts.limit(0), str(tmp_path)).count() == 0
+
+
+# -- 4: recall --------------------------------------------------------------------------------------
+def test_embedding_audit_is_by_vertex_and_the_rest_is_exact(spark, monkeypatch):
+    rng, rows = np.random.default_rng(4), []
+    middle = rng.normal(size=16)
+    rows += [middle + rng.normal(size=16) * 0.05 for _ in range(100)]
+    for _ in range(100):
+        x = rng.normal(size=16)
+        rows += [x, x + rng.normal(size=16) * 0.02]
+    unit = np.stack(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    true = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    vertices = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(rows)], "vertex long, rows long, vector array<double>")
+    # all links of the group are found, none of the pairs
+    some = spark.createDataFrame([(i, int(true[i])) for i in range(100)], "vertex long, links long")
+    assert embedding_dedup.audit(vertices, some, 0.9, queries=300) < 0.7
+    # a search that finds nothing does not pass, also where there is a single shard
+    monkeypatch.setattr(embedding_dedup, "_search_shard", lambda t: lambda f: pd.DataFrame({"vertex": f["vertex"], "links": 0, "root": f["vertex"]}))
+    found = embedding_dedup.embedding_dedup(vertices, "vertex", "vector").collect()
+    assert {r.vec_id: r.n_links for r in found} == dict(enumerate(true.tolist()))
