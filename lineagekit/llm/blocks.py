@@ -1,103 +1,130 @@
-"""A distinct-word table for whole corpora without a row for every word occurrence.
+"""A distinct-word table for whole corpora: words are split once and numbered in blocks.
 
-Documents are dealt into blocks of about ``block_chars`` characters by a hash of their row. Each
-block gives its distinct words, packed by word bucket; each bucket sees every distinct word of the
-corpus once and answers for it; the answers go back to the blocks and meet the documents there, by
-position. What is shuffled is one text pass (its exchange serves both uses) and, for each block,
-its distinct words. A word that is in every document has one entry a block, so no key is hot.
+A task lays its rows into blocks of about ``block_chars`` characters, as they come; a block is one row:
+its distinct words, what is counted of each, and the texts as numbers of words, packed. From there on
+Spark works on rows of (block, position, word), one for each distinct word of a block: an aggregate
+gives the table of the corpus's distinct words, a join takes what is known of a word back to the
+blocks, and a cogroup puts it beside the texts. All of that is in proportion to the data; a word that
+is in every document has one row a block, so no key is hot, and no shuffle deals out texts.
+
+A block's number is the task's partition and a count in it. A text over ``block_chars`` is a block of
+its own; a text is never cut. Null texts count as empty. An empty table gives no blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-import xxhash
+import numpy as np
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, written
+from .common import prepare
+
+#: ``ids``, ``held`` and ``lengths`` (words) by text; ``words`` and ``counts`` (in texts not held out) by word.
+BLOCK = "block long, ids array<long>, held array<boolean>, lengths array<int>, words array<binary>, counts array<long>, places binary"
+BLOCK_CHARS = 4 << 20
+
+
+def packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+
 
-PACKED = "block long, bucket int, words binary, notes binary"
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
 
 
-def pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+class Numbers(dict):
+    """Numbers of things in the order of their first sight."""
 
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        return n
 
-def unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
 
+def _block(number: int, ids: list, held: list[bool], lists: list[list]) -> pa.RecordBatch:
+    numbers = Numbers()
+    places = [np.fromiter(map(numbers.__getitem__, words), dtype="<u4", count=len(words)) for words in lists]
+    flat = np.concatenate(places) if places else np.empty(0, "<u4")
+    lengths = np.array([len(p) for p in places], dtype=np.int32)
+    counts = np.bincount(flat[np.repeat(~np.array(held, dtype=bool), lengths)], minlength=len(numbers))
+    words = [w if isinstance(w, bytes) else w.encode() for w in numbers]
+    row = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32()))]
+    row += [pa.array([words], pa.list_(pa.binary())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64())), pa.array([packed(flat)], pa.binary())]
+    return pa.RecordBatch.from_arrays(row, ["block", "ids", "held", "lengths", "words", "counts", "places"])
 
-def bucketed(words: dict[bytes, int], buckets: int) -> dict[int, list[tuple[bytes, int]]]:
-    """Sorted (word, number) lists by bucket."""
-    lists: dict[int, list[tuple[bytes, int]]] = {}
-    for pair in words.items():
-        lists.setdefault(xxhash.xxh32_intdigest(pair[0]) % buckets, []).append(pair)
-    for pairs in lists.values():
-        pairs.sort()
-    return lists
 
+def blocks(rows: DataFrame, split: Callable[[str], list], block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """BLOCK rows of ``rows`` (doc_id long, text string, held boolean); ``split`` gives a text's words, str or bytes."""
+    prepare(rows.sparkSession)
 
-def blocked(docs: DataFrame, text_col: str, block_chars: int) -> tuple[DataFrame, int]:
-    """``docs`` with a column ``block``, dealt by it; and the number of blocks."""
-    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    n = max(partitions(docs.sparkSession), -(-chars // block_chars))
-    return docs.withColumn("block", F.pmod(F.xxhash64(*docs.columns), F.lit(n))).repartition(n, "block"), n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, held, lists, chars = TaskContext.get().partitionId() << 32, [], [], [], 0
+        for batch in batches:
+            for doc_id, text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if lists and chars + len(text or "") > block_chars:
+                    yield _block(number, ids, held, lists)
+                    number, ids, held, lists, chars = number + 1, [], [], [], 0
+                ids.append(doc_id)
+                held.append(bool(out))
+                lists.append(split(text or ""))
+                chars += len(text or "")
+        if lists:
+            yield _block(number, ids, held, lists)
 
+    return rows.select("doc_id", "text", "held").mapInArrow(run, BLOCK)
 
-class Exchange:
-    """The distinct words of blocks, and what their buckets answer.
 
-    ``words_of`` gives a block's distinct words (UTF-8, no line feeds) with a number each, which
-    ``notes_of`` packs. ``answer`` gets, for one bucket, the word lists and notes of all blocks; it
-    gives a reply for each list and statistics of the bucket. Answers are written once.
+def word_rows(table: DataFrame) -> DataFrame:
+    """block, place, word, count: a row for each distinct word of a block.
+
+    It reads whole rows of ``table``, so that an exchange of them serves this and :func:`returned`.
     """
 
-    def __init__(
-        self,
-        docs: DataFrame,
-        text_col: str,
-        words_of: Callable[[pd.DataFrame], dict[bytes, int]],
-        answer: Callable[[list[list[bytes]], list[bytes]], tuple[list[bytes], bytes]],
-        notes_of: Callable[[list[int]], bytes] = lambda values: b"",
-        block_chars: int = 8 << 20,
-        keep: bool = True,
-    ):
-        prepare(docs.sparkSession)
-        self.dealt, n = blocked(docs, text_col, block_chars)
-        buckets = max(partitions(docs.sparkSession), n // 2)
-
-        self.words_of, self.buckets = words_of, buckets
-
-        def distinct(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            lists = bucketed(words_of(frame), buckets)
-            out = [(key[0], bucket, pack(b"\n".join(w for w, _ in pairs)), pack(notes_of([v for _, v in pairs]))) for bucket, pairs in lists.items()]
-            return pd.DataFrame(out, columns=["block", "bucket", "words", "notes"])
-
-        def reply(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            replies, statistics = answer([unpack(w).split(b"\n") for w in frame["words"]], [unpack(x) for x in frame["notes"]])
-            return pd.DataFrame({"block": [*frame["block"], -1], "bucket": [key[0]] * (len(frame) + 1), "reply": [*map(pack, replies), statistics]})
-
-        packets = self.dealt.groupBy("block").applyInPandas(distinct, PACKED)
-        answers = packets.groupBy("bucket").applyInPandas(reply, "block long, bucket int, reply binary")
-        self.answers = written(answers, "answers") if keep else answers
-
-    def statistics(self) -> list[bytes]:
-        """One of each bucket."""
-        return [bytes(r["reply"]) for r in self.answers.where("block < 0").select("reply").collect()]
-
-    def applied(self, apply: Callable[[pd.DataFrame, list[tuple[list[bytes], bytes]]], pd.DataFrame], schema: str) -> DataFrame:
-        """Rows of ``apply(documents of a block, answers)``; an answer is (words, reply).
-
-        A block's words are listed again, in the same order, rather than sent back and forth.
-        """
-        words_of, buckets = self.words_of, self.buckets
-
-        def finish(key: tuple, rows: pd.DataFrame, packets: pd.DataFrame) -> pd.DataFrame:
-            lists = bucketed(words_of(rows), buckets)
-            return apply(rows, [([w for w, _ in lists.pop(bucket)], unpack(r)) for bucket, r in zip(packets["bucket"], packets["reply"])])
-
-        packets = self.answers.where("block >= 0")
-        return self.dealt.groupBy("block").cogroup(packets.groupBy("block")).applyInPandas(finish, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            for block, words, counts in zip(batch.column(names.index("block")), batch.column(names.index("words")), batch.column(names.index("counts"))):
+                n = len(words.values)
+                columns = [pa.repeat(block.as_py(), n).cast(pa.int64()), pa.array(np.arange(n, dtype=np.int32)), words.values, counts.values]
+                yield from pa.Table.from_arrays(columns, ["block", "place", "word", "count"]).to_batches(65536)
+
+    return table.mapInArrow(run, "block long, place int, word binary, count long")
+
+
+@dataclass
+class Block:
+    """A block's texts as numbers of words."""
+
+    number: int
+    ids: pa.Array
+    held: np.ndarray
+    lengths: np.ndarray
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> "Block":
+        """Of a table with one BLOCK row."""
+        one = {c: table.column(c).combine_chunks() for c in ("ids", "held", "lengths", "places")}
+        return cls(table.column("block")[0].as_py(), one["ids"].values, np.array(one["held"].values.to_pylist(), dtype=bool), one["lengths"].values.to_numpy().astype(np.int64), unpacked(one["places"][0].as_py(), "<u4"))
+
+    def ends(self) -> np.ndarray:
+        return np.cumsum(self.lengths)
+
+
+def returned(table: DataFrame, answers: DataFrame, apply: Callable[[Block, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Rows of ``apply(block, answers of the block in the order of place)``; ``answers`` have block and place."""
+
+    def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
+        return apply(Block.of(rows), found.sort_by("place"))
+
+    named = answers.select(F.col("block").alias("_block"), *(c for c in answers.columns if c != "block"))
+    return table.groupBy("block").cogroup(named.groupBy("_block")).applyInArrow(finish, schema)
+
+
+def by_block(table: DataFrame) -> DataFrame:
+    return table.repartition(F.col("block"))

@@ -1,9 +1,9 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Texts are normalised and split into words on Spark, each distinct word of the corpus is encoded once
-by the tokenizers library, the ids go back to the words' positions, and decoding looks each id up in
-the id-to-piece table of the vocabulary file (a file of proven size) and joins pieces by blanks, as a
-tokenizer without a decoder does.
+Texts are normalised and split into words once, in blocks (:mod:`blocks`). Spark's aggregate gives the
+distinct words of the corpus, each is encoded once by the tokenizers library, and a join takes its ids
+back to its positions. Decoding joins ids to the pieces of the vocabulary file (a table of proven size,
+which every task holds) and puts blanks between pieces, as a tokenizer without a decoder does.
 
 The tokenizer file must have a BPE model, a Split pre-tokenizer whose matches are the words, and no
 truncation, padding or decoder in use. Special tokens in a text are taken as such, as the library does.
@@ -19,12 +19,12 @@ import re
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Exchange
-from .common import table
+from .blocks import Block, blocks, by_block, returned, word_rows
+from .common import prepare, table
 
 ENCODED = "doc_id long, ids binary, decoded string"
 #: Texts of these characters are normalised and split by Python's own functions, which agree with the library there.
@@ -82,45 +82,37 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), decoded: one row per input row."""
-    path = tokenizer_path or default_path()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-    def words_of(frame: pd.DataFrame) -> dict[bytes, int]:
-        found: set[str] = set()
-        for text in frame["text"]:
-            found.update(tokenizer(path).words(text))
-        return {w.encode(): 0 for w in found}
-
-    def answer(lists: list[list[bytes]], notes: list[bytes]) -> tuple[list[bytes], bytes]:
-        distinct = list({w for words in lists for w in words})
-        ids = {}
-        for at in range(0, len(distinct), 20_000):
-            part = distinct[at : at + 20_000]
-            ids.update(zip(part, tokenizer(path).ids([w.decode() for w in part])))
-        out, width = [], tokenizer(path).width
-        for words in lists:
-            flat = [i for w in words for i in ids[w]]
-            out.append(np.array([len(ids[w]) for w in words], dtype="<u4").tobytes() + np.array(flat, dtype=width).tobytes())
-        return out, b""
-
-    def apply(frame: pd.DataFrame, answers) -> pd.DataFrame:
-        t, ids, text = tokenizer(path), {}, {}
-        for words, reply in answers:
-            names = [w.decode() for w in words]
-            ends = np.cumsum(np.frombuffer(reply, dtype="<u4", count=len(names)), dtype=np.int64)
-            flat = np.frombuffer(reply, dtype=t.width, offset=4 * len(names)).astype("<u4")
-            pieces = [t.pieces[i] for i in flat.tolist()]
-            start = 0
-            for w, end in zip(names, ends.tolist()):
-                ids[w], text[w] = flat[start:end].tobytes(), " ".join(pieces[start:end])
-                start = end
-        all_ids, decoded = [], []
-        for words in map(t.words, frame["text"]):
-            all_ids.append(b"".join(map(ids.__getitem__, words)))
-            decoded.append(" ".join(map(text.__getitem__, words)))
-        return pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "ids": all_ids, "decoded": decoded})
-
-    return Exchange(rows, "text", words_of, answer, keep=False).applied(apply, ENCODED)
+    spark, path = prepare(docs.sparkSession), tokenizer_path or default_path()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("held"))
+    # one exchange of the blocks serves the words' rows and the way back
+    dealt = by_block(blocks(rows, lambda text: tokenizer(path).words(text)))
+    words = word_rows(dealt).select("block", "place", "word")
+
+    def encode(batches):
+        for batch in batches:
+            found = tokenizer(path).ids([w.decode() for w in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["word", "ids"])
+
+    distinct = words.select("word").distinct().mapInArrow(encode, "word binary, ids array<int>")
+    answers = words.join(distinct, "word").select("block", "place", "ids")
+    pieces = spark.sparkContext.broadcast(tokenizer(path).pieces)  # the vocabulary: of the file's size
+
+    def apply(block: Block, found: pa.Table) -> pa.Table:
+        lists = found.column("ids").combine_chunks()
+        flat, cut = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+        coded = flat.astype("<u4").tobytes()
+        names = list(map(pieces.value.__getitem__, flat.tolist()))
+        ids = [coded[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        text = [" ".join(names[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        places, all_ids, decoded, start = block.places.tolist(), [], [], 0
+        for end in block.ends().tolist():
+            own = places[start:end]
+            all_ids.append(b"".join(map(ids.__getitem__, own)))
+            decoded.append(" ".join(map(text.__getitem__, own)))
+            start = end
+        return pa.Table.from_arrays([block.ids, pa.array(all_ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+
+    return returned(dealt, answers, apply, ENCODED)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
