@@ -27,7 +27,7 @@ from .common import prepare
 
 #: ``ids``, ``held`` and ``lengths`` (words) by text; ``words`` and ``counts`` (in texts not held out) by word.
 BLOCK = "block long, ids array<long>, held array<boolean>, lengths array<int>, words array<binary>, counts array<long>, places binary"
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 6 << 20
 
 
 def packed(values: np.ndarray) -> bytes:
