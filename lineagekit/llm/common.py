@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
@@ -59,6 +59,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def as_text(column: Column) -> Column:
+    """Ids on their way to pandas, where numbers beside nulls would lose digits beyond 2^53."""
+    return column.cast("long").cast("string")
+
+
+def integers(values: Iterable) -> pd.Series:
+    """Ids from texts, numbers and nulls, exact."""
+    return pd.Series([None if v is None or v is pd.NA or v != v else int(v) for v in values], dtype="Int64")
+
+
 class Forest:
     """Union-find over the edges that one task reads."""
 

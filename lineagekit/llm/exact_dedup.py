@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, table, written
+from .common import as_text, integers, partitions, prepare, table, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 RUN = "run_id long, digest binary, variant int, seq long, doc_id long, n_points long, lead boolean, norm binary, best_points long, best_id long, best_seq long, members long"
@@ -69,7 +69,8 @@ class Memtable:
             best = (*e["best"], e["members"]) if lead else (None,) * 4
             out.append((self.run_id, digest, variant, seq, doc_id, points, lead, e["norm"] if lead else None, best[0], best[1], best[2], best[3]))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in RUN.split(", ")])
-        return frame.astype({c: "Int64" for c in ("doc_id", "best_points", "best_id", "best_seq", "members")})
+        ids = {c: integers([r[i] for r in out]) for c, i in (("doc_id", 4), ("best_id", 9))}
+        return frame.assign(**ids).astype({c: "Int64" for c in ("best_points", "best_seq", "members")})
 
 
 def _memtables(digest_bytes: int, table_bytes: int):
@@ -77,7 +78,7 @@ def _memtables(digest_bytes: int, table_bytes: int):
         first = TaskContext.get().partitionId() << 32
         mem, flushed, seq = Memtable(first), 0, 0
         for frame in frames:
-            ids = frame["doc_id"].astype("Int64")
+            ids = integers(frame["doc_id"])
             for doc_id, text in zip(ids, frame["text"]):
                 norm = normalised(text)
                 mem.add(hashlib.sha256(norm).digest()[:digest_bytes], norm, None if doc_id is pd.NA else int(doc_id), len(text or ""), seq)
@@ -148,7 +149,7 @@ def _compact(frame: pd.DataFrame) -> pd.DataFrame:
     entries["word"] = np.array([int(k[:16] or "0", 16) for k in entries["key"]], dtype=np.uint64)
     entries["neg_points"] = -frame["best_points"].to_numpy(dtype=np.int64)
     entries["no_id"] = frame["best_id"].isna().to_numpy()
-    entries["best_id"] = frame["best_id"].astype("Int64").fillna(0).to_numpy(dtype=np.int64)
+    entries["best_id"] = integers(frame["best_id"]).fillna(0).to_numpy(dtype=np.int64)
     entries["best_seq"] = frame["best_seq"].to_numpy(dtype=np.int64)
     entries["members"] = frame["members"].to_numpy(dtype=np.int64)
     entries["runs"], entries["anchor_run"], entries["anchor_variant"] = 1, entries["run_id"], entries["variant"]
@@ -178,10 +179,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``text_sha256`` is the hex of the digest (so shorter then).
     """
     spark = prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(as_text(F.col(id_col)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     runs = written(rows.mapInPandas(_memtables(digest_bytes, table_bytes), RUN), "runs")
     entry = ["run_id", "digest", "variant"]
-    leads = runs.where("lead").select(*entry, "best_points", "best_id", "best_seq", "members")
+    leads = runs.where("lead").select(*entry, "best_points", as_text(F.col("best_id")).alias("best_id"), "best_seq", "members")
     ranges = max(partitions(spark), -(-leads.count() // range_entries))
     index = written(
         leads.withColumn("range", F.pmod(F.xxhash64("digest"), F.lit(ranges))).groupBy("range").applyInPandas(lambda f: _compact(f.drop(columns="range")), INDEX),

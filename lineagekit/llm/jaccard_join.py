@@ -49,7 +49,7 @@ FINE_BITS = 4096
 #: Characters of texts whose words a task holds at once; a longer text comes alone.
 CHARS = 1 << 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-ROWS = "doc_id long, vertex long, n int, keys array<long>, subsets array<int>, bits array<long>"
+ROWS = "doc_id string, vertex long, n int, keys array<long>, subsets array<int>, bits array<long>"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -211,7 +211,7 @@ def signed(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, small: int
         shingler, seen = Shingler(n), set()
         for frame in bounded(frames):
             out = []
-            for doc_id, values in zip(frame["doc_id"].astype("Int64"), shingler.sets(frame["text"].tolist())):
+            for doc_id, values in zip(frame["doc_id"], shingler.sets(frame["text"].tolist())):
                 vertex = signature(values)
                 keys: list[tuple[int, int]] = []
                 if vertex not in seen and len(values):
@@ -222,7 +222,7 @@ def signed(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, small: int
                         order = np.lexsort((values, shared.value[(values >> np.uint64(44)).astype(np.int64)]))[: prefix(len(values), percent)]
                         keys += [(k, 0) for k in (values[order] >> np.uint64(1)).tolist()]
                 out.append((doc_id, vertex, len(values), [k for k, _ in keys], [c for _, c in keys], bitmap(values) if keys else None))
-            yield pd.DataFrame(out, columns=["doc_id", "vertex", "n", "keys", "subsets", "bits"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "vertex", "n", "keys", "subsets", "bits"])
 
     return docs.mapInPandas(run, ROWS)
 

@@ -1,7 +1,7 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 Each document's ids (with an end id) are cut into whole windows of ``capacity`` and a rest, which is
-cut into pieces of at most ``piece`` ids. Pieces are dealt by a hash of their document into groups of
+cut into pieces of at most ``piece`` ids. Pieces are dealt by a hash of their row's number into groups of
 about ``group_windows`` windows. In a group, multiway differencing starts with one partial partition a
 piece (its length in one of k bins), again and again merges the two partial partitions of largest
 spread with their bins in opposite order, and ends with k near-equal windows, k being the least number
@@ -9,7 +9,7 @@ that could hold them. When a window exceeds the capacity, k rises by one and dif
 
 Windows are padded to ``capacity``, except those whose length is a power of two.
 Null and empty texts have the end id alone. Rows with a null id are packed like others. Repeated rows
-are separate documents (their pieces lie in one group). Documents of any length: whole windows need no
+are separate documents. Documents of any length: whole windows need no
 differencing. An empty table gives no rows.
 """
 
@@ -22,14 +22,15 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, table, written
+from .common import as_text, partitions, prepare, table, written
 
 CAPACITY, PIECE, GROUP_WINDOWS, END = 2048, 512, 48, 1
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long, window_tokens long, window_size long"
+PIECES = "doc_id string, row long, start long, length long, ids_crc32 long, doc_tokens long"
+PLACED = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long, window_tokens long, window_size long"
 #: Texts of these characters are split alike by both libraries (see the tests).
 PLAIN = re.compile("[^\x00-\x1b\x20-ɏ‐-‧€]")
 
@@ -144,7 +145,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def place(frame: pd.DataFrame, capacity: int, first: int) -> pd.DataFrame:
     """One group's pieces with their windows, numbered from ``first``."""
-    frame = frame.sort_values(["doc_id", "doc_tokens", "ids_crc32", "start"], ignore_index=True)
+    frame = frame.sort_values(["row", "start"], ignore_index=True)
     lengths = frame["length"].to_numpy()
     sequence, offset = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=np.int64)
     whole = np.flatnonzero(lengths == capacity)
@@ -161,15 +162,16 @@ def place(frame: pd.DataFrame, capacity: int, first: int) -> pd.DataFrame:
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, piece: int, path: str) -> DataFrame:
     def run(frames):
-        t = tokenizer(path)
+        t, row = tokenizer(path), TaskContext.get().partitionId() << 40
         for frame in frames:
             out = []
-            for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"]):
+            for doc_id, text in zip(frame["doc_id"], frame["text"]):
                 ids = np.append(t.ids(text), np.uint32(END)).astype("<u4")
-                out += [(doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids)) for start, n in cuts(len(ids), capacity, piece)]
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+                out += [(doc_id, row, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids)) for start, n in cuts(len(ids), capacity, piece)]
+                row += 1
+            yield pd.DataFrame(out, columns=["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(as_text(F.col(id_col)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInPandas(run, PIECES)
 
 
@@ -182,11 +184,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
     shift = 40  # windows of one group
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return place(frame.drop(columns="group"), capacity, int(key[0]) << shift)
+        return place(frame.drop(columns="group"), capacity, int(key[0]) << shift).drop(columns="row")
 
-    dealt = made.withColumn("group", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)).cast("long"))
+    dealt = made.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long"))
     dealt = dealt.repartition(min(groups, max(partitions(spark), groups // 16)), "group")
-    return dealt.groupBy("group").applyInPandas(run, PLACED).withColumnRenamed("sequence", "sequence_id")
+    return dealt.groupBy("group").applyInPandas(run, PLACED).withColumn("doc_id", F.col("doc_id").cast("long")).withColumnRenamed("sequence", "sequence_id")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from .labelled import held_out, sample
 ROWS, CHARS, FEATURES, LEAST_BAGS = 6000, 20_000, 3000, 6
 FOLDS, FOLD, THRESHOLD = 4, 2, 0.3
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+\Z")
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -145,12 +147,13 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    def run(frames):
-        for frame in frames:
-            got = [shared.value.document(t) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": [s for s, _ in got], "offending": [[{"start": a, "end": b, "probability": p} for a, b, p in o] for _, o in got]})
+    def run(batches):
+        for batch in batches:
+            got = [shared.value.document(t) for t in batch.column(1).to_pylist()]
+            offending = pa.array([[{"start": a, "end": b, "probability": p} for a, b, p in o] for _, o in got], SPANS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in got], pa.float64()), offending], ["doc_id", "score", "offending"])
 
-    return rows.mapInPandas(run, "doc_id long, score double, offending array<struct<start:int,end:int,probability:double>>")
+    return rows.mapInArrow(run, "doc_id long, score double, offending array<struct<start:int,end:int,probability:double>>")
 
 
 def model_of(docs: DataFrame, labels: DataFrame) -> ToxicityModel:

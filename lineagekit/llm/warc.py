@@ -166,7 +166,7 @@ def arc_to_warc(records: DataFrame) -> DataFrame:
     def run(frames):
         for frame in frames:
             out = pd.DataFrame([convert(r) for r in frame.to_dict("records")], columns=[c.split()[0] for c in WARC_PARTS.split(", ")])
-            yield out.astype({"source_id": "Int64"})
+            yield out.assign(source_id=integers(out["source_id"]))
 
     return records.mapInPandas(run, WARC_PARTS)
 
