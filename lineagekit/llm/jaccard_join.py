@@ -21,7 +21,8 @@ sequence; none: empty). Two documents link when ``percent`` x union <= 100 x int
 Result: one row per input row, its component is the smallest id reachable by links. Null and empty
 texts have 0 shingles and link with nothing. A null id never is the smallest; a row with a null id
 that links with nothing has a null component. Repeated rows are in one component. An empty table
-gives no rows. Shingles and sets are compared by 64-bit hashes.
+gives no rows. Sets are told apart by 128-bit hashes; of two sets the shingles are compared by 64-bit ones.
+A row with a null id links like others.
 """
 
 from __future__ import annotations
@@ -36,20 +37,21 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, prepare, table, written
+from .common import as_text, components, prepare, table, written
 
 SKETCH, CHUNKS, SMALLEST_LARGE, MOST_SUBSETS = 1 << 20, 32, 24, 5000
 #: Rounds of pivots, and pivots of each list in a round. They only spare pairs of the last step.
 ROUNDS, PIVOTS = 2, 2
+MOST_SEEN = 500_000
 #: Bitmaps have 8 bits an element up to this size, beyond it at least two.
 FINE_BITS = 4096
 #: Characters of texts whose words a task holds at once; a longer text comes alone.
 CHARS = 1 << 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-ROWS = "doc_id string, vertex long, n int, keys array<long>, subsets array<int>, bits array<long>"
+ROWS = "doc_id string, carried binary, vertex long, second long, n int, keys array<long>, subsets array<int>, bits array<long>"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -198,12 +200,15 @@ def counted(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]]:
     return np.minimum(sketch, 2**32 - 1).astype(np.uint32), {s: int(v) for s, v in enumerate(got[CHUNKS]) if v}
 
 
-def signature(values: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(values.tobytes(), len(values)) - (1 << 63)
+def signature(values: np.ndarray, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(values.tobytes(), len(values) + (seed << 48)) - (1 << 63)
 
 
 def signed(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, small: int) -> DataFrame:
-    """ROWS: of every document its vertex; keys with the first document of a vertex in each task."""
+    """ROWS: of every document its vertex; keys with the first document of a vertex in each task.
+
+    A task remembers vertices in bounded memory; one that comes again later gives its keys again.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     both = min(partners(small + 1, percent))
 
@@ -211,22 +216,36 @@ def signed(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, small: int
         shingler, seen = Shingler(n), set()
         for frame in bounded(frames):
             out = []
-            for doc_id, values in zip(frame["doc_id"], shingler.sets(frame["text"].tolist())):
-                vertex = signature(values)
+            for doc_id, carried, values in zip(frame["doc_id"], frame["carried"], shingler.sets(frame["text"].tolist())):
+                vertex, second = signature(values), signature(values, 1)
                 keys: list[tuple[int, int]] = []
-                if vertex not in seen and len(values):
-                    seen.add(vertex)
+                if (vertex, second) not in seen and len(values):
+                    if len(seen) > MOST_SEEN:
+                        seen.clear()
+                    seen.add((vertex, second))
                     if len(values) <= small:
                         keys += subset_keys(values, percent)
                     if len(values) > small or len(values) >= both:
                         order = np.lexsort((values, shared.value[(values >> np.uint64(44)).astype(np.int64)]))[: prefix(len(values), percent)]
                         keys += [(k, 0) for k in (values[order] >> np.uint64(1)).tolist()]
-                out.append((doc_id, vertex, len(values), [k for k, _ in keys], [c for _, c in keys], bitmap(values) if keys else None))
-            yield pd.DataFrame(out, columns=["doc_id", "vertex", "n", "keys", "subsets", "bits"])
+                out.append((doc_id, carried, vertex, second, len(values), [k for k, _ in keys], [c for _, c in keys], bitmap(values) if keys else None))
+            yield pd.DataFrame(out, columns=["doc_id", "carried", "vertex", "second", "n", "keys", "subsets", "bits"])
 
     return docs.mapInPandas(run, ROWS)
 
 
+def told_apart(signs: DataFrame) -> DataFrame:
+    """Vertices by both 64-bit hashes of a set, so unequal sets of one hash are two vertices.
+
+    Hashes of more than one set are looked for over all rows; there are hardly ever any.
+    """
+    shared = signs.groupBy("vertex").agg(F.min("second").alias("l"), F.max("second").alias("h")).where("l <> h").select("vertex", F.lit(True).alias("clash"))
+    shared = written(shared, "clashes")
+    if shared.isEmpty():
+        return signs
+    return signs.join(shared, "vertex", "left").withColumn("vertex", F.when("clash", F.xxhash64("vertex", "second")).otherwise(F.col("vertex"))).drop("clash")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of vertices those that link. ``texts``: vertex, text."""
     left = texts.select(F.col("vertex").alias("a"), F.col("text").alias("a_text"))
@@ -272,10 +291,12 @@ def _possible(percent: int):
 
 
 def _owned(signs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, name: str) -> DataFrame:
-    """vertex, text of the vertices in pairs, of one document each."""
+    """vertex, text of the vertices in pairs, of one document each: by its id, or where only rows without
+    an id have that set, by the set of these rows."""
     ends = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
-    owners = signs.join(ends, "vertex", "left_semi").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    return written(_texts(rows, owners, words), name)
+    owners = signs.join(ends, "vertex", "left_semi").groupBy("vertex", "second").agg(F.min("doc_id").alias("doc_id"))
+    named = rows.join(owners.where("doc_id is not null"), "doc_id").select("vertex", "second", "text")
+    return written(_texts(named, words).union(_texts(rows.where("doc_id is null").select("text"), words, owners.where("doc_id is null"))), name)
 
 
 def _open(lists: DataFrame, label: DataFrame, r: int) -> tuple[DataFrame, DataFrame]:
@@ -291,12 +312,19 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per input row."""
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, carry: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, group_id, carried: one row per input row.
+
+    ``group_id`` is the same for all rows of a component (rows without shingles have none); ``carried`` is
+    what ``carry`` (binary) is on the row, or null.
+    """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = F.lit(None) if carry is None else carry
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), own.cast("binary").alias("carried"))
     sketch, histogram = counted(rows, words)
-    signs = written(signed(rows, words, percent, sketch, boundary(histogram, percent)), "signatures")
+    named = rows.withColumn("doc_id", as_text(F.col("doc_id")))
+    signs = signed(named, words, percent, sketch, boundary(histogram, percent)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    signs, rows = told_apart(written(signs, "signatures")), rows.drop("carried")
     marks = signs.where("bits is not null").select("vertex", "n", "bits").dropDuplicates(["vertex"])
     marked = lambda p: marks.toDF(p, f"{p}_n", f"{p}_bits")
 
@@ -338,25 +366,34 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     vertices = signs.where("n > 0").groupBy("vertex").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     least = vertices.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = vertices.join(least, "component").select("vertex", "component_id")
-    joined = signs.select("doc_id", "vertex", "n").join(found, "vertex", "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = vertices.join(least, "component").select("vertex", "component_id", F.col("component").alias("group_id"))
+    joined = signs.select("doc_id", "carried", "vertex", "n").join(found, "vertex", "left")
+    some = F.col("n") > 0
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("group_id")).alias("group_id"), "carried")
 
 
-def _texts(rows: DataFrame, owners: DataFrame, words: int) -> DataFrame:
-    """vertex, text: one of each. An id may have several texts; the text with the vertex's set counts."""
+def _texts(rows: DataFrame, words: int, wanted: DataFrame | None = None) -> DataFrame:
+    """vertex, text: one of each. Of ``rows`` (vertex, second, text) those whose text has that set (an id may
+    have several texts); or of texts alone, those of ``wanted`` sets."""
 
-    def run(frames):
+    def check(frames):
         shingler = Shingler(words)
         for frame in bounded(frames):
-            same = [signature(x) == v for x, v in zip(shingler.sets(frame["text"].tolist()), frame["vertex"])]
+            same = [signature(x, 1) == v for x, v in zip(shingler.sets(frame["text"].tolist()), frame["second"])]
             yield frame.loc[same, ["vertex", "text"]]
 
-    return rows.join(owners, "doc_id").select("vertex", "text").mapInPandas(run, "vertex long, text string").dropDuplicates(["vertex"])
+    def name(frames):
+        shingler = Shingler(words)
+        for frame in bounded(frames):
+            yield frame.assign(second=[signature(x, 1) for x in shingler.sets(frame["text"].tolist())], first=[signature(x) for x in shingler.sets(frame["text"].tolist())])
+
+    if wanted is None:
+        return rows.mapInPandas(check, "vertex long, text string").dropDuplicates(["vertex"])
+    return rows.mapInPandas(name, "text string, second long, first long").join(wanted, "second").where((F.col("first") == F.col("vertex")) | (F.xxhash64("first", "second") == F.col("vertex"))).select("vertex", "text").dropDuplicates(["vertex"])
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return jaccard_join(table(spark, sf_dir, "documents"), words=4, percent=85).drop("group_id", "carried")
 
 
 QUERIES = {"op6_jaccard_join": op6_jaccard_join}
