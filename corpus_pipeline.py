@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineagekit.llm import quality as quality_op
@@ -51,23 +51,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, lambda texts: (model.value.scores(texts) >= quality_op.THRESHOLD).tolist())
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
+
+
+def _names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names for helpers that no column of ``docs`` has."""
+    lower = {c.lower() for c in docs.columns}
+    return [next(n for n in (w + "_" * i for i in range(len(lower) + 1)) if n not in lower) for w in wanted]
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts; of repeated rows (same id and text) one."""
     prepare(spark)
-    keepers = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    own_id, own_text, keeper, digest = _names(docs, "own_id", "own_text", "keeper", "digest")
     white = " \t\n\x0b\x0c\r"
-    digest = F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), white, ""), "UTF-8"), 256)
-    rows = docs.withColumn("_sha", digest)
-    same = rows["doc_id"].eqNullSafe(keepers["_id"]) & (rows["_sha"] == keepers["_sha"])
-    return rows.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    keepers = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(keeper), F.unhex("text_sha256").alias(digest))
+    rows = docs.withColumn(own_text, _digest(F.translate(F.coalesce("text", F.lit("")), white, "")))
+    same = rows["doc_id"].eqNullSafe(keepers[keeper]) & (rows[own_text] == keepers[digest])
+    return rows.join(keepers, same, "left_semi").dropDuplicates(["doc_id", own_text]).drop(own_text)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the smallest id."""
+    """Of each group of linked documents one: that with the smallest id (null ids last), and of several
+    texts of this id that with the smallest digest. Rows that repeat an id and a text count as one."""
     prepare(spark)
-    joined = jaccard_join(docs, words=WORDS, percent=PERCENT)
-    others = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(others, docs["doc_id"] == others["_id"], "left_anti")
+    own_text, other, digest = _names(docs, "own_text", "other", "digest")
+    joined = written(jaccard_join(docs, words=WORDS, percent=PERCENT, carry=_digest(F.col("text"))), "near")
+    best = joined.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "carried")).alias("best"))
+    others = joined.join(best, "group_id").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("carried") == F.col("best.carried"))))
+    others = others.select(F.col("doc_id").alias(other), F.col("carried").alias(digest)).distinct()
+    rows = docs.withColumn(own_text, _digest(F.col("text")))
+    same = rows["doc_id"].eqNullSafe(others[other]) & (rows[own_text] == others[digest])
+    return rows.join(others, same, "left_anti").drop(own_text)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
