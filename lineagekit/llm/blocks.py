@@ -5,7 +5,8 @@ its distinct words, what is counted of each, and the texts as numbers of words,
 Spark works on rows of (block, position, word), one for each distinct word of a block: an aggregate
 gives the table of the corpus's distinct words, a join takes what is known of a word back to the
 blocks, and a cogroup puts it beside the texts. All of that is in proportion to the data; a word that
-is in every document has one row a block, so no key is hot, and no shuffle deals out texts.
+is in every document has one row a block, and what is known of the words of the most blocks (a table of
+bounded size) goes to every task instead, so no key is hot, and no shuffle deals out texts.
 
 A block's number is the task's partition and a count in it. A text over ``block_chars`` is a block of
 its own; a text is never cut. Null texts count as empty. An empty table gives no blocks.
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from .common import prepare
 
 #: ``ids``, ``held`` and ``lengths`` (words) by text; ``words`` and ``counts`` (in texts not held out) by word.
 BLOCK = "block long, ids array<long>, held array<boolean>, lengths array<int>, words array<binary>, counts array<long>, places binary"
-BLOCK_CHARS = 6 << 20
+BLOCK_CHARS = 12 << 20
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -46,16 +47,25 @@ class Numbers(dict):
         return n
 
 
-def _block(number: int, ids: list, held: list[bool], lists: list[list]) -> pa.RecordBatch:
-    numbers = Numbers()
-    places = [np.fromiter(map(numbers.__getitem__, words), dtype="<u4", count=len(words)) for words in lists]
-    flat = np.concatenate(places) if places else np.empty(0, "<u4")
-    lengths = np.array([len(p) for p in places], dtype=np.int32)
-    counts = np.bincount(flat[np.repeat(~np.array(held, dtype=bool), lengths)], minlength=len(numbers))
-    words = [w if isinstance(w, bytes) else w.encode() for w in numbers]
-    row = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32()))]
-    row += [pa.array([words], pa.list_(pa.binary())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64())), pa.array([packed(flat)], pa.binary())]
-    return pa.RecordBatch.from_arrays(row, ["block", "ids", "held", "lengths", "words", "counts", "places"])
+class Filling:
+    """A block that is being laid: texts become numbers of words as they come."""
+
+    def __init__(self, number: int):
+        self.number, self.ids, self.held, self.places, self.numbers, self.chars = number, [], [], [], Numbers(), 0
+
+    def add(self, doc_id, held: bool, words: list, chars: int) -> None:
+        self.ids.append(doc_id)
+        self.held.append(held)
+        self.places.append(np.fromiter(map(self.numbers.__getitem__, words), dtype="<u4", count=len(words)))
+        self.chars += chars
+
+    def row(self) -> pa.RecordBatch:
+        flat, lengths = np.concatenate(self.places), np.array([len(p) for p in self.places], dtype=np.int32)
+        counts = np.bincount(flat[np.repeat(~np.array(self.held, dtype=bool), lengths)], minlength=len(self.numbers))
+        words = [w if isinstance(w, bytes) else w.encode() for w in self.numbers]
+        row = [pa.array([self.number], pa.int64()), pa.array([self.ids], pa.list_(pa.int64())), pa.array([self.held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32()))]
+        row += [pa.array([words], pa.list_(pa.binary())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64())), pa.array([packed(flat)], pa.binary())]
+        return pa.RecordBatch.from_arrays(row, ["block", "ids", "held", "lengths", "words", "counts", "places"])
 
 
 def blocks(rows: DataFrame, split: Callable[[str], list], block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -63,24 +73,22 @@ def blocks(rows: DataFrame, split: Callable[[str], list], block_chars: int = BLO
     prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, held, lists, chars = TaskContext.get().partitionId() << 32, [], [], [], 0
+        block = Filling(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for doc_id, text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if lists and chars + len(text or "") > block_chars:
-                    yield _block(number, ids, held, lists)
-                    number, ids, held, lists, chars = number + 1, [], [], [], 0
-                ids.append(doc_id)
-                held.append(bool(out))
-                lists.append(split(text or ""))
-                chars += len(text or "")
-        if lists:
-            yield _block(number, ids, held, lists)
+            for doc_id, text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                size = len(text or "")
+                if block.ids and block.chars + size > block_chars:
+                    yield block.row()
+                    block = Filling(block.number + 1)
+                block.add(doc_id, bool(held), split(text or ""), size)
+        if block.ids:
+            yield block.row()
 
     return rows.select("doc_id", "text", "held").mapInArrow(run, BLOCK)
 
 
-def word_rows(table: DataFrame) -> DataFrame:
-    """block, place, word, count: a row for each distinct word of a block.
+def word_rows(table: DataFrame, known: Broadcast) -> DataFrame:
+    """block, place, word, count: a row for each distinct word of a block that isn't among the ``known`` ones.
 
     It reads whole rows of ``table``, so that an exchange of them serves this and :func:`returned`.
     """
@@ -89,8 +97,9 @@ def word_rows(table: DataFrame) -> DataFrame:
         for batch in batches:
             names = batch.schema.names
             for block, words, counts in zip(batch.column(names.index("block")), batch.column(names.index("words")), batch.column(names.index("counts"))):
-                n = len(words.values)
-                columns = [pa.repeat(block.as_py(), n).cast(pa.int64()), pa.array(np.arange(n, dtype=np.int32)), words.values, counts.values]
+                place = np.flatnonzero([w not in known.value for w in words.values.to_pylist()]).astype(np.int32)
+                at = pa.array(place)
+                columns = [pa.array(np.full(len(place), block.as_py(), dtype=np.int64)), at, words.values.take(at), counts.values.take(at)]
                 yield from pa.Table.from_arrays(columns, ["block", "place", "word", "count"]).to_batches(65536)
 
     return table.mapInArrow(run, "block long, place int, word binary, count long")
@@ -105,12 +114,13 @@ class Block:
     held: np.ndarray
     lengths: np.ndarray
     places: np.ndarray
+    words: list[bytes]
 
     @classmethod
     def of(cls, table: pa.Table) -> "Block":
         """Of a table with one BLOCK row."""
-        one = {c: table.column(c).combine_chunks() for c in ("ids", "held", "lengths", "places")}
-        return cls(table.column("block")[0].as_py(), one["ids"].values, np.array(one["held"].values.to_pylist(), dtype=bool), one["lengths"].values.to_numpy().astype(np.int64), unpacked(one["places"][0].as_py(), "<u4"))
+        one = {c: table.column(c).combine_chunks() for c in ("ids", "held", "lengths", "places", "words")}
+        return cls(table.column("block")[0].as_py(), one["ids"].values, np.array(one["held"].values.to_pylist(), dtype=bool), one["lengths"].values.to_numpy().astype(np.int64), unpacked(one["places"][0].as_py(), "<u4"), one["words"].values.to_pylist())
 
     def ends(self) -> np.ndarray:
         return np.cumsum(self.lengths)
@@ -126,5 +136,10 @@ def returned(table: DataFrame, answers: DataFrame, apply: Callable[[Block, pa.Ta
     return table.groupBy("block").cogroup(named.groupBy("_block")).applyInArrow(finish, schema)
 
 
+def often(table: DataFrame, most: int) -> DataFrame:
+    """The ``most`` words that are in the most blocks, of those in several. ``table`` has word and blocks."""
+    return table.where("blocks > 1").orderBy(F.desc("blocks"), "word").limit(most)
+
+
 def by_block(table: DataFrame) -> DataFrame:
     return table.repartition(F.col("block"))

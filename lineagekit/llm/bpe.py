@@ -1,8 +1,9 @@
 """BPE encoding and decoding through a distinct-word table.
 
 Texts are normalised and split into words once, in blocks (:mod:`blocks`). Spark's aggregate gives the
-distinct words of the corpus, each is encoded once by the tokenizers library, and a join takes its ids
-back to its positions. Decoding joins ids to the pieces of the vocabulary file (a table of proven size,
+distinct words of the corpus; each is encoded once by the tokenizers library, and a join takes its ids
+back to its positions. (Ids of up to ``FREQUENT`` words of a sample of rows go to every task instead,
+which spares rows of frequent words.) Decoding joins ids to the pieces of the vocabulary file (a table of proven size,
 which every task holds) and puts blanks between pieces, as a tokenizer without a decoder does.
 
 The tokenizer file must have a BPE model, a Split pre-tokenizer whose matches are the words, and no
@@ -17,6 +18,7 @@ import functools
 import json
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .blocks import Block, blocks, by_block, returned, word_rows
 from .common import prepare, table
 
+#: Words whose ids every task holds, and the rows (and their characters) that they are looked for in.
+FREQUENT, ROWS, CHARS = 60_000, 1000, 20_000
 ENCODED = "doc_id long, ids binary, decoded string"
 #: Texts of these characters are normalised and split by Python's own functions, which agree with the library there.
 PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ɏ‐-‧€]")
@@ -84,26 +88,32 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, ids (little-endian unsigned 32-bit), decoded: one row per input row."""
     spark, path = prepare(docs.sparkSession), tokenizer_path or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("held"))
-    # one exchange of the blocks serves the words' rows and the way back
-    dealt = by_block(blocks(rows, lambda text: tokenizer(path).words(text)))
-    words = word_rows(dealt).select("block", "place", "word")
+    # words of a bounded sample of rows: encoded here, once, and known to every task; any choice gives the same result
+    head = rows.where(F.length("text") <= CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS).select("text").collect()
+    seen = Counter(w for r in head for w in tokenizer(path).words(r["text"]))
+    chosen = sorted(w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT])
+    known = spark.sparkContext.broadcast({w.encode(): np.array(x, dtype=tokenizer(path).width).tobytes() for w, x in zip(chosen, tokenizer(path).ids(chosen))})
 
     def encode(batches):
         for batch in batches:
             found = tokenizer(path).ids([w.decode() for w in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, dtype=tokenizer(path).width).tobytes() for x in found], pa.binary())], ["word", "ids"])
 
-    distinct = words.select("word").distinct().mapInArrow(encode, "word binary, ids array<int>")
-    answers = words.join(distinct, "word").select("block", "place", "ids")
+    # one exchange of the blocks serves the words' rows and the way back
+    dealt = by_block(blocks(rows, lambda text: tokenizer(path).words(text)))
+    others = word_rows(dealt, known).select("block", "place", "word")
+    table = others.select("word").distinct().mapInArrow(encode, "word binary, ids binary")
+    answers = others.join(table, "word").select("block", "place", "ids")
     pieces = spark.sparkContext.broadcast(tokenizer(path).pieces)  # the vocabulary: of the file's size
 
     def apply(block: Block, found: pa.Table) -> pa.Table:
-        lists = found.column("ids").combine_chunks()
-        flat, cut = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-        coded = flat.astype("<u4").tobytes()
-        names = list(map(pieces.value.__getitem__, flat.tolist()))
-        ids = [coded[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        text = [" ".join(names[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        t, coded = tokenizer(path), list(map(known.value.get, block.words))
+        for place, own in zip(found.column("place").to_pylist(), found.column("ids").to_pylist()):
+            coded[place] = own
+        flat, cut = np.frombuffer(b"".join(coded), dtype=t.width), np.concatenate([[0], np.cumsum([len(x) for x in coded])]) // np.dtype(t.width).itemsize
+        wide, names = flat.astype("<u4").tobytes(), list(map(pieces.value.__getitem__, flat.tolist()))
+        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+        ids, text = [wide[4 * a : 4 * b] for a, b in spans], [" ".join(names[a:b]) for a, b in spans]
         places, all_ids, decoded, start = block.places.tolist(), [], [], 0
         for end in block.ends().tolist():
             own = places[start:end]
