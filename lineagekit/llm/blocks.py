@@ -32,11 +32,13 @@ BLOCK_CHARS = 12 << 20
 
 
 def packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+    """Four-byte numbers, their first bytes first: small numbers take little then."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 class Numbers(dict):
@@ -61,8 +63,13 @@ class Filling:
 
     def row(self) -> pa.RecordBatch:
         flat, lengths = np.concatenate(self.places), np.array([len(p) for p in self.places], dtype=np.int32)
-        counts = np.bincount(flat[np.repeat(~np.array(self.held, dtype=bool), lengths)], minlength=len(self.numbers))
-        words = [w if isinstance(w, bytes) else w.encode() for w in self.numbers]
+        # frequent words get small numbers
+        order = np.argsort(-np.bincount(flat, minlength=len(self.numbers)), kind="stable")
+        rank = np.empty(len(order), dtype="<u4")
+        rank[order] = np.arange(len(order))
+        flat, words = rank[flat], list(self.numbers)
+        counts = np.bincount(flat[np.repeat(~np.array(self.held, dtype=bool), lengths)], minlength=len(words))
+        words = [w if isinstance(w, bytes) else w.encode() for w in map(words.__getitem__, order.tolist())]
         row = [pa.array([self.number], pa.int64()), pa.array([self.ids], pa.list_(pa.int64())), pa.array([self.held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32()))]
         row += [pa.array([words], pa.list_(pa.binary())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64())), pa.array([packed(flat)], pa.binary())]
         return pa.RecordBatch.from_arrays(row, ["block", "ids", "held", "lengths", "words", "counts", "places"])
@@ -88,7 +95,7 @@ def blocks(rows: DataFrame, split: Callable[[str], list], block_chars: int = BLO
 
 
 def word_rows(table: DataFrame, known: Broadcast) -> DataFrame:
-    """block, place, word, count: a row for each distinct word of a block that isn't among the ``known`` ones.
+    """block, place, word: a row for each distinct word of a block that isn't among the ``known`` ones.
 
     It reads whole rows of ``table``, so that an exchange of them serves this and :func:`returned`.
     """
@@ -96,13 +103,33 @@ def word_rows(table: DataFrame, known: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            for block, words, counts in zip(batch.column(names.index("block")), batch.column(names.index("words")), batch.column(names.index("counts"))):
+            for block, words in zip(batch.column(names.index("block")), batch.column(names.index("words"))):
                 place = np.flatnonzero([w not in known.value for w in words.values.to_pylist()]).astype(np.int32)
                 at = pa.array(place)
-                columns = [pa.array(np.full(len(place), block.as_py(), dtype=np.int64)), at, words.values.take(at), counts.values.take(at)]
-                yield from pa.Table.from_arrays(columns, ["block", "place", "word", "count"]).to_batches(65536)
+                columns = [pa.array(np.full(len(place), block.as_py(), dtype=np.int64)), at, words.values.take(at)]
+                yield from pa.Table.from_arrays(columns, ["block", "place", "word"]).to_batches(65536)
 
-    return table.mapInArrow(run, "block long, place int, word binary, count long")
+    return table.mapInArrow(run, "block long, place int, word binary")
+
+
+def each_word_once(rows: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """block, place, answer of ``rows`` (block, place, word): rows of a word meet in a task, one after the
+    other, and ``answer`` sees each word of the corpus once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, last = None, b""
+        for batch in batches:
+            found = batch.column(2).to_pylist()
+            fresh = [w for w, before in zip(found, [word, *found]) if w != before]
+            told, out = iter(answer(fresh) if fresh else ()), []
+            for w in found:
+                if w != word:
+                    word, last = w, next(told)
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "place", "answer"])
+
+    dealt = rows.select("block", "place", "word").repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "block long, place int, answer binary")
 
 
 @dataclass
@@ -120,7 +147,7 @@ class Block:
     def of(cls, table: pa.Table) -> "Block":
         """Of a table with one BLOCK row."""
         one = {c: table.column(c).combine_chunks() for c in ("ids", "held", "lengths", "places", "words")}
-        return cls(table.column("block")[0].as_py(), one["ids"].values, np.array(one["held"].values.to_pylist(), dtype=bool), one["lengths"].values.to_numpy().astype(np.int64), unpacked(one["places"][0].as_py(), "<u4"), one["words"].values.to_pylist())
+        return cls(table.column("block")[0].as_py(), one["ids"].values, np.array(one["held"].values.to_pylist(), dtype=bool), one["lengths"].values.to_numpy().astype(np.int64), unpacked(one["places"][0].as_py()), one["words"].values.to_pylist())
 
     def ends(self) -> np.ndarray:
         return np.cumsum(self.lengths)

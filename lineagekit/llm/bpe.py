@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks, by_block, returned, word_rows
+from .blocks import Block, blocks, by_block, each_word_once, returned, word_rows
 from .common import prepare, table
 
 #: Words whose ids every task holds, and the rows (and their characters) that they are looked for in.
@@ -94,21 +94,17 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = sorted(w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT])
     known = spark.sparkContext.broadcast({w.encode(): np.array(x, dtype=tokenizer(path).width).tobytes() for w, x in zip(chosen, tokenizer(path).ids(chosen))})
 
-    def encode(batches):
-        for batch in batches:
-            found = tokenizer(path).ids([w.decode() for w in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, dtype=tokenizer(path).width).tobytes() for x in found], pa.binary())], ["word", "ids"])
+    def encode(found: list[bytes]) -> list[bytes]:
+        return [np.array(x, dtype=tokenizer(path).width).tobytes() for x in tokenizer(path).ids([w.decode() for w in found])]
 
     # one exchange of the blocks serves the words' rows and the way back
     dealt = by_block(blocks(rows, lambda text: tokenizer(path).words(text)))
-    others = word_rows(dealt, known).select("block", "place", "word")
-    table = others.select("word").distinct().mapInArrow(encode, "word binary, ids binary")
-    answers = others.join(table, "word").select("block", "place", "ids")
+    answers = each_word_once(word_rows(dealt, known), encode)
     pieces = spark.sparkContext.broadcast(tokenizer(path).pieces)  # the vocabulary: of the file's size
 
     def apply(block: Block, found: pa.Table) -> pa.Table:
         t, coded = tokenizer(path), list(map(known.value.get, block.words))
-        for place, own in zip(found.column("place").to_pylist(), found.column("ids").to_pylist()):
+        for place, own in zip(found.column("place").to_pylist(), found.column("answer").to_pylist()):
             coded[place] = own
         flat, cut = np.frombuffer(b"".join(coded), dtype=t.width), np.concatenate([[0], np.cumsum([len(x) for x in coded])]) // np.dtype(t.width).itemsize
         wide, names = flat.astype("<u4").tobytes(), list(map(pieces.value.__getitem__, flat.tolist()))
