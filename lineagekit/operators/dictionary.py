@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# fixed values: the order of scopes, and the state changes that are allowed
+# fixed values: the order of scopes, states and the changes of state that are allowed, review decisions
 SCOPES = ["SESSION", "PROJECT", "DOMAIN", "STANDARD"]
-TRANSITIONS = {"DRAFT": ["ACTIVE", "REJECTED"], "ACTIVE": ["SUPERSEDED", "ROLLED_BACK"], "SUPERSEDED": ["ACTIVE"], "ROLLED_BACK": ["ACTIVE"]}
+STATES = ("PROBATION", "ACTIVE", "OBSERVING", "QUARANTINED", "RETIRED")
+TRANSITIONS = {
+    "PROBATION": ("ACTIVE", "QUARANTINED", "RETIRED"), "ACTIVE": ("OBSERVING", "QUARANTINED", "RETIRED"),
+    "OBSERVING": ("ACTIVE", "QUARANTINED", "RETIRED"), "QUARANTINED": ("ACTIVE", "OBSERVING", "RETIRED"),
+}
+DECISIONS = ("ACCEPT", "REJECT", "UNCERTAIN", "UNREVIEWED")
 
 
 def term_candidates(units: DataFrame, patterns: dict[str, str]) -> DataFrame:
@@ -81,9 +86,9 @@ def materialized(dictionary: DataFrame, promoted: DataFrame) -> DataFrame:
 
 
 def allowed_transition(state: str, to: str):
-    """Whether a change of two columns is allowed."""
+    """Whether a change of state between two columns is allowed; no state changes to itself, null ones are not."""
     pairs = [F.lit(f"{a}>{b}") for a, bs in TRANSITIONS.items() for b in bs]
-    return F.array_contains(F.array(*pairs), F.concat(F.col(state), F.lit(">"), F.col(to)))
+    return F.coalesce(F.array_contains(F.array(*pairs), F.concat(F.col(state), F.lit(">"), F.col(to))), F.lit(False))
 
 
 def history_problems(snapshots: DataFrame) -> DataFrame:
@@ -95,3 +100,93 @@ def history_problems(snapshots: DataFrame) -> DataFrame:
 def next_version(version):
     """A decimal version string of any length up to 38 digits, plus one."""
     return (version.cast("decimal(38,0)") + 1).cast("decimal(38,0)").cast("string")
+
+
+def repeated_values(candidates: DataFrame, rule: str = "TERM_REPEATED_VALUE", least: int = 2) -> DataFrame:
+    """Candidates (rules: array, parents) without those that only the rule of repeated values found under fewer
+    than ``least`` different parents."""
+    return candidates.where(~((F.size("rules") == 1) & F.array_contains("rules", rule) & (F.col("parents") < least)))
+
+
+def evaluation_summary(candidates: DataFrame) -> DataFrame:
+    """rule, candidates, exposure: one row a rule, and one for all with the rule null."""
+    by_rule = candidates.select(F.explode("rules").alias("rule"), "exposure").groupBy("rule").agg(F.count("*").alias("candidates"), F.sum("exposure").alias("exposure"))
+    return by_rule.union(candidates.agg(F.lit(None).cast("string").alias("rule"), F.count("*").alias("candidates"), F.coalesce(F.sum("exposure"), F.lit(0)).alias("exposure")))
+
+
+def review_counts(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """decision, n: how many candidates (id) have which latest decision (id, decision, seq); those without are UNREVIEWED."""
+    latest = decisions.groupBy("id").agg(F.max_by("decision", "seq").alias("decision"))
+    known = candidates.select("id").join(latest, "id", "left").select(F.coalesce("decision", F.lit("UNREVIEWED")).alias("decision"))
+    return known.groupBy("decision").agg(F.count("*").alias("n"))
+
+
+def bulk_decisions(candidates: DataFrame, chosen: Column, decision: str, seq: int) -> DataFrame:
+    """One decision (id, decision, seq) for every candidate that ``chosen`` holds for."""
+    if decision not in DECISIONS:
+        raise ValueError(f"no decision {decision}")
+    return candidates.where(chosen).select("id", F.lit(decision).alias("decision"), F.lit(seq).cast("long").alias("seq"))
+
+
+def identity_differences(reviewed: DataFrame, evaluated: DataFrame) -> DataFrame:
+    """id, missing_in of ids that are on one side only; promotion needs both sets to be equal."""
+    r, e = reviewed.select("id").distinct(), evaluated.select("id").distinct()
+    return r.join(e, "id", "left_anti").withColumn("missing_in", F.lit("evaluated")).union(e.join(r, "id", "left_anti").withColumn("missing_in", F.lit("reviewed")))
+
+
+def entry_problems(entries: DataFrame, most_aliases: int = 64) -> DataFrame:
+    """dictionary_id, entry_id, problems of entries that have any: ids, statuses, terms and aliases."""
+    w = Window.partitionBy("dictionary_id", "entry_id")
+    t = Window.partitionBy("dictionary_id", T.comparison_key(F.col("canonical_term")))
+    checks = (
+        ("entry_id_missing", F.coalesce("entry_id", F.lit("")) == ""), ("entry_id_duplicate", F.count("*").over(w) > 1), ("status_unknown", ~F.coalesce(F.col("status").isin(*STATES), F.lit(False))),
+        ("canonical_term_missing", F.coalesce(F.trim("canonical_term"), F.lit("")) == ""), ("canonical_term_duplicate", F.count("*").over(t) > 1), ("too_many_aliases", F.size("aliases") > most_aliases),
+        ("alias_duplicate", F.size(F.array_distinct("aliases")) < F.size("aliases")), ("alias_is_canonical", F.array_contains("aliases", F.col("canonical_term"))),
+    )
+    named = entries.withColumn("problems", F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in checks])))
+    return named.where(F.size("problems") > 0).select("dictionary_id", "entry_id", "problems")
+
+
+def layer_view(entries: DataFrame) -> DataFrame:
+    """scope, lookup, canonical, status: a row for the canonical term of each active entry and for each alias."""
+    active = entries.where("status = 'ACTIVE'")
+    terms = F.explode(F.array_union(F.array("canonical_term"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    return active.select("scope", terms.alias("term"), F.col("canonical_term").alias("canonical"), "status").select("scope", T.comparison_key(F.col("term")).alias("lookup"), "canonical", "status")
+
+
+def snapshot_problems(snapshots: DataFrame) -> DataFrame:
+    """snapshot_id, problem: payload and wrapper hashes that aren't those of the content.
+
+    ``snapshots``: snapshot_id, version, scope, payload, payload_sha256, wrapper_sha256. A wrapper's hash is
+    that of its netstrings.
+    """
+    payload = F.sha2(F.col("payload").cast("binary"), 256)
+    parts = [F.col("snapshot_id"), F.col("version").cast("string"), F.col("scope"), F.col("payload_sha256")]
+    wrapper = F.sha2(F.concat(*[T.netstring(F.coalesce(p, F.lit(""))) for p in parts]).cast("binary"), 256)
+    problem = F.when(~payload.eqNullSafe(F.col("payload_sha256")), "payload_hash").when(~wrapper.eqNullSafe(F.col("wrapper_sha256")), "wrapper_hash")
+    return snapshots.select("snapshot_id", problem.alias("problem")).where("problem is not null")
+
+
+def activation(events: DataFrame) -> DataFrame:
+    """scope, snapshot_id, state of snapshots by their latest event (scope, snapshot_id, state, seq), and whether
+    the scope has one active snapshot exactly."""
+    latest = events.groupBy("scope", "snapshot_id").agg(F.max_by("state", "seq").alias("state"))
+    return latest.withColumn("sound", F.count_if(F.col("state") == "ACTIVE").over(Window.partitionBy("scope")) == 1)
+
+
+def pin_problems(pins: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """project, problem of pins (project, snapshot_id, payload_sha256) without their snapshot or of another content."""
+    s = snapshots.select("snapshot_id", F.col("payload_sha256").alias("_sha"))
+    problem = F.when(F.col("_sha").isNull(), "snapshot_missing").when(~F.col("_sha").eqNullSafe(F.col("payload_sha256")), "payload_changed")
+    return pins.join(s, "snapshot_id", "left").select("project", problem.alias("problem")).where("problem is not null")
+
+
+def initial_tags(records: DataFrame, vocabulary: DataFrame, folded: bool) -> DataFrame:
+    """id, tags: vocabulary tags (tag, aliases) that a record's values (id, values) name exactly or by an alias.
+
+    ``folded`` compares folded forms, as for running text; else as written, as for cells.
+    """
+    form = (lambda c: T.comparison_key(c)) if folded else (lambda c: c)
+    names = vocabulary.select("tag", F.explode(F.array_union(F.array("tag"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).select("tag", form(F.col("name")).alias("name"))
+    each = records.select("id", F.explode("values").alias("value")).select("id", form(F.col("value")).alias("name"))
+    return each.join(names, "name").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))

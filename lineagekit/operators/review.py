@@ -8,68 +8,126 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# fixed values: what is reviewed of a comparison; satisfaction is unlocked by the four before it
-TARGETS = ["requirement_quantity", "actual_quantity", "concept", "mode", "satisfaction"]
-FOLDED = "session long, target string, status string, revision long, events long, refused long"
-
-
-def step(state: dict, action: str, target: str) -> bool:
-    """Applies one action to {target: status}; whether it was allowed and changed something."""
-    if action == "invalidate":
-        changed = any(v != "stale" for v in state.values())
-        state.update({t: "stale" for t in state})
-        return changed
-    if state["satisfaction"] == "stale" and action != "discard":
-        return False
-    if action == "accept":
-        if state[target] != "unreviewed" or (target == "satisfaction" and any(state[t] != "accepted" for t in TARGETS[:4])):
+# fixed values: what is reviewed of a comparison; satisfaction can be reviewed once the four before it are accepted
+UPSTREAM = ("quantity_extraction", "property_mapping", "interval_semantics", "comparison_mode")
+TARGETS = (*UPSTREAM, "satisfaction")
+VERDICTS = ("accept", "override_satisfied", "override_unsatisfied")
+FOLDED = "session_id long, comparison_id string, target string, status string, verdict string, session_status string, revision long, refused long"
+
+
+class Session:
+    """One review session: for each comparison {target: (status, verdict)}.
+
+    ``active`` until an invalidation makes it ``stale`` (then only discard is possible), ``ended`` by discard.
+    """
+
+    def __init__(self, comparisons: list[str]):
+        self.comparisons = {c: self.initial() for c in comparisons}
+        self.status, self.revision, self.refused = "active", 0, 0
+
+    @staticmethod
+    def initial() -> dict:
+        return dict.fromkeys(UPSTREAM, ("unreviewed", None)) | {"satisfaction": ("not_eligible", None)}
+
+    @staticmethod
+    def eligible(comparison: dict) -> bool:
+        return all(comparison[t] == ("reviewed", "accept") for t in UPSTREAM)
+
+    def apply(self, action: str, comparison_id: str | None, target: str | None, verdict: str | None) -> None:
+        """An action that isn't allowed is refused; one that changes nothing is neither refused nor a revision."""
+        outcome = self._outcome(action, self.comparisons.get(comparison_id), target, verdict)
+        self.revision += outcome is True
+        self.refused += outcome is False
+
+    def _outcome(self, action: str, comparison: dict | None, target: str | None, verdict: str | None) -> bool | None:
+        if self.status == "ended":
             return False
-        state[target] = "accepted"
-    elif action == "reset":
-        if state[target] == "unreviewed":
+        if action == "discard_review_session":
+            self.status = "ended"
+            return True
+        if action == "invalidate_review_session":
+            changed = self.status == "active"
+            self.status = "stale"
+            return changed or None
+        if self.status == "stale" or comparison is None:
             return False
-        state[target] = "unreviewed"
-        if target != "satisfaction":
-            state["satisfaction"] = "unreviewed"
-    elif action == "discard":
-        changed = any(v != "unreviewed" for v in state.values())
-        state.update({t: "unreviewed" for t in state})
-        return changed
-    else:
-        return False
-    return True
-
-
-def fold(events: DataFrame) -> DataFrame:
-    """FOLDED: final states of sessions under ordered events (session, target, action, seq).
-
-    The fold is order dependent. Sessions are dealt and sorted by Spark and read as a stream, so a
-    session of any length needs one small state.
+        if action == "accept_review_target":
+            if target not in UPSTREAM or verdict != "accept" or comparison[target][0] != "unreviewed":
+                return False
+            comparison[target] = ("reviewed", "accept")
+            if self.eligible(comparison) and comparison["satisfaction"][0] == "not_eligible":
+                comparison["satisfaction"] = ("unreviewed", None)
+            return True
+        if action == "review_satisfaction":
+            if verdict not in VERDICTS or comparison["satisfaction"][0] != "unreviewed":
+                return False
+            comparison["satisfaction"] = ("reviewed", verdict)
+            return True
+        if action != "reset_review_target" or target not in TARGETS:
+            return False
+        if target == "satisfaction":
+            wanted = ("unreviewed" if self.eligible(comparison) else "not_eligible", None)
+            changed = comparison[target] != wanted
+            comparison[target] = wanted
+            return changed or None
+        if comparison[target][0] == "unreviewed":
+            return None
+        comparison[target], comparison["satisfaction"] = ("unreviewed", None), ("not_eligible", None)
+        return True
+
+    def rows(self, session_id) -> list[tuple]:
+        return [(session_id, c, t, *state[t], self.status, self.revision, self.refused) for c, state in self.comparisons.items() for t in TARGETS] if self.status != "ended" else []
+
+
+def fold(events: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """FOLDED: states of sessions that weren't discarded, under ordered events.
+
+    ``events``: session_id, seq, action, comparison_id, target, verdict; ``comparisons``: session_id,
+    comparison_id. The fold is order dependent. Spark deals and sorts sessions, which are read as a stream:
+    a session's comparisons first (a bounded set, as one reviewer's work is), then its events, of any number.
     """
+    columns = [c.split()[0] for c in FOLDED.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, state, count = None, {}, [0, 0, 0]
-
-        def rows():
-            return [(session, t, state[t], *count) for t in TARGETS]
-
+        current, names, state = None, [], None
         for frame in frames:
             out = []
-            for s, target, action in zip(frame["session"], frame["target"], frame["action"]):
-                if s != session:
-                    if session is not None:
-                        out += rows()
-                    session, state, count = s, dict.fromkeys(TARGETS, "unreviewed"), [0, 0, 0]
-                count[1] += 1
-                changed = step(state, action, target)
-                count[0] += changed
-                count[2] += not changed
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")])
-        if session is not None:
-            yield pd.DataFrame(rows(), columns=[c.split()[0] for c in FOLDED.split(", ")])
-
-    ordered = events.where("session is not null").repartition("session").sortWithinPartitions("session", "seq")
-    return ordered.select("session", "target", "action").mapInPandas(run, FOLDED)
+            for session_id, first, action, comparison, target, verdict in zip(frame["session_id"], frame["first"], frame["action"], frame["comparison_id"], frame["target"], frame["verdict"]):
+                if session_id != current:
+                    out += (state or Session(names)).rows(current) if current is not None else []
+                    current, names, state = session_id, [], None
+                if first:
+                    names.append(comparison)
+                else:
+                    state = state or Session(names)
+                    state.apply(action, comparison, target, verdict)
+            yield pd.DataFrame(out, columns=columns)
+        if current is not None:
+            yield pd.DataFrame((state or Session(names)).rows(current), columns=columns)
+
+    nothing = F.lit(None).cast("string")
+    start = comparisons.distinct().select("session_id", F.lit(True).alias("first"), F.lit(0).cast("long").alias("seq"), nothing.alias("action"), "comparison_id", nothing.alias("target"), nothing.alias("verdict"))
+    all_events = start.union(events.select("session_id", F.lit(False), F.col("seq").cast("long"), "action", "comparison_id", "target", "verdict")).where("session_id is not null")
+    ordered = all_events.repartition("session_id").sortWithinPartitions("session_id", F.desc("first"), "seq", "comparison_id")
+    return ordered.select("session_id", "first", "action", "comparison_id", "target", "verdict").mapInPandas(run, FOLDED)
+
+
+def human_satisfaction(verdict: Column, automatic: Column) -> Column:
+    """What a reviewed satisfaction says: an override, or for accept the automatic judgement."""
+    return F.when(verdict == "override_satisfied", True).when(verdict == "override_unsatisfied", False).when(verdict == "accept", automatic)
+
+
+def review_progress(folded: DataFrame) -> DataFrame:
+    """session_id, comparison_id, eligible (all but satisfaction accepted in an active session), all_reviewed."""
+    done = F.col("status") == "reviewed"
+    upstream = F.col("target") != "satisfaction"
+    got = folded.groupBy("session_id", "comparison_id").agg((F.min((F.col("session_status") == "active")) & F.min(F.when(upstream, done & F.col("verdict").eqNullSafe(F.lit("accept"))))).alias("eligible"), F.min(done).alias("all_reviewed"))
+    return got
+
+
+def stale_reviews(targets: DataFrame) -> DataFrame:
+    """Adds stale: a review (status reviewed) of another content than the current one (reviewed_hash, current_hash)."""
+    return targets.withColumn("stale", (F.col("status") == "reviewed") & ~F.col("reviewed_hash").eqNullSafe(F.col("current_hash")))
 
 
 def last_write(events: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:

@@ -104,19 +104,6 @@ def ref_integrity(spark, sf_dir):
     return R.dangling(shifted, "l_partkey", part, "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-_ACTIONS = {"signup": "accept", "click": "reset", "error": "discard", "purchase": "invalidate"}
-
-
-def _review_events(spark, sf_dir):
-    action = F.create_map(*[F.lit(x) for kv in _ACTIONS.items() for x in kv])[F.col("event_type")]
-    target = F.element_at(F.array(*[F.lit(t) for t in R.TARGETS]), (F.col("event_id") % 5 + 1).cast("int"))
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), target.alias("target"), F.coalesce(action, F.lit("view")).alias("action"), F.struct("ts", "event_id").alias("seq"))
-
-
-def review_state_fold(spark, sf_dir):
-    return R.fold(_review_events(spark, sf_dir))
-
-
 def lifecycle_last_write(spark, sf_dir):
     return R.last_write(read(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
 
@@ -221,7 +208,7 @@ def document_versions(spark, sf_dir):
     return both.groupBy(change.alias("change")).agg(F.count("*").alias("n"))
 
 
-_ALL = (field_information_profile, field_classification, safe_field_pairing, profile_projection_tags, dictionary_layer_merge, dictionary_conflicts, dictionary_resolve, term_candidates, alias_conflicts, promotion_eligibility, bind_status, stale_edges, ref_integrity, review_state_fold, lifecycle_last_write, op_log_sequence_check, effective_satisfaction, entry_status, stratified_sample, precision_recall, trace_matrix, reverse_view, netstring_ids, content_hash, dataset_signature, heading_sections, excel_unpivot_header_detect, long_text_chunks, quantity_extraction, document_versions)
+_ALL = (field_information_profile, field_classification, safe_field_pairing, profile_projection_tags, dictionary_layer_merge, dictionary_conflicts, dictionary_resolve, term_candidates, alias_conflicts, promotion_eligibility, bind_status, stale_edges, ref_integrity, lifecycle_last_write, op_log_sequence_check, effective_satisfaction, entry_status, stratified_sample, precision_recall, trace_matrix, reverse_view, netstring_ids, content_hash, dataset_signature, heading_sections, excel_unpivot_header_detect, long_text_chunks, quantity_extraction, document_versions)
 QUERIES = {f.__name__: f for f in _ALL}
 _R = lambda x: f"floor(({x}) * 1e6 + 0.5) / 1e6"
 ORACLE_SQL = {

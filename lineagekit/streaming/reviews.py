@@ -1,7 +1,8 @@
-"""Review events as a stream: the same fold as in batch, with a small state a session."""
+"""Review events as a stream: the same fold as in batch, with the session as state."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,36 +10,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.review import FOLDED, TARGETS, step
+from ..operators.review import FOLDED, Session
 
-STATE = "statuses string, revision long, events long, refused long, last_ts long, last_id long"
+STATE = "session string, last_ts long, last_id long"
+START = "start_comparison"
+
+
+def _restored(data: str) -> Session:
+    given = json.loads(data)
+    session = Session([])
+    session.comparisons = {c: {t: tuple(v) for t, v in targets.items()} for c, targets in given["comparisons"].items()}
+    session.status, session.revision, session.refused = given["status"], given["revision"], given["refused"]
+    return session
 
 
 def folded(events: DataFrame) -> DataFrame:
     """FOLDED rows of sessions after each micro-batch (update mode).
 
-    ``events``: session, target, action, ts (timestamp), event_id. Events of a batch are applied by
-    (ts, event_id). A late event, at or before the last applied one, is counted as refused: the fold is
-    not commutative, so applying it late would give a state that no order of events explains.
+    ``events``: session_id, action, comparison_id, target, verdict, ts (timestamp), event_id; the action
+    ``start_comparison`` adds a comparison to its session. Events of a batch are applied by (ts, event_id).
+    A late event, at or before the last applied one, is counted as refused: the fold is not commutative,
+    so applying it late would give a state that no order of events explains.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            statuses, revision, count, refused, last_ts, last_id = state.get
-            current, last = dict(zip(TARGETS, statuses.split(","))), (last_ts, last_id)
-        else:
-            current, last, revision, count, refused = dict.fromkeys(TARGETS, "unreviewed"), (-(2**62), 0), 0, 0, 0
-        for frame in sorted(frames, key=lambda f: (f["micros"].min() if len(f) else 0)):
-            for e in frame.sort_values(["micros", "event_id"]).itertuples():
-                at = (int(e.micros), int(e.event_id))
-                changed = at > last and step(current, e.action, e.target)
-                last = max(last, at)
-                count, revision, refused = count + 1, revision + changed, refused + (not changed)
-        state.update((",".join(current[t] for t in TARGETS), revision, count, refused, *last))
-        yield pd.DataFrame([(key[0], t, current[t], revision, count, refused) for t in TARGETS], columns=[c.split()[0] for c in FOLDED.split(", ")])
-
-    rows = events.where("session is not null").select("session", "target", "action", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id")
-    return rows.groupBy("session").applyInPandasWithState(update, FOLDED, STATE, "update", GroupStateTimeout.NoTimeout)
+        session, last = (_restored(state.get[0]), tuple(state.get[1:])) if state.exists else (Session([]), (-(2**62), 0))
+        frame = pd.concat(list(frames), ignore_index=True).sort_values(["micros", "event_id"])
+        for e in frame.itertuples():
+            at = (int(e.micros), int(e.event_id))
+            if at <= last:
+                session.refused += 1
+            elif e.action == START:
+                session.comparisons.setdefault(e.comparison_id, Session.initial())
+            else:
+                session.apply(e.action, e.comparison_id, e.target, e.verdict)
+            last = max(last, at)
+        state.update((json.dumps({"comparisons": session.comparisons, "status": session.status, "revision": session.revision, "refused": session.refused}), *last))
+        yield pd.DataFrame(session.rows(key[0]), columns=[c.split()[0] for c in FOLDED.split(", ")])
+
+    rows = events.where("session_id is not null").select("session_id", "action", "comparison_id", "target", "verdict", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id")
+    return rows.groupBy("session_id").applyInPandasWithState(update, FOLDED, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def windowed_actions(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
