@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import knowledge, linking, meaning, quantity
+from . import graph, knowledge, linking, meaning, quantity
 
-MODULES = (quantity, meaning, linking, knowledge)
+MODULES = (quantity, meaning, linking, knowledge, graph)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
