@@ -37,7 +37,7 @@ def capped_pairs(pairs: DataFrame, group: list[str], order: list[str], per_group
 def with_mode(df: DataFrame, modes: DataFrame, requirement: str, actual: str) -> DataFrame:
     """Joins the derivation table (requirement_semantics, actual_semantics, mode); null: no mode."""
     table = modes.select(F.col("requirement_semantics").alias(requirement), F.col("actual_semantics").alias(actual), "mode")
-    return df.join(F.broadcast(table), [requirement, actual], "left")
+    return df.join(table, [requirement, actual], "left")
 
 
 def top_and_margin(scores: DataFrame, key: list[str], value: str, score: str) -> DataFrame:

@@ -5,8 +5,11 @@ Sides are DataFrames (id, value). Every method gives (a_id, b_id, method, confid
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,17 +89,15 @@ def codes(df: DataFrame, pattern: str) -> DataFrame:
     return df.select("id", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(f"({pattern})"), F.lit(1)))).alias("code"))
 
 
-def code_match(a: DataFrame, b: DataFrame, pattern: str, most: int, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """Pairs that share a code which at most ``most`` rows of either side hold (a guard, as for values)."""
+def code_match(a: DataFrame, b: DataFrame, pattern: str, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """Pairs that share a code."""
     x, y = codes(a, pattern), codes(b, pattern)
-    rare = lambda s: s.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("code")
-    both = rare(x).join(rare(y), "code")
-    return links(x.join(both, "code").withColumnRenamed("id", "a_id").join(y.withColumnRenamed("id", "b_id"), "code").select("a_id", "b_id").distinct(), "code", config.code)
+    return links(x.withColumnRenamed("id", "a_id").join(y.withColumnRenamed("id", "b_id"), "code").select("a_id", "b_id").distinct(), "code", config.code)
 
 
 def synonym_match(a: DataFrame, b: DataFrame, synonyms: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """Terms (id, value) with the same base in ``synonyms`` (term, base) and different spelling; per pair of values."""
-    base = lambda s, p: s.join(F.broadcast(synonyms), s["value"] == synonyms["term"]).select(F.col("id").alias(f"{p}_id"), F.col("value").alias(f"{p}_value"), "base")
+    base = lambda s, p: s.join(synonyms, s["value"] == synonyms["term"]).select(F.col("id").alias(f"{p}_id"), F.col("value").alias(f"{p}_value"), "base")
     return links(base(a, "a").join(base(b, "b"), "base").where("a_value <> b_value").select("a_id", "b_id").distinct(), "synonym", config.synonym)
 
 
@@ -146,14 +147,26 @@ def tfidf_cosine(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     return x.join(y, "feature").groupBy("a_id", "b_id").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def tag_dice(a: DataFrame, b: DataFrame, most_rows: int, least: float) -> DataFrame:
-    """(a_id, b_id, similarity) of tags (id, tag); tags of more than ``most_rows`` rows of b tell nothing."""
-    rare = b.groupBy("tag").agg(F.countDistinct("id").alias("n")).where(F.col("n") <= most_rows).select("tag")
-    x, y = a.distinct().join(rare, "tag"), b.distinct().join(rare, "tag")
-    size = lambda s, p: s.groupBy(F.col("id").alias(f"{p}_id")).agg(F.count("*").alias(f"{p}_n"))
-    shared = x.withColumnRenamed("id", "a_id").join(y.withColumnRenamed("id", "b_id"), "tag").groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
-    out = shared.join(size(x, "a"), "a_id").join(size(y, "b"), "b_id").select("a_id", "b_id", (2.0 * F.col("shared") / (F.col("a_n") + F.col("b_n"))).alias("similarity"))
-    return out.where(F.col("similarity") >= least)
+def tag_dice(a: DataFrame, b: DataFrame, least: float, ratio: float = 1.0) -> DataFrame:
+    """(a_id, b_id, similarity) of tags (id, tag); tags of more than ``ratio`` of the rows of b tell nothing.
+
+    Where every pair over ``least`` shares two tags at least, pairs of tags are the keys, which bring up
+    hardly anything but results; else tags are.
+    """
+    x, y = a.distinct(), b.distinct()
+    if ratio < 1:
+        rows = y.select("id").distinct().count()
+        common = y.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") > ratio * rows).select("tag")
+        x, y = x.join(common, "tag", "left_anti"), y.join(common, "tag", "left_anti")
+    sets = lambda s, p: s.groupBy(F.col("id").alias(f"{p}_id")).agg(F.array_sort(F.collect_set("tag")).alias(f"{p}_tags"))
+    x, y = sets(x, "a"), sets(y, "b")
+    fewest = [s.agg(F.min(F.size(f"{p}_tags"))).first()[0] or 0 for s, p in ((x, "a"), (y, "b"))]
+    double = min(fewest) >= 2 and least * sum(fewest) / 2 > 1
+    two = "flatten(transform({0}, (t, i) -> transform(slice({0}, i + 2, size({0})), u -> concat(cast(length(t) as string), ':', t, u))))"
+    key = lambda p: F.explode(F.expr(two.format(f"{p}_tags")) if double else F.col(f"{p}_tags")).alias("key")
+    pairs = x.select("a_id", F.size("a_tags").alias("a_n"), "a_tags", key("a")).join(y.select("b_id", F.size("b_tags").alias("b_n"), "b_tags", key("b")), "key")
+    both = pairs.select("a_id", "b_id", (2.0 * F.size(F.array_intersect("a_tags", "b_tags")) / (F.col("a_n") + F.col("b_n"))).alias("similarity"))
+    return both.where(F.col("similarity") >= least).distinct()
 
 
 def best_method(matches: DataFrame, priority: dict[str, int]) -> DataFrame:
@@ -181,7 +194,7 @@ def structured_dominance(matches: DataFrame) -> DataFrame:
 
 def scoped(matches: DataFrame, a_groups: DataFrame, b_groups: DataFrame, scope: DataFrame, default: str = "undecided") -> DataFrame:
     """Links with their group pair's state; excluded pairs go, except exact and code links (flagged)."""
-    g = matches.join(a_groups.toDF("a_id", "a_group"), "a_id").join(b_groups.toDF("b_id", "b_group"), "b_id").join(F.broadcast(scope), ["a_group", "b_group"], "left")
+    g = matches.join(a_groups.toDF("a_id", "a_group"), "a_id").join(b_groups.toDF("b_id", "b_group"), "b_id").join(scope, ["a_group", "b_group"], "left")
     state = F.coalesce("state", F.lit(default))
     kept = g.withColumn("state", state).where((F.col("state") != "excluded") | F.col("method").isin("exact", "code"))
     return kept.withColumn("exception", F.col("state") == "excluded")
@@ -202,3 +215,72 @@ def top_candidates(pairs: DataFrame, existing: DataFrame, most: int = 3) -> Data
     """The best ``most`` targets of each source, ranked before existing pairs are taken out."""
     w = Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).join(existing, ["a_id", "b_id"], "left_anti")
+
+
+def best_in_blocks(a: DataFrame, b: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], most: int = 3, a_block: int = 256, b_block: int = 4000) -> DataFrame:
+    """(a_id, b_id, score): for each of a (a_id and columns) its best ``most`` of b (b_id and columns) in each block of b.
+
+    Every block of queries meets every block of rows in a task, which returns ``most`` rows a query. ``score``
+    gives a matrix; NaN is no candidate. Ties go to the smaller id. Blocks are of a size, so tasks are.
+    """
+    n = [max(1, -(-df.count() // size)) for df, size in ((a, a_block), (b, b_block))]
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = a.withColumn("_a", F.pmod(F.xxhash64("a_id"), F.lit(n[0]))).withColumn("_b", every(n[1]))
+    right = b.withColumn("_b", F.pmod(F.xxhash64("b_id"), F.lit(n[1]))).withColumn("_a", every(n[0]))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a_id": [], "b_id": [], "score": []}).astype({"a_id": "int64", "b_id": "int64"})
+        y = y.sort_values("b_id", ignore_index=True)
+        value = score(x, y)
+        order = np.argsort(-np.where(np.isnan(value), -np.inf, value), axis=1, kind="stable")[:, :most]
+        rows = np.repeat(np.arange(len(x)), order.shape[1])
+        found = pd.DataFrame({"a_id": x["a_id"].to_numpy()[rows], "b_id": y["b_id"].to_numpy()[order.ravel()], "score": value[rows, order.ravel()]})
+        return found[~found["score"].isna()]
+
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(compare, "a_id long, b_id long, score double")
+
+
+def gram_counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Bigrams (as numbers) and their counts of each text; a text of one character is its own."""
+    out = []
+    for t in texts:
+        c = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        out.append(np.unique((c[:-1] << 21) + c[1:] if len(c) > 1 else -1 - c, return_counts=True))
+    return out
+
+
+def multiset_dice(a: list[str], b: list[str]) -> np.ndarray:
+    """Dice of the bigram multisets of all texts of a with all of b; 0 where one is empty."""
+    x, y = gram_counts(a), gram_counts(b)
+    known = np.unique(np.concatenate([g for g, _ in x])) if x else np.zeros(0, dtype=np.int64)
+
+    def grid(rows):
+        m = np.zeros((len(rows), len(known)), dtype=np.float32)
+        for i, (g, n) in enumerate(rows):
+            at = np.searchsorted(known, g)
+            hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == g) if len(known) else np.zeros(len(g), dtype=bool)
+            m[i, at[hit]] = n[hit]
+        return m
+
+    p, q = grid(x), grid(y)
+    shared = sum(((p >= t).astype(np.float32) @ (q >= t).astype(np.float32).T for t in range(1, int(p.max(initial=0)) + 1)), np.zeros((len(a), len(b)), dtype=np.float32))
+    size = lambda rows: np.array([n.sum() for _, n in rows], dtype=float)
+    return 2.0 * shared / np.maximum(1, size(x)[:, None] + size(y)[None, :])
+
+
+def relation_candidates(a: DataFrame, b: DataFrame, existing: DataFrame, least: float = 0.12, most: int = 3) -> DataFrame:
+    """(a_id, b_id, score, rank): the best targets b (b_id, text, tags) of each source a (a_id, text, tags).
+
+    Candidates overlap in tags or have multiset bigram Dice of ``least``; the score is 0.6 x Dice + 0.4 for
+    an overlap, at most 1. Existing pairs (a_id, b_id) are taken out after ranking.
+    """
+
+    def score(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+        dice = multiset_dice(x["text"].tolist(), y["text"].tolist())
+        names = {t: i for i, t in enumerate(sorted({t for tags in x["tags"] for t in (tags if tags is not None else ())}))}
+        mark = lambda side: np.array([[t in set(tags if tags is not None else ()) for t in names] for tags in side["tags"]], dtype=np.float32).reshape(len(side), len(names))
+        overlap = mark(x) @ mark(y).T > 0
+        return np.where(overlap | (dice >= least), np.minimum(1, 0.6 * dice + np.where(overlap, 0.4, 0)), np.nan)
+
+    return top_candidates(best_in_blocks(a, b, score, most), existing, most)

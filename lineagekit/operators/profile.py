@@ -16,7 +16,7 @@ def information(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def classified(fields: DataFrame, registry: DataFrame, technical: str, business: str) -> DataFrame:
     """classification and source of each (field): the registry first, then technical, then business patterns."""
-    hit = fields.join(F.broadcast(registry), "field", "left")
+    hit = fields.join((registry), "field", "left")
     by_rule = F.when(F.col("field").rlike(technical), "TECHNICAL").when(F.col("field").rlike(business), "BUSINESS_TEXT").otherwise("UNCLASSIFIED")
     source = F.when(F.col("classification").isNotNull(), "registry").when(by_rule == "UNCLASSIFIED", "none").otherwise("pattern")
     return hit.select("field", F.coalesce("classification", by_rule).alias("classification"), source.alias("source"))
@@ -39,7 +39,7 @@ def projected(df: DataFrame, id_column: str, title: list[str], text: list[str],
 
 def tagged(rows: DataFrame, rules: DataFrame, vocabulary: list[str]) -> DataFrame:
     """id, tags, unregistered of rows (id, text) under rules (tag, keyword): any keyword gives its tag."""
-    hits = rows.join(F.broadcast(rules), F.expr("contains(lower(text), lower(keyword))"), "left")
+    hits = rows.join((rules), F.expr("contains(lower(text), lower(keyword))"), "left")
     found = hits.groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("all"))
     known = F.array(*[F.lit(t) for t in vocabulary])
     return found.select("id", F.array_join(F.array_intersect("all", known), ",").alias("tags"), F.array_join(F.array_except("all", known), ",").alias("unregistered"))

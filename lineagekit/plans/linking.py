@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -56,7 +57,7 @@ def code_match(spark, sf_dir):
     part, line = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
     a = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("for Supplier#"), F.lpad((F.col("p_partkey") % 40).cast("string"), 9, "0"), F.lit(" "), F.col("p_brand")).alias("value"))
     b = line.select(F.col("s_suppkey").alias("id"), F.concat(F.col("s_name"), F.lit(" / Supplier#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("value"))
-    return L.code_match(a, b, "[A-Za-z]+#[0-9]+", most=1000)
+    return L.code_match(a, b, "[A-Za-z]+#[0-9]+")
 
 
 def synonym_match(spark, sf_dir):
@@ -64,22 +65,21 @@ def synonym_match(spark, sf_dir):
     return L.synonym_match(kinds, kinds, values(spark, SYNONYMS, "term string, base string"))
 
 
-def _lines(spark, sf_dir):
-    """Distinct short lines of few documents, and the part names; ids are the lines."""
-    line = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("id"))
-    few = line.where(F.length("id").between(10, 60)).groupBy("id").agg(F.count("*").alias("n")).where("n <= 5").select("id")
-    return few.union(read(spark, sf_dir, "part").select(F.col("p_name").alias("id"))).distinct()
+def _names(spark, sf_dir):
+    """Distinct names of parts with their type: the fields that the fuzzy method is for."""
+    rows = read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("id")).distinct()
+    return rows.select("id", T.grams(T.match_key(F.col("id"))).alias("grams"))
 
 
 def fuzzy_bigram_match(spark, sf_dir):
-    rows = _lines(spark, sf_dir).select("id", T.grams(T.match_key(F.col("id"))).alias("grams"))
-    return L.similar_sets(rows).select("x", "y", rounded(F.col("similarity")).alias("similarity"))
+    return L.similar_sets(_names(spark, sf_dir)).select("x", "y", rounded(F.col("similarity")).alias("similarity"))
 
 
 def near_tie_ambiguity(spark, sf_dir):
-    found = fuzzy_bigram_match(spark, sf_dir)
+    """Rivals within the margin count from below the threshold on; what is reported reaches it."""
+    found = L.similar_sets(_names(spark, sf_dir), 0.72).select("x", "y", "similarity")
     pairs = found.select(F.col("x").alias("a_id"), F.col("y").alias("b_id"), "similarity").union(found.select(F.col("y"), F.col("x"), "similarity"))
-    return L.near_ties(pairs).groupBy("a_id").agg(F.count("*").alias("candidates"), F.count(F.when(F.col("ambiguous"), 1)).alias("ambiguous"))
+    return L.near_ties(pairs).where("similarity >= 0.75").groupBy("a_id").agg(F.count("*").alias("candidates"), F.count(F.when(F.col("ambiguous"), 1)).alias("ambiguous"))
 
 
 def _words(df, key):
@@ -96,7 +96,7 @@ def tag_dice_match(spark, sf_dir):
     tags = lambda *cols: F.explode(F.array(*cols))
     a = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), tags(F.col("p_brand"), F.col("p_type"), F.concat(F.lit("size"), F.col("p_size").cast("string"))).alias("tag"))
     b = part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("id"), tags(F.col("p_brand"), F.col("p_name"), F.concat(F.lit("size"), F.col("p_size").cast("string"))).alias("tag"))
-    return L.tag_dice(a, b, 200, 0.6).select("a_id", "b_id", rounded(F.col("similarity")).alias("similarity"))
+    return L.tag_dice(a, b, 0.6).select("a_id", "b_id", rounded(F.col("similarity")).alias("similarity"))
 
 
 def _methods(spark, sf_dir):
@@ -105,7 +105,7 @@ def _methods(spark, sf_dir):
     tags = tag_dice_match(spark, sf_dir).select("a_id", "b_id", F.lit("tag").alias("method"), (F.col("similarity") * 0.88).alias("confidence"))
     part = read(spark, sf_dir, "part")
     side = lambda k: part.where(f"p_partkey % 2 = {k}").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_name", "p_type", "p_brand").alias("value"))
-    x, y = L.uniqueness(side(0)).where("n <= 3").join(side(0), "value"), side(1)
+    x, y = side(0), side(1)
     partial = L.links(x.select(F.col("id").alias("a_id"), "value").join(y.select(F.col("id").alias("b_id"), "value"), "value"), "partial", 0.70)
     return exact.union(tags).union(partial)
 
@@ -144,27 +144,29 @@ def effective_relations(spark, sf_dir):
     return L.effective(automatic, decisions)
 
 
+TAG_WORDS = ("the", "der", "que", "les", "with", "und")
+
+
 def relation_candidates_top3(spark, sf_dir):
-    bench, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    words = lambda df, k, name: df.select(F.col(k).alias(name), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \n]+"), lambda w: F.length(w) >= 6))).alias("w"))
-    a, b = words(bench, "item_id", "a_id"), words(docs, "doc_id", "b_id")
-    size = lambda s, i, n: s.groupBy(i).agg(F.count("*").alias(n))
-    shared = a.join(b, "w").groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
-    scored = shared.join(size(a, "a_id", "a_n"), "a_id").join(size(b, "b_id", "b_n"), "b_id").select("a_id", "b_id", rounded(0.6 * 2 * F.col("shared") / (F.col("a_n") + F.col("b_n"))).alias("score"))
-    existing = partial_match(spark, sf_dir).select("a_id", "b_id")
-    return L.top_candidates(scored.where("score >= 0.02"), existing)
+    text = T.comparison_key(F.col("text"))
+    tags = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(f" {w} {v}")), f"{w} {v}") for w in TAG_WORDS for v in TAG_WORDS]))
+    side = lambda name, key, own: read(spark, sf_dir, name).where("text is not null").select(F.col(key).alias(own), text.alias("text"), tags.alias("tags"))
+    found = L.relation_candidates(side("benchmark", "item_id", "a_id"), side("documents", "doc_id", "b_id"), partial_match(spark, sf_dir).select("a_id", "b_id"))
+    return found.select("a_id", "b_id", rounded(F.col("score"), 3).alias("score"), "rank")
 
 
 def embedding_cosine_topk(spark, sf_dir):
     """The three nearest of every vector whose id is divisible by 50, over all vectors, in blocks."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    e = e.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).where("norm > 0")
-    blocks = 8
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a_id"), F.col("v").alias("a_v"), F.col("norm").alias("a_norm"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    rows = e.select(F.col("vec_id").alias("b_id"), F.col("v").alias("b_v"), F.col("norm").alias("b_norm"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    pairs = q.join(rows, "block").where("a_id <> b_id").select("a_id", "b_id", rounded(dot(F.col("a_v"), F.col("b_v")) / (F.col("a_norm") * F.col("b_norm"))).alias("score"))
-    return L.top_candidates(pairs, pairs.limit(0).select("a_id", "b_id"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v")).where(F.exists("v", lambda x: x != 0))
+
+    def score(x, y):
+        p, q = (np.stack(side["v"].to_numpy()) for side in (x, y))
+        value = (p / np.linalg.norm(p, axis=1)[:, None]) @ (q / np.linalg.norm(q, axis=1)[:, None]).T
+        value = np.floor(value * 1e6 + 0.5) / 1e6
+        return np.where(x["a_id"].to_numpy()[:, None] == y["b_id"].to_numpy()[None, :], np.nan, value)
+
+    found = L.best_in_blocks(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "a_id"), e.withColumnRenamed("vec_id", "b_id"), score, a_block=1000, b_block=20_000)
+    return L.top_candidates(found, found.limit(0).select("a_id", "b_id"))
 
 
 QUERIES = {f.__name__: f for f in (value_uniqueness, exact_match_unique, title_candidate, boilerplate_segments, partial_match, containment_counts, code_match, synonym_match, fuzzy_bigram_match, near_tie_ambiguity, tfidf_vector_match, tag_dice_match, best_method_per_pair, structured_dominance, hierarchy_gate, scope_blocking, effective_relations, relation_candidates_top3, embedding_cosine_topk)}
@@ -174,25 +176,22 @@ _EXACT = f"""a AS (SELECT {_VALUE} AS v, min(p_partkey) AS id FROM part WHERE p_
 b AS (SELECT {_VALUE} AS v, min(p_partkey) AS id FROM part WHERE p_partkey % 2 = 1 GROUP BY 1 HAVING count(*) = 1)"""
 _TAGS = """rt AS (SELECT p_partkey AS id, unnest([p_brand, p_type, 'size' || p_size]) AS tag FROM part WHERE p_partkey % 2 = 0),
 st AS (SELECT p_partkey AS id, unnest([p_brand, p_name, 'size' || p_size]) AS tag FROM part WHERE p_partkey % 2 = 1),
-rare AS (SELECT tag FROM st GROUP BY 1 HAVING count(DISTINCT id) <= 200),
-x AS (SELECT DISTINCT id, tag FROM rt SEMI JOIN rare USING (tag)), y AS (SELECT DISTINCT id, tag FROM st SEMI JOIN rare USING (tag)),
+x AS (SELECT DISTINCT id, tag FROM rt), y AS (SELECT DISTINCT id, tag FROM st),
 tags AS (SELECT x.id AS a_id, y.id AS b_id, 2.0::DOUBLE * count(*) / (any_value(xn.n) + any_value(yn.n)) AS s FROM x JOIN y USING (tag)
   JOIN (SELECT id, count(*) AS n FROM x GROUP BY 1) xn ON xn.id = x.id JOIN (SELECT id, count(*) AS n FROM y GROUP BY 1) yn ON yn.id = y.id GROUP BY 1, 2)"""
 _METHODS = f"""{_EXACT}, {_TAGS},
 pv AS (SELECT p_partkey AS id, p_name || '|' || p_type || '|' || p_brand AS v FROM part),
-pu AS (SELECT v FROM pv WHERE id % 2 = 0 GROUP BY 1 HAVING count(*) <= 3),
 m AS (SELECT a.id AS a_id, b.id AS b_id, 'exact' AS method, 1.0::DOUBLE AS c FROM a JOIN b USING (v)
   UNION ALL SELECT a_id, b_id, 'tag', floor(s * 1e6 + 0.5) / 1e6 * 0.88::DOUBLE FROM tags WHERE s >= 0.6
-  UNION ALL SELECT p.id, q.id, 'partial', 0.70::DOUBLE FROM pv p SEMI JOIN pu USING (v) JOIN pv q ON q.v = p.v WHERE p.id % 2 = 0 AND q.id % 2 = 1)"""
+  UNION ALL SELECT p.id, q.id, 'partial', 0.70::DOUBLE FROM pv p JOIN pv q ON q.v = p.v WHERE p.id % 2 = 0 AND q.id % 2 = 1)"""
 _BEST = """best AS (SELECT a_id, b_id, arg_max(method, (c, CASE method WHEN 'exact' THEN 0 WHEN 'tag' THEN -2 ELSE -5 END)) AS method,
   floor(max(c) * 1e6 + 0.5) / 1e6 AS confidence, count(DISTINCT method) AS methods FROM m GROUP BY 1, 2)"""
-_FUZZY = """l0 AS (SELECT line FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) BETWEEN 10 AND 60 GROUP BY 1 HAVING count(*) <= 5
-  UNION SELECT p_name FROM part),
+_FUZZY = """l0 AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS line FROM part),
 l AS (SELECT line, regexp_replace(lower(line), '\\s+', '', 'g') AS k FROM l0),
 g AS (SELECT DISTINCT line, CASE WHEN length(k) = 1 THEN k ELSE substring(k, CAST(i AS INT), 2) END AS g FROM l, unnest(range(1, greatest(2, length(k)))) t(i) WHERE k <> ''),
 n AS (SELECT line, count(*) AS n FROM g GROUP BY 1),
 s AS (SELECT a.line AS x, b.line AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.line < b.line GROUP BY 1, 2),
-f AS (SELECT x, y, floor(2.0::DOUBLE * c / (p.n + q.n) * 1e6 + 0.5) / 1e6 AS similarity FROM s JOIN n p ON p.line = x JOIN n q ON q.line = y WHERE 2.0::DOUBLE * c / (p.n + q.n) >= 0.75)"""
+r AS (SELECT x, y, 2.0::DOUBLE * c / (p.n + q.n) AS raw, floor(2.0::DOUBLE * c / (p.n + q.n) * 1e6 + 0.5) / 1e6 AS similarity FROM s JOIN n p ON p.line = x JOIN n q ON q.line = y WHERE 2.0::DOUBLE * c / (p.n + q.n) >= 0.72)"""
 _W = lambda key, t: f"SELECT {key} AS id, w AS feature, count(*) AS tf FROM (SELECT {key}, unnest(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+')) AS w FROM {t}) WHERE length(w) >= 4 GROUP BY 1, 2"
 ORACLE_SQL = {
     "value_uniqueness": f"""
@@ -211,16 +210,15 @@ d AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_spl
 SELECT word, coalesce(n, 0) AS n FROM b LEFT JOIN d USING (word)""",
     "code_match": """
 SELECT p_partkey AS a_id, s_suppkey AS b_id, 'code' AS method, 0.9::DOUBLE AS confidence
-FROM part JOIN supplier ON p_partkey % 40 = s_suppkey
-WHERE (SELECT count(*) FROM part p WHERE p.p_partkey % 40 = s_suppkey) <= 1000""",
+FROM part JOIN supplier ON p_partkey % 40 = s_suppkey""",
     "synonym_match": """
 WITH s(term, base) AS (VALUES ('PROMO','A'), ('ECONOMY','A'), ('STANDARD','B'), ('SMALL','C'), ('MEDIUM','C'), ('LARGE','B')),
 k AS (SELECT DISTINCT p_type, base FROM part JOIN s ON upper(p_type) = term)
 SELECT x.p_type AS a_id, y.p_type AS b_id, 'synonym' AS method, 0.8::DOUBLE AS confidence FROM k x JOIN k y USING (base) WHERE upper(x.p_type) <> upper(y.p_type)""",
-    "fuzzy_bigram_match": f"WITH {_FUZZY} SELECT x, y, similarity FROM f",
+    "fuzzy_bigram_match": f"WITH {_FUZZY} SELECT x, y, similarity FROM r WHERE raw >= 0.75",
     "near_tie_ambiguity": f"""
-WITH {_FUZZY}, p AS (SELECT x AS a, y AS b, similarity AS s FROM f UNION ALL SELECT y, x, similarity FROM f)
-SELECT a AS a_id, count(*) AS candidates, count(*) FILTER ((SELECT count(*) FROM p q WHERE q.a = p.a AND q.s >= p.s - 0.03::DOUBLE) >= 2) AS ambiguous FROM p GROUP BY 1""",
+WITH {_FUZZY}, p AS (SELECT x AS a, y AS b, raw AS s FROM r UNION ALL SELECT y, x, raw FROM r)
+SELECT a AS a_id, count(*) AS candidates, count(*) FILTER ((SELECT count(*) FROM p q WHERE q.a = p.a AND q.s >= p.s - 0.03::DOUBLE) >= 2) AS ambiguous FROM p WHERE s >= 0.75 GROUP BY 1""",
     "tfidf_vector_match": f"""
 WITH a AS ({_W('item_id', 'benchmark')}), b AS ({_W('doc_id', 'documents')}),
 t AS (SELECT count(DISTINCT id) AS n FROM b), df AS (SELECT feature, count(*) AS df FROM b GROUP BY 1),
@@ -248,14 +246,18 @@ WITH {_METHODS}, {_BEST},
 d AS (SELECT user_id * 2 AS a_id, event_id % 50 * 2 + 1 AS b_id, arg_max(CASE event_type WHEN 'error' THEN 'exclude' WHEN 'signup' THEN 'link' ELSE 'keep' END, (ts, event_id)) AS decision FROM events GROUP BY 1, 2)
 SELECT a_id, b_id, coalesce(method, 'manual') AS method, confidence, coalesce(decision, 'none') AS decision
 FROM best FULL JOIN d USING (a_id, b_id) WHERE coalesce(decision, '') <> 'exclude' AND (method IS NOT NULL OR decision = 'link')""",
-    "relation_candidates_top3": """
-WITH a AS (SELECT DISTINCT item_id AS id, w FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[ \\n]+')) AS w FROM benchmark) WHERE length(w) >= 6),
-b AS (SELECT DISTINCT doc_id AS id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \\n]+')) AS w FROM documents) WHERE length(w) >= 6),
-an AS (SELECT id, count(*) AS n FROM a GROUP BY 1), bn AS (SELECT id, count(*) AS n FROM b GROUP BY 1),
-s AS (SELECT a.id AS a_id, b.id AS b_id, floor(0.6::DOUBLE * 2 * count(*) / (any_value(an.n) + any_value(bn.n)) * 1e6 + 0.5) / 1e6 AS score
-  FROM a JOIN b USING (w) JOIN an ON an.id = a.id JOIN bn ON bn.id = b.id GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rn FROM s WHERE score >= 0.02)
-SELECT a_id, b_id, score, CAST(rn AS INT) AS rank FROM r WHERE rn <= 3 AND NOT EXISTS (SELECT 1 FROM benchmark t, documents d WHERE t.item_id = a_id AND d.doc_id = b_id AND contains(d.text, t.text))""",
+    "relation_candidates_top3": f"""
+WITH t AS (SELECT 'a' AS side, item_id AS id, text FROM benchmark WHERE text IS NOT NULL UNION ALL SELECT 'b', doc_id, text FROM documents WHERE text IS NOT NULL),
+k AS (SELECT side, id, translate(trim(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM t),
+g AS (SELECT side, id, substr(x, i::INT, 2) AS g, count(*) AS n FROM k, unnest(range(1, greatest(2, length(x)))) u(i) WHERE x <> '' GROUP BY 1, 2, 3),
+z AS (SELECT side, id, sum(n) AS n FROM g GROUP BY 1, 2),
+w AS (SELECT side, id, list_filter([{", ".join(f"'{p} {q}'" for p in TAG_WORDS for q in TAG_WORDS)}], lambda y: contains(x, ' ' || y)) AS tags FROM k),
+s AS (SELECT a.id AS a_id, b.id AS b_id, sum(least(a.n, b.n)) AS c FROM g a JOIN g b ON a.side = 'a' AND b.side = 'b' AND a.g = b.g GROUP BY 1, 2),
+d AS (SELECT wa.id AS a_id, wb.id AS b_id, 2.0::DOUBLE * coalesce(c, 0) / greatest(1, za.n + zb.n) AS dice, list_has_any(wa.tags, wb.tags) AS o FROM w wa JOIN w wb ON wa.side = 'a' AND wb.side = 'b'
+      LEFT JOIN s ON s.a_id = wa.id AND s.b_id = wb.id LEFT JOIN z za ON za.side = 'a' AND za.id = wa.id LEFT JOIN z zb ON zb.side = 'b' AND zb.id = wb.id),
+v AS (SELECT a_id, b_id, least(1, 0.6::DOUBLE * dice + CASE WHEN o THEN 0.4 ELSE 0 END::DOUBLE) AS score FROM d WHERE o OR dice >= 0.12),
+r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rn FROM v)
+SELECT a_id, b_id, floor(score * 1e3 + 0.5) / 1e3 AS score, CAST(rn AS INT) AS rank FROM r WHERE rn <= 3 AND NOT EXISTS (SELECT 1 FROM benchmark t, documents d WHERE t.item_id = a_id AND d.doc_id = b_id AND contains(d.text, t.text))""",
     "embedding_cosine_topk": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, floor(list_cosine_similarity(a.e, b.e) * 1e6 + 0.5) / 1e6 AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
