@@ -77,23 +77,31 @@ def suffix_statistics(labelled: DataFrame) -> DataFrame:
     return got.orderBy(F.desc("seen"), "_suffix").limit(MAX_SUFFIXES).select("_suffix", odds.alias("suffix_odds"), (F.col("seen") / max(n, 1)).alias("suffix_share"))
 
 
-def labelled_urls(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """Labelled URLs (url, label) made by rule: label 1 for addresses built as unwanted ones are.
+def labelled_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
+    """Labelled URLs (url, label) made by rule; label 1 for what filters commonly block.
 
-    Unwanted: hyphenated bait words, digits and random tokens in hosts, many parameters, redirects.
-    Wanted: one or two plain words as host, a short path of words or a page number.
+    Wanted: one to three plain words as host, short paths of words, at times a date, a number or one
+    parameter. Unwanted, each with some of: numeric or random hosts, bait words joined by hyphens, many
+    parameters, escaped redirects, deep paths of tokens.
     """
-    pick = lambda words, salt: F.element_at(F.array(*[F.lit(w) for w in words.split()]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words.split()))) + 1).cast("int"))
-    number = lambda most, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(most)).cast("string")
+    h = lambda salt, most: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(most))
+    pick = lambda words, salt: F.element_at(F.array(*[F.lit(w) for w in words.split()]), (h(salt, len(words.split())) + 1).cast("int"))
     token = lambda salt, length: F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256), 1, length)
-    suffix = pick("com org net de fr es info", "s")
-    plain = F.concat(pick("www blog m news docs", "p"), F.lit("."), pick("garden river history city music school museum science forum kitchen", "w"), pick("house walk notes guide times press", "v"), F.lit(".example."), suffix)
-    wanted = F.concat(F.lit("https://"), plain, F.lit("/"), pick("en de fr es about archive", "l"), F.lit("/"), number(9999, "n"), pick(".html / #top ?page=2 ?utm_source=feed ?page=2&ref=x", "e"))
-    bait = F.concat(pick("casino free cheap best win hot easy instant", "a"), F.lit("-"), pick("win bets pills loans prize money deals followers", "b"))
-    odd = F.concat(bait, F.when(F.col("id") % 3 == 0, F.concat(F.lit("-"), number(999, "d"))).otherwise(F.lit("")))
-    rough = F.concat(token("h", 18), F.lit("-"), number(99999, "g"))
-    unwanted = F.concat(F.lit("http://"), pick("www m blog", "p"), F.lit("."), F.when(F.col("id") % 4 == 1, rough).otherwise(odd), F.lit(".example."), suffix, F.lit("/"), pick("en de fr es go out", "l"), F.lit("/"), number(9999, "n"), F.when(F.col("id") % 5 == 2, F.concat(F.lit("?id="), token("i", 24), F.lit("&sid="), token("j", 16), F.lit("&u=http%3A%2F%2F"), token("k", 8))).otherwise(pick(".html / #top ?page=2&ref=x", "e")))
-    return spark.range(n).select(F.when(F.pmod(F.xxhash64("id", F.lit("y")), F.lit(3)) == 0, unwanted).otherwise(wanted).alias("url"), F.when(F.pmod(F.xxhash64("id", F.lit("y")), F.lit(3)) == 0, 1.0).otherwise(0.0).alias("label"))
+    some = lambda salt, most, value: F.when(h(salt, most) == 0, value).otherwise(F.lit(""))
+    words = "garden river history city music school museum science forum kitchen house walk notes guide times press market library travel weather"
+    suffix = pick("com org net edu info de fr es co.uk io gov eu", "s")
+    host = F.concat(some("w", 2, F.concat(pick("www blog docs news shop", "p"), F.lit("."))), pick(words, "a"), some("b", 2, pick(words, "c")), some("d", 5, F.concat(F.lit("-"), pick(words, "e"))), F.lit("."), suffix)
+    path = F.concat(F.lit("/"), some("f", 2, F.concat(pick(words, "g"), F.lit("/"))), some("h", 3, F.concat(pick("2009 2014 2018 2021", "i"), F.lit("/"))), pick(words, "j"), some("k", 3, F.concat(F.lit("-"), pick(words, "l"))), pick("/ .html .php .pdf /index", "m"), some("n", 6, F.concat(F.lit("?"), pick("page id lang section", "o"), F.lit("="), (h("q", 90) + 1).cast("string"))))
+    wanted = F.concat(pick("https:// https:// http://", "r"), host, path)
+    bait = F.concat_ws("-", pick("free cheap best hot easy instant secret lucky", "t"), pick("pills loans bets prizes money deals followers slots casino", "u"), some("v", 2, h("x", 999).cast("string")))
+    number = F.concat_ws(".", *[(h(f"y{i}", 254) + 1).cast("string") for i in range(4)])
+    rough = F.concat(token("z", 14), F.lit("."), pick("top xyz click info biz ru", "A"))
+    bad_host = F.when(h("B", 3) == 0, F.concat(bait, F.lit("."), pick("com net top biz info", "C"))).when(h("B", 3) == 1, rough).otherwise(F.when(h("D", 2) == 0, number).otherwise(F.concat(token("E", 8), F.lit("."), bait, F.lit(".com"))))
+    query = F.concat(F.lit("?id="), token("F", 20), F.lit("&sid="), token("G", 12), F.lit("&aff="), h("H", 99999).cast("string"), some("I", 2, F.concat(F.lit("&to=http%3A%2F%2F"), token("J", 10), F.lit("%2F"))))
+    bad_path = F.concat(F.lit("/"), some("K", 2, F.concat(token("L", 10), F.lit("/"), token("M", 16), F.lit("/"))), pick("go click out win offer login", "N"), F.when(h("O", 3) > 0, query).otherwise(F.concat(F.lit("-"), bait)))
+    unwanted = F.concat(pick("http:// http:// https://", "P"), bad_host, bad_path)
+    label = h("Q", 3) == 0
+    return spark.range(n).select(F.when(label, unwanted).otherwise(wanted).alias("url"), F.when(label, 1.0).otherwise(0.0).alias("label"))
 
 
 def features(df: DataFrame, url_col: str, suffixes: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@
   header line is read by those fields, and the body is cut by its declared length.
 * :func:`arc_to_warc` synthesises what WARC asks for: record ids, dates, types and digests.
 * :func:`mark_revisits` makes records of equal payloads revisits of one response.
-* :func:`write_warc` lets Spark write gzipped ``.warc`` text files: a record ends with two line
-  breaks, which is the line separator here. :func:`read_warc` reads them by Content-Length.
+* :func:`write_warc` lets Spark write WARC files, a gzip member a record. :func:`read_warc` reads them by
+  Content-Length.
 
 Nulls and edges: a null URL is ``-`` in ARC and has no WARC-Target-URI; white space in URLs is
 percent-encoded; null payloads are empty; a null id stays null. A declared length beyond the end of
@@ -25,17 +25,19 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, prepare, table
+from .common import integers, new_path, prepare, table, written
 
 # fixed values: the header fields of either ARC version
 FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
+MEMBER = (16 << 20) - 1
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARC_RECORD = "url string, ip string, date string, content_type string, result_code string, filename string, block binary, truncated boolean"
 WARC_PARTS = "source_id long, record_id string, warc_type string, head string, http_head binary, payload binary, payload_digest string"
@@ -171,26 +173,63 @@ def arc_to_warc(records: DataFrame) -> DataFrame:
     return records.mapInPandas(run, WARC_PARTS)
 
 
-def mark_revisits(parts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Adds refers_to, refers_to_id. ``firsts``: payload_digest, first_id of payloads that occur more than once.
+def mark_revisits(parts: DataFrame, least_bytes: int = 100) -> DataFrame:
+    """Adds refers_to, refers_to_id: of records with equal payloads of at least ``least_bytes`` all but that with
+    the smallest source id (null ids last) refer to it.
 
-    The records of one payload meet in a join with one row a payload, which Spark can split.
+    The first record of each payload comes of an aggregate of digests; records join it by their digest,
+    one row a payload, which Spark can split. Rows that repeat the smallest id are all responses.
     """
+    large = parts.where(F.octet_length("payload") >= least_bytes)
+    first = F.min(F.struct(F.col("source_id").isNull().alias("none"), "source_id", "record_id")).alias("first")
+    firsts = large.groupBy("payload_digest").agg(first, F.count("*").alias("n")).where("n > 1").select("payload_digest", F.col("first.source_id").alias("first_id"), F.col("first.record_id").alias("first_record"))
     joined = parts.join(firsts, "payload_digest", "left")
-    is_revisit = F.col("first_id").isNotNull() & ~F.col("source_id").eqNullSafe(F.col("first_id"))
-    return joined.withColumn("refers_to", F.when(is_revisit, F.col("first_id"))).drop("first_id")
+    later = F.col("first_record").isNotNull() & (F.col("record_id") != F.col("first_record")) & ~F.coalesce(F.col("source_id") == F.col("first_id"), F.lit(False))
+    return joined.withColumn("refers_to", F.when(later, F.col("first_id"))).withColumn("refers_to_id", F.when(later, F.col("first_record"))).drop("first_id", "first_record")
 
 
-def write_warc(parts: DataFrame, path: str, records_per_file: int = 20_000) -> None:
-    """Records as gzipped WARC/1.1 files; revisits keep the HTTP head only."""
-    revisit = F.col("refers_to").isNotNull()
+def members(data: bytes) -> bytes:
+    """Gzip members of some data, each of less than ``MEMBER`` bytes uncompressed, so that they end with a zero byte."""
+    out = []
+    for at in range(0, max(1, len(data)), MEMBER):
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(z.compress(data[at : at + MEMBER]) + z.flush())
+    return b"".join(out)
+
+
+def write_warc(parts: DataFrame, path: str) -> None:
+    """Records as WARC/1.1 files, a gzip member a record (several from 16 MB on), a warcinfo record first.
+
+    Revisits keep the HTTP head only and name the record they refer to. Files are written by Spark's text
+    writer, one a task, so they are as large as its partitions. The last byte of a member is the highest of
+    its uncompressed length, zero below 16 MB: that byte is the line separator.
+    """
+    revisit = F.col("refers_to_id").isNotNull()
     block = F.when(revisit, F.col("http_head")).otherwise(F.concat("http_head", "payload"))
-    text = F.concat(
+    known = F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("X-Refers-To-Source: "), F.col("refers_to").cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
+    head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.col("warc_type")), F.lit("\r\nWARC-Record-ID: "), F.col("record_id"), F.lit("\r\n"), F.col("head"),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {IDENTICAL}\r\nX-Refers-To-Source: "), F.col("refers_to").cast("string"), F.lit("\r\n"))).otherwise(F.lit("")),
-        F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block.cast("string"),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {IDENTICAL}\r\nWARC-Refers-To: "), F.col("refers_to_id"), F.lit("\r\n"), known)).otherwise(F.lit("")),
+        F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     )
-    parts.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+
+    def compress(batches):
+        first = True
+        for batch in batches:
+            made = [members(h.encode("utf-8", "surrogateescape") + b + b"\r\n\r\n")[:-1] for h, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            if first and made:
+                made.insert(0, members(warcinfo(f"part-{TaskContext.get().partitionId():05d}"))[:-1])
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
+
+    rows = parts.select(head.alias("head"), block.alias("block")).mapInArrow(compress, "value binary")
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+
+
+def warcinfo(name: str) -> bytes:
+    fields = b"software: lineagekit\r\nformat: WARC File Format 1.1\r\n"
+    ident = uuid.uuid5(uuid.NAMESPACE_URL, name)
+    return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{ident}>\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(fields)}\r\n\r\n".encode() + fields + b"\r\n\r\n"
 
 
 class _Stream:
@@ -206,7 +245,7 @@ class _Stream:
             self.z = zlib.decompressobj(31)
         if self.at >= len(self.data):
             return False
-        piece = self.data[self.at : self.at + (1 << 18)]
+        piece = self.data[self.at : self.at + (1 << 14)]
         self.at += len(piece)
         self.buffer += self.z.decompress(piece)
         return True
@@ -243,10 +282,12 @@ def parse_warc(data: bytes) -> Iterator[dict]:
         if names.get("content-type", "").startswith("application/http"):
             cut = block.find(b"\r\n\r\n") + 4
             http, payload = block[:cut], block[cut:]
-        digest = names["warc-payload-digest"].partition(":")[2]
         kind = names["warc-type"]
-        if kind == "revisit":
-            length, intact = int(re.search(rb"(?i)content-length:\s*(\d+)", http)[1]), True
+        if kind == "warcinfo":
+            continue
+        digest = names["warc-payload-digest"].partition(":")[2]
+        if kind == "revisit":  # the payload isn't here, so nothing was compared
+            length, intact = int(re.search(rb"(?i)content-length:\s*(\d+)", http)[1]), None
         else:
             length, intact = len(payload), hashlib.sha256(payload).hexdigest() == digest
         number = lambda k: int(names[k]) if k in names else None
@@ -260,6 +301,9 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """Records of the gzipped WARC files under ``path``; with ``payloads`` false their column is null."""
 
     def run(frames):
+        def made(batch: list[dict]) -> pd.DataFrame:
+            return pd.DataFrame(batch).assign(**{c: integers([r[c] for r in batch]) for c in ("page_id", "refers_to")})
+
         for frame in frames:
             for content in frame["content"]:
                 batch, size = [], 0
@@ -267,29 +311,20 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     size += 500 + len(record["payload"] or b"") * payloads
                     batch.append(record if payloads else record | {"payload": None})
                     if size > 8 << 20:
-                        yield pd.DataFrame(batch).astype(kinds)
+                        yield made(batch)
                         batch, size = [], 0
                 if batch:
-                    yield pd.DataFrame(batch).astype(kinds)
+                    yield made(batch)
 
-    kinds = {"page_id": "Int64", "refers_to": "Int64"}
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInPandas(run, WARC_RECORD)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    firsts = (
-        pages.where(F.octet_length("html") >= 100)
-        .groupBy(F.sha2(payload, 256).alias("payload_digest"))
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    parts = arc_to_warc(read_arc(pack_arc(pages)))
+    parts = written(arc_to_warc(read_arc(pack_arc(pages))), "records")
     path = new_path(spark, "warc")
-    write_warc(mark_revisits(parts, firsts), path)
+    write_warc(mark_revisits(parts), path)
     return read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
@@ -302,7 +337,7 @@ f AS (
   SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
 SELECT p.page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN f.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to, true AS intact
+       CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to, CASE WHEN f.first_id <> p.page_id THEN NULL ELSE true END AS intact
 FROM p LEFT JOIN f USING (payload_digest)
 """
 }
