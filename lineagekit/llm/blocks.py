@@ -28,6 +28,8 @@ from .common import prepare
 
 #: ``ids``, ``held`` and ``lengths`` (words) by text; ``words`` and ``counts`` (in texts not held out) by word.
 BLOCK = "block long, ids array<long>, held array<boolean>, lengths array<int>, words array<binary>, counts array<long>, places binary"
+#: What needs neither folds nor counts: the words in one packed text, a line each.
+LEAN = "block long, ids array<long>, lengths array<int>, places binary, lines binary"
 BLOCK_CHARS = 12 << 20
 
 
@@ -41,6 +43,11 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def listed(lines: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(lines)
+    return data.split(b"\n") if data else []
+
+
 class Numbers(dict):
     """Numbers of things in the order of their first sight."""
 
@@ -61,7 +68,7 @@ class Filling:
         self.places.append(np.fromiter(map(self.numbers.__getitem__, words), dtype="<u4", count=len(words)))
         self.chars += chars
 
-    def row(self) -> pa.RecordBatch:
+    def row(self, lean: bool) -> pa.RecordBatch:
         flat, lengths = np.concatenate(self.places), np.array([len(p) for p in self.places], dtype=np.int32)
         # frequent words get small numbers
         order = np.argsort(-np.bincount(flat, minlength=len(self.numbers)), kind="stable")
@@ -71,12 +78,16 @@ class Filling:
         counts = np.bincount(flat[np.repeat(~np.array(self.held, dtype=bool), lengths)], minlength=len(words))
         words = [w if isinstance(w, bytes) else w.encode() for w in map(words.__getitem__, order.tolist())]
         row = [pa.array([self.number], pa.int64()), pa.array([self.ids], pa.list_(pa.int64())), pa.array([self.held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32()))]
+        if lean:
+            lines = zstandard.ZstdCompressor(level=6).compress(b"\n".join(words))
+            return pa.RecordBatch.from_arrays([*row[:2], row[3], pa.array([packed(flat)], pa.binary()), pa.array([lines], pa.binary())], ["block", "ids", "lengths", "places", "lines"])
         row += [pa.array([words], pa.list_(pa.binary())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64())), pa.array([packed(flat)], pa.binary())]
         return pa.RecordBatch.from_arrays(row, ["block", "ids", "held", "lengths", "words", "counts", "places"])
 
 
-def blocks(rows: DataFrame, split: Callable[[str], list], block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """BLOCK rows of ``rows`` (doc_id long, text string, held boolean); ``split`` gives a text's words, str or bytes."""
+def blocks(rows: DataFrame, split: Callable[[str], list], block_chars: int = BLOCK_CHARS, lean: bool = False) -> DataFrame:
+    """BLOCK rows (LEAN ones) of ``rows`` (doc_id long, text string, held boolean); ``split`` gives a text's
+    words, str or bytes, without line feeds."""
     prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,17 +96,17 @@ def blocks(rows: DataFrame, split: Callable[[str], list], block_chars: int = BLO
             for doc_id, text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 size = len(text or "")
                 if block.ids and block.chars + size > block_chars:
-                    yield block.row()
+                    yield block.row(lean)
                     block = Filling(block.number + 1)
                 block.add(doc_id, bool(held), split(text or ""), size)
         if block.ids:
-            yield block.row()
+            yield block.row(lean)
 
-    return rows.select("doc_id", "text", "held").mapInArrow(run, BLOCK)
+    return rows.select("doc_id", "text", "held").mapInArrow(run, LEAN if lean else BLOCK)
 
 
 def word_rows(table: DataFrame, known: Broadcast) -> DataFrame:
-    """block, place, word: a row for each distinct word of a block that isn't among the ``known`` ones.
+    """block, place, word: a row for each distinct word of a LEAN block that isn't among the ``known`` ones.
 
     It reads whole rows of ``table``, so that an exchange of them serves this and :func:`returned`.
     """
@@ -103,10 +114,10 @@ def word_rows(table: DataFrame, known: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            for block, words in zip(batch.column(names.index("block")), batch.column(names.index("words"))):
-                place = np.flatnonzero([w not in known.value for w in words.values.to_pylist()]).astype(np.int32)
-                at = pa.array(place)
-                columns = [pa.array(np.full(len(place), block.as_py(), dtype=np.int64)), at, words.values.take(at)]
+            for block, lines in zip(batch.column(names.index("block")).to_pylist(), batch.column(names.index("lines")).to_pylist()):
+                words = listed(lines)
+                place = np.flatnonzero([w not in known.value for w in words]).astype(np.int32)
+                columns = [pa.array(np.full(len(place), block, dtype=np.int64)), pa.array(place), pa.array([words[i] for i in place.tolist()], pa.binary())]
                 yield from pa.Table.from_arrays(columns, ["block", "place", "word"]).to_batches(65536)
 
     return table.mapInArrow(run, "block long, place int, word binary")
@@ -145,9 +156,12 @@ class Block:
 
     @classmethod
     def of(cls, table: pa.Table) -> "Block":
-        """Of a table with one BLOCK row."""
-        one = {c: table.column(c).combine_chunks() for c in ("ids", "held", "lengths", "places", "words")}
-        return cls(table.column("block")[0].as_py(), one["ids"].values, np.array(one["held"].values.to_pylist(), dtype=bool), one["lengths"].values.to_numpy().astype(np.int64), unpacked(one["places"][0].as_py()), one["words"].values.to_pylist())
+        """Of a table with one BLOCK or LEAN row."""
+        one = {c: table.column(c).combine_chunks() for c in table.column_names if c in ("ids", "held", "lengths", "places", "words", "lines")}
+        n = len(one["ids"].values)
+        held = np.array(one["held"].values.to_pylist(), dtype=bool) if "held" in one else np.zeros(n, dtype=bool)
+        words = one["words"].values.to_pylist() if "words" in one else listed(one["lines"][0].as_py())
+        return cls(table.column("block")[0].as_py(), one["ids"].values, held, one["lengths"].values.to_numpy().astype(np.int64), unpacked(one["places"][0].as_py()), words)
 
     def ends(self) -> np.ndarray:
         return np.cumsum(self.lengths)

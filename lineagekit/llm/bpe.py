@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .blocks import Block, blocks, by_block, each_word_once, returned, word_rows
 from .common import prepare, table
 
-#: Words whose ids every task holds, and the rows (and their characters) that they are looked for in.
-FREQUENT, ROWS, CHARS = 60_000, 1000, 20_000
+#: Words whose ids every task holds, the rows (and their characters) that they are looked for in, and characters of a block.
+FREQUENT, ROWS, CHARS, BLOCK = 100_000, 2000, 20_000, 10 << 20
 ENCODED = "doc_id long, ids binary, decoded string"
 #: Texts of these characters are normalised and split by Python's own functions, which agree with the library there.
 PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ɏ‐-‧€]")
@@ -89,7 +89,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark, path = prepare(docs.sparkSession), tokenizer_path or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("held"))
     # words of a bounded sample of rows: encoded here, once, and known to every task; any choice gives the same result
-    head = rows.where(F.length("text") <= CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS).select("text").collect()
+    some = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS)
+    head = rows.join(F.broadcast(some), "doc_id").where(F.length("text") <= CHARS).orderBy("doc_id", "text").limit(ROWS).select("text").collect()
     seen = Counter(w for r in head for w in tokenizer(path).words(r["text"]))
     chosen = sorted(w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT])
     known = spark.sparkContext.broadcast({w.encode(): np.array(x, dtype=tokenizer(path).width).tobytes() for w, x in zip(chosen, tokenizer(path).ids(chosen))})
@@ -98,7 +99,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return [np.array(x, dtype=tokenizer(path).width).tobytes() for x in tokenizer(path).ids([w.decode() for w in found])]
 
     # one exchange of the blocks serves the words' rows and the way back
-    dealt = by_block(blocks(rows, lambda text: tokenizer(path).words(text)))
+    dealt = by_block(blocks(rows, lambda text: tokenizer(path).words(text), BLOCK, lean=True))
     answers = each_word_once(word_rows(dealt, known), encode)
     pieces = spark.sparkContext.broadcast(tokenizer(path).pieces)  # the vocabulary: of the file's size
 
