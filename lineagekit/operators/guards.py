@@ -14,7 +14,7 @@ DELIMITERS = r"[\s:：|/／・、。,，;；()（）\-－_]"
 
 def common_prefix(a: str, b: str) -> Column:
     """Length of the common beginning of two columns."""
-    return F.expr(f"coalesce(array_min(filter(sequence(1, greatest(least(length({a}), length({b})), 1)), i -> substring({a}, i, 1) <> substring({b}, i, 1))) - 1, least(length({a}), length({b})))")
+    return F.expr(f"coalesce(array_min(filter(sequence(1, greatest(least(length({a}), length({b})), 1)), i_ -> substring({a}, i_, 1) <> substring({b}, i_, 1))) - 1, least(length({a}), length({b})))")
 
 
 def shares_no_gram(a: Column, b: Column) -> Column:
@@ -30,8 +30,8 @@ def prefix_dominates(a: str, b: str) -> Column:
 
 def without(text: str, segments: str) -> Column:
     """``text`` without any of the array column ``segments``; longer ones go first."""
-    longest = f"array_sort(filter({segments}, s -> s is not null and s <> ''), (p, q) -> case when length(p) <> length(q) then length(q) - length(p) when p < q then -1 when p > q then 1 else 0 end)"
-    return F.expr(f"aggregate({longest}, {text}, (t, s) -> replace(t, s, ''))")
+    longest = f"array_sort(filter({segments}, s_ -> s_ is not null and s_ <> ''), (p_, q_) -> case when length(p_) <> length(q_) then length(q_) - length(p_) when p_ < q_ then -1 when p_ > q_ then 1 else 0 end)"
+    return F.expr(f"aggregate({longest}, {text}, (t_, s_) -> replace(t_, s_, ''))")
 
 
 def boilerplate_dominates(a: str, b: str, segments: str) -> Column:
@@ -54,14 +54,14 @@ def code_hit_is_boilerplate(tokens_a: str, tokens_b: str, boilerplate: str) -> C
 
     Without a hit it is false.
     """
-    hits = f"filter(flatten(transform({tokens_a}, x -> transform({tokens_b}, y -> case when contains(y, x) then x when contains(x, y) then y end))), t -> t is not null)"
-    return F.coalesce(F.expr(f"size({hits}) > 0 and forall({hits}, t -> array_contains({boilerplate}, t))"), F.lit(False))
+    hits = f"filter(flatten(transform({tokens_a}, x_ -> transform({tokens_b}, y_ -> case when contains(y_, x_) then x_ when contains(x_, y_) then y_ end))), t_ -> t_ is not null)"
+    return F.coalesce(F.expr(f"size({hits}) > 0 and forall({hits}, t_ -> array_contains({boilerplate}, t_))"), F.lit(False))
 
 
 def keywords(entry: str, most: int = 20, least_length: int = 2) -> Column:
     """Keywords of a field's entry: itself and its codes always, then segments and words up to ``most`` in all."""
     codes = f"regexp_extract_all({entry}, '([A-Za-z]+[-_]?[0-9][A-Za-z0-9_-]*)', 1)"
     parts = f"concat(split({entry}, '[、。,，;；/／|]'), split({entry}, '[^\\\\p{{L}}\\\\p{{N}}_-]+'))"
-    clean = lambda array: f"filter(transform({array}, s -> trim(s)), s -> length(s) >= {least_length})"
+    clean = lambda array: f"filter(transform({array}, s_ -> trim(s_)), s_ -> length(s_) >= {least_length})"
     must = f"array_distinct({clean(f'concat(array({entry}), {codes})')})"
     return F.expr(f"array_union({must}, slice(array_except({clean(parts)}, {must}), 1, greatest({most} - size({must}), 0)))")

@@ -152,22 +152,23 @@ def interval_semantics(side: Column, text: Column, x: Column, *, column: Column
 
 def nth_position(text: str, part: str, n: str) -> str:
     """SQL: where the n-th (from 0) occurrence of a text begins, from 1; 0 without one. Occurrences may overlap."""
-    return f"aggregate(sequence(0, {n}), 0, (p, i) -> if(p < 0, -1, coalesce(nullif(locate({part}, {text}, p + 1), 0), -1)), p -> greatest(p, 0))"
+    return f"aggregate(sequence(0, {n}), 0, (at_, i_) -> if(at_ < 0, -1, coalesce(nullif(locate({part}, {text}, at_ + 1), 0), -1)), at_ -> greatest(at_, 0))"
 
 
 def local_clause(text: str, part: str, n: str = "0") -> Column:
     """The clause of column ``text`` in which the n-th occurrence of column ``part`` begins.
 
     Clauses end at 、 。 ， and at commas that aren't between digits. Clauses before it without any digit
-    belong to it. Without an occurrence (or a part) the whole text.
+    belong to it. Without an occurrence (or a part) the whole text. (Names of lambda variables end with
+    an underscore: they would hide columns of their name.)
     """
-    clauses = f"split(regexp_replace({text}, '(、|。|，|(?<![0-9]),(?![0-9]))', '$1\\u0000'), '\\u0000')"
+    clauses = f"split(regexp_replace({text}, '(、|。|，|(?<![0-9]),(?![0-9]))', '$1\u0000'), '\u0000')"
     at = nth_position(text, part, n)
-    ends = f"transform(c, (x, i) -> aggregate(slice(c, 1, i + 1), 0, (s, y) -> s + length(y)))"
-    own = f"(array_position(transform({ends}, e -> e >= {at}), true) - 1)"
-    first = f"coalesce(array_max(transform(filter(sequence(0, length({text})), k -> k < o and k < size(c)), k -> if(c[k] rlike '[0-9]', k + 1, 0))), 0)"
-    inner = f"array_join(slice(c, cast(f as int) + 1, cast(o - f as int) + 1), '')"
-    steps = f"element_at(transform(array({clauses}), c -> element_at(transform(array({own}), o -> element_at(transform(array({first}), f -> {inner}), 1)), 1)), 1)"
+    ends = "transform(c_, (x_, j_) -> aggregate(slice(c_, 1, j_ + 1), 0, (s_, y_) -> s_ + length(y_)))"
+    own = f"(array_position(transform({ends}, e_ -> e_ >= {at}), true) - 1)"
+    first = f"coalesce(array_max(transform(filter(sequence(0, length({text})), k_ -> k_ < o_ and k_ < size(c_)), k_ -> if(c_[k_] rlike '[0-9]', k_ + 1, 0))), 0)"
+    inner = "array_join(slice(c_, cast(f_ as int) + 1, cast(o_ - f_ as int) + 1), '')"
+    steps = f"element_at(transform(array({clauses}), c_ -> element_at(transform(array({own}), o_ -> element_at(transform(array({first}), f_ -> {inner}), 1)), 1)), 1)"
     return F.expr(f"case when {text} is null or {part} is null or {part} = '' or {at} = 0 then coalesce({text}, '') else {steps} end")
 
 
