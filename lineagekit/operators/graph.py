@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 # fixed values: the category of each type of relation, and commands that leave a hash as it is
 CATEGORIES = {"related_to": "semantic", "satisfied_by": "semantic", "implemented_by": "semantic", "verified_by": "semantic", "contains": "structural", "belongs_to": "structural"}
 REVIEWS = ("REVIEW_HUMAN", "REVIEW_AI", "RESET_REVIEW")
@@ -30,7 +32,8 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     Rows that tie in ``order`` are numbered in any order among themselves; tie-free orders give one result.
     """
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    # settled, for ranges are drawn anew each time they are computed
+    local = settled(dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     sizes = local.groupBy("_part").agg(F.count("*").alias("_size"))  # a row a partition
     offsets = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     return local.join(F.broadcast(offsets), "_part").withColumn("number", F.col("_n") + F.coalesce("_before", F.lit(0))).drop("_part", "_n", "_size", "_before")

@@ -63,25 +63,28 @@ def boilerplate(rows: DataFrame, ratio: float = 0.8, least_rows: int = 3) -> Dat
     return out.select("segment", "n", (F.col("n") / F.col("rows")).alias("share"), ((F.col("rows") >= least_rows) & (F.col("n") / F.col("rows") >= ratio)).alias("is_boilerplate"), ((F.col("rows") >= 2) & (F.col("n") > 1)).alias("low_discrimination"))
 
 
-def contained(phrases: DataFrame, rows: DataFrame, separator: str = r"[^A-Za-z0-9À-ɏ]+", least: int = 2, most_short: int = 10_000) -> DataFrame:
+def contained(phrases: DataFrame, rows: DataFrame, separator: str = r"[^A-Za-z0-9À-ɏ]+", least: int = 2) -> DataFrame:
     """(a_id, b_id): phrases (id, value) that a row (id, value) contains.
 
-    A phrase is looked for where its longest inner word occurs (its first and last word may be parts
-    of a row's words), then verified. Phrases without an inner word are few, which is checked, and are
-    compared with every row.
+    A phrase is looked for where the rarest of its inner words occurs (its first and last word may be parts
+    of a row's words); one without inner words where its first characters do, three or two. Only ids go
+    through that join; texts of the pairs that it brings up are compared then.
     """
-    words = F.filter(F.slice(F.split("value", separator), 2, F.greatest(F.size(F.split("value", separator)) - 2, F.lit(0))), lambda w: w != "")
-    ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))))
-    keyed = phrases.where(F.length("value") >= least).select(F.col("id").alias("a_id"), F.col("value").alias("a_value"), F.try_element_at(ranked, F.lit(1))["w"].alias("_k"))
-    posting = rows.select(F.col("id").alias("b_id"), F.col("value").alias("b_value"), F.explode(F.array_distinct(F.split("value", separator))).alias("_k"))
-    found = keyed.where("_k is not null").join(posting, "_k").where(F.expr("contains(b_value, a_value)")).select("a_id", "b_id")
-    short = keyed.where("_k is null").drop("_k")
-    if (n := short.limit(most_short + 1).count()) > most_short:
-        raise ValueError(f"over {most_short} phrases without an inner word")
-    if n:
-        every = rows.select(F.col("id").alias("b_id"), F.col("value").alias("b_value"))
-        found = found.union(every.join(F.broadcast(short), F.expr("contains(b_value, a_value)")).select("a_id", "b_id"))
-    return found.distinct()
+    parts = F.split("value", separator)
+    words = F.array_distinct(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != ""))
+    known = phrases.where(F.length("value") >= least).select(F.col("id").alias("a_id"), F.col("value").alias("a_value"))
+    inner = phrases.where(F.length("value") >= least).select(F.col("id").alias("a_id"), F.explode(words).alias("w"))
+    posting = rows.select(F.col("id").alias("b_id"), F.explode(F.array_distinct(parts)).alias("w"))
+    frequency = posting.join(inner.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    rarest = inner.join(frequency, "w", "left").groupBy("a_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))["w"].alias("w"))
+    found = rarest.join(posting, "w").select("a_id", "b_id")
+    short = known.join(rarest, "a_id", "left_anti")
+    for n, fits in ((3, F.length("a_value") >= 3), (2, F.length("a_value") == 2), (1, F.length("a_value") == 1)):
+        if n >= min(least, 3) and not short.where(fits).isEmpty():
+            starts = rows.select(F.col("id").alias("b_id"), F.explode(F.array_distinct(T.grams(F.col("value"), n))).alias("g"))
+            found = found.union(short.where(fits).withColumn("g", F.substring("a_value", 1, n)).join(starts, "g").select("a_id", "b_id"))
+    texts = rows.select(F.col("id").alias("b_id"), F.col("value").alias("b_value"))
+    return found.distinct().join(known, "a_id").join(texts, "b_id").where(F.expr("contains(b_value, a_value)")).select("a_id", "b_id").distinct()
 
 
 def codes(df: DataFrame, pattern: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import numbered
+
 # fixed values: what is reviewed of a comparison; satisfaction can be reviewed once the four before it are accepted
 UPSTREAM = ("quantity_extraction", "property_mapping", "interval_semantics", "comparison_mode")
 TARGETS = (*UPSTREAM, "satisfaction")
@@ -182,7 +184,9 @@ def stratified_sample(df: DataFrame, strata: list[str], order: list[str], size:
     left = q.agg((F.first(F.greatest(F.lit(size) - F.col("small"), F.lit(0))) - F.sum("base")).alias("left"))
     extra = F.row_number().over(Window.orderBy(F.desc(F.coalesce(F.col("share") - F.col("base"), F.lit(-1.0))), *strata))  # one row a stratum
     quota = q.crossJoin(F.broadcast(left)).withColumn("x", extra).withColumn("quota", F.when(F.col("n") <= whole, F.col("n")).otherwise(F.least("n", F.col("base") + F.when(F.col("x") <= F.col("left"), 1).otherwise(0)))).select(*strata, "n", "quota")
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 1)
+    # positions in a stratum: numbers over all rows, less those of the strata before it (one row a stratum)
+    before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy(*strata).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    ranked = numbered(df, [*strata, *order]).join(before, strata).withColumn("_i", (F.col("number") - F.col("_before") - 1).cast("int")).drop("number", "_before")
     picks = quota.where("quota > 0").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)))
     wanted = picks.select(*strata, F.floor((F.col("_k") + 0.5) * F.col("n") / F.col("quota")).cast("int").alias("_i"))
     return ranked.join(wanted, [*strata, "_i"]).drop("_i")

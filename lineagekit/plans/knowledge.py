@@ -165,10 +165,13 @@ def content_hash(spark, sf_dir):
 
 
 def dataset_signature(spark, sf_dir):
-    """An order-insensitive signature: rows are hashed, buckets of hashes are sorted and hashed, then the buckets."""
+    """An order-insensitive signature: rows are hashed; hashes that begin alike are sorted and hashed together, by
+    six characters, then by four, then by two, then all. A bucket is a 16,777,216th of the rows, then 256 hashes."""
     rows = read(spark, sf_dir, "part").select(F.sha2(F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name", "p_brand"), 256).alias("h"))
-    buckets = rows.groupBy(F.substring("h", 1, 2).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda s: s["h"]), ""), 256).alias("signature"), F.count("*").alias("buckets"))
+    level = rows.select(F.col("h").alias("k"), "h")
+    for width in (6, 4, 2):
+        level = level.groupBy(F.substring("k", 1, width).alias("k")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda s: s["h"]), ""), 256).alias("h"))
+    return level.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda s: s["h"]), ""), 256).alias("signature"), F.count("*").alias("buckets"))
 
 
 def heading_sections(spark, sf_dir):
@@ -291,7 +294,9 @@ SELECT p_partkey, strlen(p_name) || ':' || p_name || ',' || strlen(p_brand) || '
     "content_hash": "SELECT doc_id, sha256(concat_ws('|', lower(trim(lang)), source, text)) AS content_hash FROM documents",
     "dataset_signature": """
 WITH r AS (SELECT sha256(concat_ws('|', CAST(p_partkey AS VARCHAR), p_name, p_brand)) AS h FROM part),
-b AS (SELECT substring(h, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1)
+x AS (SELECT substring(h, 1, 6) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1),
+y AS (SELECT substring(k, 1, 4) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM x GROUP BY 1),
+b AS (SELECT substring(k, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM y GROUP BY 1)
 SELECT sha256(string_agg(h, '' ORDER BY k)) AS signature, count(*) AS buckets FROM b""",
     "heading_sections": """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),

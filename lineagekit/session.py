@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``): what is used twice
+    is then the same both times, and an executor that is lost takes nothing with it.
+
+    Only where the cluster names no folder (tests, a laptop) a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-lineagekit-"))
+    return df.checkpoint()
+
+
 def rounded(value: Column, digits: int = 6) -> Column:
     """Half up towards positive infinity, as floor(x * 10^n + 0.5) / 10^n."""
     scale = float(10**digits)
