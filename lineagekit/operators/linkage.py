@@ -220,6 +220,34 @@ def top_candidates(pairs: DataFrame, existing: DataFrame, most: int = 3) -> Data
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).join(existing, ["a_id", "b_id"], "left_anti")
 
 
+def either_contains(a: DataFrame, b: DataFrame, method: str = "partial", confidence: float = 0.70, least: int = 2) -> DataFrame:
+    """Pairs of which one side's value (id, value) contains the other's; model numbers are compared so, too.
+
+    Values that hold in more than one row of the other side tell too little and are left out on their side.
+    """
+    forth = contained(a, b, least=least)
+    back = contained(b, a, least=least).select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))
+    once = lambda pairs, own: pairs.join(pairs.groupBy(own).agg(F.count("*").alias("n")).where("n = 1").select(own), own)
+    return links(once(forth, "a_id").select("a_id", "b_id").union(once(back, "b_id").select("a_id", "b_id")).distinct(), method, confidence)
+
+
+def auto_synonyms(synonyms: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, base, weak: given synonyms, and weaker ones of terms (term) that are alike but for case, blanks and
+    hyphens, for review only: their confidence stays under what is accepted."""
+    key = F.regexp_replace(F.lower("term"), "[\\s_-]+", "")
+    groups = terms.select("term").distinct().groupBy(key.alias("base")).agg(F.collect_set("term").alias("t")).where(F.size("t") > 1)
+    weak = groups.select(F.explode("t").alias("term"), "base").join(synonyms.select("term"), "term", "left_anti")
+    return synonyms.select("term", "base", F.lit(False).alias("weak")).union(weak.select("term", "base", F.lit(True)))
+
+
+def best_chunks(matches: DataFrame, most: int = 5) -> DataFrame:
+    """a_id, b_id, confidence, chunk, chunks of matches of a field's chunks (a_id, chunk_no, b_id, confidence): the
+    best chunk of each pair, the earliest of equals, and the numbers of its best ``most`` (the report's limit)."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "chunk_no")))
+    got = matches.groupBy("a_id", "b_id").agg(order.alias("o"))
+    return got.select("a_id", "b_id", (-F.col("o")[0]["c"]).alias("confidence"), F.col("o")[0]["chunk_no"].alias("chunk"), F.transform(F.slice("o", 1, most), lambda x: x["chunk_no"]).alias("chunks"))
+
+
 def best_in_blocks(a: DataFrame, b: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], most: int = 3, a_block: int = 256, b_block: int = 4000) -> DataFrame:
     """(a_id, b_id, score): for each of a (a_id and columns) its best ``most`` of b (b_id and columns) in each block of b.
 

@@ -16,7 +16,7 @@ def information(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def classified(fields: DataFrame, registry: DataFrame, technical: str, business: str) -> DataFrame:
     """classification and source of each (field): the registry first, then technical, then business patterns."""
-    hit = fields.join((registry), "field", "left")
+    hit = fields.join(registry, "field", "left")
     by_rule = F.when(F.col("field").rlike(technical), "TECHNICAL").when(F.col("field").rlike(business), "BUSINESS_TEXT").otherwise("UNCLASSIFIED")
     source = F.when(F.col("classification").isNotNull(), "registry").when(by_rule == "UNCLASSIFIED", "none").otherwise("pattern")
     return hit.select("field", F.coalesce("classification", by_rule).alias("classification"), source.alias("source"))
@@ -28,6 +28,33 @@ def safe_pairing(a: DataFrame, b: DataFrame) -> DataFrame:
     return nth(a, "a").join(nth(b, "b"), ["role", "nth"])
 
 
+# fixed values: roles in the order in which they are paired, and how the fields of each are compared
+ROLES = ("equipment_code", "part_code", "section_number", "title", "name", "text", "category", "model", "key_text")
+METHODS = {"equipment_code": "code", "part_code": "code", "section_number": "code", "model": "contains", "text": "contains", "key_text": "contains"}
+ELIGIBLE = ("MATCH_ELIGIBLE", "MATCH_ELIGIBLE_WITH_CAUTION")
+
+
+def auto_eligible(classification: Column, n: Column, near_constant_ratio: Column, most: float = 0.8) -> Column:
+    """Whether a field may be paired by machine: an eligible class, values seen, and no value in most rows."""
+    return F.coalesce(classification.isin(*ELIGIBLE) & (n > 0) & (near_constant_ratio < most), F.lit(False))
+
+
+def auto_pairing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """role, nth, a_field, b_field, method, priority, reason of eligible fields (field, role, position, eligible) of both sides.
+
+    Roles are paired in the order of ROLES, their fields in the order of first appearance. A role of one side
+    only gives a row with a reason and no pair; without any pair there is nothing to fall back to.
+    """
+    rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
+    kept = lambda s: s.where(F.coalesce("eligible", F.lit(False)) & (rank > 0))
+    pairs = safe_pairing(kept(a), kept(b))
+    nth = lambda s, p: kept(s).select("role", F.row_number().over(Window.partitionBy("role").orderBy("position")).alias("nth"), F.col("field").alias(f"{p}_field"))
+    both = nth(a, "a").join(nth(b, "b"), ["role", "nth"], "full_outer").join(pairs.select("role", "nth", F.lit(True).alias("_p")), ["role", "nth"], "left")
+    method = F.coalesce(F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])[F.col("role")], F.lit("auto"))
+    reason = F.when(F.col("a_field").isNull(), "no_requirement_field").when(F.col("b_field").isNull(), "no_actual_field")
+    return both.select("role", "nth", "a_field", "b_field", F.when(F.col("_p"), method).alias("method"), rank.cast("int").alias("priority"), reason.alias("reason"))
+
+
 def projected(df: DataFrame, id_column: str, title: list[str], text: list[str], keep_rest: bool = True) -> DataFrame:
     """id, title and text of a profile, columns joined by `` / ``, and a map of the others."""
     used = {id_column, *title, *text}
@@ -39,7 +66,7 @@ def projected(df: DataFrame, id_column: str, title: list[str], text: list[str],
 
 def tagged(rows: DataFrame, rules: DataFrame, vocabulary: list[str]) -> DataFrame:
     """id, tags, unregistered of rows (id, text) under rules (tag, keyword): any keyword gives its tag."""
-    hits = rows.join((rules), F.expr("contains(lower(text), lower(keyword))"), "left")
+    hits = rows.join(rules, F.expr("contains(lower(text), lower(keyword))"), "left")
     found = hits.groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("all"))
     known = F.array(*[F.lit(t) for t in vocabulary])
     return found.select("id", F.array_join(F.array_intersect("all", known), ",").alias("tags"), F.array_join(F.array_except("all", known), ",").alias("unregistered"))

@@ -33,6 +33,25 @@ def producer(record: DataFrame) -> Column:
     return F.when(record["source_raw_text"].isNotNull(), "pdf").when(record["source_record"].isNotNull(), "excel")
 
 
+def documents(records: DataFrame) -> DataFrame:
+    """One row a file: its producer (that of the first record), how many records and sections it has, and a digest of
+    its records in order: of digests of them, in groups of 1000 that are hashed in turn."""
+    r = records.withColumn("_producer", producer(records))
+    own = F.sha2(F.to_json(F.struct(*[c for c in records.columns if c != "file"])), 256)
+    groups = r.select("file", F.floor(F.col("ordinal") / 1000).alias("g"), "ordinal", own.alias("h")).groupBy("file", "g").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "h"))), lambda s: s["h"]), ""), 256).alias("h"))
+    digest = groups.groupBy("file").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda s: s["h"]), ""), 256).alias("digest"))
+    facts = r.groupBy("file").agg(F.min_by("_producer", "ordinal").alias("producer"), F.count("*").alias("records"), F.countDistinct("source_section_id").alias("sections"))
+    return facts.join(digest, "file").withColumn("document_id", T.identity("document", F.col("file"), F.col("digest")))
+
+
+def diagnostics(records: DataFrame, files: DataFrame) -> DataFrame:
+    """code, file, ordinal: records of no known producer, records without an id, and files (file) without a record."""
+    found = lambda df, code, at: df.select(F.lit(code).alias("code"), "file", at.cast("int").alias("ordinal"))
+    unknown = found(records.where(producer(records).isNull()), "producer_unknown", F.col("ordinal"))
+    nameless = found(records.where(F.trim(F.coalesce("trace_id", F.lit(""))) == ""), "trace_id_missing", F.col("ordinal"))
+    return unknown.union(nameless).union(found(files.select("file").join(records.select("file"), "file", "left_anti"), "no_records", F.lit(None)))
+
+
 def nodes(records: DataFrame) -> DataFrame:
     """Knowledge nodes: one a section (on first sight) and one a record, with stable ids."""
     r = records.withColumn("_producer", producer(records))

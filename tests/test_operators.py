@@ -276,6 +276,11 @@ def test_trace_json(spark, tmp_path):
     got = sorted((r.node_type, r.text or "", r.producer) for r in nodes.collect())
     assert got == [("content", "", "excel"), ("content", "b", "pdf"), ("content", "x\ny", "pdf"), ("section", "", "excel"), ("section", "", "pdf")]
     assert trace_json.contains_edges(nodes).count() == 3
+    found = {r.file.rsplit("/", 1)[1]: (r.producer, r.records, r.sections, len(r.digest)) for r in trace_json.documents(rows).collect()}
+    assert found == {"a.json": ("pdf", 2, 1, 64), "b.json": ("excel", 1, 0, 64)}
+    odd = rows.withColumn("source_record", F.lit(None).cast("map<string,string>")).withColumn("trace_id", F.when(F.col("trace_id") != "T2", F.col("trace_id")))
+    files = spark.createDataFrame([("nothing.json",)], "file string")
+    assert sorted((r.code, r.file.rsplit("/", 1)[-1], r.ordinal) for r in trace_json.diagnostics(odd, files).collect()) == [("no_records", "nothing.json", None), ("producer_unknown", "b.json", 0), ("trace_id_missing", "a.json", 1)]
     assert trace_json.schema_kind(rows) == "pdf_trace" and trace_json.schema_kind(rows.limit(0)) == "empty"
 
 
@@ -290,6 +295,23 @@ def test_profiles(spark):
     assert df.select(P.composed_tags(["x", "y"], "r")).first()[0] == ["a", "b"]
 
 
+def test_pairing_models_synonyms_and_chunks(spark):
+    schema = "field string, role string, position int, eligible boolean"
+    a = spark.createDataFrame([("t1", "title", 1, True), ("t2", "title", 2, True), ("c", "part_code", 0, True), ("x", "text", 3, False), ("q", "odd", 4, True)], schema)
+    b = spark.createDataFrame([("u", "title", 5, True), ("d", "part_code", 1, True), ("m", "model", 2, True)], schema)
+    got = sorted((r.priority, r.role, r.a_field, r.b_field, r.method, r.reason) for r in P.auto_pairing(a, b).collect())
+    assert [g for g in got if g[5] is None] == [(2, "part_code", "c", "d", "code", None), (4, "title", "t1", "u", "auto", None)]
+    assert [(g[1], g[5]) for g in got if g[5]] == [("title", "no_actual_field"), ("model", "no_requirement_field")]
+    assert [one(spark, P.auto_eligible(F.lit(c), F.lit(n), F.lit(r)))[0] for c, n, r in (("MATCH_ELIGIBLE", 3, 0.5), ("MATCH_ELIGIBLE", 0, 0.5), ("MATCH_ELIGIBLE", 3, 0.8), ("TECHNICAL", 3, 0.1))] == [True, False, False, False]
+    x = spark.createDataFrame([(1, "AC-100"), (2, "unit ZX-9 outdoor"), (3, "pump"), (4, "Z")], "id long, value string")
+    y = spark.createDataFrame([(1, "model AC-100 type B"), (2, "ZX-9"), (3, "pump A"), (4, "pump B")], "id long, value string")
+    assert sorted((r.a_id, r.b_id, r.method) for r in L.either_contains(x, y, "model", 0.8).collect()) == [(1, 1, "model"), (2, 2, "model")]
+    syn = L.auto_synonyms(spark.createDataFrame([("ac", "air")], "term string, base string"), spark.createDataFrame([("AC-1",), ("ac 1",), ("ac",), ("fan",)], "term string"))
+    assert sorted(tuple(r) for r in syn.collect()) == [("AC-1", "ac1", True), ("ac", "air", False), ("ac 1", "ac1", True)]
+    m = spark.createDataFrame([(1, 0, 7, 0.5), (1, 2, 7, 0.9), (1, 1, 7, 0.9), (1, 3, 8, 0.1)], "a_id long, chunk_no int, b_id long, confidence double")
+    assert sorted((r.b_id, r.confidence, r.chunk, r.chunks) for r in L.best_chunks(m, 2).collect()) == [(7, 0.9, 1, [1, 2]), (8, 0.1, 3, [3])]
+
+
 def test_import_without_llm(tmp_path):
     """The rest works where the folder llm and the pipeline are gone."""
     import pathlib
