@@ -52,11 +52,11 @@ def linear(q: Column, factor: Column, offset: Column) -> Column:
 
 def normalized_views(pairs: DataFrame, factor: Column, offset: Column | None = None) -> DataFrame:
     """Adds normalized (the actual quantity in the requirement's unit), reason and side of the first problem."""
-    moved = linear(F.col("actual"), factor, F.lit(0.0) if offset is None else offset)
-    own = quantity_reason(F.col("requirement"))
-    with_both = pairs.withColumn("_m", moved).withColumn("_r", own)
-    side = F.when(F.col("_r").isNotNull(), "requirement").when(F.col("_m.reason").isNotNull(), "actual")
-    return with_both.withColumn("normalized", F.when(F.col("_r").isNull(), F.col("_m.value"))).withColumn("reason", F.coalesce("_r", "_m.reason")).withColumn("reason_side", side).drop("_m", "_r")
+    moved = pairs.withColumn("_r", quantity_reason(F.col("requirement"))).withColumn("_m", linear(F.col("actual"), factor, F.lit(0.0) if offset is None else offset))
+    # columns of their own, so that what follows uses values and not the expressions once more
+    plain = moved.select(*pairs.columns, "_r", F.col("_m.value").alias("_value"), F.col("_m.reason").alias("_a"))
+    side = F.when(F.col("_r").isNotNull(), "requirement").when(F.col("_a").isNotNull(), "actual")
+    return plain.select(*pairs.columns, F.when(F.col("_r").isNull(), F.col("_value")).alias("normalized"), F.coalesce("_r", "_a").alias("reason"), side.alias("reason_side"))
 
 
 def _ends(holds: Column, same: Column, outer_open: Column, inner_closed: Column | None) -> Column:
@@ -86,21 +86,27 @@ def numeric_comparisons(views: DataFrame, mode: str = "mode") -> DataFrame:
     end is missing. Alternatives, a point mode without a point, unknown modes and deltas that aren't finite
     are reasons, and have no comparison.
     """
-    r, a, m = F.col("requirement.interval"), F.col("normalized.interval"), F.col(mode)
-    low, high = a["lower"] - r["lower"], r["upper"] - a["upper"]
-    wrong = lambda d: d.isNotNull() & ~finite(d)
-    reason = (
-        F.when(m.isNull() | ~m.isin(*MODES), "numeric_comparison_mode_unsupported").when((F.col("requirement.kind") == "alternatives") | (F.col("normalized.kind") == "alternatives"), "quantity_comparison_kind_unsupported")
-        .when((m == MODES[0]) & ~I.is_point(a), "point_in_region_actual_not_point").when(wrong(low) | wrong(high), "numeric_comparison_delta_non_finite")
-    )
-    result = F.when(m == MODES[0], holds_point(r, a["lower"])).when(m == MODES[1], covers(a, r)).otherwise(covers(r, a))
-    side = lambda one, two: F.when(m == MODES[1], one).when(m == MODES[2], two)
+    ends = {f"_{side}_{end}": F.col(f"{name}.interval.{end}") for side, name in (("r", "requirement"), ("a", "normalized")) for end in ("lower", "lower_inclusive", "upper", "upper_inclusive")}
+    plain = views.withColumns({**ends, "_kinds": F.coalesce((F.col("requirement.kind") == "alternatives") | (F.col("normalized.kind") == "alternatives"), F.lit(False)), "_mode": F.col(mode)})
+    side = lambda p: {e: F.col(f"_{p}_{e}") for e in ("lower", "lower_inclusive", "upper", "upper_inclusive")}
+    r, a, m = side("r"), side("a"), F.col("_mode")
+    point, wrong = I.is_point(a), lambda d: d.isNotNull() & ~finite(d)
+    plain = plain.withColumns({"_low": a["lower"] - r["lower"], "_high": r["upper"] - a["upper"], "_point": point})
+    reason = F.when(m.isNull() | ~m.isin(*MODES), "numeric_comparison_mode_unsupported").when(F.col("_kinds"), "quantity_comparison_kind_unsupported").when((m == MODES[0]) & ~F.col("_point"), "point_in_region_actual_not_point").when(wrong(F.col("_low")) | wrong(F.col("_high")), "numeric_comparison_delta_non_finite")
+    # the outer interval is the actual one in one mode only; a point is an interval with both ends closed
+    swap = m == MODES[1]
+    outer_inner = {f"_{name}_{e}": F.when(swap, x[e]).otherwise(y[e]) for name, x, y in (("o", a, r), ("i", r, a)) for e in r}
+    plain = plain.withColumn("reason", F.coalesce("reason", reason)).withColumns(outer_inner)
+    o, i = side("o"), side("i")
+    plain = plain.withColumns({"_holds_lower": I.covers_lower(o, i), "_holds_upper": I.covers_upper(o, i)})
+    end = lambda e: _ends(F.col(f"_holds_{e}"), i[e] == o[e], ~o[f"{e}_inclusive"], i[f"{e}_inclusive"])
+    inner_outer = lambda one, two: F.when(m == MODES[1], one).when(m == MODES[2], two)
     comparison = F.struct(
-        F.when(m == MODES[0], MODES[0]).otherwise("outer_covers_inner").alias("relation_type"), side("actual", "requirement").alias("outer"), side("requirement", "actual").alias("inner"),
-        F.col("_c.holds").alias("holds"), F.col("_c.lower").alias("lower"), F.col("_c.upper").alias("upper"), low.alias("lower_delta"), high.alias("upper_delta"),
+        F.when(m == MODES[0], MODES[0]).otherwise("outer_covers_inner").alias("relation_type"), inner_outer("actual", "requirement").alias("outer"), inner_outer("requirement", "actual").alias("inner"),
+        (F.col("_holds_lower") & F.col("_holds_upper")).alias("holds"), end("lower").alias("lower"), end("upper").alias("upper"), F.col("_low").alias("lower_delta"), F.col("_high").alias("upper_delta"),
     )
-    known = views.withColumn("reason", F.coalesce("reason", reason)).withColumn("_c", F.when(F.col("reason").isNull(), result))
-    return known.withColumn("comparison", F.when(F.col("reason").isNull(), comparison)).drop("_c")
+    kept = [c for c in views.columns if c != "reason"]
+    return plain.select(*kept, "reason", F.when(F.col("reason").isNull(), comparison).alias("comparison"))
 
 
 def coverage_gap(requirement: Column, actual: Column, requirement_unit: Column, actual_unit: Column, mode: Column) -> Column:
