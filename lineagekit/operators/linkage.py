@@ -314,4 +314,4 @@ def relation_candidates(a: DataFrame, b: DataFrame, existing: DataFrame, least:
         overlap = mark(x) @ mark(y).T > 0
         return np.where(overlap | (dice >= least), np.minimum(1, 0.6 * dice + np.where(overlap, 0.4, 0)), np.nan)
 
-    return top_candidates(best_in_blocks(a, b, score, most), existing, most)
+    return top_candidates(best_in_blocks(a, b, score, most, b_block=1000), existing, most)
