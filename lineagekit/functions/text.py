@@ -48,8 +48,9 @@ def narrowed(text: Column) -> Column:
 
 def grams(text: Column, n: int = 2) -> Column:
     """All n-grams in order; a text shorter than n is its own only gram; none of an empty text."""
-    many = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(F.length(text) >= n, many).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+    # a look-ahead reads each character n times; taking substrings by place would read the text anew for each
+    many = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.when(F.length(text) > n, many).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
 def set_dice(a: Column, b: Column) -> Column:
