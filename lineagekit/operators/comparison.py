@@ -15,7 +15,7 @@ from ..functions import text as T
 
 # fixed values: modes, how many alternatives a quantity may have, sources of a relation
 MODES = ("point_in_region", "actual_covers_requirement", "requirement_covers_actual")
-MOST_OPTIONS = 16
+MOST_OPTIONS = 64
 SOURCES = ("matching_engine", "manual")
 SORT = ("requirement_trace_id", "actual_trace_id", "requirement_quantity_id", "actual_quantity_id", "matcher_a_id", "matcher_b_id")
 

@@ -57,7 +57,10 @@ def segment_frequency(rows: DataFrame) -> DataFrame:
 
 
 def boilerplate(rows: DataFrame, ratio: float = 0.8, least_rows: int = 3) -> DataFrame:
-    """Segments with their share of rows, whether they are boilerplate, and whether they tell rows apart."""
+    """Segments with their share of rows, whether they are boilerplate, and whether several rows have them.
+
+    Rows that contain a segment within another aren't counted here; ``matcher.discrimination`` counts them.
+    """
     total = rows.where("size(segments) > 0").agg(F.count("*").alias("rows"))
     out = segment_frequency(rows).crossJoin(F.broadcast(total))  # one row on the right
     return out.select("segment", "n", (F.col("n") / F.col("rows")).alias("share"), ((F.col("rows") >= least_rows) & (F.col("n") / F.col("rows") >= ratio)).alias("is_boilerplate"), ((F.col("rows") >= 2) & (F.col("n") > 1)).alias("low_discrimination"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,21 +32,52 @@ def ruled_heading(lines: DataFrame, rules: DataFrame, key: str, text: str) -> Da
     return hits.groupBy(key).agg(best).select(key, "rule.kind", "rule.level")
 
 
-def lines_of(items: DataFrame, page: list[str]) -> DataFrame:
-    """*page, line, top, text, segments: text items (x, y, w, h, str) of a page put together.
+def anchored(items: DataFrame, page: str, order: str) -> DataFrame:
+    """``items`` with anchor: the number on its page of the line that an item belongs to, in the order of creation.
 
-    From the top, an item begins a line when it is further from the item before than 0.6 of its height (3 at
-    least). In a line a gap of 1.6 heights (12 at least) separates segments, which are joined by a blank.
+    Items come in their given order. An item joins the first line whose first item's y is within 0.6 of the
+    item's height (3 at least), else it begins a line. Pages are sorted by Spark and read as a stream; a task
+    holds the heights at which the lines of one page began.
+    """
+    spec = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema), "anchor int"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, anchors = object(), []
+        for batch in batches:
+            own, y, h = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (page, "y", "h"))
+            out = []
+            for p, at, height in zip(own, y, h):
+                if p != begun:
+                    begun, anchors = p, []
+                near = max(height * LINE_SHARE, LEAST_LINE)
+                n = next((i for i, a in enumerate(anchors) if abs(a - at) <= near), len(anchors))
+                if n == len(anchors):
+                    anchors.append(at)
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "anchor"])
+
+    return items.repartition(page).sortWithinPartitions(page, order).mapInArrow(run, spec)
+
+
+def lines_of(items: DataFrame, page: str, order: str) -> DataFrame:
+    """page, line, y, text, segments, left, right, bottom, top: text items (x, y, w, h, str) of a page put together.
+
+    Blank items are left out; a height that is missing or 0 is 10. Lines are numbered from the top. In a line a gap
+    of 1.6 heights (12 at least) separates segments, which are trimmed and joined by a blank. The box reaches a
+    quarter of an item's height (1 at least) below its y and its height above it.
     """
-    down = Window.partitionBy(*page).orderBy(F.desc("y"), "x", "str")
-    far = F.abs(F.col("y") - F.lag("y").over(down)) > F.greatest(F.col("h") * LINE_SHARE, F.lit(LEAST_LINE))
-    numbered = items.withColumn("_new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("line", F.sum("_new").over(down))
-    along = Window.partitionBy(*page, "line").orderBy("x", "str")
+    solid = items.where(F.trim(F.coalesce("str", F.lit(""))) != "").withColumn("h", F.when(F.col("h") != 0, F.abs("h")).otherwise(10.0)).withColumn("w", F.coalesce("w", F.lit(0.0)))
+    found = anchored(solid, page, order)
+    lines = found.groupBy(page, "anchor").agg(F.min_by("y", order).alias("_y"))
+    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy(page).orderBy(F.desc("_y"), "anchor")))
+    along = Window.partitionBy(page, "anchor").orderBy("x", order)
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(along)
-    cut = numbered.withColumn("_cut", F.coalesce(gap > F.greatest(F.lag("h").over(along) * GAP_SHARE, F.lit(LEAST_GAP)), F.lit(False)).cast("int")).withColumn("_segment", F.sum("_cut").over(along))
-    pieces = cut.groupBy(*page, "line", "_segment").agg(F.max("y").alias("top"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "str"))), lambda s: s["str"]), "").alias("piece"))
-    whole = pieces.where(F.trim("piece") != "").groupBy(*page, "line").agg(F.max("top").alias("top"), F.array_sort(F.collect_list(F.struct("_segment", F.trim("piece").alias("piece")))).alias("s"))
-    return whole.select(*page, "line", "top", F.array_join(F.transform("s", lambda s: s["piece"]), " ").alias("text"), F.size("s").alias("segments"))
+    cut = found.withColumn("_cut", F.coalesce(gap > F.greatest(F.lag("h").over(along) * GAP_SHARE, F.lit(LEAST_GAP)), F.lit(False)).cast("int")).withColumn("_segment", F.sum("_cut").over(along))
+    tall = F.greatest(F.col("h"), F.lit(1.0))
+    box = [F.min("x").alias("left"), F.max(F.col("x") + F.greatest(F.col("w"), F.lit(0.0))).alias("right"), F.min(F.col("y") - tall * 0.25).alias("bottom"), F.max(F.col("y") + tall).alias("top")]
+    pieces = cut.groupBy(page, "anchor", "_segment").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", order, "str"))), lambda s: s["str"]), "")).alias("piece"), *box)
+    whole = pieces.groupBy(page, "anchor").agg(F.array_sort(F.collect_list(F.struct("_segment", "piece"))).alias("s"), F.min("left").alias("left"), F.max("right").alias("right"), F.min("bottom").alias("bottom"), F.max("top").alias("top"))
+    return whole.join(numbered, [page, "anchor"]).select(page, "line", F.col("_y").alias("y"), F.array_join(F.transform("s", lambda s: s["piece"]), " ").alias("text"), F.size("s").alias("segments"), "left", "right", "bottom", "top")
 
 
 def paragraphs(lines: DataFrame, page: list[str], order: str) -> DataFrame:
@@ -97,14 +131,22 @@ def role_hints(fields: DataFrame, most: int = 8) -> DataFrame:
     return kept.select("identity", "role", F.slice("v", 1, most).alias("values"), F.when(F.size("v") > 1, "ambiguous").otherwise("unique").alias("status"))
 
 
+def valid_id(column: str) -> Column:
+    """Whether a text can be an id: not null, not blank and without blanks around it."""
+    return F.coalesce((F.col(column) != "") & (F.col(column) == F.trim(column)), F.lit(False))
+
+
 def eligibility(pairs: DataFrame) -> DataFrame:
-    """Adds reason (null: eligible) to compared pairs (a_id, b_id, engine): the first rule that fails of engine made,
-    both ids there, each id once on its side, pair once.
+    """Adds reason (null: eligible) to compared pairs: the first rule that fails of engine made, both sides there, ids
+    that are texts and no blanks (side a first), each id once on its side, pair once.
 
-    ``a_count`` and ``b_count`` are how many records of a side bear the id.
+    ``pairs``: engine, has_a, has_b, a_id, b_id, a_kind and b_kind (the JSON type of the id: string, null or another),
+    a_count and b_count (records of a side that bear the id).
     """
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    reason = F.when(~F.coalesce("engine", F.lit(False)), "NOT_ENGINE_RESULT").when(blank("a_id") | blank("b_id"), "ID_MISSING").when(F.coalesce("a_count", F.lit(0)) != 1, "REQUIREMENT_ID_NOT_UNIQUE").when(F.coalesce("b_count", F.lit(0)) != 1, "ACTUAL_ID_NOT_UNIQUE")
+    reason = F.when(~F.coalesce("engine", F.lit(False)), "NOT_MATCHING_ENGINE").when(~F.coalesce(F.col("has_a") & F.col("has_b"), F.lit(False)), "MISSING_SIDE")
+    for p in ("a", "b"):
+        reason = reason.when(~F.coalesce(f"{p}_kind", F.lit("null")).isin("string", "null"), "NON_STRING_TRACE_ID").when(~valid_id(f"{p}_id"), "NO_TRACE_ID")
+    reason = reason.when((F.coalesce("a_count", F.lit(0)) != 1) | (F.coalesce("b_count", F.lit(0)) != 1), "DUPLICATE_TRACE_ID")
     first = pairs.withColumn("reason", reason)
     again = F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(Window.partitionBy("a_id", "b_id")) > 1
     return first.withColumn("reason", F.when(F.col("reason").isNull() & again, "DUPLICATE_PAIR").otherwise(F.col("reason")))

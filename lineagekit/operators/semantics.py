@@ -133,21 +133,30 @@ def scored(rules: tuple, text: Column, conditions: dict[str, Column], opposed: C
     return _ordered(made)
 
 
-def interval_semantics(side: Column, text: Column, x: Column, *, column: Column | None = None, qualifiers: Column | None = None, is_condition: Column | None = None) -> Column:
+def interval_semantics(side: Column, text: Column, x: Column, *, clause: tuple[str, str, str] | None = None, column: Column | None = None, qualifiers: Column | None = None, is_condition: Column | None = None) -> Column:
     """Candidates by side: A is the requirement's, B the actual one's; conditions have rules of their own.
 
-    ``column``: the source column of a B text; ``qualifiers``: words such as minimum and maximum.
+    A text of side B that is no condition is read only as far as the clause of its quantity: ``clause`` names the
+    column of the text, that of the quantity's own text and which occurrence of it is meant (SQL). A requirement is
+    read whole, for its quantities share a predicate. ``column``: the source column of a B text; ``qualifiers``:
+    words such as minimum and maximum.
     """
-    text = F.coalesce(text, F.lit(""))
     qualified = lambda q: F.lit(False) if qualifiers is None else F.coalesce(F.array_contains(qualifiers, q), F.lit(False))
     kind = shapes(x)
-    more = kind | {
-        "end_or_point": kind["lower_only"] | kind["upper_only"] | kind["point"], "unless_stated": ~F.rlike(text, F.lit(STATED)), "plain_point": kind["point"] & ~F.contains(text, F.lit("±")),
-        "point_in_result_column": kind["point"] & (F.lit(False) if column is None else F.coalesce(column == RESULT_COLUMN, F.lit(False))), "minimum": qualified("minimum"), "maximum": qualified("maximum"),
-    }
-    never, opposed = F.lit(False), F.rlike(text, F.lit(OPPOSING))
     condition = F.lit(False) if is_condition is None else F.coalesce(is_condition, F.lit(False))
-    return F.when(condition, scored(CONDITION_RULES, text, more, never)).when(side == "A", scored(REQUIREMENT_RULES, text, more, never)).when(side == "B", scored(ACTUAL_RULES, text, more, opposed)).otherwise(scored((), text, more, never))
+    whole = F.coalesce(text, F.lit(""))
+    read = whole if clause is None else F.when((side == "B") & ~condition, local_clause(*clause)).otherwise(whole)
+
+    def candidates(text: Column) -> Column:
+        more = kind | {
+            "end_or_point": kind["lower_only"] | kind["upper_only"] | kind["point"], "unless_stated": ~F.rlike(text, F.lit(STATED)), "plain_point": kind["point"] & ~F.contains(text, F.lit("±")),
+            "point_in_result_column": kind["point"] & (F.lit(False) if column is None else F.coalesce(column == RESULT_COLUMN, F.lit(False))), "minimum": qualified("minimum"), "maximum": qualified("maximum"),
+        }
+        never, opposed = F.lit(False), F.rlike(text, F.lit(OPPOSING))
+        return F.when(condition, scored(CONDITION_RULES, text, more, never)).when(side == "A", scored(REQUIREMENT_RULES, text, more, never)).when(side == "B", scored(ACTUAL_RULES, text, more, opposed)).otherwise(scored((), text, more, never))
+
+    # a lambda's variable, so that the clause is cut once
+    return F.get(F.transform(F.array(read), candidates), F.lit(0))
 
 
 def nth_position(text: str, part: str, n: str) -> str:

@@ -32,7 +32,14 @@ def matched_parts(spark, sf_dir):
     return _links(M.match(side(0, "for P-", 6), side(1, "item no. P-", 5), pairs))
 
 
-QUERIES = {f.__name__: f for f in (matched_passages, matched_parts)}
+def segment_discrimination(spark, sf_dir):
+    """Sentences of the benchmark's items by how many documents hold them as a line and anywhere in the text."""
+    asked = read(spark, sf_dir, "benchmark").select(F.explode(F.transform(F.split("text", r"[.\n]"), lambda x: F.trim(x))).alias("segment"))
+    rows = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("value"), F.split("text", "\n").alias("segments"))
+    return M.discrimination(asked, rows, ratio=0.01)
+
+
+QUERIES = {f.__name__: f for f in (matched_passages, matched_parts, segment_discrimination)}
 
 _NORM = "regexp_replace(lower(translate({0}, '‐‑‒–—―−〜～', '-------~~')), '\\s+', '', 'g')"
 _CODES = "regexp_extract_all({0}, '[A-Za-z]+[-_]?[0-9][A-Za-z0-9_-]*')"
@@ -81,6 +88,12 @@ _PART = """SELECT 0 AS pair, p_partkey::VARCHAR AS id, CASE WHEN p_partkey % {1}
   UNION ALL SELECT 1, p_partkey::VARCHAR, concat_ws('/', p_name, replace(p_brand, '#', '-'), p_size::VARCHAR) FROM part WHERE p_partkey % 2 = {0}
   UNION ALL SELECT 2, p_partkey::VARCHAR, concat_ws(' ', p_type, p_name) FROM part WHERE p_partkey % 2 = {0}"""
 ORACLE_SQL = {
+    "segment_discrimination": """
+WITH q AS (SELECT DISTINCT trim(unnest(regexp_split_to_array(text, '[.\\n]'))) AS segment FROM benchmark), t AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
+l AS (SELECT segment, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS segment FROM documents) GROUP BY 1),
+c AS (SELECT segment, (SELECT count(*) FROM documents d WHERE contains(d.text, q.segment)) AS n FROM q WHERE segment <> '')
+SELECT c.segment, coalesce(l.n, 0) AS extracted, c.n AS containing, t.n >= 3 AND coalesce(l.n, 0) / t.n >= 0.01 AS is_boilerplate, (t.n >= 3 AND coalesce(l.n, 0) / t.n >= 0.01) OR (t.n >= 2 AND c.n > 1) AS low_discrimination
+FROM c LEFT JOIN l ON l.segment = c.segment, t""",
     "matched_passages": _sql("SELECT 0 AS pair, item_id::VARCHAR AS id, text AS raw FROM benchmark", "SELECT 0 AS pair, doc_id::VARCHAR AS id, text AS raw FROM documents", "(0, 'contains')"),
     "matched_parts": _sql(_PART.format(0, 6, "for P-"), _PART.format(1, 5, "item no. P-"), "(0, 'code'), (1, 'contains'), (2, 'exact')"),
 }

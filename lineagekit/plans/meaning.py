@@ -27,7 +27,7 @@ def _sides(spark, sf_dir):
     actual = I.interval(F.when(k % 9 != 5, F.when(k % 9 == 1, 0.0).otherwise(size + k % 3 - 1)), F.when(k % 9 != 4, size + k % 3))
     point = I.interval(size + k % 5 - 2, size + k % 5 - 2)
     return read(spark, sf_dir, "part").select(
-        "p_partkey", F.replace(_pick(REQUIREMENTS, 0), F.lit("#"), F.col("p_size").cast("string")).alias("r_text"), F.replace(_pick(ACTUALS, 3), F.lit("#"), F.col("p_size").cast("string")).alias("a_text"),
+        "p_partkey", F.replace(_pick(REQUIREMENTS, 0), F.lit("#"), F.col("p_size").cast("string")).alias("r_text"), F.replace(_pick(ACTUALS, 3), F.lit("#"), F.col("p_size").cast("string")).alias("a_text"), F.col("p_size").cast("string").alias("number"),
         _pick(DIMENSIONS, 0).alias("dimension"), requirement.alias("requirement"), F.when(k % 2 == 0, point).otherwise(actual).alias("actual"), F.when(k % 4 == 0, S.RESULT_COLUMN).otherwise(S.STANDARD_COLUMN).alias("column"),
         F.when(k % 5 == 0, F.array(F.lit("minimum"))).when(k % 5 == 1, F.array(F.lit("maximum"))).alias("qualifiers"),
     )
@@ -36,15 +36,14 @@ def _sides(spark, sf_dir):
 def interval_semantics(spark, sf_dir):
     both = _sides(spark, sf_dir)
     r = S.interval_semantics(F.lit("A"), F.col("r_text"), F.col("requirement"))
-    a = S.interval_semantics(F.lit("B"), F.col("a_text"), F.col("actual"), column=F.col("column"), qualifiers=F.col("qualifiers"))
+    a = S.interval_semantics(F.lit("B"), F.col("a_text"), F.col("actual"), clause=("a_text", "number", "0"), column=F.col("column"), qualifiers=F.col("qualifiers"))
     each = both.select("p_partkey", F.explode(F.array(F.struct(F.lit("A").alias("side"), r.alias("c")), F.struct(F.lit("B").alias("side"), a.alias("c")))).alias("e"))
     c = F.col("e.c")
     return each.select("p_partkey", "e.side", F.get(c, F.lit(0))["value"].alias("top_value"), rounded(F.get(c, F.lit(0))["confidence"]).alias("top_confidence"), F.size(c).alias("candidates"), rounded(S.margin(c)).alias("margin"), S.condition_status(c).alias("status"), S.opposing(c).alias("opposed"))
 
 
 def local_clause(spark, sf_dir):
-    texts = _sides(spark, sf_dir).select("p_partkey", "a_text", F.col("p_partkey").alias("_k")).join(read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("number")), "p_partkey")
-    return texts.select("p_partkey", F.length("a_text").alias("n_text"), S.local_clause("a_text", "number", "cast(p_partkey % 2 as int)").alias("clause"))
+    return _sides(spark, sf_dir).select("p_partkey", F.length("a_text").alias("n_text"), S.local_clause("a_text", "number", "cast(p_partkey % 2 as int)").alias("clause"))
 
 
 def property_concepts(spark, sf_dir):
@@ -142,7 +141,7 @@ def semantic_judgement(spark, sf_dir):
     """From the texts of both sides to a judgement: concept, semantics, mode, comparison, gates."""
     both = _sides(spark, sf_dir)
     r = S.interval_semantics(F.lit("A"), F.col("r_text"), F.col("requirement"))
-    a = S.interval_semantics(F.lit("B"), F.col("a_text"), F.col("actual"), column=F.col("column"), qualifiers=F.col("qualifiers"))
+    a = S.interval_semantics(F.lit("B"), F.col("a_text"), F.col("actual"), clause=("a_text", "number", "0"), column=F.col("column"), qualifiers=F.col("qualifiers"))
     named = both.withColumn("r", r).withColumn("a", a).withColumn("p", S.property_candidates(F.col("dimension"), F.col("r_text"), F.lit(None).cast("array<string>"))).withColumn("m", S.mode_candidate(F.col("r"), F.col("a")))
     none = F.lit(None).cast("array<double>")
     pairs = named.select("p_partkey", _quantity(F.lit("interval"), F.col("requirement"), none).alias("requirement"), _quantity(F.lit("interval"), F.col("actual"), none).alias("actual"), F.col("m.mode").alias("mode"), S.failed_gates(F.col("m"), F.col("r"), F.col("a"), F.get(F.col("p"), F.lit(0))["confidence"], F.lit(0)).alias("failed"))
@@ -192,6 +191,12 @@ words(concept, ord, dim, keyword) AS (VALUES ('environment.ambient_operating_tem
   ('power_supply.frequency', 4, 'frequency', '周波数'), ('acoustics.operating_noise', 5, 'sound_pressure_level', '騒音値|運転騒音|騒音'), ('maintenance.access_space', 6, 'length', '保守作業スペース|保守スペース|保守')),
 prop AS (SELECT k, ord, concept, least(0.99e0, CASE WHEN s.dim = w.dim THEN 0.4e0 ELSE 0e0 END + CASE WHEN regexp_matches(rt, keyword) THEN 0.35e0 ELSE 0e0 END + CASE WHEN {tags} THEN 0.25e0 ELSE 0e0 END) AS c FROM s, words w),
 ptop AS (SELECT k, list(concept ORDER BY c DESC, ord) AS v, list(c ORDER BY c DESC, ord) AS c FROM prop WHERE c > 0 GROUP BY k)"""
+# the rules of side B see the clause of the quantity only
+_CLAUSED = _SIDES.replace("s AS (", "s0 AS (", 1) + """,
+c1 AS (SELECT k, atx, string_split(regexp_replace(atx, '(、|。)', '\\1|', 'g'), '|') AS cl, instr(atx, n::VARCHAR) AS pos FROM s0),
+c2 AS (SELECT *, list_filter(range(1, len(cl) + 1), lambda i: list_sum(list_transform(cl[1:i], lambda y: length(y))) >= pos)[1] AS own FROM c1),
+c3 AS (SELECT k AS ck, CASE WHEN pos = 0 THEN atx ELSE list_aggregate(cl[coalesce(list_max(list_filter(range(1, own), lambda i: regexp_matches(cl[i], '[0-9]'))), 0) + 1:own], 'string_agg', '') END AS clause FROM c2),
+s AS (SELECT s0.* REPLACE (clause AS atx) FROM s0 JOIN c3 ON ck = k)"""
 _R = "floor({} * 1e6 + 0.5) / 1e6"
 _LINES = """
 v AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS flag, ['point_in_region', 'actual_covers_requirement', 'requirement_covers_actual'][(l_orderkey % 3 + 1)::INT] AS mode,
@@ -218,7 +223,7 @@ f AS (SELECT s, c, t AS target, CASE WHEN since IS NULL THEN 'unreviewed' ELSE '
       UNION ALL SELECT s, c, 'satisfaction', CASE WHEN NOT eligible THEN 'not_eligible' WHEN m IS NULL THEN 'unreviewed' ELSE 'reviewed' END, CASE WHEN eligible THEN CASE m WHEN 8 THEN 'override_satisfied' WHEN 9 THEN 'override_unsatisfied' END END FROM sat)"""
 ORACLE_SQL = {
     "interval_semantics": f"""
-WITH {_SIDES}, {_RULES}
+WITH {_CLAUSED}, {_RULES}
 SELECT k AS p_partkey, side, v[1] AS top_value, {_R.format('c[1]')} AS top_confidence, len(v)::INT AS candidates, {_R.format('CASE WHEN len(c) > 1 THEN c[1] - c[2] ELSE c[1] END')} AS margin,
        CASE WHEN c[1] >= 0.4e0 AND (CASE WHEN len(c) > 1 THEN c[1] - c[2] ELSE c[1] END) >= 0.2e0 AND v[1] <> 'unknown' THEN 'resolved' ELSE 'ambiguous' END AS status, o[1] AS opposed FROM top""",
     "local_clause": f"""
@@ -270,7 +275,7 @@ SELECT f.s AS session_id, f.c AS comparison_id, any_value(sc.cut) IS NULL AND co
     "stale_reviews": """
 SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'unreviewed' ELSE 'reviewed' END AS status, o_orderkey % 3 <> 0 AND (o_orderkey % 5 = 0 OR o_orderstatus <> 'O') AS stale, count(*) AS n FROM orders GROUP BY 1, 2""",
     "semantic_judgement": f"""
-WITH {_SIDES}, {_RULES}, {_PROPERTY.replace('{tags}', 'false')},
+WITH {_CLAUSED}, {_RULES}, {_PROPERTY.replace('{tags}', 'false')},
 j AS (SELECT s.*, a.v AS av, a.c AS ac, a.o AS ao, r.v AS rv, r.c AS rc, p.c AS pc,
              CASE WHEN r.v[1] = 'acceptable_region' AND a.v[1] = 'achieved_point' THEN 'point_in_region' WHEN r.v[1] = 'required_capability_domain' AND a.v[1] = 'capability_domain' THEN 'actual_covers_requirement' WHEN r.v[1] = 'acceptable_region' AND a.v[1] IN ('outcome_range', 'guaranteed_minimum', 'guaranteed_maximum') THEN 'requirement_covers_actual' END AS mode
       FROM s JOIN top r ON r.k = s.k AND r.side = 'A' JOIN top a ON a.k = s.k AND a.side = 'B' LEFT JOIN ptop p ON p.k = s.k),

@@ -29,9 +29,9 @@ def layout_lines(spark, sf_dir):
     """An order's lines as text items on a page: places by number, heights by return flag."""
     n = F.col("l_linenumber")
     items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), F.min("l_suppkey").alias("s")).select(
-        F.col("l_orderkey").alias("page"), ((n % 3) * 30 + F.col("s") % 7).cast("double").alias("x"), (100 - F.floor(n / 2) * 4 - F.col("s") % 3).cast("double").alias("y"), F.lit(9.0).alias("w"), F.when(F.col("f") == "R", 10.0).otherwise(4.0).alias("h"), F.concat("f", n.cast("string"), F.lit(" ")).alias("str")
+        F.col("l_orderkey").alias("page"), ((n * 5) % 8).alias("n"), ((n % 3) * 30 + F.col("s") % 7).cast("double").alias("x"), (100 - F.floor(n / 2) * 4 - F.col("s") % 3).cast("double").alias("y"), F.lit(9.0).alias("w"), F.when(F.col("f") == "R", 10.0).otherwise(4.0).alias("h"), F.concat("f", n.cast("string"), F.lit(" ")).alias("str")
     )
-    return R.lines_of(items, ["page"]).select("page", "line", "top", "text", "segments")
+    return R.lines_of(items, "page", "n").select("page", "line", "y", "text", "segments", "left", "right", "bottom", "top")
 
 
 def paragraph_merge(spark, sf_dir):
@@ -67,7 +67,7 @@ def role_hints(spark, sf_dir):
 def evaluation_eligibility(spark, sf_dir):
     k = F.col("l_orderkey")
     counts = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("b_count"))
-    pairs = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 7, "").otherwise((k % 50).cast("string")).alias("a_id"), (F.col("l_partkey") % 100).alias("c"), (F.col("l_linenumber") != 6).alias("engine"), F.when(k % 9 == 0, 2).otherwise(1).alias("a_count"))
+    pairs = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 7, "").otherwise((k % 50).cast("string")).alias("a_id"), (F.col("l_partkey") % 100).alias("c"), (F.col("l_linenumber") != 6).alias("engine"), F.when(k % 9 == 0, 2).otherwise(1).alias("a_count"), (F.col("l_linenumber") != 5).alias("has_a"), (k % 31 != 0).alias("has_b"), F.when(k % 23 == 0, "number").otherwise("string").alias("a_kind"), F.lit("string").alias("b_kind"))
     both = pairs.join(counts, F.col("c") == F.col("o_custkey"), "left").withColumn("b_id", F.col("c").cast("string"))
     return R.eligibility(both).groupBy(F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
 
@@ -111,12 +111,17 @@ WITH r(kind, level, priority, pattern, most) AS (VALUES ('chapter', 1, 10, '^[A-
 h AS (SELECT p_partkey, kind, level, row_number() OVER (PARTITION BY p_partkey ORDER BY priority DESC, level, kind DESC) AS n FROM part JOIN r ON regexp_matches(p_name, pattern) AND length(p_name) <= most)
 SELECT p_partkey, kind, level::INT AS level FROM h WHERE n = 1""",
     "layout_lines": """
-WITH i AS (SELECT l_orderkey AS page, l_linenumber AS n, min(l_returnflag) AS f, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
-t AS (SELECT page, ((n % 3) * 30 + s % 7)::DOUBLE AS x, (100 - n // 2 * 4 - s % 3)::DOUBLE AS y, CASE f WHEN 'R' THEN 10e0 ELSE 4e0 END AS h, f || n || ' ' AS str FROM i),
-a AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY y DESC, x, str) AS line FROM (SELECT *, CASE WHEN abs(y - lag(y) OVER w) <= greatest(0.6 * h, 3) THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY page ORDER BY y DESC, x, str))),
-b AS (SELECT *, sum(cut) OVER (PARTITION BY page, line ORDER BY x, str) AS seg FROM (SELECT *, CASE WHEN x - (lag(x) OVER v + 9) > greatest(1.6 * lag(h) OVER v, 12) THEN 1 ELSE 0 END AS cut FROM a WINDOW v AS (PARTITION BY page, line ORDER BY x, str))),
-c AS (SELECT page, line, seg, max(y) AS top, trim(string_agg(str, '' ORDER BY x, str)) AS piece FROM b GROUP BY 1, 2, 3)
-SELECT page, line::BIGINT AS line, max(top) AS top, string_agg(piece, ' ' ORDER BY seg) AS text, count(*)::INT AS segments FROM c GROUP BY 1, 2""",
+WITH RECURSIVE i AS (SELECT l_orderkey AS page, l_linenumber AS n, min(l_returnflag) AS f, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+t AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY n * 5 % 8) AS o, ((n % 3) * 30 + s % 7)::DOUBLE AS x, (100 - n // 2 * 4 - s % 3)::DOUBLE AS y, CASE f WHEN 'R' THEN 10e0 ELSE 4e0 END AS h, f || n || ' ' AS str FROM i),
+a AS (SELECT DISTINCT page, 0::BIGINT AS o, []::DOUBLE[] AS begun, 0 AS anchor FROM t
+  UNION ALL SELECT page, o, CASE WHEN hit IS NULL THEN list_append(begun, y) ELSE begun END, coalesce(hit, len(begun) + 1) FROM
+    (SELECT t.page, t.o, t.y, a.begun, list_filter(range(1, len(a.begun) + 1), lambda j: abs(a.begun[j] - t.y) <= greatest(0.6 * t.h, 3))[1] AS hit FROM a JOIN t ON t.page = a.page AND t.o = a.o + 1)),
+b AS (SELECT t.*, a.anchor FROM t JOIN a USING (page, o)),
+g AS (SELECT *, CASE WHEN x - (lag(x) OVER v + 9) > greatest(1.6 * lag(h) OVER v, 12) THEN 1 ELSE 0 END AS cut FROM b WINDOW v AS (PARTITION BY page, anchor ORDER BY x, o)),
+e AS (SELECT *, sum(cut) OVER (PARTITION BY page, anchor ORDER BY x, o) AS seg FROM g),
+c AS (SELECT page, anchor, seg, trim(string_agg(str, '' ORDER BY x, o)) AS piece, min(x) AS lft, max(x + 9) AS rgt, min(y - h * 0.25) AS btm, max(y + h) AS tp, arg_min(y, o) AS y, min(o) AS o FROM e GROUP BY 1, 2, 3),
+l AS (SELECT page, anchor, string_agg(piece, ' ' ORDER BY seg) AS text, count(*)::INT AS segments, min(lft) AS "left", max(rgt) AS "right", min(btm) AS bottom, max(tp) AS top, arg_min(y, o) AS y FROM c GROUP BY 1, 2)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY y DESC, anchor)::INT AS line, y, text, segments, "left", "right", bottom, top FROM l""",
     "paragraph_merge": """
 WITH l AS (SELECT l_orderkey AS page, l_linenumber AS n, CASE WHEN min(l_suppkey) % 5 = 0 THEN 0.2e0 ELSE 0.1e0 END AS lft, l_linenumber * 0.05e0 AS top, l_linenumber * 0.05e0 + CASE WHEN min(l_suppkey) % 3 = 0 THEN 0.02e0 ELSE 0.04e0 END AS bottom FROM lineitem GROUP BY 1, 2),
 j AS (SELECT *, CASE WHEN top - lag(bottom) OVER w BETWEEN -0.001e0 AND greatest(bottom - top, lag(bottom - top) OVER w, 0.001e0) * 0.6e0 AND abs(lft - lag(lft) OVER w) <= 0.03e0 THEN 0 ELSE 1 END AS fresh FROM l WINDOW w AS (PARTITION BY page ORDER BY n)),
@@ -133,8 +138,8 @@ WITH v AS (SELECT DISTINCT l_partkey AS identity, 'role' || l_returnflag AS role
 SELECT identity, role, array_to_string(list(value ORDER BY value)[1:2], ',') AS "values", CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE 'unique' END AS status FROM v GROUP BY 1, 2""",
     "evaluation_eligibility": """
 WITH b AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
-p AS (SELECT l_linenumber AS l, CASE WHEN l_linenumber = 7 THEN '' ELSE (l_orderkey % 50)::VARCHAR END AS a, l_partkey % 100 AS c, l_linenumber <> 6 AS e, l_orderkey % 9 = 0 AS two, coalesce(b.n, 0) AS n FROM lineitem LEFT JOIN b ON o_custkey = l_partkey % 100),
-r AS (SELECT *, CASE WHEN NOT e THEN 'NOT_ENGINE_RESULT' WHEN a = '' THEN 'ID_MISSING' WHEN two THEN 'REQUIREMENT_ID_NOT_UNIQUE' WHEN n <> 1 THEN 'ACTUAL_ID_NOT_UNIQUE' ELSE '' END AS reason FROM p),
+p AS (SELECT l_linenumber AS l, CASE WHEN l_linenumber = 7 THEN '' ELSE (l_orderkey % 50)::VARCHAR END AS a, l_partkey % 100 AS c, l_linenumber <> 6 AS e, l_orderkey % 9 = 0 AS two, l_linenumber <> 5 AND l_orderkey % 31 <> 0 AS sides, l_orderkey % 23 = 0 AS number, coalesce(b.n, 0) AS n FROM lineitem LEFT JOIN b ON o_custkey = l_partkey % 100),
+r AS (SELECT *, CASE WHEN NOT e THEN 'NOT_MATCHING_ENGINE' WHEN NOT sides THEN 'MISSING_SIDE' WHEN number THEN 'NON_STRING_TRACE_ID' WHEN a = '' THEN 'NO_TRACE_ID' WHEN two OR n <> 1 THEN 'DUPLICATE_TRACE_ID' ELSE '' END AS reason FROM p),
 q AS (SELECT *, CASE WHEN reason = '' AND sum(CASE WHEN reason = '' THEN 1 ELSE 0 END) OVER (PARTITION BY a, c) > 1 THEN 'DUPLICATE_PAIR' ELSE reason END AS final FROM r)
 SELECT final AS reason, count(*) AS n, sum(l)::BIGINT AS lines FROM q GROUP BY 1""",
     "saved_entry_status": """
