@@ -15,6 +15,8 @@
 5. The mean recall a vertex is audited against brute force at every size, on vertices sampled from all
    and from those with few links; below ``target`` the shards overlap more and the search starts anew.
    If it stays below, every pair of blocks is compared, which is exact and quadratic.
+   So the outcome is exact within shards, by the check; a pair whose ends share no shard isn't found, and
+   what is lost so is bounded by the audit's sample only, not known.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id,
 link with nothing: n_links 0, component_id is their own id (null for a null id), which they keep.
@@ -323,9 +325,12 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """vec_id, n_links, component_id, kept: one row per input row."""
     spark = prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e150)
-    usable = F.col("vec_id").isNotNull() & F.forall("vector", finite) & F.exists("vector", lambda v: F.abs(v) > 1e-150)
-    rows = rows.withColumn("vector", F.when(usable, F.col("vector")))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    usable = F.col("vec_id").isNotNull() & F.forall("vector", finite) & F.exists("vector", lambda v: v != 0)
+    # squares of very large or small components leave the range of a double; a cosine doesn't change by a factor
+    most = F.array_max(F.transform("vector", lambda v: F.abs(v)))
+    scaled = F.when((most > 1e100) | (most < 1e-100), F.transform("vector", lambda v: v / most)).otherwise(F.col("vector"))
+    rows = rows.withColumn("vector", F.when(usable, scaled))
     vertices = written(rows.where("vector is not null").groupBy("vector").agg(F.count("*").alias("rows"), F.min("vec_id").alias("least")).withColumn("vertex", F.monotonically_increasing_id()), "vertices")
     lengths = [r[0] for r in vertices.select(F.size("vector")).distinct().collect()]
     parts = [_linked(vertices.where(F.size("vector") == n).select("vertex", "rows", "vector"), threshold, target) for n in sorted(lengths)]

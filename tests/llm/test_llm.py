@@ -253,6 +253,12 @@ def test_embedding_dedup(spark, monkeypatch, cap, shard):
     assert [(r.n_links, r.component_id, r.kept) for r in null] == [(0, None, False)]
 
 
+def test_embedding_dedup_of_any_magnitude(spark):
+    rows = [(1, [1e160, 0.0]), (2, [2e160, 1e150]), (3, [1e-170, 0.0]), (4, [5e-324, 0.0]), (5, [1.7e308, 1.7e308]), (6, [3.0, 3.0]), (7, [-1e300, 0.0]), (8, [float("inf"), 0.0]), (9, [0.0, 0.0]), (10, [1.0, 1e-300])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 10: (4, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
+
+
 def test_embedding_dedup_empty(spark):
     assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
