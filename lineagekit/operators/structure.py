@@ -1,21 +1,12 @@
-"""Structure of documents and sheets: headings, sections, cells, chunks and quantities in text."""
+"""Structure of documents and sheets: headings, sections, cells and chunks."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# fixed values: words after a value that make it a bound, and whether the bound is inclusive
-BOUNDS = {"以上": ("lower", True), "以下": ("upper", True), "未満": ("upper", False), "超え": ("lower", False)}
-UNITS = "mm|cm|kPa|MPa|Pa|kW|W|kV|V|Hz|℃|kg|%"
-QUANTITIES = "array<struct<source:string,start:int,lower:double,lower_inclusive:boolean,upper:double,upper_inclusive:boolean,unit:string,rule:string>>"
-
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, line_no, line of non-blank lines."""
@@ -66,60 +57,3 @@ def deduplicated_json(df: DataFrame, ordinal: str) -> DataFrame:
     """Of rows with equal content that of the smallest ordinal."""
     rest = [c for c in df.columns if c != ordinal]
     return df.groupBy(*rest).agg(F.min(ordinal).alias(ordinal))
-
-
-_RANGE = re.compile(rf"(\d+(?:\.\d+)?)\s*[~～〜]\s*(\d+(?:\.\d+)?)\s*({UNITS})")
-_TOLERANCE = re.compile(rf"(\d+(?:\.\d+)?)\s*[±]\s*(\d+(?:\.\d+)?)\s*({UNITS})")
-_SINGLE = re.compile(rf"(約|最大|最小)?\s*(\d+(?:\.\d+)?)\s*({UNITS})\s*(以上|以下|未満|超え)?")
-
-
-def quantities_of(text: str | None) -> list[dict]:
-    """Quantities of a text: ranges first, then tolerances, then single values; each span is used once."""
-    t = (text or "").translate({0xFF01 + i: 0x21 + i for i in range(94)})
-    used, found = [], []
-
-    def add(m: re.Match, rule: str, unit: str, lower=None, upper=None, li=True, ui=True) -> None:
-        if all(m.end() <= a or m.start() >= b for a, b in used):
-            used.append(m.span())
-            found.append({"source": m[0].strip(), "start": m.start(), "lower": lower, "lower_inclusive": li, "upper": upper, "upper_inclusive": ui, "unit": unit, "rule": rule})
-
-    for m in _RANGE.finditer(t):
-        a, b = sorted((float(m[1]), float(m[2])))
-        add(m, "range", m[3], a, b)
-    for m in _TOLERANCE.finditer(t):
-        add(m, "tolerance", m[3], float(m[1]) - float(m[2]), float(m[1]) + float(m[2]))
-    for m in _SINGLE.finditer(t):
-        value, end = float(m[2]), BOUNDS.get(m[4] or "")
-        if end is None and m[1] in ("最大", "最小"):
-            end = ("upper", True) if m[1] == "最大" else ("lower", True)
-        if end is None:
-            add(m, "point", m[3], value, value)
-        elif end[0] == "lower":
-            add(m, "lower_bound", m[3], lower=value, li=end[1])
-        else:
-            add(m, "upper_bound", m[3], upper=value, ui=end[1])
-    return _joined(sorted(found, key=lambda q: q["start"]))
-
-
-def _joined(found: list[dict]) -> list[dict]:
-    """A lower bound and the upper bound of the same unit next to it are one range."""
-    out: list[dict] = []
-    for q in found:
-        last = out[-1] if out else None
-        if last and last["rule"] == "lower_bound" and q["rule"] == "upper_bound" and last["unit"] == q["unit"] and last["lower"] <= q["upper"]:
-            out[-1] = last | {"upper": q["upper"], "upper_inclusive": q["upper_inclusive"], "source": f"{last['source']} {q['source']}", "rule": "joined_range"}
-        else:
-            out.append(q)
-    return out
-
-
-def quantities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and one row a quantity. Consumed spans make this sequential in a text; texts are independent."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "q": [quantities_of(t) for t in frame["text"]]})
-
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, q {QUANTITIES}").select("id", F.posexplode("q").alias("nth", "q")).select("id", "nth", "q.*")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dictionary as D
 from ..operators import linkage as L
 from ..operators import profile as P
+from ..operators import quantities as Q
 from ..operators import review as R
 from ..operators import structure as S
 from ..session import read, rounded, values
@@ -194,11 +196,19 @@ def long_text_chunks(spark, sf_dir):
     return out.groupBy("doc").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk")).alias("characters"))
 
 
+TEXTS = ("全長は# mm以上、幅5~9 kPa", "#kPa以下", "電圧200±# V", "10 mm以上 6# mm未満", "周囲温度# °Cにおいて、最大12.5 kW程度", "三相AC 200 V、50/# Hz。公称#°C", "# °Cから1,000 °Cまで", "約#V")
+
+
 def quantity_extraction(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    size = F.col("p_size").cast("string")
-    text = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("全長は"), size, F.lit(" mm以上、幅 5~9 cm"))).when(F.col("p_partkey") % 4 == 1, F.concat(size, F.lit("kPa以下"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("電圧 200±"), size, F.lit(" V"))).otherwise(F.concat(F.lit("10 mm以上 "), (F.col("p_size") + 10).cast("string"), F.lit(" mm未満")))
-    return S.quantities(part.select("p_partkey", text.alias("text")), "p_partkey", "text").withColumnRenamed("id", "p_partkey")
+    """Quantities of texts about parts; # stands for a part's size."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.replace(F.element_at(F.array(*map(F.lit, TEXTS)), (k % len(TEXTS) + 1).cast("int")), F.lit("#"), size)
+    found = Q.extract(read(spark, sf_dir, "part").select("p_partkey", F.when(k % 97 != 0, text).alias("text")), "p_partkey", "text")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("start"))
+    return found.select(
+        F.col("id").alias("p_partkey"), nth.alias("nth"), "start", "source_text", "kind", F.col("lower.value").alias("lower"), F.col("lower.inclusive").alias("lower_inclusive"), F.col("upper.value").alias("upper"), F.col("upper.inclusive").alias("upper_inclusive"),
+        F.get("options", F.lit(1)).alias("second"), F.col("unit.canonical").alias("unit"), "confidence", F.size("warnings").alias("warnings"), F.array_join(F.transform("qualifiers", lambda q: q["type"]), ",").alias("qualifiers"), F.array_join("tokens", ",").alias("tokens"), F.col("condition.source_text").alias("condition"),
+    )
 
 
 def document_versions(spark, sf_dir):
@@ -214,7 +224,19 @@ def document_versions(spark, sf_dir):
 _ALL = (field_information_profile, field_classification, safe_field_pairing, profile_projection_tags, dictionary_layer_merge, dictionary_conflicts, dictionary_resolve, term_candidates, alias_conflicts, promotion_eligibility, bind_status, stale_edges, ref_integrity, lifecycle_last_write, op_log_sequence_check, effective_satisfaction, entry_status, stratified_sample, precision_recall, trace_matrix, reverse_view, netstring_ids, content_hash, dataset_signature, heading_sections, excel_unpivot_header_detect, long_text_chunks, quantity_extraction, document_versions)
 QUERIES = {f.__name__: f for f in _ALL}
 _R = lambda x: f"floor(({x}) * 1e6 + 0.5) / 1e6"
+#: What each text says, worked out by hand: text, number, begin, source, kind, lower (constant and share of the size), upper, second option, unit, confidence, warnings, qualifiers, tokens, condition.
+_SAID = """VALUES (0, 1, 3, '# mm', 'interval', 0, 1, true, NULL, NULL, NULL, NULL, 'mm', 0.95, 0, '', '', NULL), (0, 2, 11, '5~9 kPa', 'interval', 5, 0, true, 9, 0, true, NULL, 'kPa', 0.95, 0, '', '', NULL),
+  (1, 1, 0, '#kPa', 'interval', NULL, NULL, NULL, 0, 1, true, NULL, 'kPa', 0.95, 0, '', '', NULL), (2, 1, 2, '200±# V', 'interval', 200, -1, true, 200, 1, true, NULL, 'V', 0.6, 1, '', '', NULL),
+  (3, 1, 0, '10 mm以上 6# mm', 'interval', 10, 0, true, NULL, NULL, false, NULL, 'mm', 0.95, 0, '', '', NULL), (4, 1, 12, '最大12.5 kW程度', 'interval', NULL, NULL, NULL, 12.5, 0, true, NULL, 'kW', 0.6, 2, 'approximate,maximum', '', '# °C'),
+  (5, 1, 5, '200 V', 'interval', 200, 0, true, 200, 0, true, NULL, 'V', 0.95, 0, '', '三相,AC', NULL), (5, 2, 11, '50/# Hz', 'alternatives', NULL, NULL, NULL, NULL, NULL, NULL, 1, 'Hz', 0.6, 1, '', '三相,AC', NULL), (5, 3, 19, '公称#°C', 'interval', 0, 1, true, 0, 1, true, NULL, 'degC', 0.6, 1, 'nominal', '', NULL),
+  (6, 1, 0, '# °Cから1,000 °Cまで', 'interval', 0, 1, true, 1000, 0, true, NULL, 'degC', 0.95, 0, '', '', NULL), (7, 1, 0, '約#V', 'interval', 0, 1, true, 0, 1, true, NULL, 'V', 0.6, 1, 'approximate', '', NULL)"""
 ORACLE_SQL = {
+    "quantity_extraction": f"""
+WITH v(t, nth, s, src, kind, lc, lk, li, uc, uk, ui, oc, unit, conf, warned, quals, tokens, cond) AS ({_SAID})
+SELECT p_partkey, nth::INT AS nth, (s + CASE WHEN t = 0 AND nth = 2 OR t = 4 THEN length(p_size::VARCHAR) - CASE t WHEN 4 THEN 0 ELSE 1 END WHEN t = 5 AND nth = 3 THEN length(p_size::VARCHAR) - 1 ELSE 0 END)::INT AS start,
+       replace(src, '#', p_size::VARCHAR) AS source_text, kind, (lc + lk * p_size)::DOUBLE AS lower, li AS lower_inclusive, CASE WHEN t = 3 THEN ('6' || p_size)::DOUBLE ELSE (uc + uk * p_size)::DOUBLE END AS upper, ui AS upper_inclusive,
+       CASE WHEN oc = 1 THEN p_size::DOUBLE END AS second, unit, conf::DOUBLE AS confidence, warned::INT AS warnings, quals AS qualifiers, tokens, replace(cond, '#', p_size::VARCHAR) AS condition
+FROM part JOIN v ON t = p_partkey % 8 WHERE p_partkey % 97 <> 0""",
     "field_information_profile": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS v FROM {t}" for t, cs in (("customer", ["c_nationkey", "c_mktsegment", "c_name"]), ("part", ["p_name", "p_brand", "p_type", "p_size"])) for c in cs) + f"""), k AS (SELECT field, v, count(*) AS n FROM v WHERE v <> '' GROUP BY 1, 2)
 SELECT field, CAST(sum(n) AS BIGINT) AS n, count(*) AS distinct_values, {_R('max(n) / sum(n)')} AS near_constant_ratio, {_R('count(*) / sum(n)')} AS unique_ratio, max(n) / sum(n) < 0.8 AS auto_eligible FROM k GROUP BY 1""",
     "field_classification": "WITH f(field) AS (VALUES " + ", ".join(f"('{f}')" for f in FIELDS) + "), r(field, c) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in REGISTRY) + """), k AS (SELECT field, c, CASE WHEN regexp_matches(field, '(key|_id|hash)$') THEN 'TECHNICAL' WHEN regexp_matches(field, '(name|text|title|type|segment)') THEN 'BUSINESS_TEXT' ELSE 'UNCLASSIFIED' END AS p FROM f LEFT JOIN r USING (field))

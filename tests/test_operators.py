@@ -247,16 +247,6 @@ def test_binding_sampling_and_gates(spark):
     assert R.sequence_problems(spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 3)], "k long, s long"), "k", "s").count() == 1
 
 
-def test_quantities():
-    rule = lambda t: [(q["rule"], q["lower"], q["upper"], q["lower_inclusive"], q["upper_inclusive"], q["unit"]) for q in S.quantities_of(t)]
-    assert rule("5〜9 mm") == [("range", 5.0, 9.0, True, True, "mm")]
-    assert rule("200±10 V") == [("tolerance", 190.0, 210.0, True, True, "V")]
-    assert rule("３０ kPa未満") == [("upper_bound", None, 30.0, True, False, "kPa")]
-    assert rule("10 mm以上 20 mm未満") == [("joined_range", 10.0, 20.0, True, False, "mm")]
-    assert rule("最大 5 kW") == [("upper_bound", None, 5.0, True, True, "kW")]
-    assert rule(None) == [] and rule("数なし") == []
-
-
 def test_sheets(spark):
     cells = spark.createDataFrame([("s", 1, 1, "Report"), ("s", 3, 1, "id"), ("s", 3, 2, "name"), ("s", 3, 3, "name"), ("s", 3, 4, None), ("s", 5, 1, "1"), ("s", 5, 2, "a"), ("s", 5, 3, "b"), ("s", 5, 4, "c")], "sheet string, r int, c int, v string")
     head = S.header_rows(cells)
