@@ -202,3 +202,61 @@ def concept_pairs(requirement: DataFrame, actual: DataFrame, key: list[str], per
     met = both.withColumn("_n", rank).withColumn("reason", F.when(one, "concept_mismatch").when(F.col("_n") > per_concept, "candidate_limit_exceeded")).drop("_n")
     open_ = r.where("concept is null").unionByName(a.where("concept is null"), allowMissingColumns=True).withColumn("reason", F.lit("property_unresolved"))
     return met.unionByName(open_)
+
+
+def candidate_pairs(requirement: DataFrame, actual: DataFrame, key: list[str], per_group: int = 50, total: int = 2000, potential: int = 2_000_000) -> DataFrame:
+    """Comparison candidates under caps a group and over all, which are the feature.
+
+    Sides: *key (the bucket), quantity_id, concept (null: unresolved). Buckets that both sides have are gone through in
+    the order of the key, their concepts in order: each group of a concept adds its pairs, and at most ``per_group``
+    of them as candidates, to two running totals. Where one of these exceeds its limit the scan ends and there are no
+    candidates at all, only what was seen so far: reason total_candidate_limit_exceeded (one row with the totals
+    at that group), candidate_limit_would_exceed (groups beyond ``per_group``), and concept_mismatch and
+    property_unresolved up to there. Else: pairs (reason null), candidate_limit_exceeded (a row a group with the number
+    of pairs left out), and the two others. ``result_complete`` says whether nothing was left out.
+
+    Each group adds one candidate at least, so ``total`` + 1 groups in order tell where the scan ends; where the sums
+    over all groups stay within the limits, not even their order is needed.
+    """
+    for name, limit in (("per_group", per_group), ("total", total), ("potential", potential)):
+        if not isinstance(limit, int) or isinstance(limit, bool) or limit < 1:
+            raise ValueError(f"{name} must be a whole number from 1 on")
+    order, named = [*key, "concept"], lambda df, side: df.where("concept is not null").groupBy(*key, "concept").agg(F.count("*").alias(f"n_{side}"))
+    buckets = requirement.select(*key).distinct().join(actual.select(*key).distinct(), key)
+    groups = named(requirement, "r").join(named(actual, "a"), order, "full_outer").join(buckets, key, "left_semi").withColumn("pairs", F.col("n_r") * F.col("n_a"))
+    both = groups.where("pairs is not null")
+    n, most, every = both.agg(F.count("*"), F.coalesce(F.sum(F.least("pairs", F.lit(per_group))), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+    stop = None
+    if most > total or every > potential:
+        first = both.orderBy(*order).limit(min(total, n) + 1)
+        running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over the first total + 1 groups at most
+        first = first.withColumns({"materialized": F.sum(F.least("pairs", F.lit(per_group))).over(running), "potential": F.sum("pairs").over(running)})
+        stop = first.where((F.col("materialized") > total) | (F.col("potential") > potential)).orderBy(*order).first()
+
+    kinds = dict(groups.dtypes)
+    at = lambda names: F.struct(*(F.lit(stop[k]).cast(kinds[k]).alias(k) for k in names))
+    here = F.lit(True) if stop is None else F.struct(*key) <= at(key)
+    seen = F.lit(True) if stop is None else F.struct(*order) < at(order)
+    columns = [*key, "concept", "side", "requirement_quantity_id", "actual_quantity_id", "reason", "pairs", "result_complete"]
+    side = lambda df, s: df.join(buckets, key, "left_semi").select(*key, "concept", F.lit(s).alias("side"), F.col("quantity_id").alias(f"{s}_quantity_id"))
+    r, a = side(requirement, "requirement"), side(actual, "actual")
+    each = r.unionByName(a, allowMissingColumns=True)
+    unresolved = each.where(F.col("concept").isNull() & here).withColumn("reason", F.lit("property_unresolved"))
+    alone = groups.where("pairs is null").select(*order)
+    mismatch = each.where(seen).join(alone, order).withColumn("reason", F.lit("concept_mismatch"))
+    noted = unresolved.unionByName(mismatch)
+    large = groups.where((F.col("pairs") > per_group) & (seen if stop is None else F.struct(*order) <= at(order)))
+    if stop is not None:
+        scanned, every = buckets.where(here).count(), buckets.count()
+        over = [k for k, hit in (("materialized", stop["materialized"] > total), ("potential", stop["potential"] > potential)) if hit]
+        ended = requirement.sparkSession.range(1).select(F.lit("total_candidate_limit_exceeded").alias("reason"), F.lit(stop["potential"]).alias("pairs"), F.lit(",".join(over)).alias("limit_kinds"), F.lit(stop["materialized"]).alias("materialized"), F.lit(scanned).cast("long").alias("buckets"), F.lit(every - scanned).cast("long").alias("unscanned"))
+        would = large.select(*order, "pairs", F.lit("candidate_limit_would_exceed").alias("reason"))
+        out = noted.unionByName(would, allowMissingColumns=True).unionByName(ended, allowMissingColumns=True).withColumn("result_complete", F.lit(False))
+        return out.select(*columns, "limit_kinds", "materialized", "buckets", "unscanned")
+    rank = F.row_number().over(Window.partitionBy(*order).orderBy("requirement_quantity_id", "actual_quantity_id"))
+    met = r.drop("side").join(a.drop("side"), order).withColumn("_n", rank).where(F.col("_n") <= per_group).drop("_n")
+    left = large.select(*order, (F.col("pairs") - per_group).alias("pairs"), F.lit("candidate_limit_exceeded").alias("reason"))
+    whole = large.isEmpty()
+    out = noted.unionByName(met, allowMissingColumns=True).unionByName(left, allowMissingColumns=True).withColumn("result_complete", F.lit(whole))
+    none = [F.lit(None).cast(kind).alias(n) for n, kind in (("limit_kinds", "string"), ("materialized", "long"), ("buckets", "long"), ("unscanned", "long"))]
+    return out.select(*columns, *none)

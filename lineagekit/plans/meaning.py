@@ -105,6 +105,25 @@ def concept_pairs(spark, sf_dir):
     return out.groupBy("l_orderkey", F.coalesce("concept", F.lit("")).alias("concept"), F.coalesce("reason", F.lit("pair")).alias("reason")).agg(F.count("*").alias("n"), F.sum("requirement_quantity_id").alias("requirement_ids"), F.sum("actual_quantity_id").alias("actual_ids"))
 
 
+def _lines_by_flag(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem")
+    return [line.where(F.col("l_linenumber") % 2 == rest).select("l_orderkey", F.col("l_linenumber").alias("quantity_id"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("concept")) for rest in (1, 0)]
+
+
+def _counted(out):
+    return out.groupBy("l_orderkey", "concept", "side", "reason", "result_complete", "limit_kinds").agg(F.count("*").alias("n"), F.sum("requirement_quantity_id").alias("requirement_ids"), F.sum("actual_quantity_id").alias("actual_ids"), F.sum("pairs").alias("pairs"), F.sum("materialized").alias("materialized"), F.sum("buckets").alias("buckets"), F.sum("unscanned").alias("unscanned"))
+
+
+def candidate_caps_stop(spark, sf_dir):
+    """Candidates of an order's lines under the usual caps: with more than 2000 the scan ends and there are none."""
+    return _counted(C.candidate_pairs(*_lines_by_flag(spark, sf_dir), ["l_orderkey"], per_group=2))
+
+
+def candidate_caps_open(spark, sf_dir):
+    """The same with caps over all that aren't reached: pairs, and groups cut at two of them."""
+    return _counted(C.candidate_pairs(*_lines_by_flag(spark, sf_dir), ["l_orderkey"], per_group=2, total=1_000_000_000, potential=1_000_000_000))
+
+
 def relationship_metadata(spark, sf_dir):
     k = F.col("o_orderkey")
     method = F.element_at(F.array(F.lit("exact"), F.lit("title_candidate"), F.lit(""), F.lit(None).cast("string")), (k % 4 + 1).cast("int"))
@@ -150,7 +169,7 @@ def semantic_judgement(spark, sf_dir):
     return out.select("p_partkey", F.coalesce("mode", F.lit("")).alias("mode"), F.coalesce("reason", F.lit("")).alias("reason"), F.array_join("failed", ",").alias("failed"), state.alias("state"), satisfied.alias("satisfied"))
 
 
-QUERIES = {f.__name__: f for f in (interval_semantics, local_clause, property_concepts, numeric_comparison, automatic_judgements, comparison_records, coverage_gap, concept_pairs, relationship_metadata, review_state_fold, review_progress, stale_reviews, semantic_judgement)}
+QUERIES = {f.__name__: f for f in (interval_semantics, local_clause, property_concepts, numeric_comparison, automatic_judgements, comparison_records, coverage_gap, concept_pairs, candidate_caps_stop, candidate_caps_open, relationship_metadata, review_state_fold, review_progress, stale_reviews, semantic_judgement)}
 
 _LISTS = {name: "[" + ", ".join(f"'{x}'" for x in items) + "]" for name, items in (("r", REQUIREMENTS), ("a", ACTUALS), ("d", DIMENSIONS))}
 _SIDES = f"""
@@ -221,7 +240,25 @@ sr AS (SELECT el.s, el.c, eligible, since, max(l.i) AS r FROM el LEFT JOIN live
 sat AS (SELECT sr.s, sr.c, any_value(eligible) AS eligible, arg_min(l.m, l.i) AS m FROM sr LEFT JOIN live l ON l.s = sr.s AND l.c = sr.c AND l.m IN (8, 9) AND l.i > greatest(since, coalesce(r, since)) GROUP BY sr.s, sr.c),
 f AS (SELECT s, c, t AS target, CASE WHEN since IS NULL THEN 'unreviewed' ELSE 'reviewed' END AS status, CASE WHEN since IS NOT NULL THEN 'accept' END AS verdict FROM up
       UNION ALL SELECT s, c, 'satisfaction', CASE WHEN NOT eligible THEN 'not_eligible' WHEN m IS NULL THEN 'unreviewed' ELSE 'reviewed' END, CASE WHEN eligible THEN CASE m WHEN 8 THEN 'override_satisfied' WHEN 9 THEN 'override_unsatisfied' END END FROM sat)"""
+_CAPS = """
+WITH o AS (SELECT l_orderkey AS k, l_linenumber AS q, nullif(l_returnflag, 'R') AS c FROM lineitem WHERE l_linenumber % 2 = 1),
+e AS (SELECT l_orderkey AS k, l_linenumber AS q, nullif(l_returnflag, 'R') AS c FROM lineitem WHERE l_linenumber % 2 = 0),
+b AS (SELECT DISTINCT k FROM o WHERE k IN (SELECT k FROM e)),
+g AS (SELECT k, c, r.n * a.n AS pairs FROM (SELECT k, c, count(*) AS n FROM o WHERE c IS NOT NULL GROUP BY 1, 2) r JOIN (SELECT k, c, count(*) AS n FROM e WHERE c IS NOT NULL GROUP BY 1, 2) a USING (k, c)),
+t AS (SELECT *, sum(least(pairs, 2)) OVER w AS m, sum(pairs) OVER w AS p FROM g WINDOW w AS (ORDER BY k, c)),
+stop AS (SELECT coalesce(min((k, c)), (9223372036854775807, 'z')) AS s FROM t WHERE m > {0} OR p > {1}),
+side AS (SELECT *, 'requirement' AS side FROM o UNION ALL SELECT *, 'actual' FROM e),
+x AS (SELECT k, NULL AS c, side, CASE side WHEN 'requirement' THEN q END AS rq, CASE side WHEN 'actual' THEN q END AS aq, 'property_unresolved' AS reason, NULL::BIGINT AS pairs FROM side, stop WHERE c IS NULL AND k IN (SELECT k FROM b) AND k <= s[1]
+  UNION ALL SELECT k, c, side, CASE side WHEN 'requirement' THEN q END, CASE side WHEN 'actual' THEN q END, 'concept_mismatch', NULL FROM side, stop WHERE c IS NOT NULL AND k IN (SELECT k FROM b) AND (k, c) < s AND NOT EXISTS (SELECT 1 FROM g WHERE g.k = side.k AND g.c = side.c)"""
 ORACLE_SQL = {
+    "candidate_caps_stop": _CAPS.format(2000, 2_000_000) + """
+  UNION ALL SELECT k, c, NULL, NULL, NULL, 'candidate_limit_would_exceed', pairs FROM g, stop WHERE pairs > 2 AND (k, c) <= s)
+SELECT k AS l_orderkey, c AS concept, side, reason, false AS result_complete, NULL::VARCHAR AS limit_kinds, count(*) AS n, sum(rq)::BIGINT AS requirement_ids, sum(aq)::BIGINT AS actual_ids, sum(pairs)::BIGINT AS pairs, NULL::BIGINT AS materialized, NULL::BIGINT AS buckets, NULL::BIGINT AS unscanned FROM x GROUP BY 1, 2, 3, 4
+UNION ALL SELECT NULL, NULL, NULL, 'total_candidate_limit_exceeded', false, CASE WHEN p > 2000000 THEN 'materialized,potential' ELSE 'materialized' END, 1, NULL, NULL, p::BIGINT, m::BIGINT, (SELECT count(*) FROM b WHERE k <= s[1]), (SELECT count(*) FROM b WHERE k > s[1]) FROM t, stop WHERE (k, c) = s""",
+    "candidate_caps_open": _CAPS.format(10**9, 10**9) + """
+  UNION ALL SELECT k, c, NULL, NULL, NULL, 'candidate_limit_exceeded', pairs - 2 FROM g WHERE pairs > 2
+  UNION ALL SELECT k, c, NULL, rq, aq, NULL, NULL FROM (SELECT o.k, o.c, o.q AS rq, e.q AS aq, row_number() OVER (PARTITION BY o.k, o.c ORDER BY o.q, e.q) AS n FROM o JOIN e ON o.k = e.k AND o.c = e.c) WHERE n <= 2)
+SELECT k AS l_orderkey, c AS concept, side, reason, (SELECT count(*) FROM g WHERE pairs > 2) = 0 AS result_complete, NULL::VARCHAR AS limit_kinds, count(*) AS n, sum(rq)::BIGINT AS requirement_ids, sum(aq)::BIGINT AS actual_ids, sum(pairs)::BIGINT AS pairs, NULL::BIGINT AS materialized, NULL::BIGINT AS buckets, NULL::BIGINT AS unscanned FROM x GROUP BY 1, 2, 3, 4""",
     "interval_semantics": f"""
 WITH {_CLAUSED}, {_RULES}
 SELECT k AS p_partkey, side, v[1] AS top_value, {_R.format('c[1]')} AS top_confidence, len(v)::INT AS candidates, {_R.format('CASE WHEN len(c) > 1 THEN c[1] - c[2] ELSE c[1] END')} AS margin,
