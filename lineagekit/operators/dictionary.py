@@ -190,3 +190,28 @@ def initial_tags(records: DataFrame, vocabulary: DataFrame, folded: bool) -> Dat
     names = vocabulary.select("tag", F.explode(F.array_union(F.array("tag"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).select("tag", form(F.col("name")).alias("name"))
     each = records.select("id", F.explode("values").alias("value")).select("id", form(F.col("value")).alias("name"))
     return each.join(names, "name").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+
+
+# fixed values: what is counted of an entry, the largest total that is exact in every reader
+UTILITY = ("exposure_count", "match_opportunity_count", "candidate_gain", "ranking_gain", "candidate_noise_increase", "alias_conflict_count", "document_support_count")
+MOST_EXACT = 2**53 - 1
+
+
+def learning_summary(entries: DataFrame) -> DataFrame:
+    """dictionary_id, entry_count, status_counts, utility_totals (maps with every state and field) and error of entries
+    (dictionary_id, status, utility map): nothing of an entry's terms. A count that is missing is 0; a total beyond
+    2^53 - 1 makes the error DICTIONARY_UTILITY_TOTAL_OVERFLOW."""
+    totals = [F.sum(F.coalesce(F.col("utility")[f], F.lit(0)).cast("decimal(38,0)")).alias(f) for f in UTILITY]
+    counts = [F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATES]
+    got = entries.groupBy("dictionary_id").agg(F.count("*").alias("entry_count"), *counts, *totals)
+    pairs = lambda names, kind: F.create_map(*(x for n in names for x in (F.lit(n), F.col(n).cast(kind))))
+    over = F.greatest(*UTILITY) > F.lit(MOST_EXACT)
+    return got.select("dictionary_id", "entry_count", pairs(STATES, "long").alias("status_counts"), pairs(UTILITY, "long").alias("utility_totals"), F.when(over, "DICTIONARY_UTILITY_TOTAL_OVERFLOW").alias("error"))
+
+
+def shareable_summary(candidates: DataFrame, aliases: DataFrame, conflicts: DataFrame, rejected: DataFrame) -> DataFrame:
+    """key, value: the counts of an extraction that may be shared. ``candidates`` have an array of rules each."""
+    one = lambda df, key: df.agg(F.count("*").alias("value")).select(F.lit(key).alias("key"), "value")
+    by_rule = candidates.select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("value")).select(F.concat(F.lit("counts_by_rule."), "rule").alias("key"), "value")
+    held = candidates.sparkSession.range(1).select(F.lit("content_included").alias("key"), F.lit(0).cast("long").alias("value"))
+    return one(candidates, "candidate_count").union(one(aliases, "alias_candidate_count")).union(one(conflicts, "conflict_count")).union(one(rejected, "rejected_count")).union(by_rule).union(held)

@@ -14,12 +14,36 @@ def information(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.groupBy("field").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_values"), (F.max("n") / F.sum("n")).alias("near_constant_ratio"), (F.count("*") / F.sum("n")).alias("unique_ratio"))
 
 
-def classified(fields: DataFrame, registry: DataFrame, technical: str, business: str) -> DataFrame:
-    """classification and source of each (field): the registry first, then technical, then business patterns."""
-    hit = fields.join(registry, "field", "left")
-    by_rule = F.when(F.col("field").rlike(technical), "TECHNICAL").when(F.col("field").rlike(business), "BUSINESS_TEXT").otherwise("UNCLASSIFIED")
-    source = F.when(F.col("classification").isNotNull(), "registry").when(by_rule == "UNCLASSIFIED", "none").otherwise("pattern")
-    return hit.select("field", F.coalesce("classification", by_rule).alias("classification"), source.alias("source"))
+# fixed values: fields of a trace's envelope, and names of fields by what they are
+ENVELOPE = {
+    "file_name": "PROVENANCE_ONLY", "chapter_number": "IDENTITY_ONLY", "chapter_title": "DISPLAY_ONLY", "trace_format": "TECHNICAL_METADATA", "schema_version": "TECHNICAL_METADATA", "id_scheme": "TECHNICAL_METADATA",
+    "id_scheme_version": "TECHNICAL_METADATA", "generated_at": "TECHNICAL_METADATA", "generator": "UNSUPPORTED_COMPLEX", "source": "UNSUPPORTED_COMPLEX", "options": "UNSUPPORTED_COMPLEX", "statistics": "UNSUPPORTED_COMPLEX",
+    "warnings": "UNSUPPORTED_COMPLEX", "tag_policy": "UNSUPPORTED_COMPLEX", "tag_vocabulary": "UNSUPPORTED_COMPLEX", "_trace_adapter": "UNSUPPORTED_COMPLEX", "_trace_records": "UNSUPPORTED_COMPLEX",
+}
+TECHNICAL = r"(?i)(^|_)(id|uid|guid|hash|sha[0-9]*|version|scheme|schema|timestamp|at|date|time|status|state|path|file|sheet|row|page|bbox|ref|refs)$|^(review_|ai_review|source_|stable_)"
+BUSINESS = (
+    ("term", "TERM", "MATCH_ELIGIBLE"), ("name|title|subject|entity", "SUBJECT_ENTITY_NAME", "MATCH_ELIGIBLE"), ("code", "CODE", "MATCH_ELIGIBLE"), ("description|desc|text|content", "DESCRIPTION", "MATCH_ELIGIBLE"),
+    ("property|prop", "PROPERTY", "MATCH_ELIGIBLE_WITH_CAUTION"), ("value|val", "VALUE", "MATCH_ELIGIBLE_WITH_CAUTION"), ("unit", "UNIT", "MATCH_ELIGIBLE_WITH_CAUTION"), ("condition|relation", "RELATION_CONDITION", "MATCH_ELIGIBLE_WITH_CAUTION"),
+)
+
+
+def classified(fields: DataFrame, registry: DataFrame) -> DataFrame:
+    """schema_kind, field, classification, role, source of each (schema_kind, field).
+
+    The registry (schema_kind, field, classification, role) goes first, then the envelope's fields, names that are
+    technical, names of business fields; what fits none is UNCLASSIFIED and has no role.
+    """
+    hit = fields.select("schema_kind", "field").distinct().join(registry.withColumn("_known", F.lit(True)), ["schema_kind", "field"], "left")
+    known, f = F.coalesce("_known", F.lit(False)), F.col("field")
+    envelope = F.create_map(*(F.lit(x) for kv in ENVELOPE.items() for x in kv))[f]
+    technical = F.rlike(f, F.lit(TECHNICAL))
+    kind = F.when(known, F.col("classification")).when(envelope.isNotNull(), envelope).when(technical, "TECHNICAL_METADATA")
+    role = F.when(known, F.col("role")).when(envelope.isNotNull() | technical, None)
+    source = F.when(known, F.concat(F.lit("registered_schema:"), "schema_kind")).when(envelope.isNotNull(), "trace_envelope").when(technical, "generic_pattern")
+    for names, own_role, own_kind in BUSINESS:
+        fits = F.rlike(f, F.lit(f"(?i)(^|_)({names})$"))
+        kind, role, source = kind.when(fits, own_kind), role.when(fits, own_role), source.when(fits, "generic_pattern")
+    return hit.select("schema_kind", "field", kind.otherwise("UNCLASSIFIED").alias("classification"), role.alias("role"), source.otherwise("unclassified").alias("source"))
 
 
 def safe_pairing(a: DataFrame, b: DataFrame) -> DataFrame:

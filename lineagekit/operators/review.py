@@ -211,3 +211,25 @@ def coverage_matrix(a: DataFrame, b: DataFrame, links: DataFrame) -> DataFrame:
 def gates(checks: dict[str, Column]) -> Column:
     """Names of the failed gates of a row, in order."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
+
+
+# fixed values: what a link says of the correspondence, by its method
+CONFIRMED, OPEN, NONE = "対応あり", "要確認", "未対応"
+
+
+def trace_judgement(method: Column) -> Column:
+    """An identity is confirmed; no link is none; all else, title candidates too, is to be confirmed by a person."""
+    return F.when(method.isin("exact", "code"), CONFIRMED).when(method.isNull() | method.isin("", "none"), NONE).otherwise(OPEN)
+
+
+def public_confidence(method: Column, confidence: Column) -> Column:
+    """The confidence that is shown: none for title candidates, whose strength isn't measured; 0 where it is missing."""
+    return F.when(method.isNotNull() & (method != "title_candidate"), F.coalesce(confidence, F.lit(0.0)))
+
+
+def judgement_summary(links: DataFrame) -> DataFrame:
+    """a_id, judgement, confidence, links: the best judgement of a row's links (a_id, method, confidence; a row
+    without a link has one of a null method) and the highest confidence that is shown."""
+    rank = F.when(trace_judgement(F.col("method")) == CONFIRMED, 2).when(trace_judgement(F.col("method")) == OPEN, 1).otherwise(0)
+    out = links.groupBy("a_id").agg(F.max(rank).alias("r"), F.max(public_confidence(F.col("method"), F.col("confidence"))).alias("confidence"), F.count("method").alias("links"))
+    return out.select("a_id", F.when(F.col("r") == 2, CONFIRMED).when(F.col("r") == 1, OPEN).otherwise(NONE).alias("judgement"), "confidence", "links")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dictionary as D
 from ..operators import graph as G
 from ..operators import guards as U
+from ..operators import review as R
 from ..session import read, values
 
 TYPES = ("related_to", "contains", "satisfied_by", "belongs_to", "unknown")
@@ -86,9 +88,19 @@ def keyword_extraction(spark, sf_dir):
 
 
 def state_transitions(spark, sf_dir):
-    states = spark.range(len(STATES)).select(F.element_at(F.array(*map(F.lit, STATES)), (F.col("id") + 1).cast("int")).alias("state"))
-    pairs = states.crossJoin(F.broadcast(states.select(F.col("state").alias("to"))))  # six states
-    return pairs.select("state", "to", D.allowed_transition("state", "to").alias("allowed"))
+    """Changes of state that follow each other in a user's events, and which of them are allowed."""
+    n = (F.col("event_id") * 7 % len(STATES) + 1).cast("int")
+    rows = read(spark, sf_dir, "events").where("user_id is not null").select("user_id", "event_id", F.element_at(F.array(*map(F.lit, STATES)), n).alias("to"))
+    both = rows.withColumn("state", F.lag("to").over(Window.partitionBy("user_id").orderBy("event_id"))).where("state is not null")
+    return both.groupBy("state", "to").agg(F.count("*").alias("n")).select("state", "to", "n", D.allowed_transition("state", "to").alias("allowed"))
+
+
+def trace_judgements(spark, sf_dir):
+    """What the lines of an order say of it, by methods that are dealt out by their numbers."""
+    n = F.col("l_orderkey") + F.col("l_linenumber")
+    method = F.when(n % 7 == 0, "exact").when(n % 7 == 1, "code").when(n % 7 == 2, "title_candidate").when(n % 7 == 3, "partial").when(n % 7 == 4, "none").when(n % 7 == 5, "")
+    links = read(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("a_id"), method.alias("method"), F.when(n % 3 != 0, F.col("l_discount")).alias("confidence"))
+    return R.judgement_summary(links)
 
 
 def _entries(spark, sf_dir):
@@ -156,7 +168,7 @@ def term_evaluation(spark, sf_dir):
     return D.evaluation_summary(D.repeated_values(found))
 
 
-QUERIES = {f.__name__: f for f in (graph_diagnostics, node_edit_fold, ingest_log, relation_digests, guard_flags, keyword_extraction, state_transitions, dictionary_entry_problems, dictionary_layer_views, snapshot_checks, snapshot_pins, snapshot_activation, vocabulary_tags, review_decisions, identity_differences, term_evaluation)}
+QUERIES = {f.__name__: f for f in (graph_diagnostics, node_edit_fold, ingest_log, relation_digests, guard_flags, keyword_extraction, state_transitions, trace_judgements, dictionary_entry_problems, dictionary_layer_views, snapshot_checks, snapshot_pins, snapshot_activation, vocabulary_tags, review_decisions, identity_differences, term_evaluation)}
 
 _NODES = """
 b AS (SELECT 'n' || c_custkey AS id, c_custkey AS k, CASE WHEN c_custkey % 13 = 0 THEN 'n' || (c_custkey + 1000000) WHEN c_custkey % 3 = 0 THEN 'n' || ceil(c_custkey / 2)::BIGINT END AS parent, CASE WHEN c_custkey % 70 = 0 THEN 'none' ELSE 'doc' END AS doc, [c_mktsegment, 'N' || c_nationkey] AS tags FROM customer),
@@ -219,9 +231,14 @@ z AS (SELECT *, list_transform(list_sort(list_distinct(list_transform(list_filte
 f AS (SELECT k, list_concat(must, rest[1:greatest(4 - len(must), 0)]) AS w FROM z)
 SELECT k AS p_partkey, len(w)::INT AS n, array_to_string(w, '|') AS keywords FROM f""",
     "state_transitions": """
-WITH s(state) AS (VALUES ('PROBATION'), ('ACTIVE'), ('OBSERVING'), ('QUARANTINED'), ('RETIRED'), ('DRAFT')),
-a(f, t) AS (VALUES ('PROBATION', 'ACTIVE'), ('PROBATION', 'QUARANTINED'), ('PROBATION', 'RETIRED'), ('ACTIVE', 'OBSERVING'), ('ACTIVE', 'QUARANTINED'), ('ACTIVE', 'RETIRED'), ('OBSERVING', 'ACTIVE'), ('OBSERVING', 'QUARANTINED'), ('OBSERVING', 'RETIRED'), ('QUARANTINED', 'ACTIVE'), ('QUARANTINED', 'OBSERVING'), ('QUARANTINED', 'RETIRED'))
-SELECT x.state, y.state AS "to", a.f IS NOT NULL AS allowed FROM s x CROSS JOIN s y LEFT JOIN a ON a.f = x.state AND a.t = y.state""",
+WITH a(f, t) AS (VALUES ('PROBATION', 'ACTIVE'), ('PROBATION', 'QUARANTINED'), ('PROBATION', 'RETIRED'), ('ACTIVE', 'OBSERVING'), ('ACTIVE', 'QUARANTINED'), ('ACTIVE', 'RETIRED'), ('OBSERVING', 'ACTIVE'), ('OBSERVING', 'QUARANTINED'), ('OBSERVING', 'RETIRED'), ('QUARANTINED', 'ACTIVE'), ('QUARANTINED', 'OBSERVING'), ('QUARANTINED', 'RETIRED')),
+e AS (SELECT user_id, event_id, ([{STATES_SQL}])[(event_id * 7 % 6 + 1)::INT] AS s FROM events WHERE user_id IS NOT NULL),
+l AS (SELECT lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS state, s AS "to" FROM e)
+SELECT state, "to", count(*) AS n, any_value(a.f IS NOT NULL) AS allowed FROM l LEFT JOIN a ON a.f = l.state AND a.t = l."to" WHERE state IS NOT NULL GROUP BY 1, 2""".replace("{STATES_SQL}", ", ".join(f"'{x}'" for x in STATES)),
+    "trace_judgements": """
+WITH l AS (SELECT l_orderkey AS a_id, CASE (l_orderkey + l_linenumber) % 7 WHEN 0 THEN 'exact' WHEN 1 THEN 'code' WHEN 2 THEN 'title_candidate' WHEN 3 THEN 'partial' WHEN 4 THEN 'none' WHEN 5 THEN '' END AS m, CASE WHEN (l_orderkey + l_linenumber) % 3 <> 0 THEN l_discount END AS c FROM lineitem WHERE l_linenumber <= 2)
+SELECT a_id, CASE WHEN bool_or(coalesce(m IN ('exact', 'code'), false)) THEN '対応あり' WHEN bool_or(coalesce(m IN ('title_candidate', 'partial'), false)) THEN '要確認' ELSE '未対応' END AS judgement,
+       max(CASE WHEN m IS NOT NULL AND m <> 'title_candidate' THEN coalesce(c, 0) END) AS confidence, count(m) AS links FROM l GROUP BY 1""",
     "dictionary_entry_problems": f"""
 WITH {_ENTRIES},
 p AS (SELECT dictionary_id, entry_id, concat_ws(',', CASE WHEN count(*) OVER (PARTITION BY dictionary_id, entry_id) > 1 THEN 'entry_id_duplicate' END, CASE WHEN status = 'DRAFT' THEN 'status_unknown' END, CASE WHEN count(*) OVER (PARTITION BY dictionary_id, term) > 1 THEN 'canonical_term_duplicate' END,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,8 +18,6 @@ from ..session import read, rounded, values
 from . import linking, quantity
 
 TERMS = [("anodized", "surface", "STANDARD", "ACTIVE"), ("polished", "surface", "STANDARD", "ACTIVE"), ("steel", "metal", "PROJECT", "ACTIVE"), ("brass", "alloy", "PROJECT", "ACTIVE"), ("brass", "metal", "DOMAIN", "ACTIVE"), ("small", "metal", "DOMAIN", "RETIRED")]
-REGISTRY = [("p_partkey", "IDENTIFIER"), ("p_name", "BUSINESS_TEXT"), ("c_name", "BUSINESS_TEXT"), ("doc_id", "IDENTIFIER")]
-FIELDS = "p_partkey p_name p_brand p_type p_size p_retailprice c_custkey c_name c_acctbal c_mktsegment doc_id text lang source n_chars".split()
 RULES = [("urgent", "urgent"), ("priority", "1-URGENT"), ("priority", "2-HIGH"), ("relaxed", "5-LOW"), ("odd", "SPECIFIED")]
 
 
@@ -28,14 +28,50 @@ def field_information_profile(spark, sf_dir):
     return out.select("field", "n", "distinct_values", rounded(F.col("near_constant_ratio")).alias("near_constant_ratio"), rounded(F.col("unique_ratio")).alias("unique_ratio"), (F.col("near_constant_ratio") < 0.8).alias("auto_eligible"))
 
 
+COLUMNS = {"part": "p_partkey p_name p_brand p_type p_size p_retailprice", "customer": "c_custkey c_name c_acctbal c_mktsegment", "documents": "doc_id text lang source n_chars", "pages": "page_id url html", "orders": "o_orderkey o_orderstatus o_orderdate"}
+REGISTERED = [("part", "p_partkey", "IDENTITY_ONLY", None), ("part", "p_type", "MATCH_ELIGIBLE", "TERM"), ("documents", "lang", "DISPLAY_ONLY", None), ("orders", "source", "DISPLAY_ONLY", None)]
+PAIRED = {"part": (("p_brand", "equipment_code"), ("p_name", "title"), ("p_type", "text"), ("p_size", "title")), "customer": (("c_mktsegment", "text"), ("c_name", "title"), ("c_nationkey", "category"), ("c_custkey", "title"))}
+
+
+def _observed(spark, sf_dir):
+    """schema_kind, field, n and ratios of the columns of several tables, by their values."""
+    sides = [P.information(read(spark, sf_dir, t), c.split()).withColumn("schema_kind", F.lit(t)) for t, c in COLUMNS.items()]
+    return functools.reduce(DataFrame.unionByName, sides)
+
+
 def field_classification(spark, sf_dir):
-    fields = values(spark, [(f,) for f in FIELDS], "field string")
-    return P.classified(fields, values(spark, REGISTRY, "field string, classification string"), "(key|_id|hash)$", "(name|text|title|type|segment)")
+    """What the columns of several tables are, and whether they may be paired by machine."""
+    seen = _observed(spark, sf_dir)
+    kinds = P.classified(seen, values(spark, REGISTERED, "schema_kind string, field string, classification string, role string"))
+    return kinds.join(seen, ["schema_kind", "field"]).select("schema_kind", "field", "classification", "role", "source", "n", P.auto_eligible(F.col("classification"), F.col("n"), F.col("near_constant_ratio")).alias("auto_eligible"))
 
 
 def safe_field_pairing(spark, sf_dir):
-    side = lambda rows: values(spark, rows, "field string, role string, position int")
-    return P.safe_pairing(side([("p_name", "title", 1), ("p_type", "text", 2), ("p_brand", "code", 3), ("p_alias", "title", 4)]), side([("l_comment", "text", 1), ("s_name", "title", 2), ("s_code", "code", 3), ("s_code2", "code", 4)]))
+    """Fields of parts and customers paired by role, of those whose values tell rows apart."""
+    def side(table):
+        roles = values(spark, [(f, r, i) for i, (f, r) in enumerate(PAIRED[table])], "field string, role string, position int")
+        seen = P.information(read(spark, sf_dir, table), [f for f, _ in PAIRED[table]])
+        return roles.join(seen, "field").select("field", "role", "position", P.auto_eligible(F.lit("MATCH_ELIGIBLE"), F.col("n"), F.col("unique_ratio"), 0.5).alias("eligible"))
+
+    return P.auto_pairing(side("part"), side("customer"))
+
+
+def learning_summary(spark, sf_dir):
+    """A dictionary's entries by state and the totals of what is counted of them, without any term."""
+    k = F.col("p_partkey")
+    utility = F.create_map(F.lit("exposure_count"), F.col("p_size").cast("long"), F.lit("match_opportunity_count"), k % 7, F.lit("document_support_count"), F.when(k % 3 == 0, 2).otherwise(1).cast("long"))
+    entries = read(spark, sf_dir, "part").select(F.col("p_brand").alias("dictionary_id"), F.element_at(F.array(*map(F.lit, D.STATES)), (k % 5 + 1).cast("int")).alias("status"), utility.alias("utility"))
+    out = D.learning_summary(entries)
+    return out.select("dictionary_id", "entry_count", *(F.col("status_counts")[s].alias(s.lower()) for s in D.STATES), *(F.col("utility_totals")[f].alias(f) for f in D.UTILITY), "error")
+
+
+def shareable_summary(spark, sf_dir):
+    """Counts of an extraction by rule: what may be shared, since it holds no content."""
+    k = F.col("p_partkey")
+    rules = F.when(k % 3 == 0, F.array(F.lit("TERM_HEADING"), F.lit("TERM_REPEATED_VALUE"))).when(k % 3 == 1, F.array(F.lit("TERM_KEY"))).otherwise(F.array(F.lit("TERM_HEADING")))
+    part = read(spark, sf_dir, "part")
+    candidates = part.where(k % 4 != 0).select(k.alias("id"), rules.alias("rules"))
+    return D.shareable_summary(candidates, part.where(k % 5 == 0).select(k.alias("id")), part.where(k % 50 == 0).select(k.alias("id")), part.where(k % 4 == 0).select(k.alias("id")))
 
 
 def profile_projection_tags(spark, sf_dir):
@@ -221,7 +257,7 @@ def document_versions(spark, sf_dir):
     return both.groupBy(change.alias("change")).agg(F.count("*").alias("n"))
 
 
-_ALL = (field_information_profile, field_classification, safe_field_pairing, profile_projection_tags, dictionary_layer_merge, dictionary_conflicts, dictionary_resolve, term_candidates, alias_conflicts, promotion_eligibility, bind_status, stale_edges, ref_integrity, lifecycle_last_write, op_log_sequence_check, effective_satisfaction, entry_status, stratified_sample, precision_recall, trace_matrix, reverse_view, netstring_ids, content_hash, dataset_signature, heading_sections, excel_unpivot_header_detect, long_text_chunks, quantity_extraction, document_versions)
+_ALL = (field_information_profile, field_classification, safe_field_pairing, learning_summary, shareable_summary, profile_projection_tags, dictionary_layer_merge, dictionary_conflicts, dictionary_resolve, term_candidates, alias_conflicts, promotion_eligibility, bind_status, stale_edges, ref_integrity, lifecycle_last_write, op_log_sequence_check, effective_satisfaction, entry_status, stratified_sample, precision_recall, trace_matrix, reverse_view, netstring_ids, content_hash, dataset_signature, heading_sections, excel_unpivot_header_detect, long_text_chunks, quantity_extraction, document_versions)
 QUERIES = {f.__name__: f for f in _ALL}
 _R = lambda x: f"floor(({x}) * 1e6 + 0.5) / 1e6"
 #: What each text says, worked out by hand: text, number, begin, source, kind, lower (constant and share of the size), upper, second option, unit, confidence, warnings, qualifiers, tokens, condition.
@@ -239,9 +275,27 @@ SELECT p_partkey, nth::INT AS nth, (s + CASE WHEN t = 0 AND nth = 2 OR t = 4 THE
 FROM part JOIN v ON t = p_partkey % 8 WHERE p_partkey % 97 <> 0""",
     "field_information_profile": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS v FROM {t}" for t, cs in (("customer", ["c_nationkey", "c_mktsegment", "c_name"]), ("part", ["p_name", "p_brand", "p_type", "p_size"])) for c in cs) + f"""), k AS (SELECT field, v, count(*) AS n FROM v WHERE v <> '' GROUP BY 1, 2)
 SELECT field, CAST(sum(n) AS BIGINT) AS n, count(*) AS distinct_values, {_R('max(n) / sum(n)')} AS near_constant_ratio, {_R('count(*) / sum(n)')} AS unique_ratio, max(n) / sum(n) < 0.8 AS auto_eligible FROM k GROUP BY 1""",
-    "field_classification": "WITH f(field) AS (VALUES " + ", ".join(f"('{f}')" for f in FIELDS) + "), r(field, c) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in REGISTRY) + """), k AS (SELECT field, c, CASE WHEN regexp_matches(field, '(key|_id|hash)$') THEN 'TECHNICAL' WHEN regexp_matches(field, '(name|text|title|type|segment)') THEN 'BUSINESS_TEXT' ELSE 'UNCLASSIFIED' END AS p FROM f LEFT JOIN r USING (field))
-SELECT field, coalesce(c, p) AS classification, CASE WHEN c IS NOT NULL THEN 'registry' WHEN p = 'UNCLASSIFIED' THEN 'none' ELSE 'pattern' END AS source FROM k""",
-    "safe_field_pairing": "SELECT * FROM (VALUES ('title', CAST(1 AS INT), 'p_name', 's_name'), ('text', 1, 'p_type', 'l_comment'), ('code', 1, 'p_brand', 's_code')) t(role, nth, a_field, b_field)",
+    "field_classification": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{t}' AS schema_kind, '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM {t}" for t, cs in COLUMNS.items() for c in cs.split()) + """),
+i AS (SELECT schema_kind, field, sum(n)::BIGINT AS n, max(n) / sum(n) AS most FROM (SELECT schema_kind, field, value, count(*) AS n FROM v WHERE value <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+-- by hand: what each column is
+k(field, classification, role, source) AS (VALUES ('p_partkey', 'IDENTITY_ONLY', NULL, 'registered_schema:part'), ('p_type', 'MATCH_ELIGIBLE', 'TERM', 'registered_schema:part'), ('p_name', 'MATCH_ELIGIBLE', 'SUBJECT_ENTITY_NAME', 'generic_pattern'), ('c_name', 'MATCH_ELIGIBLE', 'SUBJECT_ENTITY_NAME', 'generic_pattern'),
+  ('doc_id', 'TECHNICAL_METADATA', NULL, 'generic_pattern'), ('text', 'MATCH_ELIGIBLE', 'DESCRIPTION', 'generic_pattern'), ('lang', 'DISPLAY_ONLY', NULL, 'registered_schema:documents'), ('source', 'UNSUPPORTED_COMPLEX', NULL, 'trace_envelope'), ('page_id', 'TECHNICAL_METADATA', NULL, 'generic_pattern'))
+SELECT schema_kind, field, coalesce(classification, 'UNCLASSIFIED') AS classification, role, coalesce(source, 'unclassified') AS source, n, coalesce(classification = 'MATCH_ELIGIBLE' AND most < 0.8, false) AS auto_eligible FROM i LEFT JOIN k USING (field)""",
+    "safe_field_pairing": """
+WITH v AS (SELECT * FROM (SELECT unnest(['p_brand', 'p_name', 'p_type', 'p_size']) AS field, unnest([p_brand, p_name, p_type, p_size::VARCHAR]) AS value FROM part) UNION ALL SELECT * FROM (SELECT unnest(['c_mktsegment', 'c_name', 'c_nationkey', 'c_custkey']), unnest([c_mktsegment, c_name, c_nationkey::VARCHAR, c_custkey::VARCHAR]) FROM customer)),
+i AS (SELECT field, count(DISTINCT value) / count(*) < 0.5 AS ok FROM v WHERE value <> '' GROUP BY 1),
+r(side, field, role, position, priority, method) AS (VALUES ('a', 'p_brand', 'equipment_code', 0, 1, 'code'), ('a', 'p_name', 'title', 1, 4, 'auto'), ('a', 'p_type', 'text', 2, 6, 'contains'), ('a', 'p_size', 'title', 3, 4, 'auto'),
+  ('b', 'c_mktsegment', 'text', 0, 6, 'contains'), ('b', 'c_name', 'title', 1, 4, 'auto'), ('b', 'c_nationkey', 'category', 2, 7, 'auto'), ('b', 'c_custkey', 'title', 3, 4, 'auto')),
+n AS (SELECT r.*, row_number() OVER (PARTITION BY side, role ORDER BY position) AS nth FROM r JOIN i USING (field) WHERE ok)
+SELECT coalesce(x.role, y.role) AS role, coalesce(x.nth, y.nth)::INT AS nth, x.field AS a_field, y.field AS b_field, CASE WHEN x.field IS NOT NULL AND y.field IS NOT NULL THEN x.method END AS method, coalesce(x.priority, y.priority)::INT AS priority, CASE WHEN x.field IS NULL THEN 'no_requirement_field' WHEN y.field IS NULL THEN 'no_actual_field' END AS reason
+FROM (SELECT * FROM n WHERE side = 'a') x FULL JOIN (SELECT * FROM n WHERE side = 'b') y ON x.role = y.role AND x.nth = y.nth""",
+    "learning_summary": """
+SELECT p_brand AS dictionary_id, count(*) AS entry_count, count(*) FILTER (p_partkey % 5 = 0) AS probation, count(*) FILTER (p_partkey % 5 = 1) AS active, count(*) FILTER (p_partkey % 5 = 2) AS observing, count(*) FILTER (p_partkey % 5 = 3) AS quarantined, count(*) FILTER (p_partkey % 5 = 4) AS retired,
+       sum(p_size)::BIGINT AS exposure_count, sum(p_partkey % 7)::BIGINT AS match_opportunity_count, 0::BIGINT AS candidate_gain, 0::BIGINT AS ranking_gain, 0::BIGINT AS candidate_noise_increase, 0::BIGINT AS alias_conflict_count, sum(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS document_support_count, NULL::VARCHAR AS error FROM part GROUP BY 1""",
+    "shareable_summary": """
+WITH c AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN ['TERM_HEADING', 'TERM_REPEATED_VALUE'] WHEN 1 THEN ['TERM_KEY'] ELSE ['TERM_HEADING'] END AS rules FROM part WHERE p_partkey % 4 <> 0)
+SELECT 'candidate_count' AS key, count(*) AS value FROM c UNION ALL SELECT 'alias_candidate_count', count(*) FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT 'conflict_count', count(*) FROM part WHERE p_partkey % 50 = 0
+UNION ALL SELECT 'rejected_count', count(*) FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'counts_by_rule.' || r, count(*) FROM (SELECT unnest(rules) AS r FROM c) GROUP BY 1 UNION ALL SELECT 'content_included', 0""",
     "profile_projection_tags": """
 SELECT list_aggregate(list_sort(list_filter([CASE WHEN contains(t, 'urgent') THEN 'urgent' END, CASE WHEN contains(t, '1-urgent') OR contains(t, '2-high') THEN 'priority' END, CASE WHEN contains(t, '5-low') THEN 'relaxed' END], lambda x: x IS NOT NULL)), 'string_agg', ',') AS tags0,
   CASE WHEN contains(t, 'specified') THEN 'odd' ELSE '' END AS unregistered, t FROM (SELECT lower(o_orderpriority || ' / ' || o_orderstatus) AS t FROM orders)""",
