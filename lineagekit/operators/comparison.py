@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions import text as T
+from ..session import settled
 
 # fixed values: modes, how many alternatives a quantity may have, sources of a relation
 MODES = ("point_in_region", "actual_covers_requirement", "requirement_covers_actual")
@@ -152,8 +153,10 @@ def record_set(judged: DataFrame) -> DataFrame:
     pair = F.concat("requirement_quantity_id", F.lit("::"), "actual_quantity_id")
     ident = F.concat(F.lit("cmp-v1:"), T.netstring(F.col("requirement_trace_id")), T.netstring(F.col("actual_trace_id")), T.netstring(pair))
     named = judged.withColumn("quantity_pair_id", pair).withColumn("comparison_id", ident)
-    repeated = lambda c, name: named.groupBy(c).agg((F.count("*") > 1).alias(name))
-    both = named.join(repeated("quantity_pair_id", "_p"), "quantity_pair_id").join(repeated("comparison_id", "_c"), "comparison_id")
+    # only ids that occur more than once are joined back, to rows that are worked out once
+    named = settled(named)
+    repeated = lambda c, name: named.groupBy(c).agg(F.count("*").alias("_n")).where("_n > 1").select(c, F.lit(True).alias(name))
+    both = named.join(repeated("quantity_pair_id", "_p"), "quantity_pair_id", "left").join(repeated("comparison_id", "_c"), "comparison_id", "left")
     problems = F.array_compact(F.array(F.when(F.col("_p"), "quantity_pair_id_duplicate"), F.when(F.col("_c"), "comparison_id_duplicate"), *[F.when(F.coalesce(F.col(c), F.lit("")) == "", f"{c}_missing") for c in SORT]))
     return both.withColumn("problems", problems).withColumn("satisfaction_review", F.lit("not_eligible")).drop("_p", "_c")
 

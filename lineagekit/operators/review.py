@@ -162,10 +162,12 @@ def dangling(rows: DataFrame, column: str, targets: DataFrame, key: str) -> Data
 
 
 def effective_satisfaction(automatic: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """automatic (id, state, satisfied) overlaid by reviews (id, status, verdict): accepted verdicts win."""
+    """automatic (id, state, satisfied) overlaid by reviews of the satisfaction as the fold gives them (id, status,
+    verdict): a reviewed one counts, an override as it says and an acceptance as the automatic judgement."""
     both = automatic.join(reviewed, "id", "left")
-    accepted = F.coalesce(F.col("status") == "accepted", F.lit(False)) & F.col("verdict").isNotNull()
-    return both.select("id", F.when(accepted, "human").otherwise("automatic").alias("source"), F.when(accepted, F.col("verdict")).otherwise(F.col("satisfied")).alias("satisfied"))
+    human = F.coalesce(F.col("status") == "reviewed", F.lit(False)) & F.col("verdict").isin("accept", "override_satisfied", "override_unsatisfied")
+    human = F.coalesce(human, F.lit(False))
+    return both.select("id", F.when(human, "human").otherwise("automatic").alias("source"), F.when(human, human_satisfaction(F.col("verdict"), F.col("satisfied"))).otherwise(F.col("satisfied")).alias("satisfied"))
 
 
 def entry_status(saved: DataFrame, current: DataFrame) -> DataFrame:

@@ -155,7 +155,8 @@ def op_log_sequence_check(spark, sf_dir):
 def effective_satisfaction(spark, sf_dir):
     automatic = quantity.interval_coverage_judgement(spark, sf_dir).select(F.col("p_partkey").alias("id"), "state", "satisfied")
     latest = lifecycle_last_write(spark, sf_dir)
-    reviewed = latest.select(F.col("user_id").alias("id"), F.when(F.col("event_type").isin("signup", "purchase"), "accepted").otherwise("open").alias("status"), (F.col("event_type") == "signup").alias("verdict"))
+    verdict = F.when(F.col("event_type") == "signup", "override_satisfied").when(F.col("event_type") == "purchase", "accept").when(F.col("event_type") == "error", "override_unsatisfied")
+    reviewed = latest.select(F.col("user_id").alias("id"), F.when(verdict.isNotNull(), "reviewed").otherwise("unreviewed").alias("status"), verdict.alias("verdict"))
     return R.effective_satisfaction(automatic, reviewed)
 
 
@@ -340,7 +341,7 @@ HAVING min(event_id % 97 + 1) <> 1 OR max(event_id % 97 + 1) <> count(*) OR coun
     "effective_satisfaction": """
 WITH a AS (SELECT p_partkey AS id, lo >= p_size AS s FROM part LEFT JOIN (SELECT l_partkey, min(l_quantity) AS lo FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
 r AS (SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS e FROM events GROUP BY 1)
-SELECT a.id, CASE WHEN e IN ('signup', 'purchase') THEN 'human' ELSE 'automatic' END AS source, CASE WHEN e IN ('signup', 'purchase') THEN e = 'signup' ELSE s END AS satisfied FROM a LEFT JOIN r ON r.id = a.id""",
+SELECT a.id, CASE WHEN e IN ('signup', 'purchase', 'error') THEN 'human' ELSE 'automatic' END AS source, CASE e WHEN 'signup' THEN true WHEN 'error' THEN false ELSE s END AS satisfied FROM a LEFT JOIN r ON r.id = a.id""",
     "entry_status": """
 SELECT coalesce(l.doc_id, d.doc_id) AS id, CASE WHEN l.doc_id IS NULL THEN 'NO_ENTRY' WHEN d.doc_id IS NULL THEN 'ORPHANED' WHEN l.quality + l.toxic = length(lang) - 1 THEN 'CURRENT' ELSE 'STALE' END AS status
 FROM labels l FULL JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 0) d ON d.doc_id = l.doc_id""",

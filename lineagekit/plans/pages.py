@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records as R
 from ..session import read, values
+from ..sources import strict_json as J
 
 HEADINGS = ("第#章 概要", "#.2 surface", "第二節", "# note", "plain #", "#．１　全角", "3.")
 RULES = [("chapter", 1, 10, "^[A-Z][a-z]+ed ", 80), ("section", 2, 20, "^large ", 40), ("note", 3, 20, "steel$", 25), ("any", 9, 1, ".", 200)]
@@ -72,6 +73,19 @@ def evaluation_eligibility(spark, sf_dir):
     return R.eligibility(both).groupBy(F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
 
 
+def strict_json(spark, sf_dir):
+    """Properties of events as JSON texts, some of them spoilt, by their fault and with what good ones hold."""
+    n, p = F.col("event_id") % 11, F.col("props")
+    spoilt = (
+        F.when(n == 0, F.replace(p, F.lit("{"), F.lit('{"k": 1, '))).when(n == 1, F.replace(p, F.lit("{"), F.lit('{"\\u006b": 1, '))).when(n == 2, F.replace(p, F.lit("}"), F.lit(",}"))).when(n == 3, F.concat(F.repeat(F.lit("["), 8), p, F.repeat(F.lit("]"), 8)))
+        .when(n == 4, F.concat(F.lit("[[[[[["), p, F.lit("]]]]]]"))).when(n == 5, F.replace(p, F.lit("k"), F.lit("a\tb"))).when(n == 6, F.concat(p, F.lit(" x"))).when(n == 7, F.replace(p, F.lit(": "), F.lit(": 0"))).when(n == 8, F.concat(F.lit(" \n"), p, F.lit("\t")))
+        .when(n == 9, F.concat(p, F.repeat(F.lit(" "), 600))).otherwise(p)
+    )
+    found = J.checked(read(spark, sf_dir, "events").select("event_id", spoilt.alias("text")), "text", most_bytes=500)
+    value = F.coalesce(F.try_variant_get("json", "$.k", "long"), F.try_variant_get("json", "$[0][0][0][0][0][0].k", "long"))
+    return found.groupBy((F.col("event_id") % 11).alias("kind"), F.coalesce("json_fault", F.lit("")).alias("fault")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
 def saved_entry_status(spark, sf_dir):
     k = F.col("o_orderkey")
     entries = read(spark, sf_dir, "orders").select(k.alias("pair_id"), F.col("o_orderstatus").alias("identity"), F.lit("r").alias("requirement"), F.lit("a").alias("actual"))
@@ -100,7 +114,7 @@ def satisfaction_summary(spark, sf_dir):
     return R.satisfaction_counts(read(spark, sf_dir, "orders").select((k % 4 == 0).alias("all_reviewed"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("satisfied")))
 
 
-QUERIES = {f.__name__: f for f in (heading_lines, profile_headings, layout_lines, paragraph_merge, nearby_texts, canonical_projections, role_hints, evaluation_eligibility, saved_entry_status, bound_sides, candidate_view, satisfaction_summary)}
+QUERIES = {f.__name__: f for f in (heading_lines, profile_headings, layout_lines, paragraph_merge, nearby_texts, canonical_projections, role_hints, evaluation_eligibility, strict_json, saved_entry_status, bound_sides, candidate_view, satisfaction_summary)}
 ORACLE_SQL = {
     "heading_lines": """
 WITH t AS (SELECT p_partkey AS k, replace(['第#章 概要', '#.2 surface', '第二節', '# note', 'plain #', '#．１　全角', '3.'][(p_partkey % 7 + 1)::INT], '#', (p_partkey % 20)::VARCHAR) || CASE p_partkey % 5 WHEN 0 THEN p_name || p_name || p_name WHEN 1 THEN ' ' || p_name ELSE '' END AS s FROM part),
@@ -142,6 +156,10 @@ p AS (SELECT l_linenumber AS l, CASE WHEN l_linenumber = 7 THEN '' ELSE (l_order
 r AS (SELECT *, CASE WHEN NOT e THEN 'NOT_MATCHING_ENGINE' WHEN NOT sides THEN 'MISSING_SIDE' WHEN number THEN 'NON_STRING_TRACE_ID' WHEN a = '' THEN 'NO_TRACE_ID' WHEN two OR n <> 1 THEN 'DUPLICATE_TRACE_ID' ELSE '' END AS reason FROM p),
 q AS (SELECT *, CASE WHEN reason = '' AND sum(CASE WHEN reason = '' THEN 1 ELSE 0 END) OVER (PARTITION BY a, c) > 1 THEN 'DUPLICATE_PAIR' ELSE reason END AS final FROM r)
 SELECT final AS reason, count(*) AS n, sum(l)::BIGINT AS lines FROM q GROUP BY 1""",
+    "strict_json": """
+WITH e AS (SELECT event_id % 11 AS kind, CAST(props->>'k' AS BIGINT) AS k FROM events)
+SELECT kind, CASE WHEN kind IN (0, 1) THEN 'DICTIONARY_JSON_DUPLICATE_KEY' WHEN kind IN (2, 5, 6) OR (kind = 7) THEN 'DICTIONARY_JSON_SYNTAX_INVALID' WHEN kind = 3 THEN 'DICTIONARY_MAX_NESTING_DEPTH_EXCEEDED' WHEN kind = 9 THEN 'DICTIONARY_JSON_TOO_LARGE' ELSE '' END AS fault, count(*) AS n,
+       CAST(sum(CASE WHEN kind IN (4, 8, 10) THEN k END) AS BIGINT) AS total FROM e GROUP BY 1, 2""",
     "saved_entry_status": """
 SELECT o_orderkey AS pair_id, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 10 = 1 THEN 'ORPHANED' WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'STALE' ELSE 'CURRENT' END AS status FROM orders""",
     "bound_sides": """
