@@ -115,8 +115,8 @@ def _counted(out):
 
 
 def candidate_caps_stop(spark, sf_dir):
-    """Candidates of an order's lines under the usual caps: with more than 2000 the scan ends and there are none."""
-    return _counted(C.candidate_pairs(*_lines_by_flag(spark, sf_dir), ["l_orderkey"], per_group=2))
+    """Candidates of an order's lines under low caps: beyond 200 the scan ends and there are none."""
+    return _counted(C.candidate_pairs(*_lines_by_flag(spark, sf_dir), ["l_orderkey"], per_group=2, total=200))
 
 
 def candidate_caps_open(spark, sf_dir):
@@ -251,7 +251,7 @@ side AS (SELECT *, 'requirement' AS side FROM o UNION ALL SELECT *, 'actual' FRO
 x AS (SELECT k, NULL AS c, side, CASE side WHEN 'requirement' THEN q END AS rq, CASE side WHEN 'actual' THEN q END AS aq, 'property_unresolved' AS reason, NULL::BIGINT AS pairs FROM side, stop WHERE c IS NULL AND k IN (SELECT k FROM b) AND k <= s[1]
   UNION ALL SELECT k, c, side, CASE side WHEN 'requirement' THEN q END, CASE side WHEN 'actual' THEN q END, 'concept_mismatch', NULL FROM side, stop WHERE c IS NOT NULL AND k IN (SELECT k FROM b) AND (k, c) < s AND NOT EXISTS (SELECT 1 FROM g WHERE g.k = side.k AND g.c = side.c)"""
 ORACLE_SQL = {
-    "candidate_caps_stop": _CAPS.format(2000, 2_000_000) + """
+    "candidate_caps_stop": _CAPS.format(200, 2_000_000) + """
   UNION ALL SELECT k, c, NULL, NULL, NULL, 'candidate_limit_would_exceed', pairs FROM g, stop WHERE pairs > 2 AND (k, c) <= s)
 SELECT k AS l_orderkey, c AS concept, side, reason, false AS result_complete, NULL::VARCHAR AS limit_kinds, count(*) AS n, sum(rq)::BIGINT AS requirement_ids, sum(aq)::BIGINT AS actual_ids, sum(pairs)::BIGINT AS pairs, NULL::BIGINT AS materialized, NULL::BIGINT AS buckets, NULL::BIGINT AS unscanned FROM x GROUP BY 1, 2, 3, 4
 UNION ALL SELECT NULL, NULL, NULL, 'total_candidate_limit_exceeded', false, CASE WHEN p > 2000000 THEN 'materialized,potential' ELSE 'materialized' END, 1, NULL, NULL, p::BIGINT, m::BIGINT, (SELECT count(*) FROM b WHERE k <= s[1]), (SELECT count(*) FROM b WHERE k > s[1]) FROM t, stop WHERE (k, c) = s""",

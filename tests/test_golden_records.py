@@ -1,5 +1,6 @@
 """Lines by anchor, texts of side B by clause, eligibility, limits and substring counts on golden cases."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lineagekit.functions import intervals as I
@@ -59,3 +60,24 @@ def test_segments_inside_other_segments_count(spark):
     assert got == {"定格値": (0, 2, False, True), "定格": (0, 2, False, True), "x": (1, 1, False, False), "総合定格値": (1, 1, False, False), "none": (0, 0, False, False), "の": (0, 1, False, False)}
     two = rows.where("id < 3").withColumn("segments", F.array(F.lit("定格値"))).union(rows.where("id = 3").withColumn("segments", F.array(F.lit("定格値"))))
     assert matcher.discrimination(asked.where("segment = '定格値'"), two).first()["is_boilerplate"]
+
+
+def test_caps_over_all_groups(spark):
+    side = lambda rows: spark.createDataFrame(rows, "k string, quantity_id int, concept string")
+    r = side([("a", 1, "x"), ("a", 2, "x"), ("a", 3, None), ("b", 1, "x"), ("b", 2, "y"), ("c", 1, "z"), ("only r", 1, "x")])
+    a = side([("a", 1, "x"), ("a", 2, "x"), ("b", 1, "x"), ("b", 9, None), ("c", 1, "z"), ("c", 2, "w"), ("only a", 1, "x")])
+    found = lambda **caps: sorted(((x["k"] or "", x["concept"] or "", x["reason"] or "pair", x["pairs"]) for x in comparison.candidate_pairs(r, a, ["k"], **caps).collect()), key=str)
+    noted = [("a", "", "property_unresolved", None), ("b", "", "property_unresolved", None), ("b", "y", "concept_mismatch", None), ("c", "w", "concept_mismatch", None)]
+    pairs = [("a", "x", "pair", None)] * 4 + [("b", "x", "pair", None), ("c", "z", "pair", None)]
+    assert found() == sorted(noted + pairs, key=str)
+    assert found(per_group=3) == sorted(noted + pairs[1:] + [("a", "x", "candidate_limit_exceeded", 1)], key=str)
+    # the third group is one too many; what comes before it in order is reported, its own bucket's open ids too
+    stopped = comparison.candidate_pairs(r, a, ["k"], per_group=3, total=4).collect()
+    assert sorted(((x["k"] or "", x["concept"] or "", x["reason"], x["pairs"]) for x in stopped), key=str) == sorted([*noted[:3], ("a", "x", "candidate_limit_would_exceed", 4), ("c", "w", "concept_mismatch", None), ("", "", "total_candidate_limit_exceeded", 6)], key=str)
+    (total,) = [x for x in stopped if x["reason"] == "total_candidate_limit_exceeded"]
+    assert (total["limit_kinds"], total["materialized"], total["buckets"], total["unscanned"]) == ("materialized", 5, 3, 0)
+    (early,) = [x for x in comparison.candidate_pairs(r, a, ["k"], potential=3).collect() if x["reason"] == "total_candidate_limit_exceeded"]
+    assert (early["limit_kinds"], early["pairs"], early["buckets"], early["unscanned"]) == ("potential", 4, 1, 2)
+    for bad in (0, True, 1.5, "3"):
+        with pytest.raises(ValueError):
+            comparison.candidate_pairs(r, a, ["k"], total=bad)
