@@ -30,11 +30,13 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``): what is used twice
     is then the same both times, and an executor that is lost takes nothing with it.
 
-    Only where the cluster names no folder (tests, a laptop) a temporary one is made.
+    Only in local mode (tests, a laptop) a temporary one is made where none is named.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-lineagekit-"))
     return df.checkpoint()
 
