@@ -27,10 +27,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) is a temporary folder made and set.
+    Only in local mode (tests, a laptop) is a temporary folder made and set where none is named.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
         found = getattr(spark.sparkContext, "_lineagekit_shared", None)
         if not found:
             found = tempfile.mkdtemp(prefix="spark-lineagekit-")
