@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 #: Bytes of the pieces that are merged side by side, pieces that a task remembers, characters of a slice, tree cells of a group.
-WIDE, KEPT, SLICE, CELLS = 1024, 400_000, 4 << 20, 4 << 20
+WIDE, KEPT, SLICE, CELLS = 1024, 400_000, 2 << 20, 1 << 20
 NONE = np.int64(1) << 62
 #: Low bits of a tree cell hold the position, the others the rank.
 BITS = 12
