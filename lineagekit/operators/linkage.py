@@ -272,6 +272,9 @@ def best_in_blocks(a: DataFrame, b: DataFrame, score: Callable[[pd.DataFrame, pd
         found = pd.DataFrame({"a_id": x["a_id"].to_numpy()[rows], "b_id": y["b_id"].to_numpy()[order.ravel()], "score": value[rows, order.ravel()]})
         return found[~found["score"].isna()]
 
+    # small blocks would be put together in few tasks by their size, though their work is large
+    tasks = min(n[0] * n[1], 4 * a.sparkSession.sparkContext.defaultParallelism)
+    left, right = (side.repartition(tasks, "_a", "_b") for side in (left, right))
     return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(compare, "a_id long, b_id long, score double")
 
 
@@ -317,4 +320,4 @@ def relation_candidates(a: DataFrame, b: DataFrame, existing: DataFrame, least:
         overlap = mark(x) @ mark(y).T > 0
         return np.where(overlap | (dice >= least), np.minimum(1, 0.6 * dice + np.where(overlap, 0.4, 0)), np.nan)
 
-    return top_candidates(best_in_blocks(a, b, score, most, b_block=1000), existing, most)
+    return top_candidates(best_in_blocks(a, b, score, most, b_block=250), existing, most)

@@ -148,9 +148,9 @@ TAG_WORDS = ("the", "der", "que", "les", "with", "und")
 
 
 def relation_candidates_top3(spark, sf_dir):
-    text = T.comparison_key(F.col("text"))
-    tags = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(f" {w} {v}")), f"{w} {v}") for w in TAG_WORDS for v in TAG_WORDS]))
-    side = lambda name, key, own: read(spark, sf_dir, name).where("text is not null").select(F.col(key).alias(own), text.alias("text"), tags.alias("tags"))
+    # the key of a text is worked out once, not for every tag that is looked for in it
+    tags = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(f" {w} {v}")), f"{w} {v}") for w in TAG_WORDS for v in TAG_WORDS]))
+    side = lambda name, key, own: read(spark, sf_dir, name).where("text is not null").select(F.col(key).alias(own), T.comparison_key(F.col("text")).alias("text")).select(own, "text", tags.alias("tags"))
     found = L.relation_candidates(side("benchmark", "item_id", "a_id"), side("documents", "doc_id", "b_id"), partial_match(spark, sf_dir).select("a_id", "b_id"))
     return found.select("a_id", "b_id", rounded(F.col("score"), 3).alias("score"), "rank")
 
