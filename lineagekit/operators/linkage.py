@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import settled
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,7 @@ def contained(phrases: DataFrame, rows: DataFrame, separator: str = r"[^A-Za-z0-
     posting = rows.select(F.col("id").alias("b_id"), F.explode(F.array_distinct(parts)).alias("w"))
     frequency = posting.join(inner.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
     rarest = inner.join(frequency, "w", "left").groupBy("a_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))["w"].alias("w"))
+    rarest = settled(rarest)  # a row a phrase; what follows asks for it several times
     found = rarest.join(posting, "w").select("a_id", "b_id")
     short = known.join(rarest, "a_id", "left_anti")
     for n, fits in ((3, F.length("a_value") >= 3), (2, F.length("a_value") == 2), (1, F.length("a_value") == 1)):
