@@ -14,7 +14,9 @@ its share, its prefixes, and how often each of the ``BEFORE`` most frequent subw
 and after it, of which come its embedding (principal directions) and its cluster. A subword that no
 training row holds has the embedding of no context, and the clusters of that. The weights that all
 subwords share (queries, keys, values, positions, output: about 5,000 numbers) are fitted by Adam, with
-gradients by hand, on a bounded sample of training rows (``ROWS`` of at most ``CHARS`` characters).
+gradients by hand, on every position of all training rows: each task goes over its blocks with a copy of
+the weights, and Spark adds up their mean by positions. There are only as many tasks as have ``SHARE``
+positions each; a corpus of less than one share is gone over up to ``PASSES`` times.
 *Scoring.* Windows of ``STRIDE`` queries with keys from ``WINDOW - STRIDE`` positions before: contexts
 overlap and each token is scored once. Windows of many documents go through one masked batch.
 
@@ -29,7 +31,9 @@ from __future__ import annotations
 
 import functools
 import math
-from dataclasses import dataclass
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,10 @@ from .common import partitions, prepare, table, written
 from .labelled import held_out
 from .packing import tokenizer
 
-ROWS, CHARS, CLASSES, SINGLE, OPENING, WIDTH = 1000, 6000, 96, 32, 24, 20
-WINDOW, STRIDE, BATCH = 24, 16, 128
+CLASSES, SINGLE, OPENING, WIDTH = 96, 32, 24, 20
+WINDOW, STRIDE, BATCH = 24, 16, 256
+#: Positions that a task learns from at least, and how often it goes over fewer.
+SHARE, PASSES = 3_000_000, 4
 #: Words whose answers every task holds.
 FREQUENT = 60_000
 #: Subwords of a prefix, and what is taken off its counts; frequent subwords that embeddings look for, and how far.
@@ -51,6 +57,7 @@ LIMIT = np.float32(40)  # attention weights and logits are at most this, in plac
 FOLDS, FOLD = 5, 1
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = -1
+TEXTS = ("ids", "held", "lengths", "places", "words", "block")
 FOLLOW = "<f2"  # prefix probabilities on their way to blocks
 WORD = "word binary, count long, blocks long, subwords binary, first int, second int"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -280,21 +287,22 @@ def gradients(model: Attention, inputs: np.ndarray, wanted: np.ndarray, f: np.nd
     known = (at >= b[:, None]) & (at < z[:, None])
     e = np.take(model.e, np.take(inputs, at, mode="clip"), axis=0)
     own = np.ascontiguousarray(e[:, WINDOW - STRIDE :])
-    qq, kk, vv = own @ p["q"] * scale, e @ p["k"], e @ p["v"]
+    through = lambda x, weights: (x.reshape(-1, d) @ weights).reshape(x.shape)
+    qq, kk, vv = through(own, p["q"] * scale), through(e, p["k"]), through(e, p["v"])
     w = qq @ kk.transpose(0, 2, 1)
     w += np.where(back, p["r"][distance], np.float32(-1e9))
     w += np.where(known, np.float32(0), np.float32(-1e9))[:, None, :]
     np.exp(np.minimum(w, LIMIT, out=w), out=w)
     # queries behind the end of a document are left out below; the floor keeps them finite
-    w /= np.maximum(w.sum(axis=2, keepdims=True), np.float32(1e-30))
+    w *= 1 / np.maximum(w.sum(axis=2, keepdims=True), np.float32(1e-30))
     real = np.flatnonzero(known[:, WINDOW - STRIDE :])
-    joint = np.concatenate([np.take((w @ vv).reshape(-1, d), real, axis=0), np.take(own.reshape(-1, d), real, axis=0)], axis=1)
-    y = joint @ p["o"]
-    y += p["b"]
+    joint = np.concatenate([np.take((w @ vv).reshape(-1, d), real, axis=0), np.take(own.reshape(-1, d), real, axis=0), np.ones((len(real), 1), np.float32)], axis=1)
+    y = joint @ np.vstack([p["o"], p["b"]])
     np.exp(np.minimum(y, LIMIT, out=y), out=y)
-    y /= y.sum(axis=1, keepdims=True)
-    y[np.arange(len(real)), wanted[at[:, WINDOW - STRIDE :].ravel()[real]]] -= 1
-    y *= np.float32(1 / len(real))
+    each_one = np.float32(1 / len(real))
+    y *= each_one / y.sum(axis=1, keepdims=True)
+    y[np.arange(len(real)), wanted[at[:, WINDOW - STRIDE :].ravel()[real]]] -= each_one
+    out = joint.T @ y
     dh = np.zeros((n * STRIDE, d), dtype=np.float32)
     dh[real] = y @ p["o"][:d].T
     dh = dh.reshape(n, STRIDE, d)
@@ -303,28 +311,35 @@ def gradients(model: Attention, inputs: np.ndarray, wanted: np.ndarray, f: np.nd
     ds *= w
     each = lambda x, y: x.reshape(-1, d).T @ y.reshape(-1, d)
     return {
-        "o": joint.T @ y, "b": y.sum(axis=0), "r": np.bincount(distance[back], ds.sum(axis=0)[back], WINDOW).astype(np.float32),
+        "o": out[:-1], "b": out[-1], "r": np.bincount(distance[back], ds.sum(axis=0)[back], WINDOW).astype(np.float32),
         "q": each(own, ds @ kk) * scale, "k": each(e, ds.transpose(0, 2, 1) @ qq), "v": each(e, w.transpose(0, 2, 1) @ dh),
     }
 
 
-def train(model: Attention, flat: np.ndarray, lengths: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 0.03, seed: int = 2) -> None:
-    """Adam on documents in memory, each window once an epoch in a random order."""
-    if not len(lengths):
-        return
-    rows, rng, t = laid(model, flat, lengths), np.random.default_rng(seed), 0
-    n = len(rows[2])
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
-    total = epochs * -(-n // batch)
-    for _ in range(epochs):
-        for chosen in np.array_split(rng.permutation(n), -(-n // batch)):
-            t += 1
-            lr = rate * (1 - 0.9 * t / total)
-            for name, grad in gradients(model, *rows[:2], *(x[chosen] for x in rows[2:])).items():
-                m, v = moment[name]
-                m += 0.1 * (grad - m)
-                v += 0.02 * (grad**2 - v)
-                model.p[name] -= (lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
+class Fit:
+    """Adam on a copy of a model's shared weights; about ``expected`` windows are to come, over which its rate declines."""
+
+    def __init__(self, model: Attention, expected: float, rate: float = 0.03, seed: int = 2):
+        self.model = replace(model, p={k: v.copy() for k, v in model.p.items()})
+        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
+        self.expected, self.rate, self.rng = max(1.0, expected), rate, np.random.default_rng(seed)
+        self.steps = self.windows = self.positions = 0
+
+    def learn(self, flat: np.ndarray, lengths: np.ndarray, passes: int = 1, batch: int = 128) -> None:
+        """From whole documents, each window once a pass in a random order."""
+        rows, p = laid(self.model, flat, lengths), self.model.p
+        n = len(rows[2])
+        self.positions += len(flat) + len(lengths)
+        for _ in range(passes):
+            for chosen in np.array_split(self.rng.permutation(n), -(-n // batch)):
+                self.steps += 1
+                self.windows += len(chosen)
+                lr = self.rate * (1 - 0.9 * min(1.0, self.windows / self.expected))
+                for name, grad in gradients(self.model, *rows[:2], *(x[chosen] for x in rows[2:])).items():
+                    m, v = self.moment[name]
+                    m += 0.1 * (grad - m)
+                    v += 0.02 * (grad**2 - v)
+                    p[name] -= (lr * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.98**self.steps)) + 1e-8)).astype(np.float32)
 
 
 def spread(cuts: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -424,6 +439,17 @@ def counts_of(table: DataFrame, path: str) -> np.ndarray:
     return counts
 
 
+def training(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each block the subwords of its training rows, end to end, and how many each row has."""
+    for batch in batches:
+        for row in pa.Table.from_batches([batch]).to_batches(max_chunksize=1):
+            block = Block.of(pa.Table.from_batches([row]))
+            ids, sizes = subwords_of(path, block.words)
+            train = ~block.held
+            at, lengths = spread(np.concatenate([[0], np.cumsum(sizes)]), block.places[np.repeat(train, block.lengths)], block.lengths[train])
+            yield ids[at].astype(np.int32), lengths
+
+
 def neighbours(split: DataFrame, frequent: np.ndarray, path: str) -> np.ndarray:
     """By id, how often each of ``frequent`` is at most ``NEAR`` subwords before it, and after it, in training rows."""
     k, size = len(frequent), tokenizer(path).size + 1
@@ -433,30 +459,63 @@ def neighbours(split: DataFrame, frequent: np.ndarray, path: str) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(2 * size * k, dtype=np.int64)
-        for batch in batches:
-            for row in pa.Table.from_batches([batch]).to_batches(max_chunksize=1):
-                block = Block.of(pa.Table.from_batches([row]))
-                ids, sizes = subwords_of(path, block.words)
-                train = ~block.held
-                at, lengths = spread(np.concatenate([[0], np.cumsum(sizes)]), block.places[np.repeat(train, block.lengths)], block.lengths[train])
-                ids, doc = ids[at].astype(np.int32), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-                top, found = shared.value[ids], []
-                for gap in range(1, NEAR + 1):
-                    same = doc[gap:] == doc[:-gap]
-                    hit = np.flatnonzero(same & (top[:-gap] >= 0))
-                    found.append(ids[hit + gap] * k + top[hit])
-                    hit = np.flatnonzero(same & (top[gap:] >= 0))
-                    found.append((size + ids[hit]) * k + top[hit + gap])
-                total += np.bincount(np.concatenate(found), minlength=2 * size * k)
+        for ids, lengths in training(batches, path):
+            doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            top, found = shared.value[ids], []
+            for gap in range(1, NEAR + 1):
+                same = doc[gap:] == doc[:-gap]
+                hit = np.flatnonzero(same & (top[:-gap] >= 0))
+                found.append(ids[hit + gap] * k + top[hit])
+                hit = np.flatnonzero(same & (top[gap:] >= 0))
+                found.append((size + ids[hit]) * k + top[hit + gap])
+            total += np.bincount(np.concatenate(found), minlength=2 * size * k)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
-    found = split.select("ids", "held", "lengths", "places", "words", "block").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary times 2 BEFORE
+    found = split.select(*TEXTS).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary times 2 BEFORE
     near = np.zeros(2 * size * k)
     near[found["at"].to_numpy(np.int64)] = found["n"].to_numpy()
     return near.reshape(2, size, k)
 
 
+def together(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of several blocks as one, in an order that the blocks don't matter to."""
+    each = [x for flat, lengths in held for x in np.split(flat, np.cumsum(lengths)[:-1])]
+    each.sort(key=lambda x: (zlib.crc32(x.tobytes()), len(x)))
+    return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
+
+
+def fitted(split: DataFrame, model: Attention, path: str, n_ids: float, n_docs: int, share: int = SHARE) -> dict[str, np.ndarray]:
+    """Shared weights learned from every training row: the mean of tasks' weights, by the positions they come from."""
+    n = n_ids + n_docs
+    tasks, passes = max(1, int(n // share)), int(min(PASSES, max(1, -(-share // max(1, n)))))
+    shared = split.sparkSession.sparkContext.broadcast(model)
+    # a document's last window is half empty on average
+    expected = passes * (n / STRIDE + n_docs / 2) / tasks
+
+    def run(batches):
+        fit, held, size = Fit(shared.value, expected), [], 0
+        for flat, lengths in training(batches, path):
+            if len(lengths):
+                held.append((flat, lengths))
+                size += len(flat) + len(lengths)
+            if size >= share:
+                fit.learn(*together(held), passes)
+                held, size = [], 0
+        if held:
+            fit.learn(*together(held), passes)
+        if fit.positions:
+            flat = np.concatenate([x.ravel() for x in fit.model.p.values()]).astype(float)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(flat)), pa.int32()), "total": pa.array(flat * fit.positions), "n": pa.array(np.full(len(flat), fit.positions), pa.int64())})
+
+    found = split.select(*TEXTS).coalesce(tasks).mapInArrow(run, "at int, total double, n long").groupBy("at").agg((F.sum("total") / F.sum("n")).alias("mean")).toPandas()  # the weights
+    if not len(found):
+        return model.p
+    values = found.sort_values("at")["mean"].to_numpy().astype(np.float32)
+    ends = np.cumsum([x.size for x in model.p.values()])
+    return {k: part.reshape(x.shape) for (k, x), part in zip(model.p.items(), np.split(values, ends[:-1]))}
+
+
 def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row."""
     spark = prepare(docs.sparkSession)
@@ -475,10 +534,7 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = np.append(counts_of(distinct, path), n_docs)
     frequent = np.lexsort((np.arange(len(counts) - 1), -counts[:-1]))[:BEFORE]
     model = Attention.new(counts, tokenizer(path).opens, neighbours(split, frequent, path))
-    chosen = rows.where(~F.col("held")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS)
-    sample = rows.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= CHARS).orderBy("doc_id", "text").limit(ROWS).select("text").toPandas()
-    lists = [subwords_of(path, words(text))[0] for text in sample["text"]]
-    train(model, np.concatenate([np.zeros(0, np.int32), *lists]), np.array([len(x) for x in lists], dtype=np.int64))
+    model.p = fitted(split, model, path, counts[:-1].sum(), n_docs)
     shared = spark.sparkContext.broadcast(model)
 
     # words of the most blocks go to every task (a bounded table), the others' answers by a join to their blocks

@@ -293,6 +293,43 @@ def test_lm_scoring_learns_from_every_training_row(spark):
     assert got[held[0]] > got[held[1]] + 300
 
 
+def test_lm_attention_learns_from_every_training_row(spark):
+    """Only texts of over 6000 characters, behind 1500 others, say which word follows which."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["river", "stone"]) for _ in range(20))) for i in range(1500)] + [(i, " ".join(["river", "stone"] * 700)) for i in range(2000, 2060)]
+    held = [i for i in range(3000, 3200) if crc(i) % 5 == 1][:2]
+    rows += [(held[0], " ".join(["river", "stone"] * 60)), (held[1], " ".join(["river"] * 60 + ["stone"] * 60))]
+    got = {x.doc_id: x.score for x in lm_scoring.lm_scoring(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[held[0]] > got[held[1]] + 30
+
+
+def test_lm_weights_are_the_mean_of_tasks(spark, monkeypatch):
+    """Several tasks learn from all rows, once each, and their weights are averaged by positions."""
+    r = random.Random(6)
+    rows = [(i, prose(r, 5 + i % 40), False) for i in range(120)]
+    split = blocks.blocks(spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartitionByRange(2, "doc_id"), lm_scoring.words, 4000)
+    path = lm_scoring.default_path()
+    parts = [list(lm_scoring.training(split.where(f"block >> 32 = {i}").select(*lm_scoring.TEXTS).toArrow().to_batches(), path)) for i in (0, 1)]
+    n = [sum(len(f) + len(x) for f, x in part) for part in parts]
+    counts = np.append(np.bincount(np.concatenate([f for part in parts for f, _ in part]), minlength=packing.tokenizer(path).size), 120).astype(float)
+    frequent = np.lexsort((np.arange(len(counts) - 1), -counts[:-1]))[: lm_scoring.BEFORE]
+    model = lm_scoring.Attention.new(counts, packing.tokenizer(path).opens, lm_scoring.neighbours(split, frequent, path))
+    got = lm_scoring.fitted(split, model, path, counts[:-1].sum(), 120, share=sum(n) // 2)
+    each = []
+    for part in parts:
+        fit, held = lm_scoring.Fit(model, (sum(n) / lm_scoring.STRIDE + 60) / 2), []
+        for flat, lengths in part:
+            held.append((flat, lengths))
+            if sum(len(f) + len(x) for f, x in held) >= sum(n) // 2:
+                fit.learn(*lm_scoring.together(held))
+                held = []
+        if held:
+            fit.learn(*lm_scoring.together(held))
+        each.append(fit.model.p)
+    for k in got:
+        assert np.allclose(got[k], (each[0][k] * n[0] + each[1][k] * n[1]) / sum(n), atol=1e-4), k
+
+
 def test_lm_scoring_of_blocks(spark, docs):
     """Many small blocks give what one gives, but for the neighbours' order of addition."""
     key = lambda df: {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)): r.score for r in df.collect() if r.doc_id is not None}
