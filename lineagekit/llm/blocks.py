@@ -92,8 +92,8 @@ def blocks(rows: DataFrame, split: Callable[[str], list], block_chars: int = BLO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Filling(TaskContext.get().partitionId() << 32)
-        for batch in batches:
-            for doc_id, text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for part in (batch.slice(at, 256) for batch in batches for at in range(0, len(batch), 256)):
+            for doc_id, text, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                 size = len(text or "")
                 if block.ids and block.chars + size > block_chars:
                     yield block.row(lean)

@@ -30,6 +30,8 @@ from .common import prepare, table
 
 #: Words whose ids every task holds, the rows (and their characters) that they are looked for in, and characters of a block.
 FREQUENT, ROWS, CHARS, BLOCK = 100_000, 2000, 20_000, 10 << 20
+#: Words of the texts that go back to Spark in one batch, or one text.
+PART = 100_000
 ENCODED = "doc_id long, ids binary, decoded string"
 #: Texts of these characters are normalised and split by Python's own functions, which agree with the library there.
 PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ɏ‐-‧€]")
@@ -84,6 +86,28 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def texts(block: Block, coded: list[bytes], width: str, pieces: list[str], most: int = PART) -> pa.Table:
+    """doc_id, ids, decoded of a block's texts; ``coded``: its words' ids. A few texts make a batch, so that
+    what a batch takes, here and in Spark, doesn't grow with the block."""
+    flat, ends = np.frombuffer(b"".join(coded), dtype=width), np.cumsum([len(x) for x in coded]) // np.dtype(width).itemsize
+    wide, numbers, name, ids, text, start = flat.astype("<u4").tobytes(), flat.tolist(), pieces.__getitem__, [], [], 0
+    for end in ends.tolist():
+        ids.append(wide[4 * start : 4 * end])
+        text.append(" ".join(map(name, numbers[start:end])))
+        start = end
+    del wide, numbers
+    stop = block.ends()
+    begin = stop - block.lengths
+
+    def some(first: int, last: int) -> pa.RecordBatch:
+        own = [block.places[a:b].tolist() for a, b in zip(begin[first:last], stop[first:last])]
+        coded, decoded = [b"".join(map(ids.__getitem__, x)) for x in own], [" ".join(map(text.__getitem__, x)) for x in own]
+        return pa.RecordBatch.from_arrays([block.ids[first:last], pa.array(coded, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+
+    bounds = [0, *(np.flatnonzero(np.diff(stop // most)) + 1).tolist(), len(stop)]
+    return pa.Table.from_batches([some(a, b) for a, b in zip(bounds, bounds[1:])])
+
+
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), decoded: one row per input row."""
     spark, path = prepare(docs.sparkSession), tokenizer_path or default_path()
@@ -107,17 +131,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         t, coded = tokenizer(path), list(map(known.value.get, block.words))
         for place, own in zip(found.column("place").to_pylist(), found.column("answer").to_pylist()):
             coded[place] = own
-        flat, cut = np.frombuffer(b"".join(coded), dtype=t.width), np.concatenate([[0], np.cumsum([len(x) for x in coded])]) // np.dtype(t.width).itemsize
-        wide, names = flat.astype("<u4").tobytes(), list(map(pieces.value.__getitem__, flat.tolist()))
-        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-        ids, text = [wide[4 * a : 4 * b] for a, b in spans], [" ".join(names[a:b]) for a, b in spans]
-        places, all_ids, decoded, start = block.places.tolist(), [], [], 0
-        for end in block.ends().tolist():
-            own = places[start:end]
-            all_ids.append(b"".join(map(ids.__getitem__, own)))
-            decoded.append(" ".join(map(text.__getitem__, own)))
-            start = end
-        return pa.Table.from_arrays([block.ids, pa.array(all_ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        return texts(block, coded, t.width, pieces.value)
 
     return returned(dealt, answers, apply, ENCODED)
 

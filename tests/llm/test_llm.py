@@ -12,6 +12,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -547,6 +548,25 @@ def test_differencing():
 
 
 # -- 8 ---------------------------------------------------------------------------------------------
+def test_bpe_of_a_block_comes_back_in_batches():
+    """Batches of few words or one text, whatever a block holds; together they are the library's ids and texts."""
+    t, r = bpe.tokenizer(bpe.default_path()), random.Random(4)
+    found = [prose(r, n) for n in (3, 0, 90, 400, 7, 7, 7, 60)] + ["Ünï çödé 数字"]
+    block = blocks.Filling(0)
+    for i, text in enumerate(found):
+        block.add(i, False, t.words(text), len(text))
+    block = blocks.Block.of(pa.Table.from_batches([block.row(True)]))
+    coded = [np.array(x, dtype=t.width).tobytes() for x in t.ids([w.decode() for w in block.words])]
+    got = bpe.texts(block, coded, t.width, t.pieces, 50).to_batches()
+    words = lambda batch: sum(len(t.words(found[i])) for i in batch.column(0).to_pylist())
+    assert len(got) > 3 and all(len(b) == 1 or words(b) <= 50 + max(len(t.words(found[i])) for i in b.column(0).to_pylist()) for b in got)
+    rows = [x for b in got for x in b.to_pylist()]
+    assert [x["doc_id"] for x in rows] == list(range(len(found)))
+    for x, text in zip(rows, found):
+        ids = t.whole.encode(text, add_special_tokens=False).ids
+        assert x["ids"] == np.array(ids, dtype="<u4").tobytes() and x["decoded"] == t.whole.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe(docs, corpus, empty):
     from tokenizers import Tokenizer
 
