@@ -288,26 +288,29 @@ def gradients(model: Attention, inputs: np.ndarray, wanted: np.ndarray, f: np.nd
     e = np.take(model.e, np.take(inputs, at, mode="clip"), axis=0)
     own = np.ascontiguousarray(e[:, WINDOW - STRIDE :])
     through = lambda x, weights: (x.reshape(-1, d) @ weights).reshape(x.shape)
-    qq, kk, vv = through(own, p["q"] * scale), through(e, p["k"]), through(e, p["v"])
+    qq, kk = through(own, p["q"] * scale), through(e, p["k"])
+    vv = np.concatenate([through(e, p["v"]), np.ones((*e.shape[:2], 1), np.float32)], axis=2)  # its last column adds up the weights
     w = qq @ kk.transpose(0, 2, 1)
     w += np.where(back, p["r"][distance], np.float32(-1e9))
     w += np.where(known, np.float32(0), np.float32(-1e9))[:, None, :]
     np.exp(np.minimum(w, LIMIT, out=w), out=w)
+    # neither weights nor probabilities are divided by their sums: what they are multiplied with is narrower
+    h = w @ vv
     # queries behind the end of a document are left out below; the floor keeps them finite
-    w *= 1 / np.maximum(w.sum(axis=2, keepdims=True), np.float32(1e-30))
+    total = np.maximum(h[..., d:], np.float32(1e-30))
+    h = h[..., :d] / total
     real = np.flatnonzero(known[:, WINDOW - STRIDE :])
-    joint = np.concatenate([np.take((w @ vv).reshape(-1, d), real, axis=0), np.take(own.reshape(-1, d), real, axis=0), np.ones((len(real), 1), np.float32)], axis=1)
+    joint = np.concatenate([np.take(h.reshape(-1, d), real, axis=0), np.take(own.reshape(-1, d), real, axis=0), np.ones((len(real), 1), np.float32)], axis=1)
     y = joint @ np.vstack([p["o"], p["b"]])
     np.exp(np.minimum(y, LIMIT, out=y), out=y)
-    each_one = np.float32(1 / len(real))
-    y *= each_one / y.sum(axis=1, keepdims=True)
-    y[np.arange(len(real)), wanted[at[:, WINDOW - STRIDE :].ravel()[real]]] -= each_one
-    out = joint.T @ y
+    whole = y @ np.ones((CLASSES, 1), np.float32)
+    y[np.arange(len(real)), wanted[at[:, WINDOW - STRIDE :].ravel()[real]]] -= whole[:, 0]
+    part = np.float32(1 / len(real)) / whole
+    out = (joint * part).T @ y
     dh = np.zeros((n * STRIDE, d), dtype=np.float32)
-    dh[real] = y @ p["o"][:d].T
-    dh = dh.reshape(n, STRIDE, d)
-    ds = dh @ vv.transpose(0, 2, 1)
-    ds -= (ds * w).sum(axis=2, keepdims=True)
+    dh[real] = (y @ p["o"][:d].T) * part
+    dh = dh.reshape(n, STRIDE, d) / total
+    ds = np.concatenate([dh, -np.einsum("ijk,ijk->ij", dh, h)[..., None]], axis=2) @ vv.transpose(0, 2, 1)
     ds *= w
     each = lambda x, y: x.reshape(-1, d).T @ y.reshape(-1, d)
     return {
