@@ -16,7 +16,8 @@ training row holds has the embedding of no context, and the clusters of that. Th
 subwords share (queries, keys, values, positions, output: about 5,000 numbers) are fitted by Adam, with
 gradients by hand, on every position of all training rows: each task goes over its blocks with a copy of
 the weights, and Spark adds up their mean by positions. There are only as many tasks as have ``SHARE``
-positions each; a corpus of less than one share is gone over up to ``PASSES`` times.
+positions each; a corpus of less than one share is gone over up to ``PASSES`` times. Beyond one share the
+weights, and so the scores, depend a little on how rows are dealt to tasks.
 *Scoring.* Windows of ``STRIDE`` queries with keys from ``WINDOW - STRIDE`` positions before: contexts
 overlap and each token is scored once. Windows of many documents go through one masked batch.
 
