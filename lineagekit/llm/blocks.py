@@ -85,10 +85,16 @@ class Filling:
         return pa.RecordBatch.from_arrays(row, ["block", "ids", "held", "lengths", "words", "counts", "places"])
 
 
-def blocks(rows: DataFrame, split: Callable[[str], list], block_chars: int = BLOCK_CHARS, lean: bool = False) -> DataFrame:
+def blocks(rows: DataFrame, split: Callable[[str], list], block_chars: int = BLOCK_CHARS, lean: bool = False, more: tuple[str, Callable[[pa.Array], list[pa.Array]]] | None = None) -> DataFrame:
     """BLOCK rows (LEAN ones) of ``rows`` (doc_id long, text string, held boolean); ``split`` gives a text's
-    words, str or bytes, without line feeds."""
+    words, str or bytes, without line feeds. ``more``: the schema of further columns, and what makes them of a
+    BLOCK row's words."""
     prepare(rows.sparkSession)
+    schema = LEAN if lean else f"{BLOCK}, {more[0]}" if more else BLOCK
+
+    def laid(block: Filling) -> pa.RecordBatch:
+        row = block.row(lean)
+        return pa.RecordBatch.from_arrays([*row.columns, *more[1](row.column("words").values)], [c.split()[0] for c in schema.split(", ")]) if more else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Filling(TaskContext.get().partitionId() << 32)
@@ -96,13 +102,13 @@ def blocks(rows: DataFrame, split: Callable[[str], list], block_chars: int = BLO
             for doc_id, text, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                 size = len(text or "")
                 if block.ids and block.chars + size > block_chars:
-                    yield block.row(lean)
+                    yield laid(block)
                     block = Filling(block.number + 1)
                 block.add(doc_id, bool(held), split(text or ""), size)
         if block.ids:
-            yield block.row(lean)
+            yield laid(block)
 
-    return rows.select("doc_id", "text", "held").mapInArrow(run, LEAN if lean else BLOCK)
+    return rows.select("doc_id", "text", "held").mapInArrow(run, schema)
 
 
 def word_rows(table: DataFrame, known: Broadcast) -> DataFrame:
@@ -156,22 +162,23 @@ class Block:
 
     @classmethod
     def of(cls, table: pa.Table) -> "Block":
-        """Of a table with one BLOCK or LEAN row."""
+        """Of a table with one BLOCK or LEAN row; without words where they were left out."""
         one = {c: table.column(c).combine_chunks() for c in table.column_names if c in ("ids", "held", "lengths", "places", "words", "lines")}
         n = len(one["ids"].values)
         held = np.array(one["held"].values.to_pylist(), dtype=bool) if "held" in one else np.zeros(n, dtype=bool)
-        words = one["words"].values.to_pylist() if "words" in one else listed(one["lines"][0].as_py())
+        words = one["words"].values.to_pylist() if "words" in one else listed(one["lines"][0].as_py()) if "lines" in one else []
         return cls(table.column("block")[0].as_py(), one["ids"].values, held, one["lengths"].values.to_numpy().astype(np.int64), unpacked(one["places"][0].as_py()), words)
 
     def ends(self) -> np.ndarray:
         return np.cumsum(self.lengths)
 
 
-def returned(table: DataFrame, answers: DataFrame, apply: Callable[[Block, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Rows of ``apply(block, answers of the block in the order of place)``; ``answers`` have block and place."""
+def returned(table: DataFrame, answers: DataFrame, apply: Callable[..., pa.Table], schema: str, whole: bool = False) -> DataFrame:
+    """Rows of ``apply(block, answers of the block in the order of place)``; ``answers`` have block and place.
+    ``whole``: the block's row as it is comes between the two."""
 
     def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
-        return apply(Block.of(rows), found.sort_by("place"))
+        return apply(Block.of(rows), *([rows] if whole else []), found.sort_by("place"))
 
     named = answers.select(F.col("block").alias("_block"), *(c for c in answers.columns if c != "block"))
     return table.groupBy("block").cogroup(named.groupBy("_block")).applyInArrow(finish, schema)

@@ -1,7 +1,7 @@
 """LM scoring: a causal self-attention model on subword ids, beside a unigram base on words.
 
-*Counts.* Every text is split once, in blocks (:mod:`blocks`); Spark counts the training rows' words over
-the corpus and each distinct word is cut into subwords once. From these words come the counts of
+*Counts.* Every text is split once, in blocks (:mod:`blocks`), which keep their distinct words' subwords;
+Spark counts the training rows' words over the corpus and each distinct word is cut into subwords once. From these words come the counts of
 prefixes: how often a subword (or the word's end) follows the subwords before it in its word, for up to
 ``DEPTH`` subwords, and in how many ways the prefix goes on. A join takes them back to the words.
 *Model.* One layer of causal self-attention with relative position biases, in numpy, predicts the class
@@ -33,7 +33,7 @@ from __future__ import annotations
 import functools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_CHARS, Block, blocks, often, returned
+from .blocks import BLOCK_CHARS, Block, blocks, often, packed, returned, unpacked
 from .common import partitions, prepare, table, written
 from .labelled import held_out
 from .packing import tokenizer
@@ -55,10 +55,12 @@ FREQUENT = 60_000
 #: Subwords of a prefix, and what is taken off its counts; frequent subwords that embeddings look for, and how far.
 DEPTH, DISCOUNT, BEFORE, NEAR = 12, 0.65, 48, 2
 LIMIT = np.float32(40)  # attention weights and logits are at most this, in place of subtracting maxima
+LOG2E = np.float32(math.log2(math.e))
 FOLDS, FOLD = 5, 1
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = -1
 TEXTS = ("ids", "held", "lengths", "places", "words", "block")
+CUT = "subwords binary, sizes binary"  # of a block's words, packed
 FOLLOW = "<f2"  # prefix probabilities on their way to blocks
 WORD = "word binary, count long, blocks long, subwords binary, first int, second int"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -93,10 +95,20 @@ def subword_ids(path: str, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.array([len(flat)])
 
 
-def subwords_of(path: str, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The same of any number of words."""
-    parts = [subword_ids(path, found[i : i + 2000]) for i in range(0, len(found), 2000)]
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+def subwords_of(path: str, found: list[bytes] | pa.Array, most: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """The same of any number of words, a list or a binary column."""
+    if not len(found):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    column, t, parts = found.cast(pa.binary()) if isinstance(found, pa.Array) else pa.array(found, pa.binary()), tokenizer(path), []
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    text = np.insert(np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]], at[:-1] - at[0], 32)  # a blank before each
+    at = at - at[0] + np.arange(len(at))
+    for i in range(0, len(column), most):
+        stop = min(i + most, len(column))
+        flat = np.array(t.quick.encode_ordinary(text[at[i] : at[stop]].tobytes().decode("utf-8", "replace")), dtype=np.int32)
+        begins = np.flatnonzero(t.opens[flat])
+        parts.append((flat, np.diff(np.append(begins, len(flat)))) if len(begins) == stop - i else subword_ids(path, column[i:stop].to_pylist()))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def kind_of(path: str) -> str:
@@ -110,7 +122,7 @@ class Attention:
     class_of: np.ndarray
     within: np.ndarray  # log probability of an id in its class
     opens: np.ndarray  # whether an id begins a word; the end counts as such
-    e: np.ndarray  # embeddings
+    e: np.ndarray  # embeddings; after the end's, a row of zeros for padding
     p: dict[str, np.ndarray]
     end: int
 
@@ -125,7 +137,7 @@ class Attention:
         prior = np.log(np.maximum(total, 1e-3) / total.sum())
         p = {"r": np.zeros(WINDOW), "o": rng.normal(0, 0.1, (2 * d, CLASSES)), "b": prior}
         p |= {k: rng.normal(0, 1 / math.sqrt(d), (d, d)) for k in ("q", "k", "v")}
-        return cls(class_of, np.log(share / total[class_of]).astype(np.float32), opens, embeddings(counts, opens, near), {k: v.astype(np.float32) for k, v in p.items()}, end)
+        return cls(class_of, np.log(share / total[class_of]).astype(np.float32), opens, np.pad(embeddings(counts, opens, near), ((0, 1), (0, 0))), {k: v.astype(np.float32) for k, v in p.items()}, end)
 
     def opening(self) -> np.ndarray:
         """By class, whether its ids begin words."""
@@ -133,18 +145,16 @@ class Attention:
         out[self.class_of[self.opens]] = 1
         return out
 
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """By id queries, keys, values and what goes straight to the logits; and the logits' matrix.
+    def folded(self) -> tuple[np.ndarray, np.ndarray]:
+        """What embeddings are multiplied with: queries' matrix for keys' embeddings, and the logits' matrix.
 
-        The last row is padding, whose key no query matches: queries end with 1, keys with 0 or, for
-        padding, a large negative number. Values end with 1, which adds up the weights, and what goes to
-        the logits with 1 for their constants.
+        Projections are linear, so attention works on embeddings, and values are projected with the
+        logits. The last column of embeddings is 1: weights are added up there, and constants lie there.
         """
-        e = np.vstack([self.e, np.zeros((1, WIDTH), np.float32)])
-        one, miss = np.ones((len(e), 1), np.float32), np.zeros((len(e), 1), np.float32)
-        miss[-1] = -1e9
-        q = np.hstack([e @ self.p["q"] / np.float32(math.sqrt(WIDTH)), one])
-        return q, np.hstack([e @ self.p["k"], miss]), np.hstack([e @ self.p["v"], one]), np.hstack([e, one]), np.vstack([self.p["o"], self.p["b"]])
+        p = self.p
+        out = np.concatenate([p["v"] @ p["o"][:WIDTH], p["o"][WIDTH:]])
+        out[-1] += p["b"]
+        return p["q"] @ p["k"].T * np.float32(1 / math.sqrt(WIDTH)), out
 
 
 def embeddings(counts: np.ndarray, opens: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -193,13 +203,30 @@ def clusters(unit: np.ndarray, weight: np.ndarray, k: int, rounds: int = 15, see
     return label
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Over documents laid end to end: the first query of each window, and its document's first position."""
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+def steps(model: Attention, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of whole documents: ids end to end, each document's end after it and before its first."""
+    targets = np.full(len(flat) + len(lengths), model.end, dtype=np.int32)
+    inside = np.ones(len(targets), dtype=bool)
+    inside[np.cumsum(lengths + 1) - 1] = False
+    targets[inside] = flat
+    return np.concatenate([[model.end], targets[:-1]]).astype(np.int32), targets
+
+
+def windows(model: Attention, inputs: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of documents' steps, by window the ids of its keys, the last of them its queries, and queries' classes.
+
+    What lies before and behind a document is padding.
+    """
     each = -(-lengths // STRIDE)
-    doc = np.repeat(np.arange(len(lengths)), each)
-    nth = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(each)[:-1]]), each)
-    return starts[doc] + nth * STRIDE, starts[doc]
+    ends = np.cumsum(each)
+    slots = np.repeat((ends - each) * STRIDE - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(inputs))
+    n, pad = int(each.sum()), model.end + 1
+    queries, wanted = np.full(n * STRIDE, pad, dtype=np.int32), np.zeros(n * STRIDE, dtype=classes.dtype)
+    queries[slots], wanted[slots] = inputs, classes
+    ids, queries, before = np.empty((n, WINDOW), dtype=np.int32), queries.reshape(n, STRIDE), WINDOW - STRIDE
+    ids[:, before:], ids[1:, :before] = queries, queries[:-1, STRIDE - before :]
+    ids[ends - each, :before] = pad
+    return ids, wanted.reshape(n, STRIDE)
 
 
 @functools.lru_cache(1)
@@ -209,6 +236,31 @@ def _relative() -> tuple[np.ndarray, np.ndarray]:
     return np.clip(distance, 0, WINDOW - 1), distance >= 0
 
 
+def power(x: np.ndarray) -> np.ndarray:
+    """2 to the power of ``x``, in place; ``x`` is at most ``LIMIT`` natural logarithms."""
+    most = LIMIT * LOG2E
+    if not x.max(initial=0) <= most:
+        np.minimum(x, most, out=x)
+    return np.exp2(x, out=x)
+
+
+def attended(model: Attention, ids: np.ndarray, to_keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Over windows, of embeddings: those of keys and queries, keys' turned round, weights, sums of weights,
+    and by query the mean that attention gives, beside its own. Padding is zero, and so adds to no sum."""
+    e = np.take(model.e, ids, axis=0)
+    own, turned = np.ascontiguousarray(e[:, WINDOW - STRIDE :]), np.ascontiguousarray(e.transpose(0, 2, 1))
+    distance, back = _relative()
+    w = power((own.reshape(-1, WIDTH) @ (to_keys * LOG2E)).reshape(own.shape) @ turned)
+    w *= np.where(back, np.exp(model.p["r"])[distance], np.float32(0))
+    seen = w @ e
+    joint = np.empty((*own.shape[:2], 2 * WIDTH), dtype=seen.dtype)
+    # queries behind the end of a document are left out by callers; the floor keeps them finite
+    total = np.maximum(seen[..., -1:], np.float32(1e-30))
+    np.divide(seen, total, out=joint[..., :WIDTH])
+    joint[..., WIDTH:] = own
+    return e, own, turned, w, total, joint.reshape(-1, 2 * WIDTH)
+
+
 def scores(model: Attention, flat: np.ndarray, lengths: np.ndarray, own: np.ndarray, left: np.ndarray) -> np.ndarray:
     """log10 probability of each document's ids followed by the end.
 
@@ -219,44 +271,22 @@ def scores(model: Attention, flat: np.ndarray, lengths: np.ndarray, own: np.ndar
     """
     if not len(lengths):
         return np.zeros(0)
-    ends = np.cumsum(lengths + 1) - 1
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    targets = np.full(len(flat) + len(lengths), model.end, dtype=np.int32)
-    inside = np.ones(len(targets), dtype=bool)
-    inside[ends] = False
-    targets[inside] = flat
-    inputs = np.concatenate([[model.end], targets[:-1]]).astype(np.int32)  # each document begins with the end before it
-    q, k, v, e, out_table = model.tables()
-    pad = len(q) - 1
-    distance, back = _relative()
-    bias = np.where(back, model.p["r"][distance], -1e9).astype(np.float32)
-    first, begin = windows(lengths + 1)
-    last = begin + np.repeat(lengths + 1, -(-(lengths + 1) // STRIDE))
-    chosen, opening = np.empty(len(inputs), dtype=np.float32), np.empty(len(inputs), dtype=np.float32)
+    inputs, targets = steps(model, flat, lengths)
+    ids, wanted = windows(model, inputs, np.take(model.class_of, targets), lengths + 1)
+    to_keys, out = model.folded()
+    out = out * LOG2E
+    chosen, opening = np.empty(wanted.shape, dtype=np.float32), np.empty(wanted.shape, dtype=np.float32)
     sums = np.stack([np.ones(CLASSES, dtype=np.float32), model.opening()], axis=1)
-    for s in range(0, len(first), BATCH):
-        f, b, z = first[s : s + BATCH], begin[s : s + BATCH], last[s : s + BATCH]
-        at = f[:, None] + np.arange(STRIDE - WINDOW, STRIDE)[None, :]
-        known = (at >= b[:, None]) & (at < z[:, None])
-        ids = np.take(inputs, at, mode="clip")
-        ids[~known] = pad
-        query = ids[:, WINDOW - STRIDE :]
-        weight = np.take(q, query, axis=0) @ np.take(k, ids, axis=0).transpose(0, 2, 1)
-        weight += bias
-        np.minimum(weight, LIMIT, out=weight)
-        np.exp(weight, out=weight)
-        h = weight @ np.take(v, ids, axis=0)  # its last column adds up the weights
-        h = h[..., :WIDTH] / h[..., WIDTH:]
-        real = np.flatnonzero(known[:, WINDOW - STRIDE :])
-        joint = np.concatenate([np.take(h.reshape(-1, WIDTH), real, axis=0), np.take(e, np.take(query, real), axis=0)], axis=1)
-        logits = joint @ out_table
-        np.minimum(logits, LIMIT, out=logits)
-        place = np.take(at[:, WINDOW - STRIDE :], real)
-        picked = logits[np.arange(len(place)), model.class_of[targets[place]]]
-        np.exp(logits, out=logits)
-        both = np.log(logits @ sums)
-        chosen[place] = picked - both[:, 0]
-        opening[place] = both[:, 1] - both[:, 0]
+    for s in range(0, len(ids), BATCH):
+        part = wanted[s : s + BATCH]
+        logits = attended(model, ids[s : s + BATCH], to_keys)[-1] @ out
+        at = np.arange(part.size) * CLASSES + part.ravel()
+        both = np.log(np.concatenate([power(logits) @ sums, np.take(logits, at)[:, None]], axis=1))
+        both -= both[:, :1]
+        opening[s : s + BATCH], chosen[s : s + BATCH] = (both[:, i].reshape(part.shape) for i in (1, 2))
+    # windows and their queries are in the order of the documents
+    real = ids[:, WINDOW - STRIDE :] <= model.end
+    chosen, opening = chosen[real], opening[real]
     log = chosen + np.take(model.within, targets)
     opens = np.take(model.opens, targets)
     # a word's end is left to attention as a whole, and then shared out among the ids that begin words
@@ -266,57 +296,40 @@ def scores(model: Attention, flat: np.ndarray, lengths: np.ndarray, own: np.ndar
     part *= left
     part += own
     log += np.log(part, out=part)
-    return np.add.reduceat(log.astype(np.float64), begins) / math.log(10)
+    return np.add.reduceat(log.astype(np.float64), np.cumsum(lengths + 1) - (lengths + 1)) / math.log(10)
 
 
-def laid(model: Attention, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Whole documents end to end: inputs, classes of targets, and of each window its first query, begin and end."""
-    targets = np.full(len(flat) + len(lengths), model.end, dtype=np.int32)
-    inside = np.ones(len(targets), dtype=bool)
-    inside[np.cumsum(lengths + 1) - 1] = False
-    targets[inside] = flat
-    inputs = np.concatenate([[model.end], targets[:-1]]).astype(np.int32)
-    first, begin = windows(lengths + 1)
-    return inputs, model.class_of[targets], first, begin, begin + np.repeat(lengths + 1, -(-(lengths + 1) // STRIDE))
+def laid(model: Attention, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of whole documents that lie end to end."""
+    inputs, targets = steps(model, flat, lengths)
+    return windows(model, inputs, np.take(model.class_of, targets), lengths + 1)
 
 
-def gradients(model: Attention, inputs: np.ndarray, wanted: np.ndarray, f: np.ndarray, b: np.ndarray, z: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean cross entropy of the next class over the windows f, b, z."""
-    p, d, scale, n = model.p, WIDTH, np.float32(1 / math.sqrt(WIDTH)), len(f)
-    distance, back = _relative()
-    at = f[:, None] + np.arange(STRIDE - WINDOW, STRIDE)[None, :]
-    known = (at >= b[:, None]) & (at < z[:, None])
-    e = np.take(model.e, np.take(inputs, at, mode="clip"), axis=0)
-    own = np.ascontiguousarray(e[:, WINDOW - STRIDE :])
-    through = lambda x, weights: (x.reshape(-1, d) @ weights).reshape(x.shape)
-    qq, kk = through(own, p["q"] * scale), through(e, p["k"])
-    vv = np.concatenate([through(e, p["v"]), np.ones((*e.shape[:2], 1), np.float32)], axis=2)  # its last column adds up the weights
-    w = qq @ kk.transpose(0, 2, 1)
-    w += np.where(back, p["r"][distance], np.float32(-1e9))
-    w += np.where(known, np.float32(0), np.float32(-1e9))[:, None, :]
-    np.exp(np.minimum(w, LIMIT, out=w), out=w)
-    # neither weights nor probabilities are divided by their sums: what they are multiplied with is narrower
-    h = w @ vv
-    # queries behind the end of a document are left out below; the floor keeps them finite
-    total = np.maximum(h[..., d:], np.float32(1e-30))
-    h = h[..., :d] / total
-    real = np.flatnonzero(known[:, WINDOW - STRIDE :])
-    joint = np.concatenate([np.take(h.reshape(-1, d), real, axis=0), np.take(own.reshape(-1, d), real, axis=0), np.ones((len(real), 1), np.float32)], axis=1)
-    y = joint @ np.vstack([p["o"], p["b"]])
-    np.exp(np.minimum(y, LIMIT, out=y), out=y)
+def gradients(model: Attention, ids: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross entropy of the next class over windows."""
+    p, d = model.p, WIDTH
+    to_keys, out = model.folded()
+    e, own, turned, w, total, joint = attended(model, ids, to_keys)
+    real = ids[:, WINDOW - STRIDE :].ravel() <= model.end
+    y = power(joint @ (out * LOG2E))
     whole = y @ np.ones((CLASSES, 1), np.float32)
-    y[np.arange(len(real)), wanted[at[:, WINDOW - STRIDE :].ravel()[real]]] -= whole[:, 0]
-    part = np.float32(1 / len(real)) / whole
-    out = (joint * part).T @ y
-    dh = np.zeros((n * STRIDE, d), dtype=np.float32)
-    dh[real] = (y @ p["o"][:d].T) * part
-    dh = dh.reshape(n, STRIDE, d) / total
-    ds = np.concatenate([dh, -np.einsum("ijk,ijk->ij", dh, h)[..., None]], axis=2) @ vv.transpose(0, 2, 1)
+    y.reshape(-1)[np.arange(len(y)) * CLASSES + wanted.ravel()] -= whole[:, 0]
+    if not real.all():
+        y[~real] = 0
+    # neither weights nor probabilities are divided by their sums: what they are multiplied with is narrower
+    part = np.float32(1 / np.count_nonzero(real)) / whole
+    g_out = (joint * part).T @ y
+    seen = y @ out[:d].T
+    seen *= part
+    # what a weight's share of the mean changes: the mean itself is taken off where embeddings are 1
+    seen[:, -1] -= np.einsum("ij,ij->i", seen, joint[:, :d])
+    ds = (seen.reshape(own.shape) / total) @ turned
     ds *= w
-    each = lambda x, y: x.reshape(-1, d).T @ y.reshape(-1, d)
+    g_keys = own.reshape(-1, d).T @ (ds @ e).reshape(-1, d) * np.float32(1 / math.sqrt(d))
+    distance, back = _relative()
     return {
-        "o": out[:-1], "b": out[-1], "r": np.bincount(distance[back], ds.sum(axis=0)[back], WINDOW).astype(np.float32),
-        "q": each(own, ds @ kk) * scale, "k": each(e, ds.transpose(0, 2, 1) @ qq), "v": each(e, w.transpose(0, 2, 1) @ dh),
+        "o": np.concatenate([p["v"].T @ g_out[:d], g_out[d:]]), "b": g_out[-1], "r": np.bincount(distance[back], ds.sum(axis=0)[back], WINDOW).astype(np.float32),
+        "q": g_keys @ p["k"], "k": g_keys.T @ p["q"], "v": g_out[:d] @ p["o"][:d].T,
     }
 
 
@@ -324,26 +337,29 @@ class Fit:
     """Adam on a copy of a model's shared weights; about ``expected`` windows are to come, over which its rate declines."""
 
     def __init__(self, model: Attention, expected: float, rate: float = 0.03, seed: int = 2):
-        self.model = replace(model, p={k: v.copy() for k, v in model.p.items()})
-        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
+        flat = np.concatenate([v.ravel() for v in model.p.values()])
+        cuts = np.cumsum([v.size for v in model.p.values()])[:-1]
+        # the model's weights are views of all of them, end to end
+        self.model = replace(model, p={k: x.reshape(v.shape) for (k, v), x in zip(model.p.items(), np.split(flat, cuts))})
+        self.flat, self.moment = flat, (np.zeros_like(flat), np.zeros_like(flat))
         self.expected, self.rate, self.rng = max(1.0, expected), rate, np.random.default_rng(seed)
         self.steps = self.windows = self.positions = 0
 
     def learn(self, flat: np.ndarray, lengths: np.ndarray, passes: int = 1, batch: int = 128) -> None:
         """From whole documents, each window once a pass in a random order."""
-        rows, p = laid(self.model, flat, lengths), self.model.p
-        n = len(rows[2])
+        rows, (m, v) = laid(self.model, flat, lengths), self.moment
+        n = len(rows[0])
         self.positions += len(flat) + len(lengths)
         for _ in range(passes):
             for chosen in np.array_split(self.rng.permutation(n), -(-n // batch)):
                 self.steps += 1
                 self.windows += len(chosen)
                 lr = self.rate * (1 - 0.9 * min(1.0, self.windows / self.expected))
-                for name, grad in gradients(self.model, *rows[:2], *(x[chosen] for x in rows[2:])).items():
-                    m, v = self.moment[name]
-                    m += 0.1 * (grad - m)
-                    v += 0.02 * (grad**2 - v)
-                    p[name] -= (lr * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.98**self.steps)) + 1e-8)).astype(np.float32)
+                found = gradients(self.model, *(x[chosen] for x in rows))
+                grad = np.concatenate([found[k].ravel() for k in self.model.p])
+                m += 0.1 * (grad - m)
+                v += 0.02 * (grad**2 - v)
+                self.flat -= (lr * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.98**self.steps)) + 1e-8)).astype(np.float32)
 
 
 def spread(cuts: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -368,9 +384,8 @@ def word_table(rows: DataFrame, path: str) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            flat, sizes = subwords_of(path, batch.column(0).to_pylist())
-            begins, data, width = np.cumsum(sizes) - sizes, flat.astype(kind_of(path)).tobytes(), np.dtype(kind_of(path)).itemsize
-            columns = [*batch.columns, pa.array([data[width * a : width * b] for a, b in zip(begins.tolist(), (begins + sizes).tolist())], pa.binary())]
+            flat, sizes = subwords_of(path, batch.column(0))
+            begins, columns = np.cumsum(sizes) - sizes, [*batch.columns, pa.array(keys(flat, sizes, kind_of(path)), pa.binary())]
             second = np.where(sizes > 1, np.append(flat, END)[np.minimum(begins + 1, len(flat))], END)
             columns += [pa.array(flat[begins], pa.int32()), pa.array(second, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["word", "count", "blocks", "subwords", "first", "second"])
@@ -421,6 +436,12 @@ def followed(table: DataFrame, path: str, most_words: int = 100_000) -> DataFram
     return dealt.groupBy("bucket").applyInArrow(lambda t: count(t.drop(["bucket"])), "word binary, blocks long, answer binary")
 
 
+def keys(flat: np.ndarray, sizes: np.ndarray, kind: str) -> list[bytes]:
+    """The subwords of each word as bytes."""
+    data, ends = flat.astype(kind).tobytes(), (np.cumsum(sizes) * np.dtype(kind).itemsize).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def joined(rows: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all rows end to end, and how many each row has."""
     return np.frombuffer(b"".join(rows), dtype=kind), np.array([len(r) for r in rows], dtype=np.int64) // np.dtype(kind).itemsize
@@ -443,15 +464,33 @@ def counts_of(table: DataFrame, path: str) -> np.ndarray:
     return counts
 
 
+def cut(path: str) -> Callable[[pa.Array], list[pa.Array]]:
+    """Columns CUT of a block's words."""
+    return lambda found: [pa.array([packed(x)], pa.binary()) for x in subwords_of(path, found)]
+
+
+def texts(split: DataFrame) -> DataFrame:
+    """What training reads of blocks: their words only where they weren't cut before."""
+    has = "subwords" in split.columns
+    return split.select(*(c for c in TEXTS if not has or c != "words"), *(("subwords", "sizes") if has else ()))
+
+
+def subwords_in(row: pa.Table, block: Block, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block's words the subwords, end to end, and how many each has."""
+    if "subwords" not in row.column_names:
+        return subwords_of(path, block.words)
+    return tuple(unpacked(row.column(c)[0].as_py()).astype(kind) for c, kind in (("subwords", np.int32), ("sizes", np.int64)))
+
+
 def training(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each block the subwords of its training rows, end to end, and how many each row has."""
     for batch in batches:
-        for row in pa.Table.from_batches([batch]).to_batches(max_chunksize=1):
-            block = Block.of(pa.Table.from_batches([row]))
-            ids, sizes = subwords_of(path, block.words)
+        for row in map(lambda x: pa.Table.from_batches([x]), pa.Table.from_batches([batch]).to_batches(max_chunksize=1)):
+            block = Block.of(row)
+            ids, sizes = subwords_in(row, block, path)
             train = ~block.held
             at, lengths = spread(np.concatenate([[0], np.cumsum(sizes)]), block.places[np.repeat(train, block.lengths)], block.lengths[train])
-            yield ids[at].astype(np.int32), lengths
+            yield ids[at], lengths
 
 
 def neighbours(split: DataFrame, frequent: np.ndarray, path: str) -> np.ndarray:
@@ -476,7 +515,7 @@ def neighbours(split: DataFrame, frequent: np.ndarray, path: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
-    found = split.select(*TEXTS).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary times 2 BEFORE
+    found = texts(split).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary times 2 BEFORE
     near = np.zeros(2 * size * k)
     near[found["at"].to_numpy(np.int64)] = found["n"].to_numpy()
     return near.reshape(2, size, k)
@@ -512,7 +551,7 @@ def fitted(split: DataFrame, model: Attention, path: str, n_ids: float, n_docs:
             flat = np.concatenate([x.ravel() for x in fit.model.p.values()]).astype(float)
             yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(flat)), pa.int32()), "total": pa.array(flat * fit.positions), "n": pa.array(np.full(len(flat), fit.positions), pa.int64())})
 
-    found = split.select(*TEXTS).coalesce(tasks).mapInArrow(run, "at int, total double, n long").groupBy("at").agg((F.sum("total") / F.sum("n")).alias("mean")).toPandas()  # the weights
+    found = texts(split).coalesce(tasks).mapInArrow(run, "at int, total double, n long").groupBy("at").agg((F.sum("total") / F.sum("n")).alias("mean")).toPandas()  # the weights
     if not len(found):
         return model.p
     values = found.sort_values("at")["mean"].to_numpy().astype(np.float32)
@@ -527,7 +566,7 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("held", held_out(F.col("doc_id"), FOLDS, FOLD))
 
-    split = written(blocks(rows, words, block_chars), "blocks")
+    split = written(blocks(rows, words, block_chars, more=(CUT, cut(path))), "blocks")
     each = split.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
     each = each.select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
     distinct = written(word_table(each, path), "words")
@@ -544,16 +583,19 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # words of the most blocks go to every task (a bounded table), the others' answers by a join to their blocks
     known_words = written(followed(distinct, path), "followed")
     frequent_words = often(known_words, FREQUENT).select("word", "answer")
-    often_words = spark.sparkContext.broadcast({bytes(r["word"]): bytes(r["answer"]) for r in frequent_words.collect()})
+    kind, some = kind_of(path), frequent_words.collect()
+    often_ids, often_sizes = subwords_of(path, [bytes(r["word"]) for r in some])
+    often_words = spark.sparkContext.broadcast(dict(zip(keys(often_ids, often_sizes, kind), (bytes(r["answer"]) for r in some))))
     rare = each.select("block", "place", "word").join(F.broadcast(frequent_words.select("word")), "word", "left_anti")
     answers = rare.join(known_words.select("word", "answer"), "word").select("block", "place", "answer")
 
-    def finish(block: Block, found: pa.Table) -> pa.Table:
-        answer = list(map(often_words.value.get, block.words))
+    def finish(block: Block, row: pa.Table, found: pa.Table) -> pa.Table:
+        flat, sizes = subwords_in(row, block, path)
+        # words are known by their subwords, which tell them apart
+        answer = list(map(often_words.value.get, keys(flat, sizes, kind)))
         for place, own in zip(found.column("place").to_pylist(), found.column("answer").to_pylist()):
             answer[place] = own
         of_word = np.frombuffer(b"".join([x[:8] for x in answer]), "<i8")
-        flat, sizes = subwords_of(path, block.words)
         steps, depths = joined([x[8:] for x in answer], FOLLOW)
         cuts, depths = np.concatenate([[0], np.cumsum(sizes)]), depths // 2
         follow = np.tile(np.array([0, 1], dtype=np.float32), (len(flat), 1))  # beyond DEPTH nothing is known
@@ -574,7 +616,7 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         columns = [block.ids, pa.array(block.held), pa.array(block.lengths + 1), pa.array(known[stop[1:]] - known[stop[:-1]] + (n_docs > 0)), pa.array(base, pa.float64()), pa.array(score)]
         return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    found = returned(split.drop("counts"), answers, finish, RESULT)
+    found = returned(split.drop("counts", "words"), answers, finish, RESULT, whole=True)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

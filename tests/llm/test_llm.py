@@ -331,6 +331,20 @@ def test_lm_weights_are_the_mean_of_tasks(spark, monkeypatch):
         assert np.allclose(got[k], (each[0][k] * n[0] + each[1][k] * n[1]) / sum(n), atol=1e-4), k
 
 
+def test_lm_training_cuts_no_word_that_its_block_keeps_cut(spark, monkeypatch):
+    """Blocks keep their words' subwords; training reads them alone, and learns from what it would cut itself."""
+    r = random.Random(7)
+    rows = spark.createDataFrame([(i, prose(r, i % 40) + " naïve 数字", i % 5 == 1) for i in range(90)] + [(90, "", False)], "doc_id long, text string, held boolean").coalesce(1)
+    path = lm_scoring.default_path()
+    plain = blocks.blocks(rows, lm_scoring.words, 4000).select(*lm_scoring.TEXTS).toArrow()
+    kept = lm_scoring.texts(blocks.blocks(rows, lm_scoring.words, 4000, more=(lm_scoring.CUT, lm_scoring.cut(path)))).toArrow()
+    assert "words" not in kept.column_names and len(kept) == len(plain) > 1
+    want = list(lm_scoring.training(plain.to_batches(), path))
+    monkeypatch.setattr(lm_scoring, "subwords_of", None)
+    got = list(lm_scoring.training(kept.to_batches(), path))
+    assert [(x.tolist(), n.tolist()) for x, n in got] == [(x.tolist(), n.tolist()) for x, n in want]
+
+
 def test_lm_scoring_of_blocks(spark, docs):
     """Many small blocks give what one gives, but for the neighbours' order of addition."""
     key = lambda df: {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)): r.score for r in df.collect() if r.doc_id is not None}
