@@ -155,7 +155,12 @@ def extract(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, nth and a row a quantity: start, end, source_text, normalized_text, kind, lower, upper, options, unit,
     qualifiers, tokens (of the context before it), confidence, warnings, condition (null, or the quantity at which it holds)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
-    each = rows.select("id", "text", F.posexplode(sentences(F.col("text"))).alias("sentence_no", "x")).select("id", "text", "sentence_no", F.col("x.offset").alias("offset"), normalized(F.col("x.sentence")).alias("norm"))
+    # a small file of many rows would be one task: rows are dealt by id, in a number that isn't lowered by their size
+    session = df.sparkSession
+    rows = rows.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism), "id")
+    # the outer forms of explode: of the others Spark makes a filter on the array's size, which it moves below all
+    # passes, and so writes them into one expression that grows by a power of their number
+    each = rows.select("id", "text", F.posexplode_outer(sentences(F.col("text"))).alias("sentence_no", "x")).select("id", "text", "sentence_no", F.col("x.offset").alias("offset"), normalized(F.col("x.sentence")).alias("norm"))
     each = each.where(F.rlike("norm", F.lit(rf"\d{GAP}(?:{UNIT})"))).withColumn("left", F.col("norm")).withColumn("found", F.array().cast(FOUND))
     for name, pattern in PASSES.items():
         each = each.withColumn("parts", marked(F.col("left"), pattern))
@@ -174,7 +179,7 @@ def extract(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # what a word for "at" follows is the condition of the next one
     marks = rf"^{GAP}(?:において|で)"
     each = each.withColumn("at", F.transform("q", lambda x: F.rlike(F.substring(F.col("norm"), x["e"] + 1, F.lit(6)), F.lit(marks))))
-    each = each.select("*", F.posexplode("q").alias("i", "x"))
+    each = each.select("*", F.posexplode_outer("q").alias("i", "x")).where("i is not null")
     is_condition, last = F.get("at", F.col("i")), F.col("i") == F.size("q") - 1
     before = F.when(F.coalesce(F.get("at", F.col("i") - 1), F.lit(False)), F.get("q", F.col("i") - 1))
     kept = each.withColumn("before", before).where(~is_condition | last)

@@ -63,3 +63,12 @@ def test_details(found):
     assert by_text["200±0.5 V"][0]["warnings"] == ["公差表記(中心値200, 公差±0.5)から区間を算出"]
     assert by_text["20~10V"][0]["warnings"] == [Q.W_REVERSED]
     assert by_text["周囲温度40 °Cで10 kW"][0]["condition"]["confidence"] == 0.7
+
+
+def test_passes_are_not_written_into_one_filter(spark):
+    """Every pass reads a sentence once, and a table of one file is read by several tasks."""
+    df = Q.extract(spark.range(1).selectExpr("id", "concat(id, ' V') as text").coalesce(1), "id", "text")
+    assert df.rdd.getNumPartitions() > 1
+    plan = df._jdf.queryExecution().optimizedPlan()
+    filters = [str(line) for line in plan.toString().splitlines() if "Filter " in line]
+    assert max(map(len, filters)) < 3000
