@@ -195,8 +195,10 @@ def stratified_sample(df: DataFrame, strata: list[str], order: list[str], size:
 
 
 def precision_recall(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
-    both = found.select(*keys).distinct().withColumn("f", F.lit(1)).join(truth.select(*keys).distinct().withColumn("t", F.lit(1)), keys, "full_outer")
-    count = lambda c: F.count(F.when(c, 1))
+    """Counts of pairs and their ratios. A row may stand for n pairs on both sides (column n)."""
+    n = lambda side: F.max("n") if "n" in side.columns else F.lit(1).cast("long")
+    both = found.groupBy(*keys).agg(n(found).alias("f")).join(truth.groupBy(*keys).agg(n(truth).alias("t")), keys, "full_outer")
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.coalesce("f", "t"))), F.lit(0))
     out = both.agg(count(F.col("f").isNotNull() & F.col("t").isNotNull()).alias("true_positives"), count(F.col("t").isNull()).alias("false_positives"), count(F.col("f").isNull()).alias("false_negatives"))
     tp = F.col("true_positives")
     ratio = lambda other: F.when(tp + F.col(other) > 0, tp / (tp + F.col(other)))

@@ -173,10 +173,11 @@ def stratified_sample(spark, sf_dir):
 
 
 def precision_recall(spark, sf_dir):
-    found = linking.tag_dice_match(spark, sf_dir)
-    part = read(spark, sf_dir, "part")
-    a, b = (part.where(f"p_partkey % 2 = {k}").select(F.col("p_partkey").alias(n), "p_brand", "p_size") for k, n in ((0, "a_id"), (1, "b_id")))
-    out = R.precision_recall(found, a.join(b, ["p_brand", "p_size"]), ["a_id", "b_id"])
+    found, (a, _), (b, _) = linking.tag_kinds(spark, sf_dir)
+    weights = linking.rows_of(a, "a_id"), linking.rows_of(b, "b_id")
+    weighted = lambda pairs: pairs.join(weights[0], "a_id").join(weights[1], "b_id").select("a_id", "b_id", (F.col("a_id_n") * F.col("b_id_n")).alias("n"))
+    truth = a.select(F.col("id").alias("a_id"), "p_brand", "p_size").join(b.select(F.col("id").alias("b_id"), "p_brand", "p_size"), ["p_brand", "p_size"])
+    out = R.precision_recall(weighted(found), weighted(truth), ["a_id", "b_id"])
     return out.select("true_positives", "false_positives", "false_negatives", rounded(F.col("precision")).alias("precision"), rounded(F.col("recall")).alias("recall"))
 
 
@@ -188,9 +189,10 @@ def trace_matrix(spark, sf_dir):
 
 def reverse_view(spark, sf_dir):
     """Per target of links: how many, and the highest defined confidence."""
-    links = linking.best_method_per_pair(spark, sf_dir)
-    masked = links.withColumn("confidence", F.when(F.col("method") != "partial", F.col("confidence")))
-    return masked.groupBy("b_id").agg(F.count("*").alias("links"), F.max("confidence").alias("most"), F.max_by("method", F.struct(F.col("confidence"), F.col("method"))).alias("method"))
+    links, (a, _), (_, members) = linking.best_kinds(spark, sf_dir)
+    masked = links.withColumn("confidence", F.when(F.col("method") != "partial", F.col("confidence"))).join(linking.rows_of(a, "a_id"), "a_id")
+    seen = masked.groupBy("b_id").agg(F.sum("a_id_n").alias("links"), F.max("confidence").alias("most"), F.max_by("method", F.struct(F.col("confidence"), F.col("method"))).alias("method"))
+    return L.of_members(seen, members, "b_id").select("b_id", "links", "most", "method")
 
 
 def netstring_ids(spark, sf_dir):
